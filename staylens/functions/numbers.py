@@ -33,8 +33,7 @@ def unparsable(c) -> Column:
 
 def parse_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     """Text date to DATE; malformed text gives NULL rather than an error."""
-    return F.try_to_date(as_col(c), F.lit(fmt)) if hasattr(F, "try_to_date") \
-        else F.to_date(as_col(c), fmt)
+    return F.try_to_date(as_col(c), fmt)
 
 
 def bucket_midpoint(c, width: float) -> Column:

@@ -59,9 +59,15 @@ def least_available(filtered: DataFrame, k: int = C.TOP_K, key: str = NB,
 
 def popular_both(filtered: DataFrame, k: int = C.TOP_K, key: str = NB,
                  metric: str = "availability_365") -> DataFrame:
-    """Neighbourhoods in both top-k lists."""
-    return members.common_keys(top_listed(filtered, k, key),
-                               least_available(filtered, k, key, metric), key)
+    """Neighbourhoods in both top-k lists.
+
+    Both lists are ranked from one statistics table, so the plan shuffles the
+    listings once (the second use is a reused exchange).
+    """
+    stats = neighbourhood_stats(filtered, key, metric)
+    top = groups.top_k(stats, "list_count", k, keys=[key])
+    least = groups.bottom_k(stats, "median_availability", k, keys=[key])
+    return members.common_keys(top, least, key)
 
 
 def popular_neighbourhoods(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
