@@ -91,6 +91,11 @@ def _q_low_vacancy_days(spark, d):
     return R.low_dates(R.daily_vacancy(_calendar(spark, d)), f"vacant_ratio < {C.LOW_VACANCY}")
 
 
+def _q_low_popular_days(spark, d):
+    side = R.vacancy_side_by_side(_calendar(spark, d), R.popular_ids(_listings(spark, d)))
+    return R.low_dates(side, f"vacant_ratio_popular < {C.LOW_VACANCY_POPULAR}")
+
+
 def _q_vacancy_side_by_side(spark, d):
     return R.vacancy_side_by_side(_calendar(spark, d), R.popular_ids(_listings(spark, d)))
 
@@ -108,6 +113,15 @@ def _q_parsed_price(spark, d):
     return clean.to_number_columns(_listings(spark, d).select("id", *cols), cols, parse_number)
 
 
+_MEANS = ["availability_365", "bedrooms", "bathrooms", "square_feet", *C.REVIEW_FEATURES,
+          "number_of_reviews", "accommodates"]
+
+
+def _q_column_means(spark, d):
+    means = groups.column_means(_listings(spark, d), _MEANS)
+    return means.select(*[F.round(F.col(c), 6).alias(c) for c in _MEANS])
+
+
 def _q_overall_median(spark, d):
     return groups.total_median(R.priced(_listings(spark, d)), "price", "overall_median")
 
@@ -220,8 +234,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_vacancy": _q_daily_vacancy,
         "low_vacancy_days": _q_low_vacancy_days,
         "vacancy_side_by_side": _q_vacancy_side_by_side,
+        "low_popular_days": _q_low_popular_days,
         "missing_report": _q_missing_report,
         "parsed_price": _q_parsed_price,
+        "column_means": _q_column_means,
         "overall_median": _q_overall_median,
         "median_among_top": _q_median_among_top,
         "type_room_price": _q_type_room_price,
@@ -415,10 +431,15 @@ def oracle_sql() -> dict[str, str]:
         "daily_vacancy": _sql("SELECT * FROM daily"),
         "low_vacancy_days": _sql(f"SELECT date FROM daily WHERE vacant_ratio < {C.LOW_VACANCY}"),
         "vacancy_side_by_side": _sql("SELECT * FROM side"),
+        "low_popular_days": _sql(
+            f"SELECT date FROM side WHERE vacant_ratio_popular < {C.LOW_VACANCY_POPULAR}"),
         "missing_report": _sql(_missing_sql()),
         "parsed_price": _sql(
             "SELECT id, " + ", ".join(f"{_parse_sql(c)} AS {c}"
                                       for c in ["price", *C.NUMBER_TEXT_FEATURES]) + " FROM listings"),
+        "column_means": _sql(
+            "SELECT " + ", ".join(f"round(avg(CAST({c} AS DOUBLE)), 6) AS {c}" for c in _MEANS)
+            + " FROM listings"),
         "overall_median": _sql("SELECT median(price) AS overall_median FROM priced"),
         "median_among_top": _sql(
             f"SELECT {nb} AS neighbourhood, median(price) AS median_price, "

@@ -75,8 +75,15 @@ class PriceForest:
     labels: list | None  # class index -> label value (classification)
 
     def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
-        """M4: predicted label value per row (class index mapped back to its value)."""
-        scored = self.model.transform(df)
+        """M4: predicted label value per row (class index mapped back to its value).
+
+        Only the prediction column is produced: the per-class vote and
+        probability vectors (one value per class) are not materialised.
+        """
+        model = self.model.copy()
+        if self.task == "classify":
+            model.setRawPredictionCol("").setProbabilityCol("")
+        scored = model.transform(df)
         if self.task == "classify":
             table = F.array(*[F.lit(float(v)) for v in self.labels])
             value = F.element_at(table, F.col("prediction").cast("int") + 1)
