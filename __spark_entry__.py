@@ -280,7 +280,7 @@ listings AS (
     CASE WHEN p_size > 10 THEN 't' ELSE 'f' END AS is_location_exact,
     CASE WHEN p_type = 'PROMO' THEN 'f' ELSE 't' END AS has_availability,
     CAST(p_size * 7 AS DOUBLE) AS availability_365,
-    {_money('p_retailprice * 10')} AS price,
+    {_money('floor(p_retailprice) * 10')} AS price,
     CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS property_type,
     split_part(p_name, ' ', 2) AS room_type,
     CAST(floor(p_size / 10.0) AS DOUBLE) AS bedrooms,

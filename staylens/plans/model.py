@@ -103,17 +103,44 @@ def _label_values(train: DataFrame, label: str, max_classes: int) -> list[float]
     return sorted(r["v"] for r in rows)
 
 
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    text = text.strip().lower().rstrip("b")
+    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(text)
+
+
+def task_memory_mb(spark, share: float = 0.2) -> int:
+    """Split-statistics budget per task: a share of the executor heap over its task slots.
+
+    Local mode reads the running JVM's heap and the core count; a cluster reads
+    ``spark.executor.memory`` and ``spark.executor.cores``.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
+        slots = sc.defaultParallelism
+    else:
+        heap = _bytes(spark.conf.get("spark.executor.memory", "1g"))
+        slots = int(spark.conf.get("spark.executor.cores", "1"))
+    return int(max(16, min(1024, heap * share / max(1, slots) / (1 << 20))))
+
+
 def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, depth: int = 6,
                seed: int = 42, task: str = "classify", max_classes: int = 1000,
-               max_bins: int = 32, max_memory_mb: int = 512) -> PriceForest:
+               max_bins: int = 32, max_memory_mb: int | None = None) -> PriceForest:
     """M3: random forest on ``label`` values as classes (or a regressor with ``task='regress'``).
 
     Class indices follow the sorted label values and carry nominal metadata, so
-    any number of classes up to ``max_classes`` is accepted.
+    any number of classes up to ``max_classes`` is accepted. The model keeps
+    one class histogram per node (trees x nodes x classes values on the
+    driver), which is what bounds ``max_classes``. The per-task statistics
+    budget defaults to a share of the executor heap (:func:`task_memory_mb`).
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
+    max_memory_mb = max_memory_mb or task_memory_mb(train.sparkSession)
+
     if task == "classify":
         labels = _label_values(train, label, max_classes)
         index = train.sparkSession.createDataFrame(

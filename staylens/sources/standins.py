@@ -10,7 +10,9 @@ oracle.
 listings (one row per ``part`` row)
     id, name, neighbourhood_cleansed (brand), is_location_exact (size > 10),
     has_availability (type is not PROMO), availability_365 (7 x size),
-    price (money text of 10 x retail price), property_type (type, missing for
+    price (money text of 10 x the whole-dollar retail price: 100 distinct
+    prices, like the few hundred whole-dollar prices of real listings),
+    property_type (type, missing for
     every 11th key), room_type (second word of the name), bedrooms, bathrooms,
     square_feet (90% missing), seven review scores (each missing for a fifth
     of the sizes), number_of_reviews, accommodates, cleaning_fee,
@@ -48,7 +50,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size > 10, "t").otherwise("f").alias("is_location_exact"),
         F.when(F.col("p_type") == "PROMO", "f").otherwise("t").alias("has_availability"),
         (size * 7).cast("double").alias("availability_365"),
-        _money(F.col("p_retailprice") * 10).alias("price"),
+        _money(F.floor(F.col("p_retailprice")) * 10).alias("price"),
         F.when(key % 11 != 0, F.col("p_type")).alias("property_type"),
         F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("room_type"),
         F.floor(size / 10.0).cast("double").alias("bedrooms"),
