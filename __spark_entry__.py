@@ -217,6 +217,10 @@ def _q_price_drivers(spark, d):
     return R.price_drivers(_listings(spark, d)).importance
 
 
+def _q_price_driver_top(spark, d):
+    return M.top_importance(R.price_drivers(_listings(spark, d)).importance, C.TOP_K)
+
+
 def _q_price_driver_scores(spark, d):
     return R.price_drivers(_listings(spark, d)).scores
 
@@ -258,6 +262,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_busy_dates": _q_report_busy_dates,
         "price_drivers": _q_price_drivers,
         "price_driver_scores": _q_price_driver_scores,
+        "price_driver_top": _q_price_driver_top,
     }
 
 

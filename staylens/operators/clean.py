@@ -173,14 +173,20 @@ def drop_sparse(df: DataFrame, min_share: float = 0.5, cols=None,
 
 
 def impute_mean(df: DataFrame, cols=None, stats: ColumnStats | None = None,
-                fit_on: DataFrame | None = None) -> DataFrame:
+                fit_on="all", fold: str = "fold") -> DataFrame:
     """Missing numeric values become the column mean (columns become doubles).
 
-    The means come from ``fit_on`` (default: ``df`` itself, all rows) or from
-    precomputed ``stats``. A column without any value keeps its NULLs.
+    The means come from precomputed ``stats`` or from ``fit_on``: ``'all'``
+    (every row, the original order of work), ``'train'`` (rows whose ``fold``
+    column is ``'train'``) or a DataFrame. A column without any value keeps
+    its NULLs.
     """
     cols = as_list(cols) or columns_of_type(df, "numeric")
-    stats = stats or fit_column_stats(fit_on if fit_on is not None else df, cols)
+    if isinstance(fit_on, str):
+        if fit_on not in ("all", "train"):
+            raise ValueError("fit_on must be 'all', 'train' or a DataFrame")
+        fit_on = df if fit_on == "all" else df.where(qcol(fold) == F.lit("train"))
+    stats = stats or fit_column_stats(fit_on, cols)
     out = []
     for name in df.columns:
         if name in cols and name in stats.means:

@@ -85,6 +85,9 @@ def median_count(df: DataFrame, keys, value, median_name: str = "median",
     return base.groupBy(*_key_cols(keys)).agg(*aggs)
 
 
+group_median_count = median_count  # A3 under its catalogue name
+
+
 def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True) -> DataFrame:
     """A2: median per group."""
     return median_count(df, keys, value, median_name=name, count_name=None, exact=exact)
@@ -146,7 +149,8 @@ def profile_by_features(df: DataFrame, features, value, feature_name: str = "fea
     return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact)
 
 
-def group_by_bucket(df: DataFrame, col: str, width: float, value, bucket_name: str | None = None,
+def group_by_bucket(df: DataFrame, col: str, width: float = 50, value="price",
+                    bucket_name: str | None = None,
                     median_name: str = "median", count_name: str = "count",
                     exact: bool = True) -> DataFrame:
     """Median and count of ``value`` per bucket of ``col`` (key = bucket midpoint)."""

@@ -163,10 +163,29 @@ def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, de
     return PriceForest(est.fit(data), [], task, labels)
 
 
+def fit_price_forest(train: DataFrame, trees: int = 400, depth: int = 6, seed: int = 42,
+                     features: str = "features", label: str = "price", **kw) -> PriceForest:
+    """M3 with the catalogue signature: price values as classes by default."""
+    return fit_forest(train, features, label, trees, depth, seed, **kw)
+
+
 # --------------------------------------------------------------------------- M6, M7
 
-def importance_table(spark, importances, names) -> DataFrame:
-    """M6: (feature, importance) sorted by importance; size = number of features."""
+r2 = r2_score  # A12 under its catalogue name
+
+
+def importance_table(model, names, spark=None) -> DataFrame:
+    """M6: (feature, importance) sorted by importance; size = number of features.
+
+    ``model`` is a :class:`PriceForest`, a fitted MLlib tree ensemble, or the
+    importance vector itself.
+    """
+    from pyspark.sql import SparkSession
+
+    spark = spark or SparkSession.getActiveSession()
+    if isinstance(model, PriceForest):
+        model = model.model
+    importances = getattr(model, "featureImportances", model)
     values = importances.toArray().tolist() if hasattr(importances, "toArray") else list(importances)
     if len(values) != len(names):
         raise ValueError(f"{len(values)} importances for {len(names)} features")

@@ -263,6 +263,5 @@ def price_drivers(listings: DataFrame, key: str = "id", trees: int = C.FOREST_TR
     forest.features = feats
     preds = forest.predict(vec).select(key, "fold", "price", "predicted")
     scores = M.r2_score(preds, "price", "predicted", by=["fold"])
-    spark = listings.sparkSession
-    importance = M.importance_table(spark, forest.model.featureImportances, feats)
+    importance = M.importance_table(forest, feats, listings.sparkSession)
     return PriceDrivers(importance, scores, preds, forest, feats)

@@ -110,3 +110,12 @@ def test_empty_table_through_cleaning(spark):
     assert (r["total"], r["kept"], r["dropped"]) == (0, 0, 0)
     assert clean.impute_mean(df, ["v"]).count() == 0
     assert clean.drop_sparse(df, 0.5).columns == ["id", "v", "s"]
+
+
+def test_impute_mean_fit_on_train_fold(spark):
+    df = spark.createDataFrame([(1, 1.0, "train"), (2, None, "test"), (3, 9.0, "test"),
+                                (4, 3.0, "train")], "id long, v double, fold string")
+    out = clean.impute_mean(df, ["v"], fit_on="train")
+    assert [r["v"] for r in out.orderBy("id").collect()] == [1.0, 2.0, 9.0, 3.0]
+    with pytest.raises(ValueError):
+        clean.impute_mean(df, ["v"], fit_on="test")

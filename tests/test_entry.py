@@ -23,7 +23,7 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"price_drivers", "price_driver_scores"}
+    assert rows_only == {"price_drivers", "price_driver_scores", "price_driver_top"}
 
 
 @pytest.fixture(scope="module")

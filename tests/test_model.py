@@ -55,7 +55,7 @@ def test_forest_classifier_on_price_classes(spark, toy):
     assert labels == {50.0, 150.0, 250.0, 350.0, 450.0}
     assert {r["predicted"] for r in pred.select("predicted").distinct().collect()} <= labels
     assert M.r2_score(pred, "price", "predicted").first()[0] > 0.99
-    table = M.importance_table(spark, forest.model.featureImportances, ["x", "z"])
+    table = M.importance_table(forest, ["x", "z"], spark)
     assert [r["feature"] for r in table.collect()] == ["x", "z"]
     assert M.top_importance(table, 1).first()["feature"] == "x"
 
