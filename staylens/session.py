@@ -19,7 +19,7 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "staylens") -> SparkSession:
+                  app: str = "staylens", extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench: AQE on, UI off, UTC, small shuffles."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", "8g"))
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
