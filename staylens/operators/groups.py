@@ -62,17 +62,30 @@ def top_k_values(df: DataFrame, col: str, k: int, name: str = "count") -> DataFr
 
 def median_count(df: DataFrame, keys, value, median_name: str = "median",
                  count_name: str | None = "count", exact: bool = True,
-                 accuracy: int = 10_000) -> DataFrame:
+                 accuracy: int = 10_000, method: str = "distinct",
+                 max_inside: int = 1_000_000) -> DataFrame:
     """Per key tuple: median of ``value`` (missing skipped) and row count.
 
     ``exact=True`` gives the midpoint of the two middle values for even
-    counts; ``exact=False`` uses ``percentile_approx`` with ``accuracy``.
+    counts, by one of two exact methods:
+
+    - ``method="distinct"`` (default): ``(keys, value)`` counts, then a weighted
+      percentile per key; one task holds the distinct values of a key. Right
+      for values from a bounded domain (prices, day counts, scores).
+    - ``method="bracket"``: for continuous values, where a hot key may have
+      as many distinct values as rows; see :func:`median_count_bracket`.
+
+    ``exact=False`` uses ``percentile_approx`` with ``accuracy``.
     """
     keys = as_list(keys)
     base = df.select(*_key_cols(keys), _numeric(df, value).alias(_V))
     cond = _not_null(keys)
     if cond is not None:
         base = base.where(cond)
+    if exact and method == "bracket":
+        return _median_bracket(base, keys, median_name, count_name, max_inside)
+    if exact and method != "distinct":
+        raise ValueError("method must be 'distinct' or 'bracket'")
     if exact:
         pairs = base.groupBy(*_key_cols(keys), F.col(_V)).agg(F.count(F.lit(1)).alias(_N))
         aggs = [F.percentile(F.col(_V), F.lit(0.5), F.col(_N)).alias(median_name)]
@@ -88,6 +101,120 @@ def median_count(df: DataFrame, keys, value, median_name: str = "median",
 group_median_count = median_count  # A3 under its catalogue name
 
 
+def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: str | None,
+                    max_inside: int, sketch_k: int = 1000, grid_size: int = 1000,
+                    guard: int = 6, salts: int = 64, max_rounds: int = 8) -> DataFrame:
+    """Exact median per key without any task holding more than ``max_inside`` values.
+
+    Rounds narrow a value bracket ``[lo, hi]`` per key around the two middle
+    ranks. Each round is one pass: rows are joined with the (small,
+    checkpointed) per-key state and aggregated per ``(key, salt)`` into the
+    count below the bracket, the count inside it and a KLL sketch of the
+    values inside; the salted partials are merged per key, so a hot key's
+    merge is spread over ``salts`` tasks. The sketch's quantiles on a fixed
+    rank grid, ``guard`` grid steps around the target ranks, give the next,
+    narrower bracket (about 1/80 of the previous one per round). A bracket that misses the
+    target ranks (sketch error) is reset to unbounded and retried. Once every
+    key has at most ``max_inside`` distinct values inside (an HLL estimate
+    with slack; ties stop the narrowing early), the bracket rows are counted
+    per distinct value and ranked with a window partitioned by key.
+    """
+    from pyspark.sql import Window
+
+    from ..session import cut_lineage
+    from .members import sized_broadcast
+
+    if not keys:
+        # one group: a data-derived key that is always 0 (a literal would be folded
+        # and turn the joins below into nested loops) keeps every step a hash join
+        keyed = base.withColumn("__g", F.pmod(F.xxhash64(F.col(_V)), F.lit(1)))
+        out = _median_bracket(keyed, ["__g"], median_name,
+                              count_name, max_inside, sketch_k, grid_size, guard, salts,
+                              max_rounds)
+        return out.drop("__g")
+    kc = _key_cols(keys)
+    v = F.col(_V)
+    rows = base.where(v.isNotNull())
+    totals = base.groupBy(*kc).agg(F.count(F.lit(1)).alias("__total"),
+                                   F.count(v).alias("__n"))
+    # 0-based ranks of the two middle values among the non-missing ones
+    state = cut_lineage(totals.select(
+        *kc, "__total", "__n",
+        F.floor((F.col("__n") - 1) / 2).cast("long").alias("__ra"),
+        F.floor(F.col("__n") / 2).cast("long").alias("__rb"),
+        F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
+        F.lit(False).alias("__done")))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    in_lo = lo.isNull() | (v >= lo)
+    in_hi = hi.isNull() | (v <= hi)
+    for _ in range(max_rounds):
+        side, _small = sized_broadcast(state.where(~F.col("__done")).select(*kc, "__lo", "__hi"))
+        joined = rows.join(side, keys)
+        salt = F.pmod(F.xxhash64(v), F.lit(salts))
+        part = joined.groupBy(*kc, salt.alias("__salt")).agg(
+            F.count_if(lo.isNotNull() & (v < lo)).alias("__below"),
+            F.count_if(in_lo & in_hi).alias("__inside"),
+            F.kll_sketch_agg_double(F.when(in_lo & in_hi, v), sketch_k).alias("__sk"),
+            F.hll_sketch_agg(F.when(in_lo & in_hi, F.xxhash64(v))).alias("__hll"))
+        merged = part.groupBy(*kc).agg(F.sum("__below").alias("__below"),
+                                       F.sum("__inside").alias("__inside"),
+                                       F.kll_merge_agg_double("__sk").alias("__sk"),
+                                       F.hll_union_agg("__hll").alias("__hll"))
+        cur = state.join(merged, keys, "left")
+        below = F.coalesce(F.col("__below"), F.lit(0))
+        inside = F.coalesce(F.col("__inside"), F.lit(0))
+        hit = (below <= F.col("__ra")) & (F.col("__rb") < below + inside)
+        # the final window holds the distinct values inside: bound those (HLL, with slack)
+        small = (inside <= F.lit(max_inside)) | (
+            F.hll_sketch_estimate(F.col("__hll")) * 1.1 <= F.lit(max_inside))
+        # sketch quantiles on a fixed rank grid; the target ranks pick grid points
+        grid = F.kll_sketch_get_quantile_double(
+            F.col("__sk"), F.array(*[F.lit(i / grid_size) for i in range(grid_size + 1)]))
+        i_lo = F.greatest(F.lit(0), F.floor((F.col("__ra") - below) / inside * grid_size) - guard)
+        i_hi = F.least(F.lit(grid_size),
+                       F.ceil((F.col("__rb") - below + 1) / inside * grid_size) + guard)
+        nxt_lo = F.element_at(grid, (i_lo + 1).cast("int"))
+        nxt_hi = F.element_at(grid, (i_hi + 1).cast("int"))
+        done = F.col("__done") | (F.col("__n") == 0) | (hit & small)
+        state = cut_lineage(cur.select(
+            *kc, "__total", "__n", "__ra", "__rb",
+            F.when(F.col("__done") | (F.col("__n") == 0) | (hit & small), lo)
+             .when(hit, nxt_lo).otherwise(F.lit(None).cast("double")).alias("__lo"),
+            F.when(F.col("__done") | (F.col("__n") == 0) | (hit & small), hi)
+             .when(hit, nxt_hi).otherwise(F.lit(None).cast("double")).alias("__hi"),
+            done.alias("__done")))
+        if state.where(~F.col("__done")).limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("median bracket did not narrow; raise max_inside or max_rounds")
+    side, _small = sized_broadcast(state.select(*kc, "__lo", "__hi"))
+    inner = rows.join(side, keys).where(in_lo & in_hi)
+    below_df = rows.join(side, keys).groupBy(*kc).agg(
+        F.count_if(lo.isNotNull() & (v < lo)).alias("__below"))
+    pairs = inner.groupBy(*kc, v).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*kc).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = pairs.withColumn("__cum", F.sum("__c").over(w))
+    info = state.join(below_df, keys, "left")
+    info = info.select(*kc, "__total", "__n",
+                       (F.col("__ra") - F.coalesce(F.col("__below"), F.lit(0))).alias("__ta"),
+                       (F.col("__rb") - F.coalesce(F.col("__below"), F.lit(0))).alias("__tb"))
+    picked = ranked.join(info.select(*kc, "__ta", "__tb"), keys)
+    first = F.col("__cum") - F.col("__c")
+    at_a = (first <= F.col("__ta")) & (F.col("__ta") < F.col("__cum"))
+    at_b = (first <= F.col("__tb")) & (F.col("__tb") < F.col("__cum"))
+    vals = picked.groupBy(*kc).agg(F.max(F.when(at_a, v)).alias("__va"),
+                                   F.max(F.when(at_b, v)).alias("__vb"))
+    out = info.join(vals, keys, "left")
+    median = F.when(F.col("__n") == 0, F.lit(None).cast("double")).when(
+        F.col("__va").isNull() | F.col("__vb").isNull(),
+        F.raise_error(F.lit("median bracket missed the middle ranks")).cast("double")).otherwise(
+        F.lit(0.5) * F.col("__va") + F.lit(0.5) * F.col("__vb"))
+    cols = [*kc, median.alias(median_name)]
+    if count_name:
+        cols.append(F.col("__total").cast("long").alias(count_name))
+    return out.select(*cols)
+
+
 def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True) -> DataFrame:
     """A2: median per group."""
     return median_count(df, keys, value, median_name=name, count_name=None, exact=exact)

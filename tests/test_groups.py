@@ -124,3 +124,33 @@ def test_column_means_and_date_range(spark):
     r = groups.date_range(df, "s").first()
     assert (r["first"], r["last"]) == ("2016-01-04", "2017-01-02")
     assert not math.isnan(m["d"])
+
+
+@pytest.mark.parametrize("max_inside", [3, 50, 1_000_000])
+def test_bracket_median_equals_distinct(spark, max_inside):
+    rnd = spark.range(0, 20_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot"))
+         .otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"),
+        F.when(F.col("id") % 97 == 0, F.lit(None).cast("double"))
+         .when(F.col("id") % 89 == 0, F.lit(float("nan")))
+         .when(F.col("id") % 5 == 0, F.lit(42.0))          # heavy ties
+         .otherwise(F.randn(3) * 1000).alias("v"))
+    extra = spark.createDataFrame(
+        [("one", 5.0), ("pair", 1.0), ("pair", 4.0), ("nulls", None), ("nulls", None),
+         ("neg", -3.0), ("neg", -1.0), ("neg", -2.0)], "k string, v double")
+    df = rnd.unionByName(extra)
+    want = rows(groups.median_count(df, ["k"], "v"), "sorted")
+    got = rows(groups.median_count(df, ["k"], "v", method="bracket", max_inside=max_inside), "sorted")
+    assert got == want
+    g_want = groups.total_median(df, "v").first()[0]
+    g_got = groups.median_count(df, [], "v", count_name=None, method="bracket",
+                                max_inside=max_inside).first()[0]
+    assert g_got == g_want
+
+
+def test_bracket_median_plan_has_no_cross_join(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double")
+    out = groups.median_count(df, [], "v", method="bracket")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert out.first()["median"] == 2.0
