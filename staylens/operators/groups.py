@@ -9,9 +9,12 @@ Exact medians are computed in two shuffles: first ``(keys, value) -> rows``
 weighted ``percentile(value, 0.5, rows)`` per key. A key holding a third of
 the table is therefore spread over all tasks in the first step, and the task
 finishing it in the second step merges one entry per distinct value, not one
-map per upstream task. Memory per group is bounded by its distinct values;
-for a continuous column with billions of distinct values per group use
-``exact=False`` (a mergeable quantile sketch of fixed size).
+map per upstream task. Memory per group is bounded by its distinct values,
+which suits prices, day counts and scores. For a continuous column, where a
+hot group may have as many distinct values as rows, ``method="bracket"``
+stays exact with bounded tasks (salted sketch rounds, then a window over at
+most ``max_inside`` values per group); ``exact=False`` is a fixed-size
+approximate sketch.
 """
 
 from __future__ import annotations
@@ -215,14 +218,18 @@ def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: s
     return out.select(*cols)
 
 
-def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True) -> DataFrame:
+def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True,
+                 method: str = "distinct") -> DataFrame:
     """A2: median per group."""
-    return median_count(df, keys, value, median_name=name, count_name=None, exact=exact)
+    return median_count(df, keys, value, median_name=name, count_name=None, exact=exact,
+                        method=method)
 
 
-def total_median(df: DataFrame, value, name: str = "median", exact: bool = True) -> DataFrame:
-    """A5: one-row median of the whole column."""
-    return median_count(df, [], value, median_name=name, count_name=None, exact=exact)
+def total_median(df: DataFrame, value, name: str = "median", exact: bool = True,
+                 method: str = "distinct") -> DataFrame:
+    """A5: one-row median of the whole column (``method="bracket"`` for continuous values)."""
+    return median_count(df, [], value, median_name=name, count_name=None, exact=exact,
+                        method=method)
 
 
 # --------------------------------------------------------------------------- A4
@@ -262,7 +269,8 @@ def date_range(df: DataFrame, col: str, first: str = "first", last: str = "last"
 
 def profile_by_features(df: DataFrame, features, value, feature_name: str = "feature",
                         level_name: str = "level", median_name: str = "median",
-                        count_name: str = "count", exact: bool = True) -> DataFrame:
+                        count_name: str = "count", exact: bool = True,
+                        method: str = "distinct") -> DataFrame:
     """For every feature: median of ``value`` and row count per level.
 
     The features are unpivoted into (feature, level) pairs first, so all of
@@ -273,18 +281,19 @@ def profile_by_features(df: DataFrame, features, value, feature_name: str = "fea
         _numeric(df, value).alias(_V),
         *[qcol(f).cast("double").alias(f) for f in features],
     ).unpivot([_V], features, feature_name, level_name)
-    return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact)
+    return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact,
+                        method=method)
 
 
 def group_by_bucket(df: DataFrame, col: str, width: float = 50, value="price",
                     bucket_name: str | None = None,
                     median_name: str = "median", count_name: str = "count",
-                    exact: bool = True) -> DataFrame:
+                    exact: bool = True, method: str = "distinct") -> DataFrame:
     """Median and count of ``value`` per bucket of ``col`` (key = bucket midpoint)."""
     bucket_name = bucket_name or col
     keyed = df.select(bucket_midpoint(qcol(col), width).alias(bucket_name),
                       _numeric(df, value).alias(_V))
-    return median_count(keyed, [bucket_name], _V, median_name, count_name, exact)
+    return median_count(keyed, [bucket_name], _V, median_name, count_name, exact, method=method)
 
 
 # --------------------------------------------------------------------------- T2-T4
