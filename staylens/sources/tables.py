@@ -46,8 +46,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     """Read a header CSV (or Parquet) file into a typed table.
 
     CSV needs an explicit schema: inference would turn an all-empty column into
-    text and ``N/A`` into a level. Quoted cells may span lines and use doubled
-    quotes.
+    text and ``N/A`` into a level. Columns are matched by header name; columns
+    the schema does not declare are kept as text (after the declared ones).
+    Quoted cells may span lines and use doubled quotes.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -58,10 +59,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         raise ValueError(f"unsupported format {fmt!r}")
     if schema is None:
         raise ValueError("read_table(fmt='csv') needs an explicit schema")
-    as_text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+    # columns are matched by header name (no inference: every column is read as text)
     raw = (
-        spark.read.schema(as_text)
+        spark.read
         .option("header", "true")
+        .option("inferSchema", "false")
         .option("multiLine", "true")
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -69,7 +71,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         .option("emptyValue", "")
         .csv(path)
     )
-    return typed(raw, schema, tokens)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header of {path}")
+    declared = {f.name for f in schema.fields}
+    rest = [T.StructField(c, T.StringType(), True) for c in raw.columns if c not in declared]
+    return typed(raw, T.StructType([*schema.fields, *rest]), tokens)
 
 
 def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
