@@ -12,9 +12,9 @@ from staylens.plans.constants import REVIEW_FEATURES
 from staylens.sources import read_table
 from staylens.sources.schemas import CALENDAR_SCHEMA, LISTINGS_SCHEMA
 
-NEIGHBOURHOODS = ["Belltown", "Capitol Hill", "Fremont", "Ballard", "Queen Anne",
-                  "Wallingford", "Minor", "Broadway", "University District", "Stevens",
-                  "Greenwood", "Central Business District"]
+NEIGHBOURHOODS = ["Harbour", "Old Town", "Riverside", "Hillcrest", "Market Square",
+                  "Northgate", "Eastbank", "Parkview", "University", "Lakeside",
+                  "Greenfield", "City Centre"]
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def files(spark):
                 "amenities": rnd.choice(['{TV,"Cable TV",Internet}', '{"Wireless Internet",Kitchen}', "{}"]),
                 "name": f"Cosy place {i}",
                 "summary": "Quiet street,\nclose to the \"market\"",
-                "zipcode": "98101",
+                "zipcode": "10001",
                 "bed_type": rnd.choice(["Real Bed", "Futon"]),
             }
             w.writerow([row[c] for c in header])
