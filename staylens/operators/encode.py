@@ -130,7 +130,7 @@ class Levels:
 
 
 def fit_one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True,
-                max_levels: int = 10_000) -> Levels:
+                max_levels: int = 1000) -> Levels:
     """First pass: distinct non-missing levels of every column, at most ``max_levels`` in total."""
     cols = as_list(cols)
     require_columns(df, cols)
@@ -161,6 +161,6 @@ def apply_one_hot(df: DataFrame, levels: Levels) -> DataFrame:
 
 
 def one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True,
-            max_levels: int = 10_000) -> DataFrame:
+            max_levels: int = 1000) -> DataFrame:
     """levels sorted, first dropped, a missing-level column ``<col>_nan`` added."""
     return apply_one_hot(df, fit_one_hot(df, cols, drop_first, dummy_null, max_levels))

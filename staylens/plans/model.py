@@ -199,8 +199,22 @@ def top_importance(table: DataFrame, k: int = 10) -> DataFrame:
     return top_k(table, "importance", k, keys=["feature"])
 
 
+def fit_partitions(spark, rows: int | None, rows_per_partition: int = 2_000,
+                   max_partitions: int = 256) -> int:
+    """Partitions for a forest fit: enough for the cores, few enough for the statistics.
+
+    Every iteration of the fit ships one statistics block per (partition, node),
+    so past the core count more partitions only add shuffle; the cap keeps that
+    bounded on a large cluster.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if rows is None:
+        return max(1, min(cores, max_partitions))
+    return max(1, min(cores, max_partitions, -(-rows // rows_per_partition)))
+
+
 def prepare_fit_input(df: DataFrame, key: str, features_col: str = "features",
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """Fixed layout for a repeatable fit: hash-partition by key, sort, cut lineage."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or fit_partitions(df.sparkSession, rows)
     return cut_lineage(df.repartition(n, qcol(key)).sortWithinPartitions(qcol(key)))

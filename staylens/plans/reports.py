@@ -222,13 +222,13 @@ class PriceDrivers:
 
 
 def price_features(listings: DataFrame, key: str = "id", target: str = "price",
-                   max_vocab: int = 1000, max_levels: int = 10_000,
-                   sparse_share: float = C.SPARSE_SHARE) -> tuple[DataFrame, list]:
+                   max_vocab: int = 1000, max_levels: int = 1000,
+                   sparse_share: float = C.SPARSE_SHARE, with_rows: bool = False):
     """F1 -> F4 -> P7 -> P9 -> F5 -> P12 -> P13: complete numeric feature table.
 
-    Returns ``(table, features)``: the table holds ``key``, the parsed target and
-    the feature columns. Rows without a parsable target are left out (no
-    model can learn from them).
+    Returns ``(table, features)`` (and the row count when ``with_rows``): the
+    table holds ``key``, the parsed target and the feature columns. Rows
+    without a parsable target are left out (no model can learn from them).
     """
     df = listings.withColumn(target, parse_number(qcol(target))).where(qcol(target).isNotNull())
     df = clean.to_number_columns(df, [c for c in C.NUMBER_TEXT_FEATURES if c in df.columns],
@@ -247,17 +247,17 @@ def price_features(listings: DataFrame, key: str = "id", target: str = "price",
     feats = [c for c in df.columns if c not in ("__key", target)]
     df = clean.impute_mean(df, feats, stats)
     df = df.select(F.col("__key").alias(key), qcol(target), *[qcol(c) for c in feats])
-    return df, feats
+    return (df, feats, stats.rows) if with_rows else (df, feats)
 
 
 def price_drivers(listings: DataFrame, key: str = "id", trees: int = C.FOREST_TREES,
                   depth: int = C.FOREST_DEPTH, seed: int = C.SEED, test: float = C.TEST_SHARE,
                   task: str = "classify", max_classes: int = 1000) -> PriceDrivers:
     """Fit the forest on the price and report feature importances and R2 per fold."""
-    table, feats = price_features(listings, key)
+    table, feats, rows = price_features(listings, key, with_rows=True)
     table = M.split_rows(table, key, test, seed)
     vec = M.assemble(table, feats).select(key, "price", "fold", "features")
-    vec = M.prepare_fit_input(vec, key)
+    vec = M.prepare_fit_input(vec, key, rows=rows)
     train = vec.where(F.col("fold") == "train")
     forest = M.fit_forest(train, "features", "price", trees, depth, seed, task, max_classes)
     forest.features = feats

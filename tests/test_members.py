@@ -70,3 +70,17 @@ def test_lookup_attaches_counts(spark):
     counts = groups.value_counts(df, "k", "n")
     got = rows(members.lookup(med, counts, "k").orderBy("k"))
     assert got == [("a", 2.0, 2), ("b", 2.0, 1)]
+
+
+def test_reports_invariant_to_input_layout(spark):
+    from staylens.sources import standins
+
+    listings = standins.listings(spark, SF_SMALL)
+    calendar = standins.calendar(spark, SF_SMALL)
+    base = (rows(R.popular_neighbourhoods(listings), "sorted"),
+            rows(R.busy_dates(calendar, listings), "sorted"))
+    for n in (1, 7):
+        lay_l = listings.repartition(n).orderBy(F.rand(n))
+        lay_c = calendar.repartition(n).orderBy(F.rand(n + 1))
+        assert rows(R.popular_neighbourhoods(lay_l), "sorted") == base[0]
+        assert rows(R.busy_dates(lay_c, lay_l), "sorted") == base[1]
