@@ -41,8 +41,11 @@ def _not_null(keys) -> Column | None:
 
 
 def _numeric(df: DataFrame, value) -> Column:
-    c = qcol(value) if isinstance(value, str) else value
-    dtype = df.select(c).schema.fields[0].dataType.typeName()
+    if isinstance(value, str) and value in df.columns:
+        c, dtype = qcol(value), df.schema[value].dataType.typeName()  # cached schema
+    else:
+        c = qcol(value) if isinstance(value, str) else value
+        dtype = df.select(c).schema.fields[0].dataType.typeName()
     c = c.cast("double")
     return nan_to_null(c) if dtype in ("double", "float") else c
 

@@ -12,71 +12,79 @@ listings (one row per ``part`` row)
     has_availability (type is not PROMO), availability_365 (7 x size),
     price (money text of 10 x the whole-dollar retail price: 100 distinct
     prices, like the few hundred whole-dollar prices of real listings),
-    property_type (type, missing for
-    every 11th key), room_type (second word of the name), bedrooms, bathrooms,
-    square_feet (90% missing), seven review scores (each missing for a fifth
-    of the sizes), number_of_reviews, accommodates, cleaning_fee,
-    security_deposit, host_response_rate, host_acceptance_rate, extra_people,
-    host_verifications (list text), amenities (set text).
+    property_type (type, missing for every 11th key), room_type (second word
+    of the name), bedrooms, bathrooms, square_feet (90% missing), seven
+    review scores (each missing for a fifth of the sizes), number_of_reviews,
+    accommodates, cleaning_fee, security_deposit, host_response_rate,
+    host_acceptance_rate, extra_people, host_verifications (list text),
+    amenities (set text).
 
 calendar (one row per ``lineitem`` row)
     listing_id (part key), date (ship date), available ('t' when the line
     status is O).
+
+Both are one projection written as SQL expressions: parsed once on the JVM
+side, without a Python round trip per expression.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans.constants import REVIEW_FEATURES
 
+Q = "'"  # a single quote, for the list text below
+
+
+def _money(x: str) -> str:
+    return f"concat('$', format_number({x}, 2))"
+
+
+def _review(j: int, name: str) -> str:
+    return (f"CASE WHEN (p_size + {j}) % 5 <> 0 "
+            f"THEN CAST((p_size * {j + 1}) % 10 + 1 AS DOUBLE) END AS {name}")
+
+
+_LISTING_EXPRS = [
+    "p_partkey AS id",
+    "p_name AS name",
+    "p_brand AS neighbourhood_cleansed",
+    "CASE WHEN p_size > 10 THEN 't' ELSE 'f' END AS is_location_exact",
+    "CASE WHEN p_type = 'PROMO' THEN 'f' ELSE 't' END AS has_availability",
+    "CAST(p_size * 7 AS DOUBLE) AS availability_365",
+    f"{_money('floor(p_retailprice) * 10')} AS price",
+    "CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS property_type",
+    "split_part(p_name, ' ', 2) AS room_type",
+    "CAST(floor(p_size / 10.0) AS DOUBLE) AS bedrooms",
+    "CAST(CASE WHEN p_size % 5 <> 0 THEN (p_size % 3) * 0.5 + 1.0 END AS DOUBLE) AS bathrooms",
+    "CASE WHEN p_partkey % 10 = 0 THEN CAST(p_size * 100 AS DOUBLE) END AS square_feet",
+    *[_review(j, name) for j, name in enumerate(REVIEW_FEATURES)],
+    "CAST(p_size * 3 AS BIGINT) AS number_of_reviews",
+    "CAST(p_size % 8 + 1 AS BIGINT) AS accommodates",
+    f"CASE WHEN p_size % 4 <> 0 THEN {_money('p_size * 2.5')} END AS cleaning_fee",
+    f"CASE WHEN p_size % 3 <> 0 THEN {_money('p_size * 20.0')} END AS security_deposit",
+    "concat(CAST(100 - p_size AS STRING), '%') AS host_response_rate",
+    "CASE WHEN p_size % 2 = 1 THEN '100%' END AS host_acceptance_rate",
+    f"{_money('(p_size % 7) * 5.0')} AS extra_people",
+    # ['email', '<type>']
+    f"concat('[{Q}{Q}email{Q}{Q}, {Q}{Q}', lower(p_type), '{Q}{Q}]') AS host_verifications",
+    # {"<word1>","<word2>",<TYPE>}
+    "concat('{\"', replace(p_name, ' ', '\",\"'), '\",', p_type, '}') AS amenities",
+]
 
-def _money(c):
-    return F.concat(F.lit("$"), F.format_number(c, 2))
+_CALENDAR_EXPRS = [
+    "l_partkey AS listing_id",
+    "CAST(l_shipdate AS DATE) AS date",
+    "CASE WHEN l_linestatus = 'O' THEN 't' ELSE 'f' END AS available",
+]
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    size, key = F.col("p_size"), F.col("p_partkey")
-    reviews = [
-        F.when((size + j) % 5 != 0, ((size * (j + 1)) % 10 + 1).cast("double")).alias(name)
-        for j, name in enumerate(REVIEW_FEATURES)
-    ]
-    return p.select(
-        key.alias("id"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("neighbourhood_cleansed"),
-        F.when(size > 10, "t").otherwise("f").alias("is_location_exact"),
-        F.when(F.col("p_type") == "PROMO", "f").otherwise("t").alias("has_availability"),
-        (size * 7).cast("double").alias("availability_365"),
-        _money(F.floor(F.col("p_retailprice")) * 10).alias("price"),
-        F.when(key % 11 != 0, F.col("p_type")).alias("property_type"),
-        F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("room_type"),
-        F.floor(size / 10.0).cast("double").alias("bedrooms"),
-        F.when(size % 5 != 0, (size % 3) * 0.5 + 1.0).cast("double").alias("bathrooms"),
-        F.when(key % 10 == 0, (size * 100).cast("double")).alias("square_feet"),
-        *reviews,
-        (size * 3).cast("long").alias("number_of_reviews"),
-        (size % 8 + 1).cast("long").alias("accommodates"),
-        F.when(size % 4 != 0, _money(size * 2.5)).alias("cleaning_fee"),
-        F.when(size % 3 != 0, _money(size * 20.0)).alias("security_deposit"),
-        F.concat((100 - size).cast("string"), F.lit("%")).alias("host_response_rate"),
-        F.when(size % 2 == 1, F.lit("100%")).alias("host_acceptance_rate"),
-        _money((size % 7) * 5.0).alias("extra_people"),
-        F.concat(F.lit("['email', '"), F.lower(F.col("p_type")), F.lit("']")).alias("host_verifications"),
-        F.concat(F.lit('{"'), F.replace(F.col("p_name"), F.lit(" "), F.lit('","')),
-                 F.lit('",'), F.col("p_type"), F.lit("}")).alias("amenities"),
-    )
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*_LISTING_EXPRS)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.select(
-        F.col("l_partkey").alias("listing_id"),
-        F.col("l_shipdate").cast("date").alias("date"),
-        F.when(F.col("l_linestatus") == "O", "t").otherwise("f").alias("available"),
-    )
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*_CALENDAR_EXPRS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
