@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .._util import qcol
 from ..functions.numbers import parse_date, parse_number
 from ..operators import clean, encode, groups, members
-from ..session import DEFAULT_BROADCAST_ROWS
+from ..session import DEFAULT_BROADCAST_ROWS, cut_lineage
 from . import constants as C
 from . import model as M
 
@@ -118,14 +118,17 @@ def vacancy_side_by_side(calendar: DataFrame, ids: DataFrame, date: str = "date"
                          max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """J1 + A4 + J3: (date, vacant_ratio, vacant_ratio_popular) on every calendar date.
 
-    With a small id set (checked) both ratios come from one scan of the
-    calendar with the ids broadcast; otherwise the subset ratio comes from a
-    semi join (which lets Spark prune the calendar with a runtime filter)
-    and the two daily series are joined on the date (never by position).
+    The distinct id set is materialised once in the checkpoint folder. With a
+    small id set (counted) both ratios come from one scan of the calendar
+    with the ids broadcast; otherwise the subset ratio comes from a semi join
+    (which lets Spark prune the calendar with a runtime filter) and the two
+    daily series are joined on the date (never by position).
     """
     cal = _dated(calendar, date)
-    right, small = members.sized_broadcast(
-        ids.select(qcol(id_col).alias("__id")).distinct(), max_broadcast_rows)
+    # the id set is written once (checkpoint folder): its size check and the
+    # calendar pass below both read the copy instead of recomputing it
+    id_set = cut_lineage(ids.select(qcol(id_col).alias("__id")).distinct())
+    right, small = members.sized_broadcast(id_set, max_broadcast_rows)
     avail = F.when(_available(flag), F.lit(1.0)).otherwise(F.lit(0.0))
     if small:
         hit = cal.join(right.withColumn("__hit", F.lit(True)),

@@ -39,9 +39,11 @@ def test_top_k_is_take_ordered(spark):
 
 
 def test_semi_join_and_broadcast_in_busy_dates(spark):
+    ids = R.popular_ids(standins.listings(spark, SF_SMALL))
+    assert re.search(r"BroadcastHashJoin .*LeftSemi", _plan(ids))  # ids of the popular neighbourhoods
     plan = _plan(E.queries()["vacancy_side_by_side"](spark, SF_SMALL))
-    assert "LeftSemi" in plan            # ids of the popular neighbourhoods
     assert re.search(r"BroadcastHashJoin .*LeftOuter", plan)  # small id set: one calendar scan
+    assert len(re.findall(r"FileScan parquet", plan)) == 1     # the calendar, read once
 
 
 def test_scan_pruning_and_pushdown(spark):
