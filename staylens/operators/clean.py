@@ -57,8 +57,15 @@ def keep_equal(df: DataFrame, equal: dict) -> DataFrame:
     return df.where(equal_predicate(equal))
 
 
-def filter_report(df: DataFrame, predicate: Column) -> DataFrame:
-    """One row (total, kept, dropped) from a single pass over the table."""
+def filter_report(df: DataFrame, predicate) -> DataFrame:
+    """One row (total, kept, dropped) from a single pass over the table.
+
+    ``predicate`` is a boolean Column or a dict of equality tests (as for
+    :func:`keep_equal`); a missing value fails the test.
+    """
+    if isinstance(predicate, dict):
+        require_columns(df, predicate.keys())
+        predicate = equal_predicate(predicate)
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.coalesce(predicate, F.lit(False))).alias("kept"),

@@ -119,3 +119,8 @@ def test_impute_mean_fit_on_train_fold(spark):
     assert [r["v"] for r in out.orderBy("id").collect()] == [1.0, 2.0, 9.0, 3.0]
     with pytest.raises(ValueError):
         clean.impute_mean(df, ["v"], fit_on="test")
+
+
+def test_filter_report_with_equalities(listings):
+    r = clean.filter_report(listings, {"exact": "t", "avail": "t"}).first()
+    assert (r["total"], r["kept"], r["dropped"]) == (5, 3, 2)
