@@ -154,3 +154,23 @@ def test_bracket_median_plan_has_no_cross_join(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert out.first()["median"] == 2.0
+
+
+def test_paired_counts_two_keys(spark):
+    data = [("House", "Entire", 100.0), ("House", "Entire", None), ("House", "Private", 50.0),
+            (None, "Entire", 70.0), ("Flat", None, 20.0), ("Flat", "Entire", 80.0)]
+    df = spark.createDataFrame(data, "pt string, rt string, price double")
+    got = rows(groups.median_count(df, ["pt", "rt"], "price", "price", "count"), "sorted")
+    # rows with a missing key are left out; a missing price still counts as a row
+    assert got == sorted([("Flat", "Entire", 80.0, 1), ("House", "Entire", 100.0, 2),
+                          ("House", "Private", 50.0, 1)], key=repr)
+
+
+def test_empty_input_through_groups(spark):
+    df = spark.createDataFrame([], "k string, v double, n long")
+    assert groups.value_counts(df, "k").count() == 0
+    assert groups.top_k_values(df, "k", 3).count() == 0
+    assert groups.group_share(df, "k", F.col("v") > 0).count() == 0
+    assert groups.profile_by_features(df, ["n"], "v").count() == 0
+    assert groups.group_by_bucket(df, "n", 10, "v").count() == 0
+    assert groups.column_means(df, ["v"]).first()[0] is None

@@ -79,3 +79,20 @@ def test_price_drivers_on_standin(spark):
     assert "square_feet" not in res.features
     assert any(f.startswith("amenities-") for f in res.features)
     assert any(f.startswith("room_type_") for f in res.features)
+
+
+def test_many_price_classes_and_unseen_test_price(spark):
+    # 150 distinct prices; a price that only occurs among test rows must not fail
+    df = spark.range(0, 1500).select(
+        F.col("id"), (F.col("id") % 150).cast("double").alias("x"),
+        ((F.col("id") % 150) * 10 + 40).cast("double").alias("price"))
+    df = M.split_rows(df, "id")
+    test_only = df.where("fold = 'test'").select(F.col("id") + 100_000, F.lit(999.0), F.lit(99_999.0),
+                                                F.lit("test")).toDF("id", "x", "price", "fold")
+    data = M.assemble(df.unionByName(test_only), ["x"])
+    forest = M.fit_forest(data.where("fold = 'train'"), "features", "price", trees=10, depth=6)
+    assert len(forest.labels) == 150 and 99_999.0 not in forest.labels
+    pred = forest.predict(data)
+    scores = {r["fold"]: r["r2"] for r in M.r2_score(pred, "price", "predicted", by=["fold"]).collect()}
+    assert set(scores) == {"train", "test"}
+    assert {r[0] for r in pred.select("predicted").distinct().collect()} <= set(forest.labels)
