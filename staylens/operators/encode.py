@@ -164,3 +164,51 @@ def one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = Tru
             max_levels: int = 1000) -> DataFrame:
     """levels sorted, first dropped, a missing-level column ``<col>_nan`` added."""
     return apply_one_hot(df, fit_one_hot(df, cols, drop_first, dummy_null, max_levels))
+
+
+# --------------------------------------------------------------------------- F4 + F5 in one pass
+
+def fit_encoders(df: DataFrame, phrase_cols, level_cols, max_vocab: int = 1000,
+                 max_levels: int = 1000, sep: str = "-", drop_first: bool = True,
+                 dummy_null: bool = True) -> tuple[PhraseVocabulary, Levels]:
+    """Phrase vocabulary and one-hot levels from one scan and one shuffle.
+
+    Every row becomes (kind, column, value) pairs for all listed columns at
+    once (a phrase column gives its phrase set, a level column its value);
+    the distinct pairs are fetched with the two bounds added.
+    """
+    phrase_cols, level_cols = as_list(phrase_cols), as_list(level_cols)
+    require_columns(df, [*phrase_cols, *level_cols])
+    empty = F.array().cast("array<string>")
+    parts = [F.struct(F.lit("p").alias("kind"), F.lit(c).alias("column"),
+                      phrase_set(qcol(c)).alias("values")) for c in phrase_cols]
+    parts += [F.struct(F.lit("l").alias("kind"), F.lit(c).alias("column"),
+                       F.when(qcol(c).isNotNull(), F.array(qcol(c).cast("string")))
+                       .otherwise(empty).alias("values")) for c in level_cols]
+    if not parts:
+        return PhraseVocabulary({}, sep), Levels({}, drop_first, dummy_null)
+    pairs = (df.select(F.explode(F.array(*parts)).alias("p"))
+             .select("p.kind", "p.column", F.explode("p.values").alias("value")).distinct())
+    rows = _bounded_collect(pairs, max_vocab + max_levels, "phrases and levels")
+    n_phr = sum(1 for r in rows if r["kind"] == "p")
+    if n_phr > max_vocab or len(rows) - n_phr > max_levels:
+        raise ValueError(
+            f"{n_phr} phrases (bound {max_vocab}) and {len(rows) - n_phr} levels "
+            f"(bound {max_levels}); raise the bounds or use the vector forms")
+    vocab = PhraseVocabulary(
+        {c: sorted(r["value"] for r in rows if r["kind"] == "p" and r["column"] == c)
+         for c in phrase_cols}, sep)
+    levels = Levels(
+        {c: sorted(r["value"] for r in rows if r["kind"] == "l" and r["column"] == c)
+         for c in level_cols}, drop_first, dummy_null)
+    encoded = set(phrase_cols) | set(level_cols)
+    others = [x for x in df.columns if x not in encoded]
+    names, sources = [], []
+    for c in phrase_cols:
+        names += vocab.names(c)
+        sources += [(c, v) for v in vocab.phrases[c]]
+    for c in level_cols:
+        names += levels.names(c)
+        sources += [(c, v) for v in levels.encoded(c)]
+    check_unique_names(names, sources, others)
+    return vocab, levels

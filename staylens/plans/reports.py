@@ -229,6 +229,11 @@ def price_features(listings: DataFrame, key: str = "id", target: str = "price",
                    sparse_share: float = C.SPARSE_SHARE, with_rows: bool = False):
     """F1 -> F4 -> P7 -> P9 -> F5 -> P12 -> P13: complete numeric feature table.
 
+    Two passes over the listings feed one projection chain: one pass fetches
+    the phrase vocabulary and the one-hot levels together, one computes the
+    non-missing counts and means of the numeric columns (encoded columns are
+    complete by construction, so they are always kept and never imputed).
+
     Returns ``(table, features)`` (and the row count when ``with_rows``): the
     table holds ``key``, the parsed target and the feature columns. Rows
     without a parsable target are left out (no model can learn from them).
@@ -236,19 +241,22 @@ def price_features(listings: DataFrame, key: str = "id", target: str = "price",
     df = listings.withColumn(target, parse_number(qcol(target))).where(qcol(target).isNotNull())
     df = clean.to_number_columns(df, [c for c in C.NUMBER_TEXT_FEATURES if c in df.columns],
                                  parse_number)
+    df = df.select(qcol(key).alias("__key"), *[qcol(c) for c in df.columns])
     phrase_cols = [c for c in C.PHRASE_FEATURES if c in df.columns]
-    if phrase_cols:
-        df = encode.phrase_indicators(df, phrase_cols, max_vocab)
-    keep_key = df.select(qcol(key).alias("__key"), *[qcol(c) for c in df.columns])
-    df = clean.drop_columns(keep_key, C.REDUNDANT_COLUMNS, strict=False)
-    text = [c for c in clean.columns_of_type(df, "string") if c not in (target,)]
-    if text:
-        df = encode.one_hot(df, text, max_levels=max_levels)
-    feats = [c for c in df.columns if c not in ("__key", target)]
-    stats = clean.fit_column_stats(df, feats)
-    df = clean.drop_sparse(df, sparse_share, feats, stats)
-    feats = [c for c in df.columns if c not in ("__key", target)]
-    df = clean.impute_mean(df, feats, stats)
+    kept = [c for c in df.columns if c not in C.REDUNDANT_COLUMNS and c not in phrase_cols]
+    text = [c for c in clean.columns_of_type(df.select(*[qcol(c) for c in kept]), "string")
+            if c != target]
+    numeric = [c for c in clean.columns_of_type(df.select(*[qcol(c) for c in kept]), "numeric")
+               if c not in ("__key", target)]
+    vocab, levels = encode.fit_encoders(df, phrase_cols, text, max_vocab, max_levels)
+    stats = clean.fit_column_stats(df, numeric)
+    sparse = set(numeric) - set(stats.kept(sparse_share))
+    df = encode.apply_phrase_indicators(df, vocab)
+    df = clean.drop_columns(df, C.REDUNDANT_COLUMNS, strict=False)
+    df = encode.apply_one_hot(df, levels)
+    feats = [c for c in df.columns if c not in ("__key", target) and c not in sparse]
+    df = clean.impute_mean(df.select("__key", qcol(target), *[qcol(c) for c in feats]),
+                           [c for c in feats if c in numeric], stats)
     df = df.select(F.col("__key").alias(key), qcol(target), *[qcol(c) for c in feats])
     return (df, feats, stats.rows) if with_rows else (df, feats)
 

@@ -87,3 +87,14 @@ def test_phrases_long_on_documents(spark):
     want = {(r.doc_id, p) for r in pdf.itertuples() if r.text is not None
             for p in PY_PATTERN.findall(r.text.lower())}
     assert {(r[0], r[1]) for r in got.collect()} == want
+
+
+def test_fit_encoders_equals_separate_fits(spark):
+    df = spark.createDataFrame(
+        [(1, "{TV,Internet}", "House", "a"), (2, None, "Flat", None), (3, "{tv}", None, "b")],
+        "id long, amenities string, pt string, rt string")
+    vocab, levels = encode.fit_encoders(df, ["amenities"], ["pt", "rt"])
+    assert vocab.phrases == encode.fit_phrase_indicators(df, ["amenities"]).phrases
+    assert levels.levels == encode.fit_one_hot(df, ["pt", "rt"]).levels
+    with pytest.raises(ValueError, match="bound"):
+        encode.fit_encoders(df, ["amenities"], ["pt", "rt"], max_vocab=1)
