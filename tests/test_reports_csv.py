@@ -102,3 +102,14 @@ def test_all_reports_run(files):
     assert any(n.startswith("bed_type_") for n in names)  # undeclared text column is encoded
     assert abs(sum(r["importance"] for r in res.importance.collect()) - 1.0) < 1e-9
     assert {r["fold"] for r in res.scores.collect()} == {"train", "test"}
+
+
+def test_run_all_reports_writes_tables(spark, files, scratch):
+    from staylens.plans.run import all_reports
+
+    listings, calendar = files
+    out = all_reports(listings, calendar, forest=False)
+    for name, df in out.items():
+        df.write.mode("overwrite").parquet(os.path.join(scratch, name))
+        assert spark.read.parquet(os.path.join(scratch, name)).count() == df.count(), name
+    assert set(out) >= {"popular_neighbourhoods", "busy_dates", "price_by_review"}
