@@ -52,6 +52,15 @@ def _q_filter_report(spark, d):
     return R.listing_filter_report(_listings(spark, d))
 
 
+def _q_filtered_listings(spark, d):
+    return _filtered(spark, d)
+
+
+def _q_listings_profile(spark, d):
+    return preview.profile(_listings(spark, d), [NB, "property_type", "room_type"],
+                           ["availability_365"])
+
+
 def _q_value_counts(spark, d):
     return groups.value_counts(_filtered(spark, d), NB, "list_count")
 
@@ -228,6 +237,8 @@ def _q_price_driver_scores(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "filter_report": _q_filter_report,
+        "filtered_listings": _q_filtered_listings,
+        "listings_profile": _q_listings_profile,
         "value_counts": _q_value_counts,
         "top_listed": _q_top_listed,
         "least_available": _q_least_available,
@@ -422,6 +433,13 @@ def oracle_sql() -> dict[str, str]:
             "AND is_location_exact = 't' AND has_availability = 't') AS kept, "
             "count(*) - count(*) FILTER (WHERE neighbourhood_cleansed IS NOT NULL "
             "AND is_location_exact = 't' AND has_availability = 't') AS dropped FROM listings"),
+        "filtered_listings": _sql("SELECT * FROM filtered"),
+        "listings_profile": _sql(
+            f"SELECT count(*) AS rows, count(DISTINCT {nb}) AS distinct_{nb}, "
+            "count(DISTINCT property_type) AS distinct_property_type, "
+            "count(DISTINCT room_type) AS distinct_room_type, "
+            "min(availability_365) AS min_availability_365, "
+            "max(availability_365) AS max_availability_365 FROM listings"),
         "value_counts": _sql(f"SELECT {nb}, count(*) AS list_count FROM filtered GROUP BY {nb}"),
         "top_listed": _sql("SELECT * FROM top"),
         "least_available": _sql("SELECT * FROM least"),
