@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Sequence
 
@@ -52,13 +53,25 @@ def safe_name(prefix: str, value: str, sep: str = "_") -> str:
     return f"{prefix}{sep}{_NAME_BAD.sub('_', value)}"
 
 
-def check_unique_names(names: Sequence[str], sources: Sequence, existing: Iterable[str] = ()) -> None:
-    """Reject generated names that collide (case-insensitively, as Spark resolves)."""
-    seen: dict[str, object] = {n.lower(): ("existing column", n) for n in existing}
-    for n, src in zip(names, sources):
-        key = n.lower()
-        if key in seen:
-            raise ValueError(
-                f"generated column name {n!r} (from {src!r}) collides with {seen[key]!r}; "
-                "pass explicit names for these levels")
-        seen[key] = src
+def unique_names(prefix: str, values: Sequence, sep: str = "_",
+                 taken: Iterable[str] = ()) -> list[str]:
+    """Generated column names ``<prefix><sep><value>``, sanitised and unique.
+
+    Spark resolves names case-insensitively, so a name equal (ignoring case) to
+    a taken one gets the first 8 hex digits of the value's MD5 appended; the
+    result is deterministic for a given value list. ``None`` names the
+    missing-value column ``<prefix><sep>nan``.
+    """
+    used = {t.lower() for t in taken}
+    out = []
+    for v in values:
+        base = f"{prefix}{sep}nan" if v is None else safe_name(prefix, str(v), sep)
+        name = base
+        if name.lower() in used:
+            name = f"{base}_{hashlib.md5(repr(v).encode()).hexdigest()[:8]}"
+        i = 2
+        while name.lower() in used:
+            name, i = f"{base}_{i}", i + 1
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 
 from .._util import as_col
 
-# Fixed value: the phrase pattern (first character class, then the
-# continuation class), written with Unicode classes for letters and digits.
-PHRASE_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_\s/()\-]*"
+# The white space a phrase may contain (Python's Unicode white
+# space: tab to carriage return, file/group/record/unit separators, space,
+# next line, no-break space, ogham space, en quad to hair space, line and
+# paragraph separators, narrow no-break space, medium mathematical space,
+# ideographic space), and the phrase pattern (first character class, then
+# the continuation class) with Unicode classes for letters and digits.
+# Written out because the JVM's and RE2's \s are ASCII-only.
+WHITE_SPACE = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+PHRASE_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_" + WHITE_SPACE + r"/()\-]*"
 
 
 def extract_phrases(c) -> Column:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import as_list, check_unique_names, qcol, require_columns, safe_name
+from .._util import as_list, qcol, require_columns, unique_names
 from ..functions.phrases import phrase_set
 
 
@@ -53,9 +53,18 @@ def phrases_long(df: DataFrame, key: str, col: str, name: str = "phrase") -> Dat
 class PhraseVocabulary:
     phrases: dict = field(default_factory=dict)  # column -> sorted phrases
     sep: str = "-"
+    column_names: dict = field(default_factory=dict)  # column -> generated names
 
     def names(self, col: str) -> list[str]:
-        return [safe_name(col, p, self.sep) for p in self.phrases[col]]
+        return self.column_names.get(col) or unique_names(col, self.phrases[col], self.sep)
+
+
+def _name_phrases(phrases: dict, sep: str, taken) -> dict:
+    used, out = list(taken), {}
+    for c, values in phrases.items():
+        out[c] = unique_names(c, values, sep, used)
+        used += out[c]
+    return out
 
 
 def fit_phrase_indicators(df: DataFrame, cols, max_vocab: int = 1000, sep: str = "-") -> PhraseVocabulary:
@@ -66,11 +75,8 @@ def fit_phrase_indicators(df: DataFrame, cols, max_vocab: int = 1000, sep: str =
              .select("column", F.explode("value").alias("phrase")).distinct())
     rows = _bounded_collect(pairs, max_vocab, "phrases")
     vocab = {c: sorted(r["phrase"] for r in rows if r["column"] == c) for c in cols}
-    out = PhraseVocabulary(vocab, sep)
-    for c in cols:
-        names = out.names(c)
-        check_unique_names(names, vocab[c], [x for x in df.columns if x not in cols])
-    return out
+    others = [x for x in df.columns if x not in cols]
+    return PhraseVocabulary(vocab, sep, _name_phrases(vocab, sep, others))
 
 
 def apply_phrase_indicators(df: DataFrame, vocab: PhraseVocabulary) -> DataFrame:
@@ -119,6 +125,7 @@ class Levels:
     levels: dict = field(default_factory=dict)  # column -> sorted distinct non-missing values
     drop_first: bool = True
     dummy_null: bool = True
+    column_names: dict = field(default_factory=dict)  # column -> generated names
 
     def encoded(self, col: str) -> list:
         """Encoded levels in order: sorted values, then None for missing; first dropped."""
@@ -126,7 +133,15 @@ class Levels:
         return full[1:] if self.drop_first else full
 
     def names(self, col: str) -> list[str]:
-        return [f"{col}_nan" if v is None else safe_name(col, str(v)) for v in self.encoded(col)]
+        return self.column_names.get(col) or unique_names(col, self.encoded(col))
+
+
+def _name_levels(levels: Levels, taken) -> Levels:
+    used, names = list(taken), {}
+    for c in levels.levels:
+        names[c] = unique_names(c, levels.encoded(c), "_", used)
+        used += names[c]
+    return Levels(levels.levels, levels.drop_first, levels.dummy_null, names)
 
 
 def fit_one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True,
@@ -138,14 +153,8 @@ def fit_one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool =
              .where(F.col("value").isNotNull()).distinct())
     rows = _bounded_collect(pairs, max_levels, "levels")
     levels = {c: sorted(r["value"] for r in rows if r["column"] == c) for c in cols}
-    out = Levels(levels, drop_first, dummy_null)
     others = [x for x in df.columns if x not in cols]
-    names, sources = [], []
-    for c in cols:
-        names += out.names(c)
-        sources += [(c, v) for v in out.encoded(c)]
-    check_unique_names(names, sources, others)
-    return out
+    return _name_levels(Levels(levels, drop_first, dummy_null), others)
 
 
 def apply_one_hot(df: DataFrame, levels: Levels) -> DataFrame:
@@ -195,20 +204,13 @@ def fit_encoders(df: DataFrame, phrase_cols, level_cols, max_vocab: int = 1000,
         raise ValueError(
             f"{n_phr} phrases (bound {max_vocab}) and {len(rows) - n_phr} levels "
             f"(bound {max_levels}); raise the bounds or use the vector forms")
-    vocab = PhraseVocabulary(
-        {c: sorted(r["value"] for r in rows if r["kind"] == "p" and r["column"] == c)
-         for c in phrase_cols}, sep)
-    levels = Levels(
-        {c: sorted(r["value"] for r in rows if r["kind"] == "l" and r["column"] == c)
-         for c in level_cols}, drop_first, dummy_null)
+    phrases = {c: sorted(r["value"] for r in rows if r["kind"] == "p" and r["column"] == c)
+               for c in phrase_cols}
     encoded = set(phrase_cols) | set(level_cols)
     others = [x for x in df.columns if x not in encoded]
-    names, sources = [], []
-    for c in phrase_cols:
-        names += vocab.names(c)
-        sources += [(c, v) for v in vocab.phrases[c]]
-    for c in level_cols:
-        names += levels.names(c)
-        sources += [(c, v) for v in levels.encoded(c)]
-    check_unique_names(names, sources, others)
+    vocab = PhraseVocabulary(phrases, sep, _name_phrases(phrases, sep, others))
+    taken = others + [n for names in vocab.column_names.values() for n in names]
+    levels = _name_levels(Levels(
+        {c: sorted(r["value"] for r in rows if r["kind"] == "l" and r["column"] == c)
+         for c in level_cols}, drop_first, dummy_null), taken)
     return vocab, levels

@@ -31,8 +31,13 @@ def test_one_hot_matches_get_dummies(levels):
 def test_one_hot_all_null_and_names(levels):
     out = encode.one_hot(levels.select("id", "nul"), ["nul"])
     assert out.columns == ["id"]  # the only level (missing) is the first and is dropped
-    with pytest.raises(ValueError, match="collides"):
-        encode.one_hot(levels.select("id", "odd"), ["odd"])  # 'Apt' vs 'apt', 'a.b' vs 'a_b'
+    # 'APT' / 'Apt' / 'apt' and 'a.b' / 'a_b' sanitise alike: the later ones get a hash suffix
+    fitted = encode.fit_one_hot(levels.select("id", "odd"), ["odd"])
+    names = fitted.names("odd")
+    assert len({n.lower() for n in names}) == len(names)
+    assert names[0] == "odd_Apt" and names[-1] == "odd_nan"
+    out = encode.apply_one_hot(levels.select("id", "odd"), fitted)
+    assert sorted(out.columns) == sorted(["id", *names])
 
 
 def test_one_hot_level_bound(levels):

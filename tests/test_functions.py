@@ -57,6 +57,7 @@ PHRASE_TEXTS = [
     "{TV,tv,TV,Tv}",
     "MiXeD CaSe, ÅNGSTRÖM_x",
     "",
+    "{Cable\u00a0TV,a\u3000b,x\x1cy,p\x0bq,r\u2009s,\u00a0lead}",
 ]
 
 
