@@ -54,7 +54,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         df = spark.read.parquet(path)
         if schema is None:
             return df
-        return df.select(*[qcol(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+        missing = [f.name for f in schema.fields if f.name not in df.columns]
+        if missing:
+            raise ValueError(f"columns {missing} are not in {path}")
+        declared = {f.name for f in schema.fields}
+        return df.select(*[qcol(f.name).cast(f.dataType).alias(f.name) for f in schema.fields],
+                         *[qcol(c) for c in df.columns if c not in declared])
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
     if schema is None:
