@@ -55,3 +55,27 @@ def test_scan_pruning_and_pushdown(spark):
     med = _plan(R.least_available(R.filtered_listings(standins.listings(spark, SF_SMALL))))
     assert "hashpartitioning(neighbourhood_cleansed#" in med
     assert re.search(r"hashpartitioning\(neighbourhood_cleansed#\d+, __value#\d+", med)
+
+
+def test_listing_filters_reach_parquet_scan(spark, scratch):
+    import contextlib
+    import io
+    import os
+
+    from pyspark.sql import functions as F
+
+    path = os.path.join(scratch, "listings.parquet")
+    spark.createDataFrame(
+        [(1, "A", "t", "t", 10.0, "$50.00"), (2, "B", "f", "t", 20.0, "$60.00"),
+         (3, None, "t", "f", 30.0, "$70.00")],
+        "id long, neighbourhood_cleansed string, is_location_exact string, "
+        "has_availability string, availability_365 double, price string").write.parquet(path)
+    listings = spark.read.parquet(path).withColumn("unused", F.lit(1))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        R.least_available(R.filtered_listings(listings)).explain("formatted")
+    plan = buf.getvalue()
+    assert "EqualTo(is_location_exact,t)" in plan and "EqualTo(has_availability,t)" in plan
+    assert "IsNotNull(neighbourhood_cleansed)" in plan
+    read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
+    assert "price" not in read and "id" not in read  # only the used columns are read
