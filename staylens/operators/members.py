@@ -22,13 +22,41 @@ def row_bound(df: DataFrame) -> int | None:
     return int(bound.get()) if bound.isDefined() else None
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+def _threshold_bytes(spark) -> int:
+    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = text[:-1] if text.endswith("b") else text
+    return int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
+
+
+def broadcast_row_limit(df: DataFrame) -> int:
+    """Rows of ``df`` that fit the session's broadcast threshold.
+
+    ``spark.sql.autoBroadcastJoinThreshold`` (bytes; -1 disables broadcasting)
+    over the row's default width, so the cluster's own setting governs the
+    decision. Without a readable threshold, ``DEFAULT_BROADCAST_ROWS``.
+    """
+    try:
+        limit = _threshold_bytes(df.sparkSession)
+    except (ValueError, TypeError):
+        return DEFAULT_BROADCAST_ROWS
+    if limit < 0:
+        return -1
+    width = max(8, int(df._jdf.schema().defaultSize()))
+    return limit // width
+
+
+def sized_broadcast(df: DataFrame, max_rows: int | None = None,
                     count_if_unbounded: bool = True) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows, else ``(df, False)``.
 
-    The proven plan bound is used when there is one; otherwise the rows are
-    counted (one job over the side), unless ``count_if_unbounded`` is off.
+    ``max_rows`` defaults to :func:`broadcast_row_limit`. The proven plan bound
+    is used when there is one; otherwise the rows are counted (one job over
+    the side), unless ``count_if_unbounded`` is off.
     """
+    max_rows = broadcast_row_limit(df) if max_rows is None else max_rows
+    if max_rows < 0:
+        return df, False
     bound = row_bound(df)
     if bound is None and count_if_unbounded:
         bound = df.count()
@@ -44,7 +72,7 @@ def common_keys(a: DataFrame, b: DataFrame, key: str, b_key: str | None = None)
 
 
 def keep_members(df: DataFrame, col: str, members: DataFrame, member_col: str | None = None,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``col`` is in ``members[member_col]`` (left semi join).
 
     NULL never matches, as with ``isin``. The member side is deduplicated by
@@ -57,7 +85,7 @@ def keep_members(df: DataFrame, col: str, members: DataFrame, member_col: str |
 
 
 def drop_members(df: DataFrame, col: str, members: DataFrame, member_col: str | None = None,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not among the members (left anti join)."""
     member_col = member_col or col
     right = members.select(qcol(member_col).alias("__member")).where(F.col("__member").isNotNull())
@@ -67,7 +95,7 @@ def drop_members(df: DataFrame, col: str, members: DataFrame, member_col: str |
 
 def flag_members(df: DataFrame, col: str, members: DataFrame, flag: str,
                  member_col: str | None = None,
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int | None = None) -> DataFrame:
     """Add boolean ``flag``: is ``col`` among the members. Members must be distinct keys."""
     member_col = member_col or col
     right = (members.select(qcol(member_col).alias("__member")).distinct()

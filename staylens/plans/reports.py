@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .._util import qcol
 from ..functions.numbers import parse_date, parse_number
 from ..operators import clean, encode, groups, members
-from ..session import DEFAULT_BROADCAST_ROWS, cut_lineage
+from ..session import cut_lineage
 from . import constants as C
 from . import model as M
 
@@ -115,7 +115,7 @@ def popular_ids(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
 def vacancy_side_by_side(calendar: DataFrame, ids: DataFrame, date: str = "date",
                          flag: str = "available", listing: str = "listing_id",
                          id_col: str = "id",
-                         max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                         max_broadcast_rows: int | None = None) -> DataFrame:
     """J1 + A4 + J3: (date, vacant_ratio, vacant_ratio_popular) on every calendar date.
 
     The distinct id set is materialised once in the checkpoint folder. With a

@@ -13,9 +13,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Broadcast bound used by the operators that decide between a broadcast and a
-# shuffle at run time (rows, not bytes: the sides are one or two key columns).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Fallback broadcast bound (rows) when the session's broadcast threshold cannot
+# be read; normally the bound follows spark.sql.autoBroadcastJoinThreshold.
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,

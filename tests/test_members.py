@@ -84,3 +84,17 @@ def test_reports_invariant_to_input_layout(spark):
         lay_c = calendar.repartition(n).orderBy(F.rand(n + 1))
         assert rows(R.popular_neighbourhoods(lay_l), "sorted") == base[0]
         assert rows(R.busy_dates(lay_c, lay_l), "sorted") == base[1]
+
+
+def test_broadcast_limit_follows_session_threshold(spark):
+    ids = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "80")
+        assert members.broadcast_row_limit(ids) == 10
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1KB")
+        assert members.broadcast_row_limit(ids) == 128
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert members.sized_broadcast(ids) == (ids, False)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
