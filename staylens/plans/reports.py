@@ -127,7 +127,11 @@ def vacancy_side_by_side(calendar: DataFrame, ids: DataFrame, date: str = "date"
     cal = _dated(calendar, date)
     # the id set is written once (checkpoint folder): its size check and the
     # calendar pass below both read the copy instead of recomputing it
-    id_set = cut_lineage(ids.select(qcol(id_col).alias("__id")).distinct())
+    id_set = ids.select(qcol(id_col).alias("__id")).distinct()
+    try:
+        id_set = cut_lineage(id_set)
+    except RuntimeError:  # no shared checkpoint folder: recompute the set instead
+        pass
     right, small = members.sized_broadcast(id_set, max_broadcast_rows)
     avail = F.when(_available(flag), F.lit(1.0)).otherwise(F.lit(0.0))
     if small:
