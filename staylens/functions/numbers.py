@@ -6,6 +6,10 @@ generation; none of them needs a Python worker.
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +20,32 @@ from .._util import as_col
 NON_NUMERIC = "[^0-9.]"
 
 
+@functools.lru_cache(maxsize=1)
+def _decimal_digits() -> tuple[str, str]:
+    """Every non-ASCII decimal digit (Unicode category Nd) and its ASCII digit.
+
+    Built by rule from the Unicode database rather than listed.
+    """
+    src, dst = [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        ch = chr(cp)
+        if unicodedata.category(ch) == "Nd":
+            src.append(ch)
+            dst.append(str(unicodedata.decimal(ch)))
+    return "".join(src), "".join(dst)
+
+
 def parse_number(c) -> Column:
     """``'$1,234.50'`` -> 1234.5, ``'98%'`` -> 98.0 (no scaling).
 
-    Unparsable text (empty after stripping, several dots) becomes NULL
-    instead of failing the job; NULL stays NULL.
+    Decimal digits of any script count as digits (mapped to ASCII first);
+    everything but digits and dots is removed. Unparsable text (empty after
+    stripping, several dots) becomes NULL instead of failing the job; NULL
+    stays NULL.
     """
-    return F.regexp_replace(as_col(c), NON_NUMERIC, "").try_cast("double")
+    src, dst = _decimal_digits()
+    ascii_digits = F.translate(as_col(c), src, dst)
+    return F.regexp_replace(ascii_digits, NON_NUMERIC, "").try_cast("double")
 
 
 def unparsable(c) -> Column:

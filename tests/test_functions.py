@@ -22,7 +22,8 @@ def _py_number(s):
 
 
 def test_parse_number_money_fixture(spark):
-    values = ["$1,250.00", "98%", "-$5", "", None, "$", "1.2.3", "$0.50", ".5", "5."]
+    values = ["$1,250.00", "98%", "-$5", "", None, "$", "1.2.3", "$0.50", ".5", "5.",
+              "\u0661\u0662\u0663.5 \u062c", "\U0001D7D9\U0001D7DA", "\u0967,\u0966\u0966\u0966"]
     df = spark.createDataFrame([(v,) for v in values], "s string")
     got = [r[0] for r in df.select(parse_number("s")).collect()]
     assert got == [_py_number(v) for v in values]
