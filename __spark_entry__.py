@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from staylens.functions.numbers import parse_number  # noqa: E402
-from staylens.functions.phrases import PHRASE_PATTERN  # noqa: E402
+from staylens.functions.phrases import PHRASE_PATTERN_RE2  # noqa: E402
 from staylens.operators import clean, encode, groups  # noqa: E402
 from staylens.plans import constants as C  # noqa: E402
 from staylens.plans import model as M  # noqa: E402
@@ -365,7 +365,7 @@ def _sql(body: str) -> str:
     return f"WITH {_VIEWS}\n{body}"
 
 
-_PATTERN = PHRASE_PATTERN
+_PATTERN = PHRASE_PATTERN_RE2  # the same phrases, in RE2 syntax
 
 
 def _phrases_sql(col: str) -> str:

@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 
 from .._util import as_col
 
-# The white space a phrase may contain (Python's Unicode white
-# space: tab to carriage return, file/group/record/unit separators, space,
-# next line, no-break space, ogham space, en quad to hair space, line and
-# paragraph separators, narrow no-break space, medium mathematical space,
-# ideographic space), and the phrase pattern (first character class, then
-# the continuation class) with Unicode classes for letters and digits.
-# Written out because the JVM's and RE2's \s are ASCII-only.
-WHITE_SPACE = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-               r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-PHRASE_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_" + WHITE_SPACE + r"/()\-]*"
+# The phrase pattern, a first character (letter, digit or
+# underscore) followed by letters, digits, underscores, white space, "/", "(",
+# ")" and "-"; letters and digits are Unicode classes. White space is
+# Python's Unicode white space, which the JVM's and RE2's \s (ASCII-only) are
+# not: the JVM form is Character.isWhitespace plus next line (U+0085) and the
+# three no-break spaces (U+00A0, U+2007, U+202F); the RE2 form (for the DuckDB
+# oracle) lists the same set: tab to carriage return, U+001C to U+0020, U+0085,
+# U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+PHRASE_PATTERN = (r"[\p{L}\p{N}_][\p{L}\p{N}_/()\-\x{85}\x{A0}\p{javaWhitespace}"
+                  r"\x{2007}\x{202F}]*")
+WHITE_SPACE_RE2 = (r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                   r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+PHRASE_PATTERN_RE2 = r"[\p{L}\p{N}_][\p{L}\p{N}_" + WHITE_SPACE_RE2 + r"/()\-]*"
 
 
 def extract_phrases(c) -> Column:

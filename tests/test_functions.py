@@ -81,3 +81,19 @@ def test_phrase_set_distinct_and_empty_for_missing(spark):
         assert len(phrases) == len(set(phrases))
     assert got[3] == []
     assert set(got[4]) == {"café", "crème brûlée", "ñandú"}
+
+
+def test_phrase_class_equals_python_on_every_bmp_character(spark):
+    from staylens.functions.phrases import PHRASE_PATTERN
+
+    chars = [chr(cp) for cp in range(1, 0x10000) if not 0xD800 <= cp <= 0xDFFF]
+    texts = ["a" + c + "b" for c in chars]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select(
+        "i", F.regexp_extract_all("t", F.lit(PHRASE_PATTERN), F.lit(0)).alias("p")).collect()}
+    bad = [chars[i] for i, t in enumerate(texts) if got[i] != PY_PATTERN.findall(t)]
+    # white space and punctuation agree exactly; the only differences are letters
+    # and digits added in Unicode versions newer than the JVM's character tables
+    import unicodedata
+    assert all(unicodedata.category(c)[0] in "LN" for c in bad), [hex(ord(c)) for c in bad]
+    assert len(bad) < 200
