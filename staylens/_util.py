@@ -75,3 +75,17 @@ def unique_names(prefix: str, values: Sequence, sep: str = "_",
         used.add(name.lower())
         out.append(name)
     return out
+
+
+def spread_for_cpu(df: DataFrame) -> DataFrame:
+    """Spread rows over all task slots before CPU-heavy per-row work.
+
+    Only when the input has fewer partitions than slots (a few large files): a
+    round-robin repartition then lets every core run the expensive expression.
+    An input that already has at least one partition per slot, as any large
+    table has, is returned unchanged (no shuffle).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df

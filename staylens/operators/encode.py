@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import as_list, qcol, require_columns, unique_names
+from .._util import as_list, qcol, require_columns, spread_for_cpu, unique_names
 from ..functions.phrases import phrase_set
 
 
@@ -37,14 +37,20 @@ def _long_form(df: DataFrame, cols, value_expr) -> DataFrame:
 
 def phrase_vocabulary(df: DataFrame, col: str, name: str = "phrase",
                       count_name: str = "documents") -> DataFrame:
-    """A10: every phrase of the column with the number of rows containing it."""
-    return (df.select(F.explode(phrase_set(qcol(col))).alias(name))
+    """A10: every phrase of the column with the number of rows containing it.
+
+    The regex work is spread over all cores when the input has fewer
+    partitions than cores (see :func:`spread_for_cpu`).
+    """
+    src = spread_for_cpu(df.select(qcol(col)))
+    return (src.select(F.explode(phrase_set(qcol(col))).alias(name))
             .groupBy(name).agg(F.count(F.lit(1)).alias(count_name)))
 
 
 def phrases_long(df: DataFrame, key: str, col: str, name: str = "phrase") -> DataFrame:
-    """(key, phrase) for every distinct phrase of every row."""
-    return df.select(qcol(key), F.explode(phrase_set(qcol(col))).alias(name))
+    """(key, phrase) for every distinct phrase of every row (regex work spread as above)."""
+    src = spread_for_cpu(df.select(qcol(key), qcol(col)))
+    return src.select(qcol(key), F.explode(phrase_set(qcol(col))).alias(name))
 
 
 # --------------------------------------------------------------------------- F4
