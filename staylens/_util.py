@@ -85,7 +85,9 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     An input that already has at least one partition per slot, as any large
     table has, is returned unchanged (no shuffle).
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # partitions not inspectable here: leave the plan as it is
+        return df
+    return df.repartition(slots) if parts < slots else df

@@ -17,8 +17,14 @@ from ..session import DEFAULT_BROADCAST_ROWS
 
 
 def row_bound(df: DataFrame) -> int | None:
-    """Maximum row count Catalyst can prove for ``df`` (limits, global aggregates), else None."""
-    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    """Maximum row count Catalyst can prove for ``df`` (limits, global aggregates), else None.
+
+    None also when the plan cannot be inspected (then the side is counted).
+    """
+    try:
+        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    except Exception:  # no JVM-side plan available (e.g. a remote session)
+        return None
     return int(bound.get()) if bound.isDefined() else None
 
 
@@ -42,7 +48,10 @@ def broadcast_row_limit(df: DataFrame) -> int:
         return DEFAULT_BROADCAST_ROWS
     if limit < 0:
         return -1
-    width = max(8, int(df._jdf.schema().defaultSize()))
+    try:
+        width = max(8, int(df._jdf.schema().defaultSize()))
+    except Exception:  # no JVM-side schema available: assume a wide row
+        width = 64
     return limit // width
 
 

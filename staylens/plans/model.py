@@ -115,13 +115,16 @@ def task_memory_mb(spark, share: float = 0.2) -> int:
     Local mode reads the running JVM's heap and the core count; a cluster reads
     ``spark.executor.memory`` and ``spark.executor.cores``.
     """
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
-        slots = sc.defaultParallelism
-    else:
-        heap = _bytes(spark.conf.get("spark.executor.memory", "1g"))
-        slots = int(spark.conf.get("spark.executor.cores", "1"))
+    try:
+        sc = spark.sparkContext
+        if sc.master.startswith("local"):
+            heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
+            slots = sc.defaultParallelism
+        else:
+            heap = _bytes(spark.conf.get("spark.executor.memory", "1g"))
+            slots = int(spark.conf.get("spark.executor.cores", "1"))
+    except Exception:  # settings not readable here: MLlib's own default budget
+        return 256
     return int(max(16, min(1024, heap * share / max(1, slots) / (1 << 20))))
 
 
@@ -207,7 +210,10 @@ def fit_partitions(spark, rows: int | None, rows_per_partition: int = 2_000,
     so past the core count more partitions only add shuffle; the cap keeps that
     bounded on a large cluster.
     """
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no context here: let the cap decide
+        cores = max_partitions
     if rows is None:
         return max(1, min(cores, max_partitions))
     return max(1, min(cores, max_partitions, -(-rows // rows_per_partition)))
