@@ -1,0 +1,72 @@
+"""Property tests: each example is a whole random batch checked in one Spark job."""
+
+import math
+import re
+
+import pandas as pd
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from staylens.functions import extract_phrases, parse_number
+from staylens.operators import groups
+
+from .test_functions import PY_PATTERN
+
+SETTINGS = settings(max_examples=6, deadline=None,
+                    suppress_health_check=[HealthCheck.function_scoped_fixture,
+                                           HealthCheck.too_slow, HealthCheck.data_too_large])
+
+MONEY_ALPHABET = st.sampled_from(list("0123456789.,$%- N/A") + ["\u0663"])
+# code points below U+0860 (all assigned before the JVM's Unicode version) plus the
+# non-ASCII white space and look-alikes that are not white space
+TEXT_ALPHABET = st.one_of(
+    st.characters(max_codepoint=0x85F, blacklist_categories=("Cs",)),
+    st.sampled_from(list("\u1680\u2000\u2007\u200a\u2028\u2029\u202f\u205f\u3000"
+                         "\u180e\u200b\ufeff")))
+
+
+def _py_number(s):
+    if s is None:
+        return None
+    try:
+        return float(re.sub(r"[^\d.]", "", s))
+    except ValueError:
+        return None
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.text(MONEY_ALPHABET, max_size=12)), min_size=1, max_size=200))
+def test_parse_number_equals_python(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    got = {r["i"]: r["x"] for r in df.select("i", parse_number("s").alias("x")).collect()}
+    for i, v in enumerate(values):
+        want = _py_number(v)
+        assert (got[i] is None and want is None) or math.isclose(got[i], want, rel_tol=1e-12), v
+
+
+@SETTINGS
+@given(st.lists(st.text(TEXT_ALPHABET, max_size=40), min_size=1, max_size=200))
+def test_phrases_equal_python(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r["i"]: r["p"] for r in df.select("i", extract_phrases("s").alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == PY_PATTERN.findall(t.lower()), t
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]),
+                          st.one_of(st.none(), st.integers(-50, 50).map(float),
+                                    st.floats(-1e6, 1e6, allow_nan=False))),
+                min_size=1, max_size=300))
+def test_medians_equal_pandas(spark, rows):
+    df = spark.createDataFrame(rows, "k string, v double")
+    pdf = pd.DataFrame(rows, columns=["k", "v"]).dropna(subset=["k"])
+    want = pdf.groupby("k")["v"].agg(["median", "size"])
+    for method in ("distinct", "bracket"):
+        got = {r[0]: (r[1], r[2]) for r in
+               groups.median_count(df, ["k"], "v", method=method, max_inside=5).collect()}
+        assert set(got) == set(want.index)
+        for k, (m, n) in got.items():
+            assert n == want.loc[k, "size"]
+            wm = want.loc[k, "median"]
+            assert (m is None and pd.isna(wm)) or math.isclose(m, wm, rel_tol=1e-12, abs_tol=1e-9)
