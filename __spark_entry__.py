@@ -223,6 +223,13 @@ def _q_report_busy_dates(spark, d):
     return R.busy_dates(_calendar(spark, d), _listings(spark, d))
 
 
+def _q_price_features(spark, d):
+    table, feats = R.price_features(_listings(spark, d))
+    wide = table.select("id", *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
+    long = wide.unpivot(["id"], feats, "feature", "value")
+    return long.select("id", "feature", F.round("value", 6).alias("value"))
+
+
 def _q_price_drivers(spark, d):
     return R.price_drivers(_listings(spark, d)).importance
 
@@ -272,6 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "r2_score": _q_r2_score,
         "report_popular_neighbourhoods": _q_report_popular_neighbourhoods,
         "report_busy_dates": _q_report_busy_dates,
+        "price_features": _q_price_features,
         "price_drivers": _q_price_drivers,
         "price_driver_scores": _q_price_driver_scores,
         "price_driver_top": _q_price_driver_top,
@@ -420,6 +428,61 @@ def _feature_profile_sql() -> str:
     return (f", filled AS (SELECT price, {fill} FROM priced)\n" + "\nUNION ALL ".join(parts))
 
 
+_NUMERIC_FEATURES = ["availability_365", "bedrooms", "bathrooms", "square_feet", *C.REVIEW_FEATURES,
+                     "number_of_reviews", "accommodates", *C.NUMBER_TEXT_FEATURES]
+_TEXT_FEATURES = ["neighbourhood_cleansed", "is_location_exact", "has_availability",
+                  "property_type", "room_type"]
+
+
+def _price_features_sql() -> str:
+    """R8 feature table in long form, with the data-dependent columns derived in SQL."""
+    def san(x: str) -> str:
+        return f"regexp_replace({x}, '[^0-9A-Za-z_]+', '_', 'g')"
+
+    parsed = ", ".join(f"{_parse_sql(c)} AS {c}" for c in C.NUMBER_TEXT_FEATURES)
+    plain = ", ".join(c for c in _NUMERIC_FEATURES if c not in C.NUMBER_TEXT_FEATURES)
+    num = " UNION ALL ".join(
+        f"SELECT id, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM fbase" for c in _NUMERIC_FEATURES)
+    phr = " UNION ALL ".join(
+        f"SELECT id, '{c}' AS col, unnest({_phrases_sql(c)}) AS phrase FROM fbase"
+        for c in C.PHRASE_FEATURES)
+    txt = " UNION ALL ".join(
+        f"SELECT id, '{c}' AS col, CAST({c} AS VARCHAR) AS level FROM fbase" for c in _TEXT_FEATURES)
+    return f""", fbase AS (
+  SELECT id, {plain}, {parsed}, {", ".join(_TEXT_FEATURES)}, {", ".join(C.PHRASE_FEATURES)}
+  FROM priced WHERE price IS NOT NULL
+),
+num AS ({num}),
+nstats AS (SELECT feature, count(v) AS present, avg(v) AS mean FROM num GROUP BY feature),
+num_out AS (
+  SELECT num.id, num.feature, round(COALESCE(num.v, nstats.mean), 6) AS value
+  FROM num JOIN nstats ON num.feature = nstats.feature
+  WHERE nstats.present >= floor({C.SPARSE_SHARE} * (SELECT count(*) FROM fbase))
+),
+phr AS (SELECT DISTINCT id, col, phrase FROM ({phr})),
+vocab AS (SELECT DISTINCT col, phrase FROM phr),
+phr_out AS (
+  SELECT b.id, v.col || '-' || {san('v.phrase')} AS feature,
+         CASE WHEN p.id IS NULL THEN 0.0 ELSE 1.0 END AS value
+  FROM fbase b CROSS JOIN vocab v
+  LEFT JOIN phr p ON p.id = b.id AND p.col = v.col AND p.phrase = v.phrase
+),
+txt AS ({txt}),
+lv AS (SELECT col, level FROM txt WHERE level IS NOT NULL GROUP BY col, level),
+enc AS (SELECT col, level FROM lv WHERE level > (SELECT min(l2.level) FROM lv l2 WHERE l2.col = lv.col)),
+txt_out AS (
+  SELECT t.id, e.col || '_' || {san('e.level')} AS feature,
+         CASE WHEN t.level = e.level THEN 1.0 ELSE 0.0 END AS value
+  FROM txt t JOIN enc e ON t.col = e.col
+  UNION ALL
+  SELECT id, col || '_nan' AS feature, CASE WHEN level IS NULL THEN 1.0 ELSE 0.0 END AS value
+  FROM txt
+)
+SELECT id, feature, value FROM num_out
+UNION ALL SELECT id, feature, value FROM phr_out
+UNION ALL SELECT id, feature, value FROM txt_out"""
+
+
 def oracle_sql() -> dict[str, str]:
     nb = "neighbourhood_cleansed"
     daily_bin = "avg(CASE WHEN available = 't' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
@@ -503,6 +566,7 @@ def oracle_sql() -> dict[str, str]:
             "WHERE price IS NOT NULL) "
             "SELECT fold, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 "
             "FROM j GROUP BY fold"),
+        "price_features": _sql(_price_features_sql()),
         "report_popular_neighbourhoods": _sql(
             f"SELECT s.{nb} AS neighbourhood, s.list_count, s.median_availability, "
             f"t.{nb} IS NOT NULL AS in_top_listed, l.{nb} IS NOT NULL AS in_least_available, "
