@@ -79,3 +79,20 @@ def test_listing_filters_reach_parquet_scan(spark, scratch):
     assert "IsNotNull(neighbourhood_cleansed)" in plan
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert "price" not in read and "id" not in read  # only the used columns are read
+
+
+def test_busy_dates_fallback_plan_without_broadcast(spark):
+    listings = standins.listings(spark, SF_SMALL)
+    calendar = standins.calendar(spark, SF_SMALL)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = R.vacancy_side_by_side(calendar, R.popular_ids(listings), max_broadcast_rows=0)
+        plan = _plan(df)
+        assert re.search(r"LeftSemi", plan) and "BroadcastHashJoin" not in plan
+        assert re.search(r"SortMergeJoin .*LeftOuter", plan)  # the two daily series, on the date
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = sorted(tuple(r) for r in R.vacancy_side_by_side(calendar, R.popular_ids(listings)).collect())
+    assert got == want

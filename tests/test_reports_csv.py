@@ -113,3 +113,14 @@ def test_run_all_reports_writes_tables(spark, files, scratch):
         df.write.mode("overwrite").parquet(os.path.join(scratch, name))
         assert spark.read.parquet(os.path.join(scratch, name)).count() == df.count(), name
     assert set(out) >= {"popular_neighbourhoods", "busy_dates", "price_by_review"}
+
+
+def test_runner_command_line(spark, files, scratch):
+    from staylens.plans.run import main
+
+    folder = os.path.join(spark._scratch, "csv-reports")
+    out = os.path.join(scratch, "reports")
+    main([os.path.join(folder, "listings.csv"), os.path.join(folder, "calendar.csv"),
+          "--out", out, "--no-forest"])
+    assert spark.read.parquet(os.path.join(out, "busy_dates")).count() == 40
+    assert spark.read.parquet(os.path.join(out, "price_by_review")).count() > 0
