@@ -41,13 +41,32 @@ def typed(df: DataFrame, schema: T.StructType, tokens=MISSING_TOKENS) -> DataFra
     return df.select(*out)
 
 
+def numeric_text_columns(df: DataFrame, cols, tokens=MISSING_TOKENS) -> list[str]:
+    """Text columns whose every present value parses as a number (one aggregation).
+
+    A column without any present value counts as numeric too, as an all-empty
+    column of a CSV file is a numeric column of missing values.
+    """
+    cols = list(cols)
+    if not cols:
+        return []
+    aggs = []
+    for i, c in enumerate(cols):
+        v = clean_text(qcol(c), tokens)
+        aggs += [F.count(v).alias(f"__n{i}"), F.count(v.try_cast("double")).alias(f"__k{i}")]
+    row = df.agg(*aggs).first()
+    return [c for i, c in enumerate(cols) if row[f"__n{i}"] == row[f"__k{i}"]]
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               fmt: str = "csv", tokens=MISSING_TOKENS) -> DataFrame:
+               fmt: str = "csv", tokens=MISSING_TOKENS, infer_rest: bool = True) -> DataFrame:
     """Read a header CSV (or Parquet) file into a typed table.
 
-    CSV needs an explicit schema: inference would turn an all-empty column into
-    text and ``N/A`` into a level. Columns are matched by header name; columns
-    the schema does not declare are kept as text (after the declared ones).
+    CSV needs an explicit schema for the columns the analysis relies on:
+    inference would turn an all-empty column into text and ``N/A`` into a
+    level. Columns are matched by header name. Columns the schema does not
+    declare come after the declared ones: as doubles when every present value
+    is a number (``infer_rest``, one aggregation over the file), else as text.
     Quoted cells may span lines and use doubled quotes.
     """
     if fmt == "parquet":
@@ -80,7 +99,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if missing:
         raise ValueError(f"columns {missing} are not in the header of {path}")
     declared = {f.name for f in schema.fields}
-    rest = [T.StructField(c, T.StringType(), True) for c in raw.columns if c not in declared]
+    others = [c for c in raw.columns if c not in declared]
+    numeric = set(numeric_text_columns(raw, others, tokens)) if infer_rest else set()
+    rest = [T.StructField(c, T.DoubleType() if c in numeric else T.StringType(), True)
+            for c in others]
     return typed(raw, T.StructType([*schema.fields, *rest]), tokens)
 
 

@@ -23,7 +23,8 @@ def files(spark):
     folder = os.path.join(spark._scratch, "csv-reports")
     os.makedirs(folder, exist_ok=True)
     lpath, cpath = os.path.join(folder, "listings.csv"), os.path.join(folder, "calendar.csv")
-    header = [f.name for f in LISTINGS_SCHEMA.fields] + ["name", "summary", "zipcode", "bed_type"]
+    header = [f.name for f in LISTINGS_SCHEMA.fields] + ["name", "summary", "zipcode", "bed_type",
+                                                         "latitude", "license"]
     with open(lpath, "w", newline="") as fh:
         w = csv.writer(fh)
         w.writerow(header)
@@ -53,6 +54,8 @@ def files(spark):
                 "summary": "Quiet street,\nclose to the \"market\"",
                 "zipcode": "10001",
                 "bed_type": rnd.choice(["Real Bed", "Futon"]),
+                "latitude": f"{47.5 + rnd.random() / 10:.6f}",
+                "license": "",
             }
             w.writerow([row[c] for c in header])
     start = dt.date(2016, 1, 4)
@@ -73,6 +76,10 @@ def test_read_keeps_undeclared_columns(files):
     listings, calendar = files
     assert listings.count() == 120 and calendar.count() == 120 * 40
     assert {"name", "summary", "zipcode", "bed_type"} <= set(listings.columns)
+    types = dict(listings.dtypes)
+    # undeclared columns: numbers (and the all-empty column) become doubles, text stays text
+    assert types["latitude"] == "double" and types["license"] == "double"
+    assert types["bed_type"] == "string" and types["summary"] == "string"
     assert dict(listings.dtypes)["availability_365"] == "double"
     assert listings.where("neighbourhood_cleansed IS NULL").count() == 4
     assert listings.where("host_acceptance_rate IS NULL").count() > 0  # N/A is missing
@@ -100,6 +107,7 @@ def test_all_reports_run(files):
     assert "square_feet" not in names and "id" not in names and "zipcode" not in names
     assert any(n.startswith("amenities-") for n in names)
     assert any(n.startswith("bed_type_") for n in names)  # undeclared text column is encoded
+    assert "latitude" in names and "license" not in names  # numeric feature; all-empty is sparse
     assert abs(sum(r["importance"] for r in res.importance.collect()) - 1.0) < 1e-9
     assert {r["fold"] for r in res.scores.collect()} == {"train", "test"}
 
