@@ -119,8 +119,9 @@ def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: s
     values inside; the salted partials are merged per key, so a hot key's
     merge is spread over ``salts`` tasks. The sketch's quantiles on a fixed
     rank grid, ``guard`` grid steps around the target ranks, give the next,
-    narrower bracket (about 1/80 of the previous one per round). A bracket that misses the
-    target ranks (sketch error) is reset to unbounded and retried. Once every
+    narrower bracket (about 1/80 of the previous one per round). A bracket
+    that misses the target ranks (sketch error) is reset to unbounded and
+    retried. Once every
     key has at most ``max_inside`` distinct values inside (an HLL estimate
     with slack; ties stop the narrowing early), the bracket rows are counted
     per distinct value and ranked with a window partitioned by key.
@@ -182,22 +183,24 @@ def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: s
         nxt_lo = F.element_at(grid, (i_lo + 1).cast("int"))
         nxt_hi = F.element_at(grid, (i_hi + 1).cast("int"))
         done = F.col("__done") | (F.col("__n") == 0) | (hit & small)
+        none = F.lit(None).cast("double")
         state = cut_lineage(cur.select(
             *kc, "__total", "__n", "__ra", "__rb",
-            F.when(F.col("__done") | (F.col("__n") == 0) | (hit & small), lo)
-             .when(hit, nxt_lo).otherwise(F.lit(None).cast("double")).alias("__lo"),
-            F.when(F.col("__done") | (F.col("__n") == 0) | (hit & small), hi)
-             .when(hit, nxt_hi).otherwise(F.lit(None).cast("double")).alias("__hi"),
+            F.when(done, lo).when(hit, nxt_lo).otherwise(none).alias("__lo"),
+            F.when(done, hi).when(hit, nxt_hi).otherwise(none).alias("__hi"),
             done.alias("__done")))
         if state.where(~F.col("__done")).limit(1).count() == 0:
             break
     else:
         raise RuntimeError("median bracket did not narrow; raise max_inside or max_rounds")
     side, _small = sized_broadcast(state.select(*kc, "__lo", "__hi"))
-    inner = rows.join(side, keys).where(in_lo & in_hi)
-    below_df = rows.join(side, keys).groupBy(*kc).agg(
-        F.count_if(lo.isNotNull() & (v < lo)).alias("__below"))
-    pairs = inner.groupBy(*kc, v).agg(F.count(F.lit(1)).alias("__c"))
+    # one pass: rows below the bracket, inside it (per distinct value) and above it
+    pos = F.when(lo.isNotNull() & (v < lo), -1).when(hi.isNotNull() & (v > hi), 1).otherwise(0)
+    counts = (rows.join(side, keys).select(*kc, pos.alias("__pos"), v)
+              .groupBy(*kc, "__pos", F.when(F.col("__pos") == 0, v).alias(_V))
+              .agg(F.count(F.lit(1)).alias("__c")))
+    below_df = counts.where(F.col("__pos") == -1).groupBy(*kc).agg(F.sum("__c").alias("__below"))
+    pairs = counts.where(F.col("__pos") == 0).select(*kc, v, "__c")
     w = Window.partitionBy(*kc).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     ranked = pairs.withColumn("__cum", F.sum("__c").over(w))
     info = state.join(below_df, keys, "left")
