@@ -74,8 +74,16 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None,
     return df, False
 
 
-def common_keys(a: DataFrame, b: DataFrame, key: str, b_key: str | None = None) -> DataFrame:
-    """Distinct keys present in both tables (set intersection)."""
+def common_keys(a: DataFrame, b: DataFrame, key: str | None = None,
+                b_key: str | None = None) -> DataFrame:
+    """Distinct keys present in both tables (set intersection).
+
+    Without ``key``, both tables must have a single column (two key lists).
+    """
+    if key is None:
+        if len(a.columns) != 1 or len(b.columns) != 1:
+            raise ValueError("common_keys without a key needs two one-column tables")
+        key, b_key = a.columns[0], b.columns[0]
     right = b.select(qcol(b_key or key).alias(key))
     return a.select(qcol(key)).intersect(right)
 

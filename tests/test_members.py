@@ -14,6 +14,7 @@ def test_common_keys(spark):
     a = spark.createDataFrame([("x",), ("y",), ("z",), ("z",)], "k string")
     b = spark.createDataFrame([("z",), ("y",), ("w",)], "k2 string")
     assert rows(members.common_keys(a, b, "k", "k2"), "sorted") == [("y",), ("z",)]
+    assert rows(members.common_keys(a, b), "sorted") == [("y",), ("z",)]
 
 
 def test_keep_members_semi_join_and_broadcast_bound(spark):
