@@ -97,6 +97,14 @@ def drop_columns(df: DataFrame, names, strict: bool = True) -> DataFrame:
     return df.drop(*present)
 
 
+def drop_counts(df: DataFrame, names) -> dict:
+    """P7 accounting from the schema alone (no job): names requested, dropped, columns left."""
+    names = as_list(names)
+    present = [n for n in names if n in df.columns]
+    return {"requested": len(names), "dropped": len(present),
+            "remaining": len(df.columns) - len(set(present))}
+
+
 def with_names(df: DataFrame, names) -> DataFrame:
     """Positional rename of all columns."""
     names = as_list(names)

@@ -124,3 +124,8 @@ def test_impute_mean_fit_on_train_fold(spark):
 def test_filter_report_with_equalities(listings):
     r = clean.filter_report(listings, {"exact": "t", "avail": "t"}).first()
     assert (r["total"], r["kept"], r["dropped"]) == (5, 3, 2)
+
+
+def test_drop_counts(listings):
+    assert clean.drop_counts(listings, ["nb", "v", "zipcode"]) == \
+        {"requested": 3, "dropped": 2, "remaining": 3}
