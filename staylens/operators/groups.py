@@ -79,7 +79,10 @@ def median_count(df: DataFrame, keys, value, median_name: str = "median",
       percentile per key; one task holds the distinct values of a key. Right
       for values from a bounded domain (prices, day counts, scores).
     - ``method="bracket"``: for continuous values, where a hot key may have
-      as many distinct values as rows; see :func:`median_count_bracket`.
+      as many distinct values as rows; see :func:`_median_bracket`.
+    - ``method="auto"``: one sketch pass estimates the largest number of
+      distinct values in a group, then "distinct" when it is within
+      ``max_inside``, else "bracket".
 
     ``exact=False`` uses ``percentile_approx`` with ``accuracy``.
     """
@@ -88,10 +91,15 @@ def median_count(df: DataFrame, keys, value, median_name: str = "median",
     cond = _not_null(keys)
     if cond is not None:
         base = base.where(cond)
+    if exact and method == "auto":
+        # one sketch pass: the largest number of distinct values in any group
+        est = (base.groupBy(*_key_cols(keys)).agg(F.approx_count_distinct(F.col(_V), 0.05).alias("d"))
+               .agg(F.max("d")).first()[0]) or 0
+        method = "distinct" if est * 1.1 <= max_inside else "bracket"
     if exact and method == "bracket":
         return _median_bracket(base, keys, median_name, count_name, max_inside)
     if exact and method != "distinct":
-        raise ValueError("method must be 'distinct' or 'bracket'")
+        raise ValueError("method must be 'distinct', 'bracket' or 'auto'")
     if exact:
         pairs = base.groupBy(*_key_cols(keys), F.col(_V)).agg(F.count(F.lit(1)).alias(_N))
         aggs = [F.percentile(F.col(_V), F.lit(0.5), F.col(_N)).alias(median_name)]

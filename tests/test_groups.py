@@ -174,3 +174,11 @@ def test_empty_input_through_groups(spark):
     assert groups.profile_by_features(df, ["n"], "v").count() == 0
     assert groups.group_by_bucket(df, "n", 10, "v").count() == 0
     assert groups.column_means(df, ["v"]).first()[0] is None
+
+
+def test_auto_median_method_picks_by_distinct_values(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 2).cast("string").alias("k"),
+                                     (F.col("id") * 1.5).alias("v"))
+    want = rows(groups.median_count(df, ["k"], "v"), "sorted")
+    assert rows(groups.median_count(df, ["k"], "v", method="auto", max_inside=100), "sorted") == want
+    assert rows(groups.median_count(df, ["k"], "v", method="auto"), "sorted") == want
