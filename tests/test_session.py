@@ -3,8 +3,8 @@ from staylens.session import checkpoint_dir, cut_lineage
 
 
 def test_checkpoint_dir_comes_from_the_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir")
-    assert checkpoint_dir(spark).rstrip("/").endswith(configured.rstrip("/").split("/")[-1])
+    configured = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert configured in checkpoint_dir(spark)  # Spark adds one folder per application
 
 
 def test_cut_lineage_reads_the_written_copy(spark):
