@@ -306,11 +306,11 @@ listings AS (
     CASE WHEN p_type = 'PROMO' THEN 'f' ELSE 't' END AS has_availability,
     CAST(p_size * 7 AS DOUBLE) AS availability_365,
     {_money('floor(p_retailprice) * 10')} AS price,
-    CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS property_type,
+    CASE WHEN p_name NOT LIKE 'new %' THEN p_type END AS property_type,
     split_part(p_name, ' ', 2) AS room_type,
     CAST(floor(p_size / 10.0) AS DOUBLE) AS bedrooms,
     CASE WHEN p_size % 5 <> 0 THEN CAST((p_size % 3) * 0.5 + 1.0 AS DOUBLE) END AS bathrooms,
-    CASE WHEN p_partkey % 10 = 0 THEN CAST(p_size * 100 AS DOUBLE) END AS square_feet,
+    CASE WHEN p_size <= 5 THEN CAST(p_size * 100 AS DOUBLE) END AS square_feet,
 {_REVIEWS_SQL},
     CAST(p_size * 3 AS BIGINT) AS number_of_reviews,
     CAST(p_size % 8 + 1 AS BIGINT) AS accommodates,

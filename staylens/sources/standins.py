@@ -12,8 +12,9 @@ listings (one row per ``part`` row)
     has_availability (type is not PROMO), availability_365 (7 x size),
     price (money text of 10 x the whole-dollar retail price: 100 distinct
     prices, like the few hundred whole-dollar prices of real listings),
-    property_type (type, missing for every 11th key), room_type (second word
-    of the name), bedrooms, bathrooms, square_feet (90% missing), seven
+    property_type (type, missing when the name starts with "new"), room_type
+    (second word of the name), bedrooms, bathrooms, square_feet (present for
+    sizes up to 5: 90% missing), seven
     review scores (each missing for a fifth of the sizes), number_of_reviews,
     accommodates, cleaning_fee, security_deposit, host_response_rate,
     host_acceptance_rate, extra_people, host_verifications (list text),
@@ -53,11 +54,11 @@ _LISTING_EXPRS = [
     "CASE WHEN p_type = 'PROMO' THEN 'f' ELSE 't' END AS has_availability",
     "CAST(p_size * 7 AS DOUBLE) AS availability_365",
     f"{_money('floor(p_retailprice) * 10')} AS price",
-    "CASE WHEN p_partkey % 11 <> 0 THEN p_type END AS property_type",
+    "CASE WHEN p_name NOT LIKE 'new %' THEN p_type END AS property_type",
     "split_part(p_name, ' ', 2) AS room_type",
     "CAST(floor(p_size / 10.0) AS DOUBLE) AS bedrooms",
     "CAST(CASE WHEN p_size % 5 <> 0 THEN (p_size % 3) * 0.5 + 1.0 END AS DOUBLE) AS bathrooms",
-    "CASE WHEN p_partkey % 10 = 0 THEN CAST(p_size * 100 AS DOUBLE) END AS square_feet",
+    "CASE WHEN p_size <= 5 THEN CAST(p_size * 100 AS DOUBLE) END AS square_feet",
     *[_review(j, name) for j, name in enumerate(REVIEW_FEATURES)],
     "CAST(p_size * 3 AS BIGINT) AS number_of_reviews",
     "CAST(p_size % 8 + 1 AS BIGINT) AS accommodates",
