@@ -12,7 +12,7 @@ from staylens.operators import groups
 
 from .test_functions import PY_PATTERN
 
-SETTINGS = settings(max_examples=6, deadline=None,
+SETTINGS = settings(max_examples=6, deadline=None, derandomize=True,
                     suppress_health_check=[HealthCheck.function_scoped_fixture,
                                            HealthCheck.too_slow, HealthCheck.data_too_large])
 
