@@ -59,7 +59,8 @@ def numeric_text_columns(df: DataFrame, cols, tokens=MISSING_TOKENS) -> list[str
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               fmt: str = "csv", tokens=MISSING_TOKENS, infer_rest: bool = True) -> DataFrame:
+               fmt: str = "csv", tokens=MISSING_TOKENS, infer_rest: bool = True,
+               multi_line: bool = True) -> DataFrame:
     """Read a header CSV (or Parquet) file into a typed table.
 
     CSV needs an explicit schema for the columns the analysis relies on:
@@ -67,7 +68,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     level. Columns are matched by header name. Columns the schema does not
     declare come after the declared ones: as doubles when every present value
     is a number (``infer_rest``, one aggregation over the file), else as text.
-    Quoted cells may span lines and use doubled quotes.
+    Quoted cells may span lines and use doubled quotes (``multi_line``, which
+    reads each file in one task; a file known to keep every record on one line
+    can pass ``multi_line=False`` and be split across tasks).
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -88,7 +91,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         spark.read
         .option("header", "true")
         .option("inferSchema", "false")
-        .option("multiLine", "true")
+        .option("multiLine", "true" if multi_line else "false")
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("nullValue", "\u0000")  # keep empty text; clean_text decides

@@ -62,3 +62,18 @@ def test_standin_listings_shape(spark):
     for c in ["id", "neighbourhood_cleansed", "price", "availability_365", "amenities",
               "host_verifications", "square_feet", "review_scores_rating"]:
         assert c in df.columns
+
+
+def test_read_single_line_csv_splits(spark, scratch):
+    path = os.path.join(scratch, "cal.csv")
+    with open(path, "w") as fh:
+        fh.write("listing_id,date,available,price\n")
+        for i in range(2000):
+            fh.write(f"{i},2016-01-04,t,$85.00\n")
+    schema = T.StructType([T.StructField("listing_id", T.LongType()),
+                           T.StructField("date", T.StringType()),
+                           T.StructField("available", T.StringType()),
+                           T.StructField("price", T.StringType())])
+    a = read_table(spark, path, schema)
+    b = read_table(spark, path, schema, multi_line=False)
+    assert sorted(rows(a)) == sorted(rows(b)) and b.count() == 2000
