@@ -1,6 +1,7 @@
 """Run the whole analysis on listing and calendar files: every report, one call.
 
     python -m staylens.plans.run LISTINGS CALENDAR [--out FOLDER] [--fmt csv|parquet]
+                                 [--no-forest] [--single-line]
 
 Without ``--out`` the report tables are shown (first rows); with it each table
 is written as Parquet under ``FOLDER/<report>``. The session comes from the
@@ -46,10 +47,14 @@ def main(argv=None) -> None:
     ap.add_argument("--out")
     ap.add_argument("--fmt", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--no-forest", action="store_true")
+    ap.add_argument("--single-line", action="store_true",
+                    help="CSV records never span lines: split files across tasks")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("staylens").getOrCreate()
-    listings = read_table(spark, args.listings, LISTINGS_SCHEMA, fmt=args.fmt)
-    calendar = read_table(spark, args.calendar, CALENDAR_SCHEMA, fmt=args.fmt)
+    listings = read_table(spark, args.listings, LISTINGS_SCHEMA, fmt=args.fmt,
+                          multi_line=not args.single_line)
+    calendar = read_table(spark, args.calendar, CALENDAR_SCHEMA, fmt=args.fmt,
+                          multi_line=not args.single_line)
     for name, df in all_reports(listings, calendar, forest=not args.no_forest).items():
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
