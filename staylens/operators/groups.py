@@ -201,7 +201,9 @@ def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: s
             break
     else:
         raise RuntimeError("median bracket did not narrow; raise max_inside or max_rounds")
-    side, _small = sized_broadcast(state.select(*kc, "__lo", "__hi"))
+    side, few_keys = sized_broadcast(state.select(*kc, "__lo", "__hi"))
+    # tables with one row per key share the state's (counted) bound
+    per_key = F.broadcast if few_keys else (lambda d: d)
     # one pass: rows below the bracket, inside it (per distinct value) and above it
     pos = F.when(lo.isNotNull() & (v < lo), -1).when(hi.isNotNull() & (v > hi), 1).otherwise(0)
     counts = (rows.join(side, keys).select(*kc, pos.alias("__pos"), v)
@@ -211,17 +213,17 @@ def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: s
     pairs = counts.where(F.col("__pos") == 0).select(*kc, v, "__c")
     w = Window.partitionBy(*kc).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     ranked = pairs.withColumn("__cum", F.sum("__c").over(w))
-    info = state.join(below_df, keys, "left")
+    info = state.join(per_key(below_df), keys, "left")
     info = info.select(*kc, "__total", "__n",
                        (F.col("__ra") - F.coalesce(F.col("__below"), F.lit(0))).alias("__ta"),
                        (F.col("__rb") - F.coalesce(F.col("__below"), F.lit(0))).alias("__tb"))
-    picked = ranked.join(info.select(*kc, "__ta", "__tb"), keys)
+    picked = ranked.join(per_key(info.select(*kc, "__ta", "__tb")), keys)
     first = F.col("__cum") - F.col("__c")
     at_a = (first <= F.col("__ta")) & (F.col("__ta") < F.col("__cum"))
     at_b = (first <= F.col("__tb")) & (F.col("__tb") < F.col("__cum"))
     vals = picked.groupBy(*kc).agg(F.max(F.when(at_a, v)).alias("__va"),
                                    F.max(F.when(at_b, v)).alias("__vb"))
-    out = info.join(vals, keys, "left")
+    out = info.join(per_key(vals), keys, "left")
     median = F.when(F.col("__n") == 0, F.lit(None).cast("double")).when(
         F.col("__va").isNull() | F.col("__vb").isNull(),
         F.raise_error(F.lit("median bracket missed the middle ranks")).cast("double")).otherwise(
