@@ -29,7 +29,8 @@ def daily_vacancy_stream(spark: SparkSession, folder: str, schema: T.StructType
 
 def start_daily_vacancy(spark: SparkSession, folder: str, sink: str, checkpoint: str,
                         fmt: str = "parquet", query_name: str | None = None):
-    """Start the stream into ``sink`` (``memory`` or a ``foreachBatch``-free sink format).
+    """Start the stream into ``sink`` (a sink format that accepts complete output,
+    such as ``memory`` or ``console``) and return the running query.
 
     ``checkpoint`` must be a folder every executor and the driver can reach;
     it holds the offsets and the per-date state, so a restarted query resumes
