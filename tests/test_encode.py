@@ -103,3 +103,13 @@ def test_fit_encoders_equals_separate_fits(spark):
     assert levels.levels == encode.fit_one_hot(df, ["pt", "rt"]).levels
     with pytest.raises(ValueError, match="bound"):
         encode.fit_encoders(df, ["amenities"], ["pt", "rt"], max_vocab=1)
+
+
+def test_empty_input_through_encoders(spark):
+    df = spark.createDataFrame([], "id long, amenities string, pt string")
+    assert encode.phrase_indicators(df, ["amenities"]).columns == ["id", "pt"]
+    out = encode.one_hot(df, ["pt"])
+    assert out.columns == ["id", "amenities"] and out.count() == 0
+    vocab, levels = encode.fit_encoders(df, ["amenities"], ["pt"])
+    assert vocab.phrases == {"amenities": []} and levels.levels == {"pt": []}
+    assert encode.phrase_vocabulary(df, "amenities").count() == 0

@@ -96,3 +96,9 @@ def test_many_price_classes_and_unseen_test_price(spark):
     scores = {r["fold"]: r["r2"] for r in M.r2_score(pred, "price", "predicted", by=["fold"]).collect()}
     assert set(scores) == {"train", "test"}
     assert {r[0] for r in pred.select("predicted").distinct().collect()} <= set(forest.labels)
+
+
+def test_empty_input_through_split_and_score(spark):
+    df = spark.createDataFrame([], "id long, y double, p double")
+    assert M.split_rows(df, "id").count() == 0
+    assert M.r2_score(df, "y", "p", by=["id"]).count() == 0
