@@ -39,10 +39,14 @@ def listing_filter_report(listings: DataFrame, key: str = NB) -> DataFrame:
 
 
 def neighbourhood_stats(filtered: DataFrame, key: str = NB,
-                        metric: str = "availability_365") -> DataFrame:
-    """Listing count and median availability per neighbourhood, one grouping."""
+                        metric: str = "availability_365", method: str = "distinct") -> DataFrame:
+    """Listing count and median availability per neighbourhood, one grouping.
+
+    ``method`` is the exact median method of :func:`groups.median_count`, as in
+    every report below.
+    """
     return groups.median_count(filtered, [key], metric, median_name="median_availability",
-                               count_name="list_count")
+                               count_name="list_count", method=method)
 
 
 def top_listed(filtered: DataFrame, k: int = C.TOP_K, key: str = NB) -> DataFrame:
@@ -168,32 +172,35 @@ def priced(listings: DataFrame, price: str = "price") -> DataFrame:
     return listings.withColumn(price, parse_number(qcol(price)))
 
 
-def price_by_location(listings: DataFrame, k: int = C.TOP_K, key: str = NB) -> DataFrame:
+def price_by_location(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
+                      method: str = "distinct") -> DataFrame:
     """Median price of each top-k most listed neighbourhood, with the overall median."""
     all_priced = priced(listings)
-    overall = groups.total_median(all_priced, "price", "overall_median").first()[0]
+    overall = groups.total_median(all_priced, "price", "overall_median",
+                                  method=method).first()[0]
     top = top_listed(filtered_listings(listings, key), k, key)
-    med = groups.group_median(all_priced, [key], "price", "median_price")
+    med = groups.group_median(all_priced, [key], "price", "median_price", method=method)
     return (members.keep_members(med, key, top)
             .select(qcol(key).alias("neighbourhood"), "median_price",
                     F.lit(overall).cast("double").alias("overall_median"))
             .orderBy(F.desc("median_price"), F.asc("neighbourhood")))
 
 
-def price_by_pair(listings: DataFrame, keys, k: int = C.TOP_K) -> DataFrame:
+def price_by_pair(listings: DataFrame, keys, k: int = C.TOP_K,
+                  method: str = "distinct") -> DataFrame:
     """R4/R5 pattern: median price and count per key pair; the k largest groups by price."""
-    stats = groups.median_count(priced(listings), keys, "price", "price", "count")
+    stats = groups.median_count(priced(listings), keys, "price", "price", "count", method=method)
     return groups.top_k_then_sort(stats, "count", k, "price", keys=keys)
 
 
-def price_by_type(listings: DataFrame, k: int = C.TOP_K) -> DataFrame:
+def price_by_type(listings: DataFrame, k: int = C.TOP_K, method: str = "distinct") -> DataFrame:
     """Property type and room type."""
-    return price_by_pair(listings, ["property_type", "room_type"], k)
+    return price_by_pair(listings, ["property_type", "room_type"], k, method)
 
 
-def price_by_size(listings: DataFrame, k: int = C.TOP_K) -> DataFrame:
+def price_by_size(listings: DataFrame, k: int = C.TOP_K, method: str = "distinct") -> DataFrame:
     """Bedrooms and bathrooms."""
-    return price_by_pair(listings, ["bedrooms", "bathrooms"], k)
+    return price_by_pair(listings, ["bedrooms", "bathrooms"], k, method)
 
 
 def review_filled(listings: DataFrame, features=C.REVIEW_FEATURES,
@@ -202,18 +209,19 @@ def review_filled(listings: DataFrame, features=C.REVIEW_FEATURES,
     return clean.fill_sentinel(priced(listings), {f: sentinel for f in features})
 
 
-def price_by_review(listings: DataFrame, features=C.REVIEW_FEATURES) -> DataFrame:
+def price_by_review(listings: DataFrame, features=C.REVIEW_FEATURES,
+                    method: str = "distinct") -> DataFrame:
     """Median price and count per level of each review feature (one grouping)."""
     prof = groups.profile_by_features(review_filled(listings, features), list(features), "price",
-                                      median_name="price", count_name="count")
+                                      median_name="price", count_name="count", method=method)
     return prof.orderBy("feature", "level")
 
 
 def price_by_reviews_count(listings: DataFrame, width: float = C.REVIEW_BUCKET_WIDTH,
-                           col: str = "number_of_reviews") -> DataFrame:
+                           col: str = "number_of_reviews", method: str = "distinct") -> DataFrame:
     """Median price and count per bucket of the number of reviews (key = midpoint)."""
     out = groups.group_by_bucket(review_filled(listings), col, width, "price",
-                                 median_name="price", count_name="count")
+                                 median_name="price", count_name="count", method=method)
     return out.orderBy(col)
 
 

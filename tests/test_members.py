@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from staylens.operators import groups, members
 from staylens.plans import reports as R
 
+from staylens.sources import standins
+
 from .conftest import SF_SMALL, rows
 
 
@@ -99,3 +101,9 @@ def test_broadcast_limit_follows_session_threshold(spark):
         assert members.sized_broadcast(ids) == (ids, False)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_reports_same_with_bracket_medians(spark):
+    listings = standins.listings(spark, SF_SMALL)
+    for fn in (R.price_by_type, R.price_by_review, R.price_by_reviews_count, R.price_by_location):
+        assert rows(fn(listings), "sorted") == rows(fn(listings, method="bracket"), "sorted"), fn
