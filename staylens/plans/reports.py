@@ -55,30 +55,30 @@ def top_listed(filtered: DataFrame, k: int = C.TOP_K, key: str = NB) -> DataFram
 
 
 def least_available(filtered: DataFrame, k: int = C.TOP_K, key: str = NB,
-                    metric: str = "availability_365") -> DataFrame:
+                    metric: str = "availability_365", method: str = "distinct") -> DataFrame:
     """A2 + T2 + J2: the k neighbourhoods with the lowest median availability, with counts."""
-    return groups.bottom_k(neighbourhood_stats(filtered, key, metric),
+    return groups.bottom_k(neighbourhood_stats(filtered, key, metric, method),
                            "median_availability", k, keys=[key])
 
 
 def popular_both(filtered: DataFrame, k: int = C.TOP_K, key: str = NB,
-                 metric: str = "availability_365") -> DataFrame:
+                 metric: str = "availability_365", method: str = "distinct") -> DataFrame:
     """Neighbourhoods in both top-k lists.
 
     Both lists are ranked from one statistics table, so the plan shuffles the
     listings once (the second use is a reused exchange).
     """
-    stats = neighbourhood_stats(filtered, key, metric)
+    stats = neighbourhood_stats(filtered, key, metric, method)
     top = groups.top_k(stats, "list_count", k, keys=[key])
     least = groups.bottom_k(stats, "median_availability", k, keys=[key])
     return members.common_keys(top, least, key)
 
 
 def popular_neighbourhoods(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
-                           metric: str = "availability_365") -> DataFrame:
+                           metric: str = "availability_365", method: str = "distinct") -> DataFrame:
     """Union of the two top-k lists with their statistics and membership flags."""
     filtered = filtered_listings(listings, key)
-    stats = neighbourhood_stats(filtered, key, metric)
+    stats = neighbourhood_stats(filtered, key, metric, method)
     top = groups.top_k(stats, "list_count", k, keys=[key]).select(key)
     least = groups.bottom_k(stats, "median_availability", k, keys=[key]).select(key)
     out = members.flag_members(stats, key, top, "in_top_listed")
@@ -109,10 +109,10 @@ def daily_vacancy(calendar: DataFrame, date: str = "date", flag: str = "availabl
 
 
 def popular_ids(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
-                metric: str = "availability_365") -> DataFrame:
+                metric: str = "availability_365", method: str = "distinct") -> DataFrame:
     """P5: ids of the filtered listings in neighbourhoods on both top-k lists."""
     filtered = filtered_listings(listings, key)
-    both = popular_both(filtered, k, key, metric)
+    both = popular_both(filtered, k, key, metric, method)
     return members.keep_members(filtered, key, both).select(F.col("id"))
 
 
@@ -151,9 +151,9 @@ def vacancy_side_by_side(calendar: DataFrame, ids: DataFrame, date: str = "date"
 
 def busy_dates(calendar: DataFrame, listings: DataFrame, k: int = C.TOP_K,
                low: float = C.LOW_VACANCY, low_popular: float = C.LOW_VACANCY_POPULAR,
-               key: str = NB) -> DataFrame:
+               key: str = NB, method: str = "distinct") -> DataFrame:
     """R2: daily ratios, all listings and the popular ones, with the low-date flags."""
-    side = vacancy_side_by_side(calendar, popular_ids(listings, k, key))
+    side = vacancy_side_by_side(calendar, popular_ids(listings, k, key, method=method))
     return (side.withColumn("is_low", F.col("vacant_ratio") < F.lit(low))
             .withColumn("is_low_popular",
                         F.coalesce(F.col("vacant_ratio_popular") < F.lit(low_popular), F.lit(False)))

@@ -105,5 +105,6 @@ def test_broadcast_limit_follows_session_threshold(spark):
 
 def test_reports_same_with_bracket_medians(spark):
     listings = standins.listings(spark, SF_SMALL)
-    for fn in (R.price_by_type, R.price_by_review, R.price_by_reviews_count, R.price_by_location):
+    for fn in (R.price_by_type, R.price_by_review, R.price_by_reviews_count, R.price_by_location,
+               R.popular_neighbourhoods):
         assert rows(fn(listings), "sorted") == rows(fn(listings, method="bracket"), "sorted"), fn
