@@ -1,7 +1,7 @@
 """Run the whole analysis on listing and calendar files: every report, one call.
 
     python -m staylens.plans.run LISTINGS CALENDAR [--out FOLDER] [--fmt csv|parquet]
-                                 [--no-forest] [--single-line]
+                                 [--no-forest] [--forest-task classify|regress] [--single-line]
 
 Without ``--out`` the report tables are shown (first rows); with it each table
 is written as Parquet under ``FOLDER/<report>``. The session comes from the
@@ -21,7 +21,7 @@ from . import reports as R
 
 
 def all_reports(listings: DataFrame, calendar: DataFrame, k: int = C.TOP_K,
-                forest: bool = True) -> dict[str, DataFrame]:
+                forest: bool = True, forest_task: str = "classify") -> dict[str, DataFrame]:
     """R1-R8 as named DataFrames (the forest is fitted once when ``forest``)."""
     out = {
         "listing_filter": R.listing_filter_report(listings),
@@ -34,7 +34,7 @@ def all_reports(listings: DataFrame, calendar: DataFrame, k: int = C.TOP_K,
         "price_by_reviews_count": R.price_by_reviews_count(listings),
     }
     if forest:
-        drivers = R.price_drivers(listings)
+        drivers = R.price_drivers(listings, task=forest_task)
         out["price_driver_importance"] = drivers.importance
         out["price_driver_scores"] = drivers.scores
     return out
@@ -47,6 +47,8 @@ def main(argv=None) -> None:
     ap.add_argument("--out")
     ap.add_argument("--fmt", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--no-forest", action="store_true")
+    ap.add_argument("--forest-task", default="classify", choices=["classify", "regress"],
+                    help="prices as classes (as the original) or a regression forest")
     ap.add_argument("--single-line", action="store_true",
                     help="CSV records never span lines: split files across tasks")
     args = ap.parse_args(argv)
@@ -55,7 +57,9 @@ def main(argv=None) -> None:
                           multi_line=not args.single_line)
     calendar = read_table(spark, args.calendar, CALENDAR_SCHEMA, fmt=args.fmt,
                           multi_line=not args.single_line)
-    for name, df in all_reports(listings, calendar, forest=not args.no_forest).items():
+    reports = all_reports(listings, calendar, forest=not args.no_forest,
+                          forest_task=args.forest_task)
+    for name, df in reports.items():
         if args.out:
             df.write.mode("overwrite").parquet(f"{args.out}/{name}")
         else:
