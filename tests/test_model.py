@@ -102,3 +102,10 @@ def test_empty_input_through_split_and_score(spark):
     df = spark.createDataFrame([], "id long, y double, p double")
     assert M.split_rows(df, "id").count() == 0
     assert M.r2_score(df, "y", "p", by=["id"]).count() == 0
+
+
+def test_price_drivers_regression_forest(spark):
+    res = R.price_drivers(standins.listings(spark, SF_SMALL), trees=5, task="regress")
+    assert {r["fold"] for r in res.scores.collect()} == {"train", "test"}
+    assert abs(sum(r["importance"] for r in res.importance.collect()) - 1.0) < 1e-9
+    assert res.forest.labels is None
