@@ -74,6 +74,24 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None,
     return df, False
 
 
+def member_set(members: DataFrame, member_col: str) -> DataFrame:
+    """The distinct member keys as ``__member``, ready for a sized broadcast.
+
+    A set Catalyst cannot bound is written once to the checkpoint folder, so
+    its size check and the join read the same copy instead of computing it
+    twice (without a shared folder it is left as it is).
+    """
+    keys = members.select(qcol(member_col).alias("__member"))
+    if row_bound(keys) is not None:
+        return keys
+    keys = keys.distinct()
+    try:
+        from ..session import cut_lineage
+        return cut_lineage(keys)
+    except RuntimeError:
+        return keys
+
+
 def common_keys(a: DataFrame, b: DataFrame, key: str | None = None,
                 b_key: str | None = None) -> DataFrame:
     """Distinct keys present in both tables (set intersection).
@@ -95,17 +113,14 @@ def keep_members(df: DataFrame, col: str, members: DataFrame, member_col: str |
     NULL never matches, as with ``isin``. The member side is deduplicated by
     the join itself; it is broadcast only behind a size check.
     """
-    member_col = member_col or col
-    right = members.select(qcol(member_col).alias("__member"))
-    right, _ = sized_broadcast(right, max_broadcast_rows)
+    right, _ = sized_broadcast(member_set(members, member_col or col), max_broadcast_rows)
     return df.join(right, qcol(col) == F.col("__member"), "left_semi")
 
 
 def drop_members(df: DataFrame, col: str, members: DataFrame, member_col: str | None = None,
                  max_broadcast_rows: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not among the members (left anti join)."""
-    member_col = member_col or col
-    right = members.select(qcol(member_col).alias("__member")).where(F.col("__member").isNotNull())
+    right = member_set(members, member_col or col).where(F.col("__member").isNotNull())
     right, _ = sized_broadcast(right, max_broadcast_rows)
     return df.where(qcol(col).isNotNull()).join(right, qcol(col) == F.col("__member"), "left_anti")
 
@@ -114,10 +129,10 @@ def flag_members(df: DataFrame, col: str, members: DataFrame, flag: str,
                  member_col: str | None = None,
                  max_broadcast_rows: int | None = None) -> DataFrame:
     """Add boolean ``flag``: is ``col`` among the members. Members must be distinct keys."""
-    member_col = member_col or col
-    right = (members.select(qcol(member_col).alias("__member")).distinct()
-             .withColumn(flag, F.lit(True)))
-    right, _ = sized_broadcast(right, max_broadcast_rows)
+    right = member_set(members, member_col or col)
+    if row_bound(right) is not None:  # a bounded side was not deduplicated yet
+        right = right.distinct()
+    right, _ = sized_broadcast(right.withColumn(flag, F.lit(True)), max_broadcast_rows)
     out = df.join(right, qcol(col) == F.col("__member"), "left").drop("__member")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from .._util import qcol
 from ..functions.numbers import parse_date, parse_number
 from ..operators import clean, encode, groups, members
-from ..session import cut_lineage
 from . import constants as C
 from . import model as M
 
@@ -131,11 +130,7 @@ def vacancy_side_by_side(calendar: DataFrame, ids: DataFrame, date: str = "date"
     cal = _dated(calendar, date)
     # the id set is written once (checkpoint folder): its size check and the
     # calendar pass below both read the copy instead of recomputing it
-    id_set = ids.select(qcol(id_col).alias("__id")).distinct()
-    try:
-        id_set = cut_lineage(id_set)
-    except RuntimeError:  # no shared checkpoint folder: recompute the set instead
-        pass
+    id_set = members.member_set(ids, id_col).withColumnRenamed("__member", "__id")
     right, small = members.sized_broadcast(id_set, max_broadcast_rows)
     avail = F.when(_available(flag), F.lit(1.0)).otherwise(F.lit(0.0))
     if small:
