@@ -117,14 +117,6 @@ def keep_members(df: DataFrame, col: str, members: DataFrame, member_col: str |
     return df.join(right, qcol(col) == F.col("__member"), "left_semi")
 
 
-def drop_members(df: DataFrame, col: str, members: DataFrame, member_col: str | None = None,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
-    """Rows of ``df`` whose ``col`` is not among the members (left anti join)."""
-    right = member_set(members, member_col or col).where(F.col("__member").isNotNull())
-    right, _ = sized_broadcast(right, max_broadcast_rows)
-    return df.where(qcol(col).isNotNull()).join(right, qcol(col) == F.col("__member"), "left_anti")
-
-
 def flag_members(df: DataFrame, col: str, members: DataFrame, flag: str,
                  member_col: str | None = None,
                  max_broadcast_rows: int | None = None) -> DataFrame:
