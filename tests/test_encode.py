@@ -113,3 +113,9 @@ def test_empty_input_through_encoders(spark):
     vocab, levels = encode.fit_encoders(df, ["amenities"], ["pt"])
     assert vocab.phrases == {"amenities": []} and levels.levels == {"pt": []}
     assert encode.phrase_vocabulary(df, "amenities").count() == 0
+
+
+def test_phrase_vector_bound_is_an_error(spark):
+    df = spark.createDataFrame([(1, "{a,b,c}"), (2, "{d}")], "id long, s string")
+    with pytest.raises(ValueError, match="max_vocab"):
+        encode.phrase_vector(df, "s", "v", max_vocab=3)
