@@ -130,8 +130,9 @@ def missing_report(df: DataFrame, cols=None) -> DataFrame:
         F.count(F.lit(1)).alias("__total"),
         *[F.count_if(~_present(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)],
     )
-    pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', `__m{i}`" for i, c in enumerate(cols))
-    return wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, missing)", "__total AS total")
+    pairs = [x for i, c in enumerate(cols) for x in (F.lit(c), F.col(f"__m{i}"))]
+    return wide.select(F.stack(F.lit(len(cols)), *pairs).alias("column", "missing"),
+                       F.col("__total").alias("total"))
 
 
 def fill_sentinel(df: DataFrame, values: dict) -> DataFrame:

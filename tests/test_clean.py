@@ -129,3 +129,13 @@ def test_filter_report_with_equalities(listings):
 def test_drop_counts(listings):
     assert clean.drop_counts(listings, ["nb", "v", "zipcode"]) == \
         {"requested": 3, "dropped": 2, "remaining": 3}
+
+
+def test_missing_report_keeps_odd_column_names(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("it's", T.DoubleType()),
+                           T.StructField("back\\\\slash", T.DoubleType())])
+    df = spark.createDataFrame([(None, 2.0)], schema)
+    got = {r["column"]: r["missing"] for r in clean.missing_report(df).collect()}
+    assert got == {"it's": 1, "back\\\\slash": 0}
