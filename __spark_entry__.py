@@ -26,6 +26,11 @@ from staylens.plans import model as M  # noqa: E402
 from staylens.plans import reports as R  # noqa: E402
 from staylens.sources import preview, standins  # noqa: E402
 
+try:  # the training-data operators are an optional subpackage
+    from staylens.llm import queries as training_data  # noqa: E402
+except ImportError:
+    training_data = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 NB = R.NB
 
@@ -283,6 +288,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "price_drivers": _q_price_drivers,
         "price_driver_scores": _q_price_driver_scores,
         "price_driver_top": _q_price_driver_top,
+        **(training_data.queries() if training_data else {}),
     }
 
 
@@ -577,4 +583,5 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT date, vacant_ratio, vacant_ratio_popular, vacant_ratio < {C.LOW_VACANCY} AS is_low, "
             f"COALESCE(vacant_ratio_popular < {C.LOW_VACANCY_POPULAR}, false) AS is_low_popular "
             "FROM side"),
+        **(training_data.oracle_sql() if training_data else {}),
     }
