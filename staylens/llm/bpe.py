@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from staylens.llm.common import annotate, free_name
+from staylens.llm.common import annotate, free_name, share
 
 #: Matches and words whose ids a task remembers at most (each).
 MEMORY = 250_000
@@ -143,10 +143,10 @@ class Codec:
 
 
 def _starter(spark: SparkSession, path: str, pattern: str, work):
-    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    ranks = share(spark, read_ranks(path))
 
     def start():
-        codec = Codec(ranks.value, pattern)
+        codec = Codec(ranks(), pattern)
         return lambda texts: [work(codec, t) for t in texts]
     return start
 
@@ -173,13 +173,11 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "text") ->
     from pyspark.sql import functions as F
     import pandas as pd
 
-    ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(path))
+    ranks = share(tokens.sparkSession, read_ranks(path))
 
     @F.pandas_udf("string")
     def text_of(column: pd.Series) -> pd.Series:
-        table = [b""] * (max(ranks.value.values()) + 1)
-        for token, r in ranks.value.items():
-            table[r] = token
+        table = {r: token for token, r in ranks().items()}
         return column.map(lambda x: "" if x is None else
                           b"".join(table[i] for i in x).decode("utf-8", "replace"))
 

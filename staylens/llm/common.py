@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -49,6 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcasts ``value``; returns the function by which a task gets it. The caller
+    states what bounds its size."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(packed.value)
+
+
 def annotate(df: DataFrame, text: str, out: str, ddl: str, start: Callable[[], Callable],
              keep: Iterable[str] | None = None, binary: bool = True) -> DataFrame:
     """``keep`` columns (default: all) and a struct column ``out`` made from ``text``.

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staylens._util import qcol
-from staylens.llm.common import annotate, folded_words, free_name
+from staylens.llm.common import annotate, folded_words, free_name, share
 
 WINDOW = 13
 MAX_BLOCK_WORDS = 2_000_000
@@ -173,15 +173,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key:
     One pass over the documents per block of items. The first block's pass carries the
     columns; further blocks run on the previous pass's rows, so nothing is joined.
     """
-    sc = docs.sparkSession.sparkContext
     name = free_name("bench_", docs)
     base = list(docs.columns if keep is None else keep)
     out, made = None, []
     for block in _blocks(benchmark, item_key, item_text, max_block_words):
-        shared = sc.broadcast(SuffixAutomaton(block, window))
+        shared = share(docs.sparkSession, SuffixAutomaton(block, window))  # max_block_words words
 
         def start(shared=shared):
-            machine = shared.value
+            machine = shared()
 
             def work(texts):
                 rows = []

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, decontaminate, minhash, quality_rules, secret_scan
+from staylens.llm import (bpe, chat_format, decontaminate, html_text, importance, license_scan, lm_score,
+                          minhash, quality_rules, secret_scan)
 from staylens.llm.common import hex_sha256, table
 
 
@@ -23,6 +24,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"{c}.{n}" for n in (*quality_rules.BASE, "base_failed", "kept", "rule")])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, c = license_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    finds = F.transform(F.col(f"{c}.finds"), lambda f: F.concat_ws(
+        ":", f["license"], f["start"].cast("string"), f["end"].cast("string")))
+    return out.select("doc_id", f"{c}.n_licenses", f"{c}.licenses", f"{c}.best", f"{c}.coverage",
+                      F.array_join(finds, ",").alias("finds"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.format_turns(rows))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, c = html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", f"{c}.text", f"{c}.n_chars", f"{c}.n_lines")
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, c = secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     spans = F.col(c)
@@ -48,6 +74,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         v["contaminated"].alias("contaminated"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out, c = lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", *[f"{c}.{n}" for n in ("n_words", "target_loss", "background_loss", "difference")])
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, c = bpe.round_trip(table(spark, sf_dir, "documents"), **tokenizer(), keep=["doc_id"])
     return out.select("doc_id", f"{c}.n_tokens", f"{c}.ids_sha256", f"{c}.decoded_sha256")
@@ -64,8 +96,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op6_secret_scan, op7_decontaminate, op9_byte_bpe,
-                                    op10_minhash_dedup, pipeline)}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op2_license_scan, op3_chat_format, op4_html_text, op5_importance_resampling,
+        op6_secret_scan, op7_decontaminate, op8_lm_score, op9_byte_bpe, op10_minhash_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
