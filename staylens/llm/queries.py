@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm import (bpe, chat_format, decontaminate, html_text, importance, license_scan, lm_score,
-                          minhash, quality_rules, secret_scan)
+                          minhash, oracles, quality_rules, secret_scan)
 from staylens.llm.common import hex_sha256, table
 
 
@@ -102,4 +102,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": oracles.OP3, "op6_secret_scan": oracles.OP6, "op7_decontaminate": oracles.OP7}
