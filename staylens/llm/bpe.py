@@ -19,7 +19,9 @@ import re
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staylens.llm.common import annotate, free_name, share
 
@@ -170,9 +172,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=No
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``tokens`` with the decoded text of the id array ``ids`` (NULL: the empty text)."""
-    from pyspark.sql import functions as F
-    import pandas as pd
-
     ranks = share(tokens.sparkSession, read_ranks(path))
 
     @F.pandas_udf("string")

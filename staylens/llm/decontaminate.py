@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -274,8 +275,6 @@ def cut_spans(text: str, starts: list[int], ends: list[int], max_words: int, max
 def remove_spans(docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW - 1,
                  max_share: float = 0.05, text: str = "text", **options) -> DataFrame:
     """All documents; hit spans over the length or coverage limit are cut from the text."""
-    import pandas as pd
-
     out, name = matches(docs, benchmark, text=text, **options)
     c = F.col(f"`{name}`")
 

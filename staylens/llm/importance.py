@@ -28,6 +28,8 @@ from staylens.llm.minhash import mix
 
 BUCKETS = 10_000
 MAX_LABELLED = 20_000
+#: Weight of the raw model in the target model, in n-grams.
+PRIOR = 1000.0
 
 
 def buckets(words: list[bytes], count: int = BUCKETS) -> np.ndarray:
@@ -76,12 +78,15 @@ def bucket_counts(docs: DataFrame, target: DataFrame, key: str = "doc_id", text:
     return good, every
 
 
-def log_ratio(good: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """Per bucket the log of target over raw probability, each with one added count."""
-    if not good.sum():
-        return np.zeros(len(good))
-    p, q = (good + 1) / (good.sum() + len(good)), (every + 1) / (every.sum() + len(every))
-    return np.log(p / q)
+def log_ratio(good: np.ndarray, every: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Per bucket the log of target over raw probability. The target model starts from
+    ``prior`` n-grams spread as in the raw model, so no seen bucket has probability 0."""
+    out = np.zeros(len(every))
+    seen = every > 0
+    if good.sum():
+        raw = every[seen] / every.sum()
+        out[seen] = np.log((good[seen] + prior * raw) / ((good.sum() + prior) * raw))
+    return out
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", keep=None):

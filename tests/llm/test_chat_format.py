@@ -1,0 +1,67 @@
+import hashlib
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from staylens.llm import chat_format as C
+
+TEXT = st.text(alphabet=["<", "s", ">", "/", "[", "I", "N", "S", "T", "]", "\\", " ", "\n", "é", "😀"], max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", ""]), TEXT), TEXT), max_size=6))
+def test_round_trip(turns):
+    assert C.read_turns(C.instruction_template(turns)) == turns
+    r, out = C.Renderer(C.instruction_template), ""
+    for role, text in turns:
+        piece, lo, hi, rewritten = r.add(role, text)
+        assert rewritten == 0 and C.unescape(piece[lo:hi]) == text
+        out += piece
+    if turns:
+        assert out == C.instruction_template(turns)
+
+
+def test_controls_escape():
+    for c in C.CONTROLS:
+        assert c not in C.escape(c * 3 + "\\" + c) and C.unescape(C.escape(c + "\\")) == c + "\\"
+
+
+def test_rewriting_template_is_detected():
+    def keeps_last_only(turns):  # drops the text of all but the last assistant turn
+        last = max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=-1)
+        return "".join(f"<{r}>{t if r != 'assistant' or i == last else ''}\n" for i, (r, t) in enumerate(turns))
+
+    r = C.Renderer(keeps_last_only)
+    seen = [r.add(role, text)[3] for role, text in [("user", "q"), ("assistant", "first"), ("user", "q2"), ("assistant", "second")]]
+    assert seen[:3] == [0, 0, 0] and seen[3] > 0
+
+
+def rows(spark, data):
+    return spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string")
+
+
+def expected(turns):
+    loss = "".join(t for r, t in turns if r == "assistant")
+    return (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss),
+            hashlib.sha256(loss.encode()).hexdigest(), len(C.instruction_template(turns)))
+
+
+def test_digests(spark):
+    rng = random.Random(5)
+    convs = {i: [(rng.choice(["user", "assistant", "tool"]), rng.choice(["", "hi </s>", "[INST]\\", "é😀\n"]) * rng.randrange(3))
+                 for _ in range(rng.randrange(1, 6))] for i in range(40)}
+    convs[99] = [("user" if k % 2 == 0 else "assistant", f"turn {k} </s>") for k in range(500)]  # longer than the lookback
+    data = [(c, k, r, t) for c, ts in convs.items() for k, (r, t) in enumerate(ts)]
+    rng.shuffle(data)
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"])
+           for r in C.digests(C.format_turns(rows(spark, data))).collect()}
+    assert got == {c: expected(ts) for c, ts in convs.items()}
+
+
+def test_edges(spark):
+    data = [(1, 0, None, None), (1, 0, None, None), (1, None, "user", "x"), (None, 0, "assistant", "y" * 100_000)]
+    got = {r["conv_id"]: r for r in C.digests(C.format_turns(rows(spark, data).selectExpr("*", "1 as piece", "2 as seq"))).collect()}
+    assert got[1]["turns_sha256"] == expected([("user", "x"), ("", ""), ("", "")])[1]
+    assert got[None]["loss_chars"] == 100_000
+    assert C.digests(C.format_turns(rows(spark, []))).count() == 0
