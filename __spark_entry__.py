@@ -13,18 +13,20 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from staylens.functions.numbers import parse_number  # noqa: E402
+from staylens.functions.numbers import parse_date, parse_number  # noqa: E402
 from staylens.functions.phrases import PHRASE_PATTERN_RE2  # noqa: E402
-from staylens.operators import clean, encode, groups  # noqa: E402
+from staylens.operators import clean, encode, groups, members  # noqa: E402
 from staylens.plans import constants as C  # noqa: E402
 from staylens.plans import model as M  # noqa: E402
 from staylens.plans import reports as R  # noqa: E402
-from staylens.sources import preview, standins  # noqa: E402
+from staylens.sources import preview, standins, tables  # noqa: E402
 
 try:  # the training-data operators are an optional subpackage
     from staylens.llm import queries as training_data  # noqa: E402
@@ -175,17 +177,24 @@ def _q_phrases_long(spark, d):
 
 
 def _q_phrase_vocabulary(spark, d):
-    return encode.phrase_vocabulary(_documents(spark, d), "text")
+    return encode.phrase_vocabulary(_documents(spark, d), "text", key="doc_id")
+
+
+def _long(df, key: str, names=None):
+    """(key, feature, value): the made columns as rows, so that no name is typed in."""
+    names = names or [c for c in df.columns if c != key]
+    wide = df.select(key, *[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+    return wide.unpivot([key], names, "feature", "value")
 
 
 def _q_phrase_indicators(spark, d):
     df = _listings(spark, d).select("id", *C.PHRASE_FEATURES)
-    return encode.phrase_indicators(df, list(C.PHRASE_FEATURES))
+    return _long(encode.phrase_indicators(df, list(C.PHRASE_FEATURES)), "id")
 
 
 def _q_one_hot(spark, d):
     df = _listings(spark, d).select("id", "property_type", "room_type")
-    return encode.one_hot(df, ["property_type", "room_type"])
+    return _long(encode.one_hot(df, ["property_type", "room_type"]), "id")
 
 
 _SPARSE_CANDIDATES = ["bathrooms", "square_feet", "review_scores_rating", "availability_365"]
@@ -193,7 +202,7 @@ _SPARSE_CANDIDATES = ["bathrooms", "square_feet", "review_scores_rating", "avail
 
 def _q_drop_sparse(spark, d):
     df = _listings(spark, d).select("id", *_SPARSE_CANDIDATES)
-    return clean.drop_sparse(df, C.SPARSE_SHARE, _SPARSE_CANDIDATES)
+    return _long(clean.drop_sparse(df, C.SPARSE_SHARE, _SPARSE_CANDIDATES), "id")
 
 
 _IMPUTE = ["bathrooms", "square_feet", "review_scores_rating", "number_of_reviews"]
@@ -230,21 +239,138 @@ def _q_report_busy_dates(spark, d):
 
 def _q_price_features(spark, d):
     table, feats = R.price_features(_listings(spark, d))
-    wide = table.select("id", *[F.col(f"`{c}`").cast("double").alias(c) for c in feats])
-    long = wide.unpivot(["id"], feats, "feature", "value")
+    long = _long(table, "id", feats)
     return long.select("id", "feature", F.round("value", 6).alias("value"))
 
 
+def _q_assembled_features(spark, d):
+    """M1: the vector's slots, read back by position."""
+    table, names, _ = R.price_vectors(_listings(spark, d))
+    slots = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+    long = table.select("id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return long.join(slots, "slot").select("id", "feature", F.round("value", 6).alias("value"))
+
+
+def _q_vacancy_series(spark, d):
+    """J1 + J3 on a large id set: two daily series aligned on the date."""
+    ids = _listings(spark, d).where("accommodates > 2").select("id")
+    return R.vacancy_series(_calendar(spark, d), ids.unionByName(ids))
+
+
+def _q_grouped_median(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    return groups.median_count(lines, ["l_returnflag"], "l_extendedprice", "median", "count")
+
+
+def _q_total_median(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    return groups.total_median(lines, "l_extendedprice", "median")
+
+
+def _q_size_price_nan(spark, d):
+    """R5 with NaN in place of NULL: a NaN key is no group."""
+    nan = F.lit(float("nan"))
+    df = _listings(spark, d).withColumns({c: F.coalesce(c, nan) for c in ("bedrooms", "bathrooms")})
+    return R.price_by_size(df)
+
+
+_TEXT_PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()),
+                           T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DoubleType())])
+
+
+def _q_typed_part(spark, d):
+    """Columns that come as text, with missing tokens among them, get their types."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    text = part.select(*[F.col(c).cast("string").alias(c) for c in _TEXT_PART.names])
+    return tables.typed(text.withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, "N/A").otherwise(F.col("p_size"))),
+                        _TEXT_PART)
+
+
+def _q_parsed_dates(spark, d):
+    """date text, a third of it malformed."""
+    text = F.when(F.col("listing_id") % 3 == 0, F.lit("no date")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    days = _calendar(spark, d).select(parse_date(text).alias("date"))
+    return days.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _q_split_target(spark, d):
+    """Target and features apart, joined again on the key."""
+    df = _listings(spark, d).select("id", "price", "accommodates", "bedrooms")
+    target, features = clean.split_target(df, "price", "id")
+    return target.join(features, "id").select("id", "price", "accommodates", "bedrooms")
+
+
+def _q_with_names(spark, d):
+    return clean.with_names(groups.value_counts(_filtered(spark, d), NB), ["place", "listings"])
+
+
+def _q_sorted_stats(spark, d):
+    """T4: the place of each row in the sorted result."""
+    done = groups.sort_rows(R.neighbourhood_stats(_filtered(spark, d)), "median_availability", True, [NB])
+    order = Window.orderBy(F.monotonically_increasing_id())  # one row per neighbourhood
+    return done.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+def _q_lookup(spark, d):
+    """J2 with A2: the median of each group beside its count."""
+    filtered = _filtered(spark, d)
+    counts = groups.value_counts(filtered, NB, "list_count")
+    return members.lookup(counts, groups.group_median(filtered, [NB], "availability_365"), NB)
+
+
+def _q_calendar_span(spark, d):
+    """Distinct listings, first and last date."""
+    cal = _calendar(spark, d)
+    both = groups.distinct_count(cal, "listing_id", "listings").join(groups.date_range(cal, "date"))
+    return both.select("listings", "first", "last")
+
+
+def _q_unparsable_prices(spark, d):
+    df = _listings(spark, d).withColumn("price", F.when(F.col("id") % 5 == 0, F.lit("ask")).when(
+        F.col("id") % 5 == 1, F.lit(None)).otherwise(F.col("price")))
+    return R.unparsable_prices(df)
+
+
+def _q_top_means(spark, d):
+    """M6 and M7 on the vector of the column means."""
+    means = groups.column_means(_listings(spark, d), _MEANS).first()
+    top = M.top_importance(M.importance_table([means[c] for c in _MEANS], _MEANS, spark), 5)
+    return top.select("feature", F.round("importance", 6).alias("importance"))
+
+
+def _q_forest_recovers(spark, d):
+    """M3 and M4: one feature that fixes the label; every label comes back."""
+    df = _listings(spark, d).select("id", "accommodates", (F.col("accommodates") * 10.0).alias("price"))
+    vec = M.assemble(df, ["accommodates"])
+    forest = M.fit_forest(vec, "features", "price", trees=20, depth=6, key="id")
+    return forest.predict(vec).select("id", "price", "predicted")
+
+
+def _drivers(spark, d):
+    return R.price_drivers(_listings(spark, d))
+
+
+def _q_price_driver_checks(spark, d):
+    """R8 as one row of what must hold for any forest."""
+    out = _drivers(spark, d)
+    folds = out.predictions.agg(
+        F.count_if(F.col("fold") == "train").alias("train_rows"), F.count_if(F.col("fold") == "test").alias("test_rows"))
+    known = out.predictions.where("fold = 'train'").select(F.col("price").alias("predicted")).distinct()
+    unknown = out.predictions.join(known, "predicted", "left_anti").agg(F.count(F.lit(1)).alias("unknown_predictions"))
+    total = out.importance.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("importance_sum"))
+    return total.join(folds).join(unknown)  # three one-row tables
+
+
 def _q_price_drivers(spark, d):
-    return R.price_drivers(_listings(spark, d)).importance
+    return _drivers(spark, d).importance
 
 
 def _q_price_driver_top(spark, d):
-    return M.top_importance(R.price_drivers(_listings(spark, d)).importance, C.TOP_K)
+    return M.top_importance(_drivers(spark, d).importance, C.TOP_K)
 
 
 def _q_price_driver_scores(spark, d):
-    return R.price_drivers(_listings(spark, d)).scores
+    return _drivers(spark, d).scores
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -288,6 +414,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "price_drivers": _q_price_drivers,
         "price_driver_scores": _q_price_driver_scores,
         "price_driver_top": _q_price_driver_top,
+        "assembled_features": _q_assembled_features,
+        "vacancy_series": _q_vacancy_series,
+        "grouped_median": _q_grouped_median,
+        "total_median": _q_total_median,
+        "size_price_nan": _q_size_price_nan,
+        "typed_part": _q_typed_part,
+        "parsed_dates": _q_parsed_dates,
+        "split_target": _q_split_target,
+        "with_names": _q_with_names,
+        "sorted_stats": _q_sorted_stats,
+        "lookup": _q_lookup,
+        "calendar_span": _q_calendar_span,
+        "unparsable_prices": _q_unparsable_prices,
+        "top_means": _q_top_means,
+        "forest_recovers": _q_forest_recovers,
+        "price_driver_checks": _q_price_driver_checks,
         **(training_data.queries() if training_data else {}),
     }
 
@@ -311,7 +453,7 @@ listings AS (
     CASE WHEN p_size > 10 THEN 't' ELSE 'f' END AS is_location_exact,
     CASE WHEN p_type = 'PROMO' THEN 'f' ELSE 't' END AS has_availability,
     CAST(p_size * 7 AS DOUBLE) AS availability_365,
-    {_money('floor(p_retailprice) * 10')} AS price,
+    {_money('p_retailprice * 10')} AS price,
     CASE WHEN p_name NOT LIKE 'new %' THEN p_type END AS property_type,
     split_part(p_name, ' ', 2) AS room_type,
     CAST(floor(p_size / 10.0) AS DOUBLE) AS bedrooms,
@@ -390,35 +532,33 @@ def _parse_sql(col: str) -> str:
     return f"TRY_CAST(regexp_replace({col}, '[^0-9.]', '', 'g') AS DOUBLE)"
 
 
-# Expected vocabulary of the stand-in list columns (built from the part names
-# and types of the driver's tables).
-_VOCAB = {
-    "host_verifications": ["economy", "email", "large", "medium", "promo", "small", "standard"],
-    "amenities": ["anvil", "blue", "bolt", "cold", "economy", "gear", "gizmo", "hot", "large",
-                  "medium", "new", "old", "plate", "promo", "red", "ring", "rod", "small",
-                  "standard", "widget"],
-}
-_LEVELS = {
-    "property_type": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
-    "room_type": ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"],
-}
-
-
 def _indicator_sql() -> str:
-    cols = []
-    for col, words in _VOCAB.items():
-        for w in words:
-            cols.append(f"CAST(list_contains({_phrases_sql(col)}, '{w}') AS INTEGER) AS \"{col}-{w}\"")
-    return "SELECT id, " + ", ".join(cols) + " FROM listings"
+    """Every phrase that occurs, as a feature of every listing."""
+    pairs = " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest({_phrases_sql(c)}) AS phrase FROM listings"
+                               for c in C.PHRASE_FEATURES)
+    return f""", pairs AS (SELECT DISTINCT id, col, phrase FROM ({pairs})),
+vocab AS (SELECT DISTINCT col, phrase FROM pairs)
+SELECT b.id, v.col || '-' || v.phrase AS feature, CASE WHEN p.id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS value
+FROM listings b CROSS JOIN vocab v LEFT JOIN pairs p ON p.id = b.id AND p.col = v.col AND p.phrase = v.phrase"""
 
 
 def _one_hot_sql() -> str:
-    cols = []
-    for col, levels in _LEVELS.items():
-        for lv in levels[1:]:
-            cols.append(f"CAST(COALESCE({col} = '{lv}', false) AS INTEGER) AS \"{col}_{lv}\"")
-        cols.append(f"CAST({col} IS NULL AS INTEGER) AS \"{col}_nan\"")
-    return "SELECT id, " + ", ".join(cols) + " FROM listings"
+    """Every level but the first of its column, and the missing level."""
+    pairs = " UNION ALL ".join(f"SELECT id, '{c}' AS col, {c} AS level FROM listings"
+                               for c in ("property_type", "room_type"))
+    return f""", pairs AS ({pairs}),
+levels AS (SELECT DISTINCT col, level FROM pairs p WHERE level > (SELECT min(level) FROM pairs q WHERE q.col = p.col))
+SELECT id, p.col || '_' || l.level AS feature, CASE WHEN p.level = l.level THEN 1.0 ELSE 0.0 END::DOUBLE AS value
+FROM pairs p JOIN levels l ON p.col = l.col
+UNION ALL SELECT id, col || '_nan', CASE WHEN level IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE FROM pairs"""
+
+
+def _drop_sparse_sql() -> str:
+    pairs = " UNION ALL ".join(f"SELECT id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM listings"
+                               for c in _SPARSE_CANDIDATES)
+    return f""", pairs AS ({pairs}),
+kept AS (SELECT feature FROM pairs GROUP BY feature HAVING count(value) >= floor({C.SPARSE_SHARE} * count(*)))
+SELECT id, feature, value FROM pairs WHERE feature IN (SELECT feature FROM kept)"""
 
 
 def _missing_sql() -> str:
@@ -546,6 +686,10 @@ def oracle_sql() -> dict[str, str]:
             "SELECT bedrooms, bathrooms, median(price) AS price, count(*) AS count FROM priced "
             "WHERE bedrooms IS NOT NULL AND bathrooms IS NOT NULL GROUP BY bedrooms, bathrooms "
             f"ORDER BY count DESC, bedrooms, bathrooms LIMIT {C.TOP_K}"),
+        "size_price_nan": _sql(
+            "SELECT bedrooms, bathrooms, median(price) AS price, count(*) AS count FROM priced "
+            "WHERE bedrooms IS NOT NULL AND bathrooms IS NOT NULL GROUP BY bedrooms, bathrooms "
+            f"ORDER BY count DESC, bedrooms, bathrooms LIMIT {C.TOP_K}"),
         "sentinel_groups": _sql(
             "SELECT CAST(COALESCE(review_scores_rating, -1) AS DOUBLE) AS review_scores_rating, "
             "median(price) AS price, count(*) AS count FROM priced GROUP BY 1"),
@@ -562,7 +706,7 @@ def oracle_sql() -> dict[str, str]:
             "GROUP BY phrase"),
         "phrase_indicators": _sql(_indicator_sql()),
         "one_hot": _sql(_one_hot_sql()),
-        "drop_sparse": _sql("SELECT id, bathrooms, review_scores_rating, availability_365 FROM listings"),
+        "drop_sparse": _sql(_drop_sparse_sql()),
         "impute_mean": _sql(f"SELECT id, {imputed} FROM listings"),
         "drop_columns": _sql("SELECT * EXCLUDE (id, name) FROM listings"),
         "split_rows": _sql(f"SELECT id, {fold} AS fold FROM listings"),
@@ -573,6 +717,44 @@ def oracle_sql() -> dict[str, str]:
             "SELECT fold, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 "
             "FROM j GROUP BY fold"),
         "price_features": _sql(_price_features_sql()),
+        "assembled_features": _sql(_price_features_sql()),
+        "vacancy_series": _sql(
+            f", sub AS (SELECT date, {daily_bin} AS vacant_ratio_popular FROM calendar WHERE date IS NOT NULL "
+            "AND listing_id IN (SELECT id FROM listings WHERE accommodates > 2) GROUP BY date) "
+            "SELECT date, vacant_ratio, vacant_ratio_popular FROM daily LEFT JOIN sub USING (date)"),
+        "grouped_median": (
+            "SELECT l_returnflag, median(CAST(l_extendedprice AS DOUBLE)) AS median, count(*) AS count FROM lineitem "
+            "WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag"),
+        "total_median": "SELECT median(CAST(l_extendedprice AS DOUBLE)) AS median FROM lineitem",
+        "typed_part": (
+            "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, CAST(CASE WHEN p_partkey % 7 <> 0 THEN p_size END "
+            "AS INTEGER) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part"),
+        "parsed_dates": _sql(
+            "SELECT CASE WHEN listing_id % 3 <> 0 THEN date END AS date, count(*) AS rows FROM calendar GROUP BY 1"),
+        "split_target": _sql("SELECT id, price, accommodates, bedrooms FROM listings"),
+        "with_names": _sql(f"SELECT {nb} AS place, count(*) AS listings FROM filtered GROUP BY {nb}"),
+        "sorted_stats": _sql(
+            f"SELECT {nb}, list_count, median_availability, row_number() OVER "
+            f"(ORDER BY median_availability DESC NULLS LAST, {nb}) AS place FROM stats"),
+        "lookup": _sql(f"SELECT {nb}, list_count, median_availability AS median FROM stats"),
+        "calendar_span": _sql(
+            "SELECT count(DISTINCT listing_id) AS listings, min(date) AS first, max(date) AS last FROM calendar"),
+        "unparsable_prices": _sql(
+            "SELECT count(*) AS rows, count(*) FILTER (id % 5 = 1) AS missing, "
+            "count(*) FILTER (id % 5 = 0) AS unparsable FROM listings"),
+        "top_means": _sql(
+            ", means AS (" + " UNION ALL ".join(
+                f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS importance FROM listings" for c in _MEANS)
+            + ") SELECT feature, importance FROM means ORDER BY importance DESC, feature LIMIT 5"),
+        "forest_recovers": _sql(
+            "SELECT id, accommodates * 10.0::DOUBLE AS price, accommodates * 10.0::DOUBLE AS predicted FROM listings"),
+        "price_driver_checks": _sql(
+            _price_features_sql().replace("SELECT id, feature, value FROM num_out", ", long AS (SELECT id, feature, value FROM num_out")
+            + f""")
+SELECT (SELECT count(DISTINCT feature) FROM long) AS features, 1.0::DOUBLE AS importance_sum,
+  (SELECT count(*) FROM (SELECT {fold} AS fold FROM fbase) WHERE fold = 'train') AS train_rows,
+  (SELECT count(*) FROM (SELECT {fold} AS fold FROM fbase) WHERE fold = 'test') AS test_rows,
+  0::BIGINT AS unknown_predictions"""),
         "report_popular_neighbourhoods": _sql(
             f"SELECT s.{nb} AS neighbourhood, s.list_count, s.median_availability, "
             f"t.{nb} IS NOT NULL AS in_top_listed, l.{nb} IS NOT NULL AS in_least_available, "

@@ -41,7 +41,7 @@ def require_columns(df: DataFrame, names: Iterable[str], what: str = "column") -
 
 def nan_to_null(c) -> Column:
     """NaN -> NULL for floating columns, so averages and medians skip it."""
-    c = as_col(c)
+    c = qcol(c) if isinstance(c, str) else c
     return F.when(~F.isnan(c), c)
 
 
@@ -77,17 +77,15 @@ def unique_names(prefix: str, values: Sequence, sep: str = "_",
     return out
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Spread rows over all task slots before CPU-heavy per-row work.
+def is_present(df: DataFrame, name: str) -> Column:
+    """Neither NULL nor (in a floating column) NaN."""
+    c = qcol(name)
+    floating = df.schema[name].dataType.typeName() in ("double", "float")
+    return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
 
-    Only when the input has fewer partitions than slots (a few large files): a
-    round-robin repartition then lets every core run the expensive expression.
-    An input that already has at least one partition per slot, as any large
-    table has, is returned unchanged (no shuffle).
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # partitions not inspectable here: leave the plan as it is
-        return df
-    return df.repartition(slots) if parts < slots else df
+
+def spread(df: DataFrame, key: str | None, partitions: int | None) -> DataFrame:
+    """Rows dealt out evenly before CPU-heavy work: by a hash of ``key`` (round robin
+    without one) to ``partitions``, by default the session's shuffle partitions."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, qcol(key)) if key else df.repartition(n)

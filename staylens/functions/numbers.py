@@ -18,6 +18,7 @@ from .._util import as_col
 # Fixed value: characters kept by the number parse (digits and the dot);
 # everything else, the minus sign included, is removed before the cast.
 NON_NUMERIC = "[^0-9.]"
+NUMERIC_TYPES = "^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
 
 
 @functools.lru_cache(maxsize=1)
@@ -41,11 +42,14 @@ def parse_number(c) -> Column:
     Decimal digits of any script count as digits (mapped to ASCII first);
     everything but digits and dots is removed. Unparsable text (empty after
     stripping, several dots) becomes NULL instead of failing the job; NULL
-    stays NULL.
+    stays NULL. A column that is numeric already passes through as double.
     """
     src, dst = _decimal_digits()
-    ascii_digits = F.translate(as_col(c), src, dst)
-    return F.regexp_replace(ascii_digits, NON_NUMERIC, "").try_cast("double")
+    c = as_col(c)
+    ascii_digits = F.translate(c.cast("string"), src, dst)
+    text = F.regexp_replace(ascii_digits, NON_NUMERIC, "").try_cast("double")
+    # the type is known when the plan is analysed, so only one branch is left
+    return F.when(F.typeof(c).rlike(NUMERIC_TYPES), c.try_cast("double")).otherwise(text)
 
 
 def unparsable(c) -> Column:
@@ -63,7 +67,9 @@ def bucket_midpoint(c, width: float) -> Column:
     """Midpoint of the bucket holding ``c``: ``trunc(c / width) * width + width / 2``.
 
     Truncation goes toward zero as in Python's ``int()``, so -7 with width 10
-    lands in the bucket with midpoint 5, not -5.
+    lands in the bucket with midpoint 5, not -5. NULL, NaN and infinite values have no
+    bucket (NULL).
     """
     w = float(width)
-    return (as_col(c) / F.lit(w)).cast("bigint").cast("double") * F.lit(w) + F.lit(w / 2.0)
+    x = as_col(c).cast("double") / F.lit(w)
+    return F.when(~F.isnan(x), x).try_cast("bigint").cast("double") * F.lit(w) + F.lit(w / 2.0)

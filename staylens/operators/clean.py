@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import as_list, nan_to_null, qcol, require_columns
+from .._util import as_list, is_present, nan_to_null, qcol, require_columns
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
@@ -24,10 +24,7 @@ def _is_float(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
 
 
-def _present(df: DataFrame, name: str) -> Column:
-    """Non-missing test: NULL, and NaN for floating columns, count as missing."""
-    c = qcol(name)
-    return c.isNotNull() & ~F.isnan(c) if _is_float(df, name) else c.isNotNull()
+_present = is_present  # NULL, and NaN in floating columns, count as missing
 
 
 # --------------------------------------------------------------------------- P1-P4

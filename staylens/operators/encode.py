@@ -1,10 +1,10 @@
 """Data-dependent columns: phrase indicators (F4, A10) and one-hot levels.
 
-Both are two-pass operators. ``fit_*`` runs one distributed pass that
-returns a bounded list (vocabulary or levels) to the driver: the list is
-fetched with a row limit one above the bound, and exceeding the bound is an
-error naming the remedy, never a silent cut. ``apply_*`` is a single
-projection, so the fitted object can be reused on new rows.
+Both are two-pass operators. ``fit_*`` runs one distributed pass and returns the list of
+columns to make (vocabulary or levels); like the names and importances of a model's
+features, that list is held by the driver, whatever its length. ``apply_*`` makes one
+column for each entry; ``encoded_vector`` makes one sparse vector instead, whose cost
+follows the phrases of a row and not the width.
 """
 
 from __future__ import annotations
@@ -14,19 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import as_list, qcol, require_columns, spread_for_cpu, unique_names
+from .._util import as_list, qcol, require_columns, spread, unique_names
 from ..functions.phrases import phrase_set
 
 
-def _bounded_collect(df: DataFrame, limit: int, what: str) -> list:
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(
-            f"more than {limit} {what}; raise the bound or use the vector form "
-            "(phrase_vector / StringIndexer + OneHotEncoder) for wide data")
-    return rows
-
-
 def _long_form(df: DataFrame, cols, value_expr) -> DataFrame:
     """(column, value) pairs for several columns with one Expand, no per-column scan."""
     parts = [F.struct(F.lit(c).alias("column"), value_expr(c).alias("value")) for c in cols]
@@ -35,21 +26,22 @@ def _long_form(df: DataFrame, cols, value_expr) -> DataFrame:
 
 # --------------------------------------------------------------------------- A10
 
-def phrase_vocabulary(df: DataFrame, col: str, name: str = "phrase",
-                      count_name: str = "documents") -> DataFrame:
+def phrase_vocabulary(df: DataFrame, col: str, name: str = "phrase", count_name: str = "documents",
+                      key: str | None = None, partitions: int | None = None) -> DataFrame:
     """A10: every phrase of the column with the number of rows containing it.
 
-    The regex work is spread over all cores when the input has fewer
-    partitions than cores (see :func:`spread_for_cpu`).
+    The rows are dealt out first (see :func:`staylens._util.spread`): a file's row groups
+    may be few, and the regex is the work.
     """
-    src = spread_for_cpu(df.select(qcol(col)))
-    return (src.select(F.explode(phrase_set(qcol(col))).alias(name))
+    cols = [qcol(col)] + ([qcol(key)] if key and key != col else [])
+    return (spread(df.select(*cols), key, partitions).select(F.explode(phrase_set(qcol(col))).alias(name))
             .groupBy(name).agg(F.count(F.lit(1)).alias(count_name)))
 
 
-def phrases_long(df: DataFrame, key: str, col: str, name: str = "phrase") -> DataFrame:
-    """(key, phrase) for every distinct phrase of every row (regex work spread as above)."""
-    src = spread_for_cpu(df.select(qcol(key), qcol(col)))
+def phrases_long(df: DataFrame, key: str, col: str, name: str = "phrase",
+                 partitions: int | None = None) -> DataFrame:
+    """(key, phrase) for every distinct phrase of every row (rows dealt out by the key)."""
+    src = spread(df.select(qcol(key), qcol(col)), key, partitions)
     return src.select(qcol(key), F.explode(phrase_set(qcol(col))).alias(name))
 
 
@@ -73,13 +65,13 @@ def _name_phrases(phrases: dict, sep: str, taken) -> dict:
     return out
 
 
-def fit_phrase_indicators(df: DataFrame, cols, max_vocab: int = 1000, sep: str = "-") -> PhraseVocabulary:
-    """First pass: the distinct phrases of every column (at most ``max_vocab`` in total)."""
+def fit_phrase_indicators(df: DataFrame, cols, sep: str = "-") -> PhraseVocabulary:
+    """First pass: the distinct phrases of every column."""
     cols = as_list(cols)
     require_columns(df, cols)
     pairs = (_long_form(df, cols, lambda c: phrase_set(qcol(c)))
              .select("column", F.explode("value").alias("phrase")).distinct())
-    rows = _bounded_collect(pairs, max_vocab, "phrases")
+    rows = pairs.collect()
     vocab = {c: sorted(r["phrase"] for r in rows if r["column"] == c) for c in cols}
     others = [x for x in df.columns if x not in cols]
     return PhraseVocabulary(vocab, sep, _name_phrases(vocab, sep, others))
@@ -102,26 +94,9 @@ def apply_phrase_indicators(df: DataFrame, vocab: PhraseVocabulary) -> DataFrame
     return sets.select(*keep, *flags)
 
 
-def phrase_indicators(df: DataFrame, cols, max_vocab: int = 1000, sep: str = "-") -> DataFrame:
+def phrase_indicators(df: DataFrame, cols, sep: str = "-") -> DataFrame:
     """fit the vocabulary, then add the indicator columns."""
-    return apply_phrase_indicators(df, fit_phrase_indicators(df, cols, max_vocab, sep))
-
-
-def phrase_vector(df: DataFrame, col: str, out: str, max_vocab: int = 1 << 18,
-                  min_df: float = 1.0):
-    """F4 for large vocabularies: a binary sparse vector of the phrases (CountVectorizer).
-
-    Returns ``(table, model)``; ``model.vocabulary`` names the vector slots.
-    """
-    from pyspark.ml.feature import CountVectorizer
-
-    tmp = f"__phrases_{col}"
-    staged = df.withColumn(tmp, phrase_set(qcol(col)))
-    model = CountVectorizer(inputCol=tmp, outputCol=out, binary=True,
-                            vocabSize=max_vocab, minDF=min_df).fit(staged)
-    if len(model.vocabulary) >= max_vocab:
-        raise ValueError(f"vocabulary of {col!r} reached {max_vocab}; raise max_vocab")
-    return model.transform(staged).drop(tmp, col), model
+    return apply_phrase_indicators(df, fit_phrase_indicators(df, cols, sep))
 
 
 # --------------------------------------------------------------------------- F5
@@ -150,14 +125,13 @@ def _name_levels(levels: Levels, taken) -> Levels:
     return Levels(levels.levels, levels.drop_first, levels.dummy_null, names)
 
 
-def fit_one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True,
-                max_levels: int = 1000) -> Levels:
-    """First pass: distinct non-missing levels of every column, at most ``max_levels`` in total."""
+def fit_one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True) -> Levels:
+    """First pass: distinct non-missing levels of every column."""
     cols = as_list(cols)
     require_columns(df, cols)
     pairs = (_long_form(df, cols, lambda c: qcol(c).cast("string"))
              .where(F.col("value").isNotNull()).distinct())
-    rows = _bounded_collect(pairs, max_levels, "levels")
+    rows = pairs.collect()
     levels = {c: sorted(r["value"] for r in rows if r["column"] == c) for c in cols}
     others = [x for x in df.columns if x not in cols]
     return _name_levels(Levels(levels, drop_first, dummy_null), others)
@@ -175,22 +149,20 @@ def apply_one_hot(df: DataFrame, levels: Levels) -> DataFrame:
     return df.select(*out)
 
 
-def one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True,
-            max_levels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, cols, drop_first: bool = True, dummy_null: bool = True) -> DataFrame:
     """levels sorted, first dropped, a missing-level column ``<col>_nan`` added."""
-    return apply_one_hot(df, fit_one_hot(df, cols, drop_first, dummy_null, max_levels))
+    return apply_one_hot(df, fit_one_hot(df, cols, drop_first, dummy_null))
 
 
 # --------------------------------------------------------------------------- F4 + F5 in one pass
 
-def fit_encoders(df: DataFrame, phrase_cols, level_cols, max_vocab: int = 1000,
-                 max_levels: int = 1000, sep: str = "-", drop_first: bool = True,
+def fit_encoders(df: DataFrame, phrase_cols, level_cols, sep: str = "-", drop_first: bool = True,
                  dummy_null: bool = True) -> tuple[PhraseVocabulary, Levels]:
     """Phrase vocabulary and one-hot levels from one scan and one shuffle.
 
     Every row becomes (kind, column, value) pairs for all listed columns at
     once (a phrase column gives its phrase set, a level column its value);
-    the distinct pairs are fetched with the two bounds added.
+    the distinct pairs are fetched.
     """
     phrase_cols, level_cols = as_list(phrase_cols), as_list(level_cols)
     require_columns(df, [*phrase_cols, *level_cols])
@@ -204,12 +176,7 @@ def fit_encoders(df: DataFrame, phrase_cols, level_cols, max_vocab: int = 1000,
         return PhraseVocabulary({}, sep), Levels({}, drop_first, dummy_null)
     pairs = (df.select(F.explode(F.array(*parts)).alias("p"))
              .select("p.kind", "p.column", F.explode("p.values").alias("value")).distinct())
-    rows = _bounded_collect(pairs, max_vocab + max_levels, "phrases and levels")
-    n_phr = sum(1 for r in rows if r["kind"] == "p")
-    if n_phr > max_vocab or len(rows) - n_phr > max_levels:
-        raise ValueError(
-            f"{n_phr} phrases (bound {max_vocab}) and {len(rows) - n_phr} levels "
-            f"(bound {max_levels}); raise the bounds or use the vector forms")
+    rows = pairs.collect()
     phrases = {c: sorted(r["value"] for r in rows if r["kind"] == "p" and r["column"] == c)
                for c in phrase_cols}
     encoded = set(phrase_cols) | set(level_cols)
@@ -220,3 +187,36 @@ def fit_encoders(df: DataFrame, phrase_cols, level_cols, max_vocab: int = 1000,
         {c: sorted(r["value"] for r in rows if r["kind"] == "l" and r["column"] == c)
          for c in level_cols}, drop_first, dummy_null), taken)
     return vocab, levels
+
+
+def _each(phrases, col: str, entry):
+    return F.transform(phrases, lambda p: entry("p", col, p))
+
+
+def encoded_vector(df: DataFrame, vocab: PhraseVocabulary, levels: Levels, out: str) -> tuple[DataFrame, list[str]]:
+    """F4 + F5 as one sparse 0/1 vector column, and its slots' names in order.
+
+    A row becomes the list of its entries (its phrases and levels); a count vectorizer
+    with the fitted entries as vocabulary turns the list into the vector.
+    """
+    from pyspark.ml.feature import CountVectorizerModel
+
+    def entry(kind: str, col: str, value):
+        text = F.coalesce(value, F.lit("")) if kind == "l" else value
+        return F.concat(F.when(value.isNull(), F.lit("n")).otherwise(F.lit(kind)), F.lit(f"\u0001{col}\u0001"), text)
+
+    slots, names, lists = [], [], []
+    for c, phrases in vocab.phrases.items():
+        lists.append(_each(phrase_set(qcol(c)), c, entry))
+        slots += [f"p\u0001{c}\u0001{p}" for p in phrases]
+        names += vocab.names(c)
+    for c in levels.levels:
+        lists.append(F.array(entry("l", c, qcol(c).cast("string"))))
+        slots += [f"n\u0001{c}\u0001" if v is None else f"l\u0001{c}\u0001{v}" for v in levels.encoded(c)]
+        names += levels.names(c)
+    if not slots:
+        return df, []
+    tmp = f"__entries_{out}"
+    model = CountVectorizerModel.from_vocabulary(slots, inputCol=tmp, outputCol=out, minTF=1.0)
+    model.setBinary(True)
+    return model.transform(df.withColumn(tmp, F.concat(*lists))).drop(tmp), names

@@ -1,41 +1,37 @@
 """Aggregations (A1-A9, A11) and rankings.
 
-Group keys that are NULL are left out (a missing key is not a group unless a
-sentinel was filled first), counts are ``count(*)`` over all rows of the group
+Group keys that are missing (NULL or NaN) are left out (a missing key is not a group
+unless a sentinel was filled first), counts are ``count(*)`` over all rows of the group
 (missing values included), and medians skip missing values.
 
-Exact medians are computed in two shuffles: first ``(keys, value) -> rows``
-(hash-partitioned on key *and* value, with a map-side combine), then a
-weighted ``percentile(value, 0.5, rows)`` per key. A key holding a third of
-the table is therefore spread over all tasks in the first step, and the task
-finishing it in the second step merges one entry per distinct value, not one
-map per upstream task. Memory per group is bounded by its distinct values,
-which suits prices, day counts and scores. For a continuous column, where a
-hot group may have as many distinct values as rows, ``method="bracket"``
-stays exact with bounded tasks (salted sketch rounds, then a window over at
-most ``max_inside`` values per group); ``exact=False`` is a fixed-size
-approximate sketch.
+Exact medians never gather a key's values in one task. ``(keys, value) -> rows`` counts are
+shuffled on key and value; one in ``CELL_VALUES`` of a key's distinct values (by a hash of
+the value, so the sample is the same wherever it is computed) splits them into cells; the
+cells' row counts tell which cell holds the middle ranks, and only that cell is sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._util import as_list, nan_to_null, qcol
+from .._util import as_list, is_present, nan_to_null, qcol
 from ..functions.numbers import bucket_midpoint
 
 _V, _N = "__value", "__rows"
 
+#: Distinct values of a key, about, that one task sorts to find the middle ones.
+CELL_VALUES = 1 << 20
+
 
 def _key_cols(keys) -> list[Column]:
     return [qcol(k) for k in as_list(keys)]
 
 
-def _not_null(keys) -> Column | None:
+def _not_missing(df: DataFrame, keys) -> Column | None:
     cond = None
     for k in as_list(keys):
-        c = qcol(k).isNotNull()
+        c = is_present(df, k)
         cond = c if cond is None else cond & c
     return cond
 
@@ -54,7 +50,7 @@ def _numeric(df: DataFrame, value) -> Column:
 
 def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
     """Rows per value, missing values left out, most frequent first (ties by value)."""
-    return (df.where(qcol(col).isNotNull()).groupBy(qcol(col))
+    return (df.where(is_present(df, col)).groupBy(qcol(col))
             .agg(F.count(F.lit(1)).alias(name))
             .orderBy(F.desc(name), qcol(col).asc()))
 
@@ -68,184 +64,85 @@ def top_k_values(df: DataFrame, col: str, k: int, name: str = "count") -> DataFr
 
 def median_count(df: DataFrame, keys, value, median_name: str = "median",
                  count_name: str | None = "count", exact: bool = True,
-                 accuracy: int = 10_000, method: str = "distinct",
-                 max_inside: int = 1_000_000) -> DataFrame:
+                 accuracy: int = 10_000) -> DataFrame:
     """Per key tuple: median of ``value`` (missing skipped) and row count.
 
-    ``exact=True`` gives the midpoint of the two middle values for even
-    counts, by one of two exact methods:
-
-    - ``method="distinct"`` (default): ``(keys, value)`` counts, then a weighted
-      percentile per key; one task holds the distinct values of a key. Right
-      for values from a bounded domain (prices, day counts, scores).
-    - ``method="bracket"``: for continuous values, where a hot key may have
-      as many distinct values as rows; see :func:`_median_bracket`.
-    - ``method="auto"``: one sketch pass estimates the largest number of
-      distinct values in a group, then "distinct" when it is within
-      ``max_inside``, else "bracket".
-
+    ``exact=True`` gives the midpoint of the two middle values for even counts;
     ``exact=False`` uses ``percentile_approx`` with ``accuracy``.
     """
     keys = as_list(keys)
     base = df.select(*_key_cols(keys), _numeric(df, value).alias(_V))
-    cond = _not_null(keys)
+    cond = _not_missing(base, keys)
     if cond is not None:
         base = base.where(cond)
-    if exact and method == "auto":
-        # one sketch pass: the largest number of distinct values in any group
-        est = (base.groupBy(*_key_cols(keys)).agg(F.approx_count_distinct(F.col(_V), 0.05).alias("d"))
-               .agg(F.max("d")).first()[0]) or 0
-        method = "distinct" if est * 1.1 <= max_inside else "bracket"
-    if exact and method == "bracket":
-        return _median_bracket(base, keys, median_name, count_name, max_inside)
-    if exact and method != "distinct":
-        raise ValueError("method must be 'distinct', 'bracket' or 'auto'")
-    if exact:
-        pairs = base.groupBy(*_key_cols(keys), F.col(_V)).agg(F.count(F.lit(1)).alias(_N))
-        aggs = [F.percentile(F.col(_V), F.lit(0.5), F.col(_N)).alias(median_name)]
+    if not exact:
+        aggs = [F.percentile_approx(F.col(_V), F.lit(0.5), F.lit(accuracy)).alias(median_name)]
         if count_name:
-            aggs.append(F.coalesce(F.sum(_N), F.lit(0)).cast("long").alias(count_name))
-        return pairs.groupBy(*_key_cols(keys)).agg(*aggs)
-    aggs = [F.percentile_approx(F.col(_V), F.lit(0.5), F.lit(accuracy)).alias(median_name)]
+            aggs.append(F.count(F.lit(1)).alias(count_name))
+        return base.groupBy(*_key_cols(keys)).agg(*aggs)
+    names = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
+    # without keys, a key that is always 0 but is computed from the value: a literal
+    # would be folded and turn the joins below into nested loops
+    cols = ([qcol(k).alias(n) for k, n in zip(keys, names)]
+            or [F.pmod(F.xxhash64(F.col(_V)), F.lit(1)).alias("__k0")])
+    medians = _medians(base.select(*cols, F.col(_V)), names)
+    out = [F.col(n).alias(k) for k, n in zip(keys, names)]
+    out.append(F.col("__median").alias(median_name))
     if count_name:
-        aggs.append(F.count(F.lit(1)).alias(count_name))
-    return base.groupBy(*_key_cols(keys)).agg(*aggs)
+        out.append(F.col("__total").alias(count_name))
+    if not keys:  # one row, also for an empty table
+        return medians.agg(F.max("__median").alias(median_name),
+                           *([F.coalesce(F.max("__total"), F.lit(0)).alias(count_name)] if count_name else []))
+    return medians.select(*out)
 
 
 group_median_count = median_count  # A3 under its catalogue name
 
 
-def _median_bracket(base: DataFrame, keys: list, median_name: str, count_name: str | None,
-                    max_inside: int, sketch_k: int = 1000, grid_size: int = 1000,
-                    guard: int = 6, salts: int = 64, max_rounds: int = 8) -> DataFrame:
-    """Exact median per key without any task holding more than ``max_inside`` values.
-
-    Rounds narrow a value bracket ``[lo, hi]`` per key around the two middle
-    ranks. Each round is one pass: rows are joined with the (small,
-    checkpointed) per-key state and aggregated per ``(key, salt)`` into the
-    count below the bracket, the count inside it and a KLL sketch of the
-    values inside; the salted partials are merged per key, so a hot key's
-    merge is spread over ``salts`` tasks. The sketch's quantiles on a fixed
-    rank grid, ``guard`` grid steps around the target ranks, give the next,
-    narrower bracket (about 1/80 of the previous one per round). A bracket
-    that misses the target ranks (sketch error) is reset to unbounded and
-    retried. Once every
-    key has at most ``max_inside`` distinct values inside (an HLL estimate
-    with slack; ties stop the narrowing early), the bracket rows are counted
-    per distinct value and ranked with a window partitioned by key.
-    """
-    from pyspark.sql import Window
-
-    from ..session import cut_lineage
-    from .members import sized_broadcast
-
-    if not keys:
-        # one group: a data-derived key that is always 0 (a literal would be folded
-        # and turn the joins below into nested loops) keeps every step a hash join
-        keyed = base.withColumn("__g", F.pmod(F.xxhash64(F.col(_V)), F.lit(1)))
-        out = _median_bracket(keyed, ["__g"], median_name,
-                              count_name, max_inside, sketch_k, grid_size, guard, salts,
-                              max_rounds)
-        return out.drop("__g")
-    kc = _key_cols(keys)
-    v = F.col(_V)
-    rows = base.where(v.isNotNull())
-    totals = base.groupBy(*kc).agg(F.count(F.lit(1)).alias("__total"),
-                                   F.count(v).alias("__n"))
-    # 0-based ranks of the two middle values among the non-missing ones
-    state = cut_lineage(totals.select(
-        *kc, "__total", "__n",
-        F.floor((F.col("__n") - 1) / 2).cast("long").alias("__ra"),
-        F.floor(F.col("__n") / 2).cast("long").alias("__rb"),
-        F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
-        F.lit(False).alias("__done")))
-    lo, hi = F.col("__lo"), F.col("__hi")
-    in_lo = lo.isNull() | (v >= lo)
-    in_hi = hi.isNull() | (v <= hi)
-    for _ in range(max_rounds):
-        side, _small = sized_broadcast(state.where(~F.col("__done")).select(*kc, "__lo", "__hi"))
-        joined = rows.join(side, keys)
-        salt = F.pmod(F.xxhash64(v), F.lit(salts))
-        part = joined.groupBy(*kc, salt.alias("__salt")).agg(
-            F.count_if(lo.isNotNull() & (v < lo)).alias("__below"),
-            F.count_if(in_lo & in_hi).alias("__inside"),
-            F.kll_sketch_agg_double(F.when(in_lo & in_hi, v), sketch_k).alias("__sk"),
-            F.hll_sketch_agg(F.when(in_lo & in_hi, F.xxhash64(v))).alias("__hll"))
-        merged = part.groupBy(*kc).agg(F.sum("__below").alias("__below"),
-                                       F.sum("__inside").alias("__inside"),
-                                       F.kll_merge_agg_double("__sk").alias("__sk"),
-                                       F.hll_union_agg("__hll").alias("__hll"))
-        cur = state.join(merged, keys, "left")
-        below = F.coalesce(F.col("__below"), F.lit(0))
-        inside = F.coalesce(F.col("__inside"), F.lit(0))
-        hit = (below <= F.col("__ra")) & (F.col("__rb") < below + inside)
-        # the final window holds the distinct values inside: bound those (HLL, with slack)
-        small = (inside <= F.lit(max_inside)) | (
-            F.hll_sketch_estimate(F.col("__hll")) * 1.1 <= F.lit(max_inside))
-        # sketch quantiles on a fixed rank grid; the target ranks pick grid points
-        grid = F.kll_sketch_get_quantile_double(
-            F.col("__sk"), F.array(*[F.lit(i / grid_size) for i in range(grid_size + 1)]))
-        i_lo = F.greatest(F.lit(0), F.floor((F.col("__ra") - below) / inside * grid_size) - guard)
-        i_hi = F.least(F.lit(grid_size),
-                       F.ceil((F.col("__rb") - below + 1) / inside * grid_size) + guard)
-        nxt_lo = F.element_at(grid, (i_lo + 1).cast("int"))
-        nxt_hi = F.element_at(grid, (i_hi + 1).cast("int"))
-        done = F.col("__done") | (F.col("__n") == 0) | (hit & small)
-        none = F.lit(None).cast("double")
-        state = cut_lineage(cur.select(
-            *kc, "__total", "__n", "__ra", "__rb",
-            F.when(done, lo).when(hit, nxt_lo).otherwise(none).alias("__lo"),
-            F.when(done, hi).when(hit, nxt_hi).otherwise(none).alias("__hi"),
-            done.alias("__done")))
-        if state.where(~F.col("__done")).limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("median bracket did not narrow; raise max_inside or max_rounds")
-    side, few_keys = sized_broadcast(state.select(*kc, "__lo", "__hi"))
-    # tables with one row per key share the state's (counted) bound
-    per_key = F.broadcast if few_keys else (lambda d: d)
-    # one pass: rows below the bracket, inside it (per distinct value) and above it
-    pos = F.when(lo.isNotNull() & (v < lo), -1).when(hi.isNotNull() & (v > hi), 1).otherwise(0)
-    counts = (rows.join(side, keys).select(*kc, pos.alias("__pos"), v)
-              .groupBy(*kc, "__pos", F.when(F.col("__pos") == 0, v).alias(_V))
-              .agg(F.count(F.lit(1)).alias("__c")))
-    below_df = counts.where(F.col("__pos") == -1).groupBy(*kc).agg(F.sum("__c").alias("__below"))
-    pairs = counts.where(F.col("__pos") == 0).select(*kc, v, "__c")
-    w = Window.partitionBy(*kc).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = pairs.withColumn("__cum", F.sum("__c").over(w))
-    info = state.join(per_key(below_df), keys, "left")
-    info = info.select(*kc, "__total", "__n",
-                       (F.col("__ra") - F.coalesce(F.col("__below"), F.lit(0))).alias("__ta"),
-                       (F.col("__rb") - F.coalesce(F.col("__below"), F.lit(0))).alias("__tb"))
-    picked = ranked.join(per_key(info.select(*kc, "__ta", "__tb")), keys)
-    first = F.col("__cum") - F.col("__c")
-    at_a = (first <= F.col("__ta")) & (F.col("__ta") < F.col("__cum"))
-    at_b = (first <= F.col("__tb")) & (F.col("__tb") < F.col("__cum"))
-    vals = picked.groupBy(*kc).agg(F.max(F.when(at_a, v)).alias("__va"),
-                                   F.max(F.when(at_b, v)).alias("__vb"))
-    out = info.join(per_key(vals), keys, "left")
-    median = F.when(F.col("__n") == 0, F.lit(None).cast("double")).when(
-        F.col("__va").isNull() | F.col("__vb").isNull(),
-        F.raise_error(F.lit("median bracket missed the middle ranks")).cast("double")).otherwise(
-        F.lit(0.5) * F.col("__va") + F.lit(0.5) * F.col("__vb"))
-    cols = [*kc, median.alias(median_name)]
-    if count_name:
-        cols.append(F.col("__total").cast("long").alias(count_name))
-    return out.select(*cols)
-
-
-def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True,
-                 method: str = "distinct") -> DataFrame:
+def _medians(rows: DataFrame, keys: list[str], cell_values: int | None = None) -> DataFrame:
+    """(keys, __total, __median): exact, whatever the number of values of a key."""
+    cell_values = cell_values or CELL_VALUES
+    v, n = F.col(_V), F.col(_N)
+    counts = rows.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_N))
+    # one in cell_values distinct values, picked by hash, splits a key's values into cells
+    splits = (counts.where(v.isNotNull() & (F.pmod(F.xxhash64(v, F.lit(7)), F.lit(cell_values)) == 0))
+              .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("__splits")))
+    cell = F.when(v.isNotNull(), F.size(F.filter(
+        F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s <= v)))
+    celled = counts.join(splits, keys, "left").select(*keys, _V, _N, cell.alias("__cell"))
+    whole = Window.partitionBy(*keys)
+    up_to = whole.orderBy(F.col("__cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    present = F.when(F.col("__cell").isNotNull(), F.col("__rows_in"))
+    cells = (celled.groupBy(*keys, "__cell").agg(F.sum(_N).alias("__rows_in"))
+             .select(*keys, "__cell", "__rows_in", F.sum("__rows_in").over(whole).alias("__total"),
+                     F.coalesce(F.sum(present).over(whole), F.lit(0)).alias("__n"),
+                     F.coalesce(F.sum("__rows_in").over(up_to), F.lit(0)).alias("__before")))
+    # 0-based ranks of the two middle values, and the cells (one or two) that hold them
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    middle = (cells.where(F.col("__cell").isNotNull() & (F.col("__before") <= high)
+                          & (F.col("__before") + F.col("__rows_in") > low))
+              .select(*keys, "__cell", "__before", low.alias("__low"), high.alias("__high")))
+    inside = Window.partitionBy(*keys, "__cell").orderBy(_V).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (celled.join(middle, [*keys, "__cell"])
+              .withColumn("__until", F.col("__before") + F.sum(_N).over(inside)))
+    first = F.col("__until") - n
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((first <= F.col(rank)) & (F.col(rank) < F.col("__until")), v))
+
+    found = ranked.groupBy(*keys).agg((F.lit(0.5) * at("__low") + F.lit(0.5) * at("__high")).alias("__median"))
+    totals = cells.groupBy(*keys).agg(F.max("__total").alias("__total"))
+    return totals.join(found, keys, "left")
+
+
+def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True) -> DataFrame:
     """A2: median per group."""
-    return median_count(df, keys, value, median_name=name, count_name=None, exact=exact,
-                        method=method)
+    return median_count(df, keys, value, median_name=name, count_name=None, exact=exact)
 
 
-def total_median(df: DataFrame, value, name: str = "median", exact: bool = True,
-                 method: str = "distinct") -> DataFrame:
-    """A5: one-row median of the whole column (``method="bracket"`` for continuous values)."""
-    return median_count(df, [], value, median_name=name, count_name=None, exact=exact,
-                        method=method)
+def total_median(df: DataFrame, value, name: str = "median", exact: bool = True) -> DataFrame:
+    """A5: one-row median of the whole column."""
+    return median_count(df, [], value, median_name=name, count_name=None, exact=exact)
 
 
 # --------------------------------------------------------------------------- A4
@@ -258,7 +155,7 @@ def share_of(predicate: Column) -> Column:
 def group_share(df: DataFrame, keys, predicate: Column, name: str = "share") -> DataFrame:
     """Share of rows per key meeting ``predicate`` (partial + final aggregate)."""
     keys = as_list(keys)
-    cond = _not_null(keys)
+    cond = _not_missing(df, keys)
     src = df.where(cond) if cond is not None else df
     return src.groupBy(*_key_cols(keys)).agg(share_of(predicate).alias(name))
 
@@ -285,8 +182,7 @@ def date_range(df: DataFrame, col: str, first: str = "first", last: str = "last"
 
 def profile_by_features(df: DataFrame, features, value, feature_name: str = "feature",
                         level_name: str = "level", median_name: str = "median",
-                        count_name: str = "count", exact: bool = True,
-                        method: str = "distinct") -> DataFrame:
+                        count_name: str = "count", exact: bool = True) -> DataFrame:
     """For every feature: median of ``value`` and row count per level.
 
     The features are unpivoted into (feature, level) pairs first, so all of
@@ -297,19 +193,18 @@ def profile_by_features(df: DataFrame, features, value, feature_name: str = "fea
         _numeric(df, value).alias(_V),
         *[qcol(f).cast("double").alias(f) for f in features],
     ).unpivot([_V], features, feature_name, level_name)
-    return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact,
-                        method=method)
+    return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact)
 
 
 def group_by_bucket(df: DataFrame, col: str, width: float = 50, value="price",
                     bucket_name: str | None = None,
                     median_name: str = "median", count_name: str = "count",
-                    exact: bool = True, method: str = "distinct") -> DataFrame:
+                    exact: bool = True) -> DataFrame:
     """Median and count of ``value`` per bucket of ``col`` (key = bucket midpoint)."""
     bucket_name = bucket_name or col
     keyed = df.select(bucket_midpoint(qcol(col), width).alias(bucket_name),
                       _numeric(df, value).alias(_V))
-    return median_count(keyed, [bucket_name], _V, median_name, count_name, exact, method=method)
+    return median_count(keyed, [bucket_name], _V, median_name, count_name, exact)
 
 
 # --------------------------------------------------------------------------- T2-T4

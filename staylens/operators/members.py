@@ -1,10 +1,8 @@
 """Set and membership operators: U1 intersection, P5/J1 semi joins, J2/J3 alignment.
 
-A broadcast is used only for a side whose size is bounded: either Catalyst
-proves a maximum row count (a top-k list, an intersection of two, a global
-aggregate) or a count of the side is taken and compared with the bound.
-Beyond the bound the join stays a shuffle join, which AQE may still turn
-into a broadcast at run time from the real shuffle sizes.
+Member keys are always made distinct, and every join is one lazy plan: Spark broadcasts
+a side whose estimated or measured size is under its threshold, and shuffles otherwise
+(AQE splits a hot key). No size is tested here.
 """
 
 from __future__ import annotations
@@ -13,83 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._util import as_list, qcol
-from ..session import DEFAULT_BROADCAST_ROWS
-
-
-def row_bound(df: DataFrame) -> int | None:
-    """Maximum row count Catalyst can prove for ``df`` (limits, global aggregates), else None.
-
-    None also when the plan cannot be inspected (then the side is counted).
-    """
-    try:
-        bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-    except Exception:  # no JVM-side plan available (e.g. a remote session)
-        return None
-    return int(bound.get()) if bound.isDefined() else None
-
-
-def _threshold_bytes(spark) -> int:
-    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = text[:-1] if text.endswith("b") else text
-    return int(float(text[:-1]) * units[text[-1]]) if text and text[-1] in units else int(text)
-
-
-def broadcast_row_limit(df: DataFrame) -> int:
-    """Rows of ``df`` that fit the session's broadcast threshold.
-
-    ``spark.sql.autoBroadcastJoinThreshold`` (bytes; -1 disables broadcasting)
-    over the row's default width, so the cluster's own setting governs the
-    decision. Without a readable threshold, ``DEFAULT_BROADCAST_ROWS``.
-    """
-    try:
-        limit = _threshold_bytes(df.sparkSession)
-    except (ValueError, TypeError):
-        return DEFAULT_BROADCAST_ROWS
-    if limit < 0:
-        return -1
-    try:
-        width = max(8, int(df._jdf.schema().defaultSize()))
-    except Exception:  # no JVM-side schema available: assume a wide row
-        width = 64
-    return limit // width
-
-
-def sized_broadcast(df: DataFrame, max_rows: int | None = None,
-                    count_if_unbounded: bool = True) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows, else ``(df, False)``.
-
-    ``max_rows`` defaults to :func:`broadcast_row_limit`. The proven plan bound
-    is used when there is one; otherwise the rows are counted (one job over
-    the side), unless ``count_if_unbounded`` is off.
-    """
-    max_rows = broadcast_row_limit(df) if max_rows is None else max_rows
-    if max_rows < 0:
-        return df, False
-    bound = row_bound(df)
-    if bound is None and count_if_unbounded:
-        bound = df.count()
-    if bound is not None and bound <= max_rows:
-        return F.broadcast(df), True
-    return df, False
 
 
 def member_set(members: DataFrame, member_col: str) -> DataFrame:
-    """The distinct member keys as ``__member``, ready for a sized broadcast.
-
-    A set Catalyst cannot bound is written once to the checkpoint folder, so
-    its size check and the join read the same copy instead of computing it
-    twice (without a shared folder it is left as it is).
-    """
+    """The distinct non-missing member keys as ``__member``."""
     keys = members.select(qcol(member_col).alias("__member"))
-    if row_bound(keys) is not None:
-        return keys
-    keys = keys.distinct()
-    try:
-        from ..session import cut_lineage
-        return cut_lineage(keys)
-    except RuntimeError:
-        return keys
+    return keys.where(F.col("__member").isNotNull()).distinct()
 
 
 def common_keys(a: DataFrame, b: DataFrame, key: str | None = None,
@@ -106,25 +33,19 @@ def common_keys(a: DataFrame, b: DataFrame, key: str | None = None,
     return a.select(qcol(key)).intersect(right)
 
 
-def keep_members(df: DataFrame, col: str, members: DataFrame, member_col: str | None = None,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
+def keep_members(df: DataFrame, col: str, members: DataFrame, member_col: str | None = None) -> DataFrame:
     """Rows of ``df`` whose ``col`` is in ``members[member_col]`` (left semi join).
 
-    NULL never matches, as with ``isin``. The member side is deduplicated by
-    the join itself; it is broadcast only behind a size check.
+    NULL never matches, as with ``isin``.
     """
-    right, _ = sized_broadcast(member_set(members, member_col or col), max_broadcast_rows)
+    right = member_set(members, member_col or col)
     return df.join(right, qcol(col) == F.col("__member"), "left_semi")
 
 
 def flag_members(df: DataFrame, col: str, members: DataFrame, flag: str,
-                 member_col: str | None = None,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
-    """Add boolean ``flag``: is ``col`` among the members. Members must be distinct keys."""
-    right = member_set(members, member_col or col)
-    if row_bound(right) is not None:  # a bounded side was not deduplicated yet
-        right = right.distinct()
-    right, _ = sized_broadcast(right.withColumn(flag, F.lit(True)), max_broadcast_rows)
+                 member_col: str | None = None) -> DataFrame:
+    """Add boolean ``flag``: is ``col`` among the members."""
+    right = member_set(members, member_col or col).withColumn(flag, F.lit(True))
     out = df.join(right, qcol(col) == F.col("__member"), "left").drop("__member")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 

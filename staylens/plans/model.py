@@ -1,10 +1,12 @@
 """Model operators (M1-M7) and the R2 score.
 
 The forest runs on MLlib, so the fit is distributed (per-node statistics are
-aggregated across partitions); the driver holds only the trees and the
-bounded label list. Before the fit the feature table is written to the
+aggregated across partitions); the driver holds the trees and the label list,
+as the model itself does. Before the fit the feature table is written to the
 checkpoint folder, so the many passes of the fit neither recompute the
-encoding nor depend on executors that may be lost.
+encoding nor depend on executors that may be lost. The rows' layout depends
+on the data alone (a hash of the key, partitions by row count), so the same
+data gives the same forest on any cluster.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .._util import as_list, qcol, require_columns
 from ..operators.groups import top_k
-from ..session import cut_lineage
 
 
 # --------------------------------------------------------------------------- M1, M2
@@ -31,7 +32,7 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
 
 def split_hash(key, seed: int) -> Column:
     """Unsigned 32-bit hash of ``'<seed>:<key>'`` (first 8 hex digits of its MD5)."""
-    text = F.concat(F.lit(f"{seed}:"), F.col(key).cast("string") if isinstance(key, str) else key)
+    text = F.concat(F.lit(f"{seed}:"), (qcol(key) if isinstance(key, str) else key).cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -93,76 +94,60 @@ class PriceForest:
         return scored.withColumn(out, value).drop(*drop)
 
 
-def _label_values(train: DataFrame, label: str, max_classes: int) -> list[float]:
+def _label_values(train: DataFrame, label: str) -> list[float]:
     rows = (train.select(qcol(label).cast("double").alias("v")).where(F.col("v").isNotNull())
-            .distinct().limit(max_classes + 1).collect())
-    if len(rows) > max_classes:
-        raise ValueError(
-            f"more than {max_classes} distinct values of {label!r} to use as classes; "
-            "use wider label steps, raise max_classes, or task='regress'")
+            .distinct().collect())
     return sorted(r["v"] for r in rows)
 
 
-def _bytes(text: str) -> int:
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    text = text.strip().lower().rstrip("b")
-    return int(float(text[:-1]) * units[text[-1]]) if text[-1] in units else int(text)
+#: Rows of a partition of the fit, and its per-task budget for split statistics. Both are
+#: part of the model's definition: they change the forest, so neither follows the machine.
+ROWS_PER_PARTITION = 2_000
+STATISTICS_MB = 256
 
 
-def task_memory_mb(spark, share: float = 0.2) -> int:
-    """Split-statistics budget per task: a share of the executor heap over its task slots.
-
-    Local mode reads the running JVM's heap and the core count; a cluster reads
-    ``spark.executor.memory`` and ``spark.executor.cores``.
-    """
-    try:
-        sc = spark.sparkContext
-        if sc.master.startswith("local"):
-            heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory()
-            slots = sc.defaultParallelism
-        else:
-            heap = _bytes(spark.conf.get("spark.executor.memory", "1g"))
-            slots = int(spark.conf.get("spark.executor.cores", "1"))
-    except Exception:  # settings not readable here: MLlib's own default budget
-        return 256
-    return int(max(16, min(1024, heap * share / max(1, slots) / (1 << 20))))
+def laid_out(df: DataFrame, key: str, rows: int | None = None,
+             rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Hash-partitioned by ``key`` and sorted; as many partitions as the row count asks for."""
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(1, -(-rows // rows_per_partition)), qcol(key)).sortWithinPartitions(qcol(key))
 
 
 def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, depth: int = 6,
-               seed: int = 42, task: str = "classify", max_classes: int = 1000,
-               max_bins: int = 32, max_memory_mb: int | None = None) -> PriceForest:
+               seed: int = 42, task: str = "classify", max_bins: int = 32,
+               max_memory_mb: int = STATISTICS_MB, key: str | None = None,
+               rows_per_partition: int = ROWS_PER_PARTITION) -> PriceForest:
     """M3: random forest on ``label`` values as classes (or a regressor with ``task='regress'``).
 
-    Class indices follow the sorted label values and carry nominal metadata, so
-    any number of classes up to ``max_classes`` is accepted. The model keeps
-    one class histogram per node (trees x nodes x classes values on the
-    driver), which is what bounds ``max_classes``. The per-task statistics
-    budget defaults to a share of the executor heap (:func:`task_memory_mb`).
+    Class indices follow the sorted label values and carry nominal metadata, so any number
+    of classes is accepted. With a ``key`` the rows are laid out by it first
+    (:func:`laid_out`); without, the caller's partitions are used.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
-    max_memory_mb = max_memory_mb or task_memory_mb(train.sparkSession)
-
+    more = [qcol(key)] if key else []
     if task == "classify":
-        labels = _label_values(train, label, max_classes)
+        labels = _label_values(train, label)
         index = train.sparkSession.createDataFrame(
             [(v, float(i)) for i, v in enumerate(labels)], "__lv double, __li double")
         meta = {"ml_attr": {"type": "nominal", "num_vals": len(labels), "name": "__label"}}
-        data = (train.join(F.broadcast(index), qcol(label).cast("double") == F.col("__lv"))
-                .select(qcol(features), F.col("__li").alias("__label", metadata=meta)))
+        data = (train.join(index, qcol(label).cast("double") == F.col("__lv"))
+                .select(*more, qcol(features), F.col("__li").alias("__label", metadata=meta)))
         est = RandomForestClassifier(featuresCol=features, labelCol="__label", numTrees=trees,
                                      maxDepth=depth, seed=seed, maxBins=max_bins,
                                      maxMemoryInMB=max_memory_mb)
     elif task == "regress":
         labels = None
-        data = train.select(qcol(features), qcol(label).cast("double").alias("__label")) \
+        data = train.select(*more, qcol(features), qcol(label).cast("double").alias("__label")) \
             .where(F.col("__label").isNotNull())
         est = RandomForestRegressor(featuresCol=features, labelCol="__label", numTrees=trees,
                                     maxDepth=depth, seed=seed, maxBins=max_bins,
                                     maxMemoryInMB=max_memory_mb)
     else:
         raise ValueError("task must be 'classify' or 'regress'")
+    if key:
+        data = laid_out(data, key, rows_per_partition=rows_per_partition).drop(key)
     return PriceForest(est.fit(data), [], task, labels)
 
 
@@ -200,27 +185,3 @@ def importance_table(model, names, spark=None) -> DataFrame:
 def top_importance(table: DataFrame, k: int = 10) -> DataFrame:
     """M7: the ``k`` most important features."""
     return top_k(table, "importance", k, keys=["feature"])
-
-
-def fit_partitions(spark, rows: int | None, rows_per_partition: int = 2_000,
-                   max_partitions: int = 256) -> int:
-    """Partitions for a forest fit: enough for the cores, few enough for the statistics.
-
-    Every iteration of the fit ships one statistics block per (partition, node),
-    so past the core count more partitions only add shuffle; the cap keeps that
-    bounded on a large cluster.
-    """
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # no context here: let the cap decide
-        cores = max_partitions
-    if rows is None:
-        return max(1, min(cores, max_partitions))
-    return max(1, min(cores, max_partitions, -(-rows // rows_per_partition)))
-
-
-def prepare_fit_input(df: DataFrame, key: str, features_col: str = "features",
-                      partitions: int | None = None, rows: int | None = None) -> DataFrame:
-    """Fixed layout for a repeatable fit: hash-partition by key, sort, cut lineage."""
-    n = partitions or fit_partitions(df.sparkSession, rows)
-    return cut_lineage(df.repartition(n, qcol(key)).sortWithinPartitions(qcol(key)))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from .._util import qcol
 from ..functions.numbers import parse_date, parse_number
 from ..operators import clean, encode, groups, members
+from ..session import cut_lineage
 from . import constants as C
 from . import model as M
 
@@ -38,14 +39,10 @@ def listing_filter_report(listings: DataFrame, key: str = NB) -> DataFrame:
 
 
 def neighbourhood_stats(filtered: DataFrame, key: str = NB,
-                        metric: str = "availability_365", method: str = "distinct") -> DataFrame:
-    """Listing count and median availability per neighbourhood, one grouping.
-
-    ``method`` is the exact median method of :func:`groups.median_count`, as in
-    every report below.
-    """
+                        metric: str = "availability_365") -> DataFrame:
+    """Listing count and median availability per neighbourhood, one grouping."""
     return groups.median_count(filtered, [key], metric, median_name="median_availability",
-                               count_name="list_count", method=method)
+                               count_name="list_count")
 
 
 def top_listed(filtered: DataFrame, k: int = C.TOP_K, key: str = NB) -> DataFrame:
@@ -54,30 +51,30 @@ def top_listed(filtered: DataFrame, k: int = C.TOP_K, key: str = NB) -> DataFram
 
 
 def least_available(filtered: DataFrame, k: int = C.TOP_K, key: str = NB,
-                    metric: str = "availability_365", method: str = "distinct") -> DataFrame:
+                    metric: str = "availability_365") -> DataFrame:
     """A2 + T2 + J2: the k neighbourhoods with the lowest median availability, with counts."""
-    return groups.bottom_k(neighbourhood_stats(filtered, key, metric, method),
+    return groups.bottom_k(neighbourhood_stats(filtered, key, metric),
                            "median_availability", k, keys=[key])
 
 
 def popular_both(filtered: DataFrame, k: int = C.TOP_K, key: str = NB,
-                 metric: str = "availability_365", method: str = "distinct") -> DataFrame:
+                 metric: str = "availability_365") -> DataFrame:
     """Neighbourhoods in both top-k lists.
 
     Both lists are ranked from one statistics table, so the plan shuffles the
     listings once (the second use is a reused exchange).
     """
-    stats = neighbourhood_stats(filtered, key, metric, method)
+    stats = neighbourhood_stats(filtered, key, metric)
     top = groups.top_k(stats, "list_count", k, keys=[key])
     least = groups.bottom_k(stats, "median_availability", k, keys=[key])
     return members.common_keys(top, least, key)
 
 
 def popular_neighbourhoods(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
-                           metric: str = "availability_365", method: str = "distinct") -> DataFrame:
+                           metric: str = "availability_365") -> DataFrame:
     """Union of the two top-k lists with their statistics and membership flags."""
     filtered = filtered_listings(listings, key)
-    stats = neighbourhood_stats(filtered, key, metric, method)
+    stats = neighbourhood_stats(filtered, key, metric)
     top = groups.top_k(stats, "list_count", k, keys=[key]).select(key)
     least = groups.bottom_k(stats, "median_availability", k, keys=[key]).select(key)
     out = members.flag_members(stats, key, top, "in_top_listed")
@@ -108,47 +105,42 @@ def daily_vacancy(calendar: DataFrame, date: str = "date", flag: str = "availabl
 
 
 def popular_ids(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
-                metric: str = "availability_365", method: str = "distinct") -> DataFrame:
+                metric: str = "availability_365") -> DataFrame:
     """P5: ids of the filtered listings in neighbourhoods on both top-k lists."""
     filtered = filtered_listings(listings, key)
-    both = popular_both(filtered, k, key, metric, method)
+    both = popular_both(filtered, k, key, metric)
     return members.keep_members(filtered, key, both).select(F.col("id"))
 
 
 def vacancy_side_by_side(calendar: DataFrame, ids: DataFrame, date: str = "date",
                          flag: str = "available", listing: str = "listing_id",
-                         id_col: str = "id",
-                         max_broadcast_rows: int | None = None) -> DataFrame:
-    """J1 + A4 + J3: (date, vacant_ratio, vacant_ratio_popular) on every calendar date.
-
-    The distinct id set is materialised once in the checkpoint folder. With a
-    small id set (counted) both ratios come from one scan of the calendar
-    with the ids broadcast; otherwise the subset ratio comes from a semi join
-    (which lets Spark prune the calendar with a runtime filter) and the two
-    daily series are joined on the date (never by position).
+                         id_col: str = "id") -> DataFrame:
+    """J1 + A4: (date, vacant_ratio, vacant_ratio_popular) on every calendar date.
+
+    Both ratios come from one scan of the calendar, joined with the distinct ids.
     """
     cal = _dated(calendar, date)
-    # the id set is written once (checkpoint folder): its size check and the
-    # calendar pass below both read the copy instead of recomputing it
-    id_set = members.member_set(ids, id_col).withColumnRenamed("__member", "__id")
-    right, small = members.sized_broadcast(id_set, max_broadcast_rows)
+    marked = members.flag_members(cal.select(qcol(date), qcol(listing), qcol(flag)), listing, ids, "__hit", id_col)
     avail = F.when(_available(flag), F.lit(1.0)).otherwise(F.lit(0.0))
-    if small:
-        hit = cal.join(right.withColumn("__hit", F.lit(True)),
-                       qcol(listing) == F.col("__id"), "left")
-        return (hit.where(qcol(date).isNotNull()).groupBy(qcol(date)).agg(
-            F.avg(avail).alias("vacant_ratio"),
-            F.avg(F.when(F.col("__hit"), avail)).alias("vacant_ratio_popular")))
-    subset = cal.join(right, qcol(listing) == F.col("__id"), "left_semi")
+    return (marked.where(qcol(date).isNotNull()).groupBy(qcol(date)).agg(
+        F.avg(avail).alias("vacant_ratio"),
+        F.avg(F.when(F.col("__hit"), avail)).alias("vacant_ratio_popular")))
+
+
+def vacancy_series(calendar: DataFrame, ids: DataFrame, date: str = "date", flag: str = "available",
+                   listing: str = "listing_id", id_col: str = "id") -> DataFrame:
+    """J1 + A4 + J3: the same columns from two daily series, aligned on the date."""
+    cal = _dated(calendar, date)
+    subset = members.keep_members(cal, listing, ids, id_col)
     return members.align_on(date, daily_vacancy(cal, date, flag, "vacant_ratio"),
                             daily_vacancy(subset, date, flag, "vacant_ratio_popular"))
 
 
 def busy_dates(calendar: DataFrame, listings: DataFrame, k: int = C.TOP_K,
                low: float = C.LOW_VACANCY, low_popular: float = C.LOW_VACANCY_POPULAR,
-               key: str = NB, method: str = "distinct") -> DataFrame:
+               key: str = NB) -> DataFrame:
     """R2: daily ratios, all listings and the popular ones, with the low-date flags."""
-    side = vacancy_side_by_side(calendar, popular_ids(listings, k, key, method=method))
+    side = vacancy_side_by_side(calendar, popular_ids(listings, k, key))
     return (side.withColumn("is_low", F.col("vacant_ratio") < F.lit(low))
             .withColumn("is_low_popular",
                         F.coalesce(F.col("vacant_ratio_popular") < F.lit(low_popular), F.lit(False)))
@@ -167,35 +159,32 @@ def priced(listings: DataFrame, price: str = "price") -> DataFrame:
     return listings.withColumn(price, parse_number(qcol(price)))
 
 
-def price_by_location(listings: DataFrame, k: int = C.TOP_K, key: str = NB,
-                      method: str = "distinct") -> DataFrame:
+def price_by_location(listings: DataFrame, k: int = C.TOP_K, key: str = NB) -> DataFrame:
     """Median price of each top-k most listed neighbourhood, with the overall median."""
     all_priced = priced(listings)
-    overall = groups.total_median(all_priced, "price", "overall_median",
-                                  method=method).first()[0]
+    overall = groups.total_median(all_priced, "price", "overall_median")
     top = top_listed(filtered_listings(listings, key), k, key)
-    med = groups.group_median(all_priced, [key], "price", "median_price", method=method)
+    med = groups.group_median(all_priced, [key], "price", "median_price")
     return (members.keep_members(med, key, top)
             .select(qcol(key).alias("neighbourhood"), "median_price",
-                    F.lit(overall).cast("double").alias("overall_median"))
+                    overall.scalar().alias("overall_median"))
             .orderBy(F.desc("median_price"), F.asc("neighbourhood")))
 
 
-def price_by_pair(listings: DataFrame, keys, k: int = C.TOP_K,
-                  method: str = "distinct") -> DataFrame:
+def price_by_pair(listings: DataFrame, keys, k: int = C.TOP_K) -> DataFrame:
     """R4/R5 pattern: median price and count per key pair; the k largest groups by price."""
-    stats = groups.median_count(priced(listings), keys, "price", "price", "count", method=method)
+    stats = groups.median_count(priced(listings), keys, "price", "price", "count")
     return groups.top_k_then_sort(stats, "count", k, "price", keys=keys)
 
 
-def price_by_type(listings: DataFrame, k: int = C.TOP_K, method: str = "distinct") -> DataFrame:
+def price_by_type(listings: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """Property type and room type."""
-    return price_by_pair(listings, ["property_type", "room_type"], k, method)
+    return price_by_pair(listings, ["property_type", "room_type"], k)
 
 
-def price_by_size(listings: DataFrame, k: int = C.TOP_K, method: str = "distinct") -> DataFrame:
+def price_by_size(listings: DataFrame, k: int = C.TOP_K) -> DataFrame:
     """Bedrooms and bathrooms."""
-    return price_by_pair(listings, ["bedrooms", "bathrooms"], k, method)
+    return price_by_pair(listings, ["bedrooms", "bathrooms"], k)
 
 
 def review_filled(listings: DataFrame, features=C.REVIEW_FEATURES,
@@ -204,19 +193,18 @@ def review_filled(listings: DataFrame, features=C.REVIEW_FEATURES,
     return clean.fill_sentinel(priced(listings), {f: sentinel for f in features})
 
 
-def price_by_review(listings: DataFrame, features=C.REVIEW_FEATURES,
-                    method: str = "distinct") -> DataFrame:
+def price_by_review(listings: DataFrame, features=C.REVIEW_FEATURES) -> DataFrame:
     """Median price and count per level of each review feature (one grouping)."""
     prof = groups.profile_by_features(review_filled(listings, features), list(features), "price",
-                                      median_name="price", count_name="count", method=method)
+                                      median_name="price", count_name="count")
     return prof.orderBy("feature", "level")
 
 
 def price_by_reviews_count(listings: DataFrame, width: float = C.REVIEW_BUCKET_WIDTH,
-                           col: str = "number_of_reviews", method: str = "distinct") -> DataFrame:
+                           col: str = "number_of_reviews") -> DataFrame:
     """Median price and count per bucket of the number of reviews (key = midpoint)."""
     out = groups.group_by_bucket(review_filled(listings), col, width, "price",
-                                 median_name="price", count_name="count", method=method)
+                                 median_name="price", count_name="count")
     return out.orderBy(col)
 
 
@@ -229,21 +217,33 @@ class PriceDrivers:
     predictions: DataFrame    # (id, fold, price, predicted)
     forest: M.PriceForest
     features: list
+    unparsable: int           # listings left out for a price that is no number
 
 
-def price_features(listings: DataFrame, key: str = "id", target: str = "price",
-                   max_vocab: int = 1000, max_levels: int = 1000,
-                   sparse_share: float = C.SPARSE_SHARE, with_rows: bool = False):
-    """F1 -> F4 -> P7 -> P9 -> F5 -> P12 -> P13: complete numeric feature table.
-
-    Two passes over the listings feed one projection chain: one pass fetches
-    the phrase vocabulary and the one-hot levels together, one computes the
-    non-missing counts and means of the numeric columns (encoded columns are
-    complete by construction, so they are always kept and never imputed).
-
-    Returns ``(table, features)`` (and the row count when ``with_rows``): the
-    table holds ``key``, the parsed target and the feature columns. Rows
-    without a parsable target are left out (no model can learn from them).
+@dataclass
+class FeaturePlan:
+    """What the two passes over the listings found; see :func:`price_features`."""
+
+    rows: DataFrame           # __key, target and the source columns, parsed
+    numeric: list             # numeric columns that are not sparse
+    vocab: encode.PhraseVocabulary
+    levels: encode.Levels
+    stats: clean.ColumnStats
+
+
+def unparsable_prices(listings: DataFrame, target: str = "price") -> DataFrame:
+    """One row (rows, missing, unparsable): listings without a usable price."""
+    text, value = qcol(target), parse_number(qcol(target))
+    return listings.agg(F.count(F.lit(1)).alias("rows"), F.count_if(text.isNull()).alias("missing"),
+                        F.count_if(text.isNotNull() & value.isNull()).alias("unparsable"))
+
+
+def plan_features(listings: DataFrame, key: str = "id", target: str = "price",
+                  sparse_share: float = C.SPARSE_SHARE) -> FeaturePlan:
+    """One pass fetches the phrase vocabulary and the one-hot levels, one
+    the non-missing counts and means of the numeric columns (encoded columns are complete
+    by construction, so they are always kept and never imputed). Rows without a parsable
+    target are left out (no model can learn from them); :func:`unparsable_prices` counts them.
     """
     df = listings.withColumn(target, parse_number(qcol(target))).where(qcol(target).isNotNull())
     df = clean.to_number_columns(df, [c for c in C.NUMBER_TEXT_FEATURES if c in df.columns],
@@ -255,31 +255,56 @@ def price_features(listings: DataFrame, key: str = "id", target: str = "price",
             if c != target]
     numeric = [c for c in clean.columns_of_type(df.select(*[qcol(c) for c in kept]), "numeric")
                if c not in ("__key", target)]
-    vocab, levels = encode.fit_encoders(df, phrase_cols, text, max_vocab, max_levels)
+    vocab, levels = encode.fit_encoders(df, phrase_cols, text)
     stats = clean.fit_column_stats(df, numeric)
-    sparse = set(numeric) - set(stats.kept(sparse_share))
-    df = encode.apply_phrase_indicators(df, vocab)
+    dense = set(stats.kept(sparse_share))
+    return FeaturePlan(df, [c for c in numeric if c in dense], vocab, levels, stats)
+
+
+def price_features(listings: DataFrame, key: str = "id", target: str = "price",
+                   sparse_share: float = C.SPARSE_SHARE):
+    """F1 -> F4 -> P7 -> P9 -> F5 -> P12 -> P13: complete numeric feature table, wide.
+
+    Returns ``(table, features)``: ``key``, the parsed target and one column per feature.
+    """
+    plan = plan_features(listings, key, target, sparse_share)
+    df = encode.apply_phrase_indicators(plan.rows, plan.vocab)
     df = clean.drop_columns(df, C.REDUNDANT_COLUMNS, strict=False)
-    df = encode.apply_one_hot(df, levels)
+    df = encode.apply_one_hot(df, plan.levels)
+    sparse = set(plan.stats.present) - set(plan.numeric)
     feats = [c for c in df.columns if c not in ("__key", target) and c not in sparse]
     df = clean.impute_mean(df.select("__key", qcol(target), *[qcol(c) for c in feats]),
-                           [c for c in feats if c in numeric], stats)
-    df = df.select(F.col("__key").alias(key), qcol(target), *[qcol(c) for c in feats])
-    return (df, feats, stats.rows) if with_rows else (df, feats)
+                           plan.numeric, plan.stats)
+    return df.select(F.col("__key").alias(key), qcol(target), *[qcol(c) for c in feats]), feats
+
+
+def price_vectors(listings: DataFrame, key: str = "id", target: str = "price",
+                  sparse_share: float = C.SPARSE_SHARE):
+    """The same features as one vector column ``features``; returns ``(table, names, plan)``.
+
+    The encoded part is sparse, so the work follows a row's phrases and not the width.
+    """
+    plan = plan_features(listings, key, target, sparse_share)
+    df = clean.impute_mean(plan.rows, plan.numeric, plan.stats)
+    df, names = encode.encoded_vector(df, plan.vocab, plan.levels, "__encoded")
+    parts = plan.numeric + (["__encoded"] if names else [])
+    df = M.assemble(df, parts)
+    return (df.select(F.col("__key").alias(key), qcol(target), "features"),
+            plan.numeric + names, plan)
 
 
 def price_drivers(listings: DataFrame, key: str = "id", trees: int = C.FOREST_TREES,
                   depth: int = C.FOREST_DEPTH, seed: int = C.SEED, test: float = C.TEST_SHARE,
-                  task: str = "classify", max_classes: int = 1000) -> PriceDrivers:
+                  task: str = "classify", rows_per_partition: int = M.ROWS_PER_PARTITION) -> PriceDrivers:
     """Fit the forest on the price and report feature importances and R2 per fold."""
-    table, feats, rows = price_features(listings, key, with_rows=True)
-    table = M.split_rows(table, key, test, seed)
-    vec = M.assemble(table, feats).select(key, "price", "fold", "features")
-    vec = M.prepare_fit_input(vec, key, rows=rows)
+    vec, feats, plan = price_vectors(listings, key)
+    vec = cut_lineage(M.split_rows(vec, key, test, seed), "features")
     train = vec.where(F.col("fold") == "train")
-    forest = M.fit_forest(train, "features", "price", trees, depth, seed, task, max_classes)
+    forest = M.fit_forest(train, "features", "price", trees, depth, seed, task, key=key,
+                          rows_per_partition=rows_per_partition)
     forest.features = feats
     preds = forest.predict(vec).select(key, "fold", "price", "predicted")
     scores = M.r2_score(preds, "price", "predicted", by=["fold"])
     importance = M.importance_table(forest, feats, listings.sparkSession)
-    return PriceDrivers(importance, scores, preds, forest, feats)
+    bad = unparsable_prices(listings).first()
+    return PriceDrivers(importance, scores, preds, forest, feats, bad["unparsable"])

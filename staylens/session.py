@@ -8,15 +8,13 @@ what tests and the bench run on.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fallback broadcast bound (rows) when the session's broadcast threshold cannot
-# be read; normally the bound follows spark.sql.autoBroadcastJoinThreshold.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "staylens", extra: dict | None = None) -> SparkSession:
@@ -62,11 +60,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder; removed by :func:`remove_scratch`."""
+    path = f"{checkpoint_dir(spark)}/staylens-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet in the checkpoint folder and read it back.
 
-    Survives executor loss (unlike a local checkpoint) and keeps later plans
-    short, which matters before iterative work such as a forest fit.
+    Survives executor loss (unlike a local checkpoint), keeps later plans short,
+    and later reads prune columns and use the file statistics.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch() -> None:
+    """Remove the tables that :func:`cut_lineage` wrote (also done when the driver ends)."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone: the folder is the cluster's to clean
+            return
+
+
+atexit.register(remove_scratch)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import as_list, qcol
+from .._util import as_list, nan_to_null, qcol
 
 
 def _sort_cols(order, descending: bool):
@@ -47,7 +47,8 @@ def profile(df: DataFrame, distinct_cols=(), range_cols=(), approx: bool = False
         else:
             aggs.append(F.count_distinct(qcol(c)).alias(f"distinct_{c}"))
     for c in as_list(range_cols):
-        aggs += [F.min(qcol(c)).alias(f"min_{c}"), F.max(qcol(c)).alias(f"max_{c}")]
+        v = nan_to_null(c) if df.schema[c].dataType.typeName() in ("double", "float") else qcol(c)
+        aggs += [F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}")]
     return df.agg(*aggs)
 
 

@@ -10,8 +10,7 @@ oracle.
 listings (one row per ``part`` row)
     id, name, neighbourhood_cleansed (brand), is_location_exact (size > 10),
     has_availability (type is not PROMO), availability_365 (7 x size),
-    price (money text of 10 x the whole-dollar retail price: 100 distinct
-    prices, like the few hundred whole-dollar prices of real listings),
+    price (money text of 10 x the retail price),
     property_type (type, missing when the name starts with "new"), room_type
     (second word of the name), bedrooms, bathrooms, square_feet (present for
     sizes up to 5: 90% missing), seven
@@ -53,7 +52,7 @@ _LISTING_EXPRS = [
     "CASE WHEN p_size > 10 THEN 't' ELSE 'f' END AS is_location_exact",
     "CASE WHEN p_type = 'PROMO' THEN 'f' ELSE 't' END AS has_availability",
     "CAST(p_size * 7 AS DOUBLE) AS availability_365",
-    f"{_money('floor(p_retailprice) * 10')} AS price",
+    f"{_money('p_retailprice * 10')} AS price",
     "CASE WHEN p_name NOT LIKE 'new %' THEN p_type END AS property_type",
     "split_part(p_name, ' ', 2) AS room_type",
     "CAST(floor(p_size / 10.0) AS DOUBLE) AS bedrooms",

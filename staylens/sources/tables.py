@@ -29,10 +29,15 @@ def clean_text(c, tokens=MISSING_TOKENS):
 
 
 def typed(df: DataFrame, schema: T.StructType, tokens=MISSING_TOKENS) -> DataFrame:
-    """Cast text columns to ``schema`` in one projection (NULL on bad values)."""
+    """Cast columns to ``schema`` in one projection (NULL on bad values).
+
+    Text is cleaned of missing tokens first; floating NaN becomes NULL.
+    """
     out = []
     for f in schema.fields:
-        c = clean_text(qcol(f.name), tokens)
+        c = qcol(f.name)
+        if isinstance(df.schema[f.name].dataType, T.StringType):
+            c = clean_text(c, tokens)
         if not isinstance(f.dataType, T.StringType):
             c = c.try_cast(f.dataType)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -80,8 +85,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         if missing:
             raise ValueError(f"columns {missing} are not in {path}")
         declared = {f.name for f in schema.fields}
-        return df.select(*[qcol(f.name).cast(f.dataType).alias(f.name) for f in schema.fields],
-                         *[qcol(c) for c in df.columns if c not in declared])
+        rest = [df.schema[c] for c in df.columns if c not in declared]
+        return typed(df, T.StructType([*schema.fields, *rest]), tokens)
     if fmt != "csv":
         raise ValueError(f"unsupported format {fmt!r}")
     if schema is None:

@@ -40,11 +40,6 @@ def test_one_hot_all_null_and_names(levels):
     assert sorted(out.columns) == sorted(["id", *names])
 
 
-def test_one_hot_level_bound(levels):
-    with pytest.raises(ValueError, match="more than 2 levels"):
-        encode.fit_one_hot(levels, ["c"], max_levels=2)
-
-
 def test_fit_apply_reuse(levels, spark):
     fitted = encode.fit_one_hot(levels, ["c"])
     new = spark.createDataFrame([(9, "zzz"), (10, "b")], "id long, c string")
@@ -76,13 +71,6 @@ def test_phrase_vocabulary_counts_rows(spark):
     assert got == {"tv": 2, "internet": 1}
 
 
-def test_phrase_vector_form(spark):
-    df = spark.createDataFrame([(1, "{TV,Internet}"), (2, "{TV}"), (3, None)], "id long, s string")
-    out, model = encode.phrase_vector(df, "s", "v")
-    got = {r["id"]: sorted(model.vocabulary[i] for i in r["v"].indices) for r in out.collect()}
-    assert got == {1: ["internet", "tv"], 2: ["tv"], 3: []}
-
-
 def test_phrases_long_on_documents(spark):
     from .conftest import SF_SMALL
 
@@ -101,8 +89,6 @@ def test_fit_encoders_equals_separate_fits(spark):
     vocab, levels = encode.fit_encoders(df, ["amenities"], ["pt", "rt"])
     assert vocab.phrases == encode.fit_phrase_indicators(df, ["amenities"]).phrases
     assert levels.levels == encode.fit_one_hot(df, ["pt", "rt"]).levels
-    with pytest.raises(ValueError, match="bound"):
-        encode.fit_encoders(df, ["amenities"], ["pt", "rt"], max_vocab=1)
 
 
 def test_empty_input_through_encoders(spark):
@@ -115,7 +101,20 @@ def test_empty_input_through_encoders(spark):
     assert encode.phrase_vocabulary(df, "amenities").count() == 0
 
 
-def test_phrase_vector_bound_is_an_error(spark):
-    df = spark.createDataFrame([(1, "{a,b,c}"), (2, "{d}")], "id long, s string")
-    with pytest.raises(ValueError, match="max_vocab"):
-        encode.phrase_vector(df, "s", "v", max_vocab=3)
+def test_encoded_vector_equals_the_columns(spark):
+    df = spark.createDataFrame(
+        [(1, "{TV,Internet}", "House", "a"), (2, None, "Flat", None), (3, "{tv}", None, "b"), (4, "", "", "b")],
+        "id long, amenities string, pt string, rt string")
+    vocab, levels = encode.fit_encoders(df, ["amenities"], ["pt", "rt"])
+    wide = encode.apply_one_hot(encode.apply_phrase_indicators(df, vocab), levels)
+    out, names = encode.encoded_vector(df, vocab, levels, "v")
+    assert names == wide.columns[1:]
+    want = {r["id"]: [float(r[n]) for n in names] for r in wide.collect()}
+    assert {r["id"]: r["v"].toArray().tolist() for r in out.collect()} == want
+
+
+def test_thousands_of_phrases(spark):
+    df = spark.range(0, 3000).selectExpr("id", "concat('{p', id, ',q', id % 10, '}') AS s")
+    vocab, levels = encode.fit_encoders(df, ["s"], [])
+    out, names = encode.encoded_vector(df, vocab, levels, "v")
+    assert len(names) == 3010 and out.where("id = 7").first()["v"].numNonzeros() == 2

@@ -48,12 +48,7 @@ def _canon(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-# The stand-in vocabularies of these two oracles are written for sf >= 0.01,
-# where every name word and type occurs; they are checked by scripts/check_oracle.py.
-SMALL_SCALE_SKIP = {"phrase_indicators", "one_hot"}
-
-
-@pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SMALL_SCALE_SKIP))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]

@@ -97,3 +97,16 @@ def test_phrase_class_equals_python_on_every_bmp_character(spark):
     import unicodedata
     assert all(unicodedata.category(c)[0] in "LN" for c in bad), [hex(ord(c)) for c in bad]
     assert len(bad) < 200
+
+
+def test_parse_number_passes_numbers_through(spark):
+    df = spark.createDataFrame([(12345678.0, -5, None), (-0.5, 7, "$1,000")], "d double, i int, s string")
+    got = [tuple(r) for r in df.select(parse_number("d"), parse_number("i"), parse_number("s")).collect()]
+    assert got == [(12345678.0, -5.0, None), (-0.5, 7.0, 1000.0)]
+
+
+def test_bucket_of_values_without_one(spark):
+    from staylens.functions import bucket_midpoint
+
+    df = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),), (-7.0,)], "x double")
+    assert [r[0] for r in df.select(bucket_midpoint("x", 10)).collect()] == [None, None, None, 5.0]

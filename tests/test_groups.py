@@ -126,8 +126,9 @@ def test_column_means_and_date_range(spark):
     assert not math.isnan(m["d"])
 
 
-@pytest.mark.parametrize("max_inside", [3, 50, 1_000_000])
-def test_bracket_median_equals_distinct(spark, max_inside):
+@pytest.mark.parametrize("cell_values", [1 << 20, 40, 1])
+def test_median_with_ties_and_missing_values(spark, monkeypatch, cell_values):
+    monkeypatch.setattr(groups, "CELL_VALUES", cell_values)
     rnd = spark.range(0, 20_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
          .otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"),
@@ -139,18 +140,28 @@ def test_bracket_median_equals_distinct(spark, max_inside):
         [("one", 5.0), ("pair", 1.0), ("pair", 4.0), ("nulls", None), ("nulls", None),
          ("neg", -3.0), ("neg", -1.0), ("neg", -2.0)], "k string, v double")
     df = rnd.unionByName(extra)
-    want = rows(groups.median_count(df, ["k"], "v"), "sorted")
-    got = rows(groups.median_count(df, ["k"], "v", method="bracket", max_inside=max_inside), "sorted")
-    assert got == want
-    g_want = groups.total_median(df, "v").first()[0]
-    g_got = groups.median_count(df, [], "v", count_name=None, method="bracket",
-                                max_inside=max_inside).first()[0]
-    assert g_got == g_want
+    pdf = df.toPandas()
+    want = pdf.groupby("k")["v"].agg(["median", "size"])
+    got = {r["k"]: (r["median"], r["count"]) for r in groups.median_count(df, ["k"], "v").collect()}
+    assert set(got) == set(want.index) and got["nulls"] == (None, 2)
+    for k, (m, n) in got.items():
+        assert n == want.loc[k, "size"] and (m is None or math.isclose(m, want.loc[k, "median"], rel_tol=1e-12))
+    assert math.isclose(groups.total_median(df, "v").first()[0], pdf["v"].median(), rel_tol=1e-12)
+    assert groups.total_median(df.where("false"), "v").first()[0] is None
+
+
+def test_nan_keys_are_no_groups(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0), (nan, 3.0), (None, 4.0), (1.0, 6.0)], "k double, v double")
+    assert rows(groups.value_counts(df, "k")) == [(1.0, 2)]
+    assert rows(groups.median_count(df, ["k"], "v")) == [(1.0, 4.0, 2)]
+    assert rows(groups.group_by_bucket(df, "k", 10, "v")) == [(5.0, 4.0, 2)]
+    assert groups.group_share(df, ["k"], F.col("v") > 3).count() == 1
 
 
-def test_bracket_median_plan_has_no_cross_join(spark):
+def test_total_median_plan_has_no_cross_join(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, v double")
-    out = groups.median_count(df, [], "v", method="bracket")
+    out = groups.median_count(df, [], "v")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert out.first()["median"] == 2.0
@@ -174,11 +185,3 @@ def test_empty_input_through_groups(spark):
     assert groups.profile_by_features(df, ["n"], "v").count() == 0
     assert groups.group_by_bucket(df, "n", 10, "v").count() == 0
     assert groups.column_means(df, ["v"]).first()[0] is None
-
-
-def test_auto_median_method_picks_by_distinct_values(spark):
-    df = spark.range(0, 3000).select((F.col("id") % 2).cast("string").alias("k"),
-                                     (F.col("id") * 1.5).alias("v"))
-    want = rows(groups.median_count(df, ["k"], "v"), "sorted")
-    assert rows(groups.median_count(df, ["k"], "v", method="auto", max_inside=100), "sorted") == want
-    assert rows(groups.median_count(df, ["k"], "v", method="auto"), "sorted") == want

@@ -60,9 +60,7 @@ def test_forest_classifier_on_price_classes(spark, toy):
     assert M.top_importance(table, 1).first()["feature"] == "x"
 
 
-def test_forest_class_bound_and_regressor(spark, toy):
-    with pytest.raises(ValueError, match="max_classes|more than 3"):
-        M.fit_forest(toy, "features", "price", trees=5, depth=3, max_classes=3)
+def test_forest_regressor(spark, toy):
     reg = M.fit_forest(toy, "features", "price", trees=10, depth=4, task="regress")
     assert M.r2_score(reg.predict(toy), "price", "predicted").first()[0] > 0.95
 
@@ -109,3 +107,33 @@ def test_price_drivers_regression_forest(spark):
     assert {r["fold"] for r in res.scores.collect()} == {"train", "test"}
     assert abs(sum(r["importance"] for r in res.importance.collect()) - 1.0) < 1e-9
     assert res.forest.labels is None
+
+
+def test_wide_drivers_and_unparsable_prices(spark):
+    """1,500 prices and 3,000 phrases: no class or vocabulary limit."""
+    df = spark.range(0, 3000).selectExpr(
+        "id", "CASE WHEN id % 100 = 0 THEN 'ask' ELSE concat('$', id % 1500, '.50') END AS price",
+        "concat('{p', id, '}') AS amenities", "CAST(id % 9 AS DOUBLE) AS bedrooms")
+    res = R.price_drivers(df, trees=2, depth=3)
+    assert len(res.features) > 2900 and len(res.forest.labels) > 1000 and res.unparsable == 30
+    assert res.predictions.count() == 2970
+
+
+def test_forest_depends_on_the_data_alone(spark):
+    """Equal importances whatever the input's partitions and the session's parallelism."""
+    listings = standins.listings(spark, SF_SMALL)
+    seen = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, shuffle in ((1, "8"), (13, "3")):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            res = R.price_drivers(listings.repartition(n), trees=5, rows_per_partition=50)
+            seen.append([(r["feature"], round(r["importance"], 12)) for r in res.importance.collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1]
+
+
+def test_key_with_a_dot(spark):
+    df = spark.createDataFrame([(1,)], "`a.b` long")
+    assert M.split_rows(df, "a.b").first()["fold"] in ("train", "test")

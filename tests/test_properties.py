@@ -64,11 +64,9 @@ def test_medians_equal_pandas(spark, rows):
     df = spark.createDataFrame(rows, "k string, v double")
     pdf = pd.DataFrame(rows, columns=["k", "v"]).dropna(subset=["k"])
     want = pdf.groupby("k")["v"].agg(["median", "size"])
-    for method in ("distinct", "bracket"):
-        got = {r[0]: (r[1], r[2]) for r in
-               groups.median_count(df, ["k"], "v", method=method, max_inside=5).collect()}
-        assert set(got) == set(want.index)
-        for k, (m, n) in got.items():
-            assert n == want.loc[k, "size"]
-            wm = want.loc[k, "median"]
-            assert (m is None and pd.isna(wm)) or math.isclose(m, wm, rel_tol=1e-12, abs_tol=1e-9)
+    got = {r[0]: (r[1], r[2]) for r in groups.median_count(df, ["k"], "v").collect()}
+    assert set(got) == set(want.index)
+    for k, (m, n) in got.items():
+        assert n == want.loc[k, "size"]
+        wm = want.loc[k, "median"]
+        assert (m is None and pd.isna(wm)) or math.isclose(m, wm, rel_tol=1e-12, abs_tol=1e-9)

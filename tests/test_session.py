@@ -1,5 +1,6 @@
-from staylens.plans import model as M
-from staylens.session import checkpoint_dir, cut_lineage
+import os
+
+from staylens.session import checkpoint_dir, cut_lineage, remove_scratch
 
 
 def test_checkpoint_dir_comes_from_the_session(spark):
@@ -11,13 +12,9 @@ def test_cut_lineage_reads_the_written_copy(spark):
     df = spark.range(0, 100).selectExpr("id", "id * 2 AS twice")
     cut = cut_lineage(df.where("id % 2 = 0"))
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
-    assert "LogicalRDD" in plan and "Range" not in plan  # no lineage back to the source
-    assert cut.count() == 50
-
-
-def test_forest_budget_and_partitions_are_bounded(spark):
-    assert 16 <= M.task_memory_mb(spark) <= 1024
-    cores = spark.sparkContext.defaultParallelism
-    assert M.fit_partitions(spark, 10) == 1
-    assert M.fit_partitions(spark, 10**9) == min(cores, 256)
-    assert M.fit_partitions(spark, None) == min(cores, 256)
+    assert "parquet" in plan and "Range" not in plan  # no lineage back to the source
+    assert cut.count() == 50 and cut.dtypes == df.dtypes
+    files = cut.inputFiles()
+    assert all(checkpoint_dir(spark).split(":")[-1] in f for f in files)
+    remove_scratch()
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)

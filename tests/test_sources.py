@@ -77,3 +77,23 @@ def test_read_single_line_csv_splits(spark, scratch):
     a = read_table(spark, path, schema)
     b = read_table(spark, path, schema, multi_line=False)
     assert sorted(rows(a)) == sorted(rows(b)) and b.count() == 2000
+
+
+def test_parquet_is_cleaned_like_csv(spark, scratch):
+    import os
+
+    from pyspark.sql import types as T
+
+    path = os.path.join(scratch, "t.parquet")
+    spark.createDataFrame([("1", float("nan"), "x"), ("N/A", 2.0, "NA")], "a string, b double, c string").write.parquet(path)
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.DoubleType())])
+    got = rows(read_table(spark, path, schema, fmt="parquet"), "sorted")
+    assert got == sorted([(1, None, "x"), (None, 2.0, None)], key=repr)
+
+
+def test_profile_range_skips_nan(spark):
+    from staylens.sources import preview
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,)], "x double")
+    r = preview.profile(df, [], ["x"]).first()
+    assert (r["min_x"], r["max_x"]) == (1.0, 3.0)
