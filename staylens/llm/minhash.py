@@ -7,14 +7,17 @@
    registers estimate the probability Jaccard similarity.
 2. Texts of equal words share a key: a class of copies is one node from here on.
 3. Signatures are cut into bands; nodes with an equal band meet in a bucket.
-4. Rounds: every node meets one leader of a bucket that still holds several components
-   (first the member with the most bucket mates, then others); a pair is a link when the exact similarity of the
-   two whole texts reaches the threshold. Components come from star contraction.
-5. What the rounds leave is settled exactly: all pairs of members of one bucket that lie in
-   different components and never met are estimated from their registers and verified.
-
-Nothing is capped: the rounds only lessen the pairs that step 5 has to meet. No bucket is
-gathered in one task, and no link or component passes through the driver.
+4. Every node meets one leader, the member of its buckets with the most bucket mates (for
+   the copies of one base, the base): a pair is a link when the exact similarity of the two
+   whole texts reaches the threshold. Components come from star contraction.
+5. Buckets that still hold several components are settled exactly, in blocks of members:
+   a task gets two blocks of a bucket with their texts, meets the members of different
+   components (in the first band that a pair shares), leaves out those whose registers
+   agree far too rarely, verifies the others and passes on the links alone.
+
+Nothing is capped: step 4 only lessens what step 5 has to meet. Rows grow with a bucket's
+members times its blocks, never with its pairs; no bucket is gathered in one task, and no
+link or component passes through the driver.
 
 Defined results: a text without words is in a class of its own; a class is named by its
 smallest doc_id (NULL if it has none); repeated rows share their class.
@@ -32,13 +35,15 @@ from staylens.llm.common import annotate, folded_words, free_name, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
+ROUNDING = 1e-9
 BANDS = 24
 ROWS = 5
-ROUNDS = 4
+#: Members of a bucket's block in step 5.
+BLOCK = 256
 #: Registers that agree, as a share, below which a pair of step 5 is not verified: at a
 #: similarity of 0.8 and 120 registers, five standard deviations under the mean.
 LEAST_ESTIMATE = 0.8 - 5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
-#: Members of one leader that a task verifies at once (hot leaders are salted).
+#: Members of one leader in a share of step 4 (hot leaders are salted).
 LEADER_SHARE = 500
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -157,10 +162,7 @@ def sketches(docs: DataFrame, text: str, keep, bands: int = BANDS, rows: int = R
             lists = [folded_words(t) for t in texts]
             who, code, weight = shingles(lists, hashes, size)
             sig = signatures(who, code, weight, len(lists), count)
-            band = np.zeros((len(lists), bands), np.uint64)
-            for k in range(rows):
-                band = mix(band ^ sig[:, k::rows].astype(np.uint64))
-            band = band.view(np.int64)
+            band = band_hashes(sig, rows)
             return [(xxhash.xxh3_128_digest(b" ".join(ws)), sig[i].tobytes(), band[i]) if ws
                     else (None, None, None) for i, ws in enumerate(lists)]
         return work
@@ -198,7 +200,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) ->
             for i in range(len(a)):
                 if b[i] != leader:
                     leader, held = b[i], sets(tb[i].as_py())
-                good.append(probability_jaccard(*sets(ta[i].as_py()), *held) >= threshold)
+                good.append(probability_jaccard(*sets(ta[i].as_py()), *held) >= threshold - ROUNDING)
             mask = pa.array(good, pa.bool_())
             yield batch.select([0, 1]).filter(mask)
 
@@ -231,71 +233,115 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("u").alias("key"), "root").unionByName(tops.select(F.col("v").alias("key"), F.col("v").alias("root")))
 
 
-def _links(nodes: DataFrame, texts_of, threshold: float, rounds: int, size: int) -> DataFrame:
+def _links(nodes: DataFrame, texts_of, threshold: float, rows: int, leaders: bool, size: int) -> DataFrame:
     """(key, root) of every node that has a link. ``nodes``: key, signature, bands."""
     spread = nodes.select("key", F.posexplode("bands").alias("band", "h"))
-    shared = (spread.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = spread.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(spread.join(shared, ["band", "h"])
-                     .select("key", F.xxhash64("band", "h").alias("bucket"), "n"), "members")
-    # mates over all buckets: the base of many near copies has the most
+                     .select("key", "band", F.xxhash64("band", "h").alias("bucket"), "n"), "members")
     mates = members.groupBy("key").agg(F.sum("n").alias("mates"))
-    members = stored(members.drop("n").join(mates, "key"), "members")
     texts = stored(texts_of(mates.select("key")), "texts")
-    met, linked, roots = None, None, None
-    for turn in range(rounds + 1):
-        if roots is None:
-            placed = members.withColumn("root", F.col("key"))
-        else:
-            placed = (members.join(roots, "key", "left")
-                      .select("key", "bucket", "mates", F.coalesce("root", "key").alias("root")))
-        # the first leader of a bucket has the most mates, the others are drawn by hash
-        order = F.struct((-F.col("mates") if turn == 0 else F.lit(0)).cast("bigint").alias("m"),
-                         F.xxhash64(F.lit(turn), "bucket", "key").alias("o"), "key", "root")
-        mixed = (placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(order).alias("l"))
-                 .where("x <> y").select("bucket", F.col("l.key").alias("b"), F.col("l.root").alias("rb"),
-                                         F.col("l.m").alias("m")))
-        if turn < rounds:  # one leader for a node in a round
-            pairs = (placed.join(mixed, "bucket").where("root <> rb").groupBy(F.col("key").alias("a"))
-                     .agg(F.min_by("b", F.struct("m", F.xxhash64("key", "b"))).alias("b")))
-        else:
-            rest = stored(placed.join(mixed.select("bucket"), "bucket").select("key", "bucket", "root"), "rest")
-            x = rest.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
-            y = rest.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "bucket").where("a > b and ra <> rb").select("a", "b")
-        pairs = pairs.distinct()
-        if met is not None:
-            pairs = pairs.join(met, ["a", "b"], "left_anti")
-            pairs = pairs.join(met.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        if turn == rounds:
-            sign = nodes.select("key", "signature")
-            pairs = (pairs.join(sign.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a")
-                     .join(sign.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
-                     .select("a", "b", "sa", "sb").mapInArrow(_promising, "a binary, b binary"))
-        pairs = stored(pairs, "met")
-        if pairs.isEmpty():
-            continue
-        new = stored(_verify(pairs, texts, threshold, size), "links")
-        met = pairs if met is None else met.unionByName(pairs)
-        linked = new if linked is None else linked.unionByName(new)
-        roots = stored(components(linked), "roots")
-    if roots is None:
-        return members.select("key", F.col("key").alias("root")).where("false")
-    return roots
+    members = members.drop("n").join(mates, "key").withColumn("root", F.col("key"))
+    links = None
+    if leaders:
+        order = F.struct((-F.col("mates")).alias("m"), F.xxhash64("bucket", "key").alias("o"), "key")
+        first = members.groupBy("bucket").agg(F.min(order).alias("l")).select(
+            "bucket", F.col("l.key").alias("b"), F.col("l.m").alias("m"))
+        pairs = (members.join(first, "bucket").where(F.col("key") != F.col("b")).groupBy(F.col("key").alias("a"))
+                 .agg(F.min_by("b", F.struct("m", F.xxhash64("key", "b"))).alias("b")))
+        links = stored(_verify(pairs, texts, threshold, size), "links")
+        roots = stored(components(links), "roots")
+        members = (members.drop("root").join(roots, "key", "left")
+                   .withColumn("root", F.coalesce("root", "key")))
+    members = stored(members, "members")
+    mixed = (members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
+             .where("x <> y").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rest = members.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int"))
+    body = texts.join(nodes.select("key", "signature"), "key")
+    sent = (rest.join(body, "key")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    "mates", "key", "root", "band", "block", "signature", "text"))
+    met = sent.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", F.desc("mates"), "key")
 
-
-def _promising(batches):
-    """Pairs whose registers agree often enough to be verified."""
-    for batch in batches:
-        sa = batch.column(2).to_pylist()
-        sb = batch.column(3).to_pylist()
-        good = [bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= LEAST_ESTIMATE)
-                for x, y in zip(sa, sb)]
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+    def run(batches):
+        hashes = WordHashes()
+        group, held = None, []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in range(3)),
+                           *(batch.column(c).to_pylist() for c in range(4, 9)), batch.column(9).cast(pa.binary()).to_pylist()):
+                if row[:3] != group:
+                    out += _meet(group, held, hashes, rows, threshold, size)
+                    group, held = row[:3], []
+                held.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        out = _meet(group, held, hashes, rows, threshold, size)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    more = met.mapInArrow(run, "a binary, b binary")
+    links = stored(more.distinct() if links is None else links.unionByName(more.distinct()), "links")
+    return stored(components(links), "roots")
+
+
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    """The band hashes of signatures, one row a text."""
+    band = np.zeros((len(sig), sig.shape[1] // rows), np.uint64)
+    for k in range(rows):
+        band = mix(band ^ sig[:, k::rows].astype(np.uint64))
+    return band.view(np.int64)
+
+
+def _meet(group, held: list, hashes: WordHashes, rows: int, threshold: float, size: int) -> list:
+    """Links between members of two blocks of a bucket that are in different components."""
+    if len(held) < 2:
+        return []
+    _, i, j = group
+    keys, roots, bands, blocks, sigs, texts = zip(*held)
+    sig = np.stack([np.frombuffer(x, np.uint32) for x in sigs])
+    hashed, band = band_hashes(sig, rows), bands[0]
+    block = np.array(blocks)
+    number: dict = {}
+    top = np.array([number.setdefault(r, len(number)) for r in roots])  # the component of each member
+    sets: dict[int, tuple] = {}
+
+    def of(k: int) -> tuple:
+        if k not in sets:
+            _, code, weight = shingles([folded_words(texts[k])], hashes, size)
+            plain = set(code.tolist()) if (weight == 1).all() else None
+            sets[k] = code, weight, plain
+        return sets[k]
+
+    out = []
+    for p in range(len(keys) - 1):
+        far = top[p + 1:] != top[p]
+        if i != j:
+            far &= block[p + 1:] != block[p]
+        q = np.flatnonzero(far) + p + 1
+        if not len(q):
+            continue
+        q = q[(hashed[q] == hashed[p]).argmax(axis=1) == band]  # met in the first shared band
+        agree = (sig[q] == sig[p]).mean(axis=1)
+        near = agree >= LEAST_ESTIMATE
+        q, agree = q[near], agree[near]
+        for k in q[np.argsort(-agree, kind="stable")].tolist():
+            if top[k] == top[p]:
+                continue
+            (ca, wa, sa), (cb, wb, sb) = of(p), of(k)
+            if sa is not None and sb is not None:  # equal weights: the plain Jaccard similarity
+                n = len(sa & sb)
+                similar = n >= (threshold - ROUNDING) * (len(sa) + len(sb) - n)
+            else:
+                similar = probability_jaccard(ca, wa, cb, wb) >= threshold - ROUNDING
+            if similar:
+                out.append((keys[p], keys[k]))
+                top[top == top[k]] = top[p]
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
-                    rounds: int = ROUNDS, size: int = SHINGLE) -> DataFrame:
+                    leaders: bool = True, size: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, root, class_id): a row for every row of ``docs``.
 
     ``text_key`` is the 128-bit key of the folded words, ``root`` the smallest key of the
@@ -317,7 +363,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         # an id may stand for several texts: keep the one whose words have the key
         return found.mapInArrow(_with_key, "key binary, text string").dropDuplicates(["key"])
 
-    roots = _links(nodes.select("key", "signature", "bands"), texts_of, threshold, rounds, size)
+    roots = _links(nodes.select("key", "signature", "bands"), texts_of, threshold, rows, leaders, size)
     named = nodes.select("key", "doc_id").join(roots, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), "doc_id")
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
