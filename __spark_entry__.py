@@ -346,8 +346,18 @@ def _q_forest_recovers(spark, d):
     return forest.predict(vec).select("id", "price", "predicted")
 
 
+_FITS: dict[tuple, R.PriceDrivers] = {}  # the price driver queries of a session share one fit
+
+
+def forget_fits() -> None:
+    _FITS.clear()
+
+
 def _drivers(spark, d):
-    return R.price_drivers(_listings(spark, d))
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITS:
+        _FITS[key] = R.price_drivers(_listings(spark, d))
+    return _FITS[key]
 
 
 def _q_price_driver_checks(spark, d):
