@@ -2,14 +2,12 @@
 
 ``annotate`` runs a per-text function inside Arrow batches and adds its result as
 one struct column, so no output name can clash with a column of the table.
-``stored`` cuts lineage with a Parquet table in the shared folder that
-``spark.checkpoint.dir`` names.
+``stored(df, name)`` cuts lineage with a Parquet table in the shared folder that
+``spark.checkpoint.dir`` names; such tables are removed when the driver ends.
 """
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -20,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from staylens._util import qcol
-from staylens.session import checkpoint_dir
+from staylens.session import cut_lineage as stored  # noqa: F401 (used by the operators)
 
 #: Rows handed to a per-text function at once.
 SLICE_ROWS = 512
@@ -97,38 +95,5 @@ def annotate(df: DataFrame, text: str, out: str, ddl: str, start: Callable[[], C
     return source.mapInArrow(run, StructType([*fields, StructField(out, struct)]))
 
 
-_FOLDERS: list[tuple[SparkSession, str]] = []
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; removed when the driver ends."""
-    path = f"{checkpoint_dir(spark)}/staylens-{name}-{uuid.uuid4().hex}"
-    _FOLDERS.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_scratch() -> None:
-    """Removes the tables that ``stored`` wrote (also done when the driver ends)."""
-    while _FOLDERS:
-        spark, path = _FOLDERS.pop()
-        try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is gone; its folder is the cluster's to clean
-            return
-
-
-atexit.register(remove_scratch)
-
-
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
