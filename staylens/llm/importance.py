@@ -71,10 +71,11 @@ def bucket_counts(docs: DataFrame, target: DataFrame, key: str = "doc_id", text:
             [pa.array(used), pa.array(good[used]), pa.array(every[used])], names=["bucket", "good", "every"])
 
     sums = (rows.mapInArrow(run, "bucket bigint, good bigint, every bigint")
-            .groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every"))).toPandas()
+            .groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every"))).toArrow()
     good, every = np.zeros(count), np.zeros(count)
-    good[sums["bucket"]] = sums["good"]
-    every[sums["bucket"]] = sums["every"]
+    at = sums["bucket"].to_numpy()
+    good[at] = sums["good"].to_numpy()
+    every[at] = sums["every"].to_numpy()
     return good, every
 
 

@@ -180,17 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     target = stored(labelled_ids(docs, labels, label, value, key, max_labelled), "target")
     rows = _marked(docs, target, key, text)
     words = stored(word_counts(rows), "words")
-    top = words.orderBy(F.desc("every"), "word").limit(vocabulary).toPandas()
+    top = words.orderBy(F.desc("every"), "word").limit(vocabulary).toArrow()
     totals = words.agg(F.sum("good"), F.sum("every")).first()
-    ids = {bytes(w): i for i, w in enumerate(top["word"])}
+    ids = {w: i for i, w in enumerate(top["word"].to_pylist())}
     counts = np.zeros((2, len(ids) + 1))
-    counts[0, :-1], counts[1, :-1] = top["good"], top["every"]
+    counts[0, :-1], counts[1, :-1] = top["good"].to_numpy(), top["every"].to_numpy()
     counts[:, -1] = np.array([totals[0] or 0, totals[1] or 0], float) - counts[:, :-1].sum(axis=1)
     pairs = stored(bigram_counts(rows, ids), "bigrams")
     least = least_count(pairs, bigrams)
-    kept = pairs.where(F.col("every") >= least).toPandas().sort_values("code")
-    return BigramModels(ids, counts, kept["code"].to_numpy(np.int64),
-                        np.stack([kept["good"].to_numpy(float), kept["every"].to_numpy(float)]))
+    kept = pairs.where(F.col("every") >= least).toArrow()  # columns, not a row object for each bigram
+    codes = kept["code"].to_numpy()
+    order = np.argsort(codes)
+    return BigramModels(ids, counts, codes[order],
+                        np.stack([kept["good"].to_numpy()[order], kept["every"].to_numpy()[order]]).astype(float))
 
 
 def score(docs: DataFrame, models: BigramModels, text: str = "text", keep=None):

@@ -217,10 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     rows = (rows.where(~fails_base("stats"))
             .select("id", "label", *[F.col(f"stats.{n}").cast("double").alias(n) for n in FEATURES])
             .orderBy(F.xxhash64("id"), "id", *FEATURES).limit(max_labelled))
-    data = rows.toPandas()
-    if data.empty:
+    data = rows.toArrow()
+    if not data.num_rows:
         return DecisionList()
-    return learn(data[list(FEATURES)].to_numpy(float), (data["label"] == 0).to_numpy())
+    return learn(np.stack([data[n].to_numpy() for n in FEATURES], axis=1), data["label"].to_numpy() == 0)
 
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text", keep=None):
