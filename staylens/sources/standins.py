@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.constants import REVIEW_FEATURES
+from .tables import read_table
 
 Q = "'"  # a single quote, for the list text below
 
@@ -80,12 +81,12 @@ _CALENDAR_EXPRS = [
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*_LISTING_EXPRS)
+    return read_table(spark, f"{sf_dir}/part.parquet", fmt="parquet").selectExpr(*_LISTING_EXPRS)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*_CALENDAR_EXPRS)
+    return read_table(spark, f"{sf_dir}/lineitem.parquet", fmt="parquet").selectExpr(*_CALENDAR_EXPRS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return read_table(spark, f"{sf_dir}/documents.parquet", fmt="parquet").select("doc_id", "text")
