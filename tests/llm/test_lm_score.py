@@ -79,3 +79,35 @@ def test_prefers_the_target_and_edges(spark, docs_of):
     assert rows[5]["difference"] < 0 < rows[12]["difference"] and rows[50]["n_words"] == 30_000
     none = docs.where("false")
     assert M.score(none, M.fit(none, labels))[0].count() == 0
+
+
+def test_whole_models_keep_every_word_bigram_and_label(spark, monkeypatch):
+    """More words than any fixed vocabulary, each bigram, and all labelled documents."""
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").where("doc_id < 150")
+    labels = spark.read.parquet(f"{SF_ORACLE}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    want = brute(texts, good, 10**7, 10**7)
+    for cached, short, sample in ((0, 0, 1), (2_000, 300, 1), (M.CACHED, M.SHORT_KEYS, M.SAMPLE)):
+        monkeypatch.setattr(M, "CACHED", cached)
+        monkeypatch.setattr(M, "SHORT_KEYS", short)
+        monkeypatch.setattr(M, "SAMPLE", sample)
+        models = M.fit(docs, labels)
+        assert models.losses.agg({"every": "sum"}).first()[0] == sum(len(folded_words((t or "").encode())) for t in texts.values())
+        out, c = M.score(docs, models, keep=["doc_id"])
+        rows = out.collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            assert np.allclose([r[c]["target_loss"], r[c]["background_loss"]], want[r["doc_id"]], rtol=1e-9)
+
+
+def test_whole_models_back_off(spark, docs_of):
+    labels = spark.createDataFrame([(0, 1, 0)], LABELS)
+    models = M.fit(docs_of(["a b a c", "b b a", "a c d"]), labels)
+    out, c = M.score(docs_of([(7, "b d zzz")]), models)
+    p = [lambda n: (n + 1) / (4 + 5), lambda n: (n + 1) / (10 + 5)]
+    counts, held = {"b": (1, 3), "d": (0, 1), "zzz": (0, 0)}, {"b": (1, 3), "d": (0, 0)}
+    for k, field in ((0, "target_loss"), (1, "background_loss")):
+        q = [p[k](counts[w][k]) for w in ("b", "d", "zzz")]
+        loss = -(math.log(q[0]) + sum(math.log(M.STRENGTH * q[i + 1] / (held[w][k] + M.STRENGTH)) for i, w in enumerate(("b", "d"))))
+        assert math.isclose(out.first()[c][field], loss / 3, rel_tol=1e-12)
