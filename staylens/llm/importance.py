@@ -39,13 +39,15 @@ def buckets(words: list[bytes], count: int = BUCKETS) -> np.ndarray:
     return (np.concatenate((mix(h), pairs)) % np.uint64(count)).astype(np.int64)
 
 
-def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, value: int, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` ids of documents with that label alone, in hash order."""
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, value: int, key: str,
+                 limit: int | None) -> DataFrame:
+    """Ids of documents with that label alone; at most ``limit`` of them, in hash order."""
     known = (labels.where(qcol(label).isNotNull() & qcol(key).isNotNull())
              .groupBy(qcol(key).alias("id")).agg(F.min(qcol(label)).alias("low"), F.max(qcol(label)).alias("high"))
              .where((F.col("low") == value) & (F.col("high") == value)).select("id"))
     present = docs.select(qcol(key).alias("id")).distinct()
-    return known.join(present, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(limit)
+    found = known.join(present, "id", "left_semi")
+    return found if limit is None else found.orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
 def bucket_counts(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text",

@@ -12,7 +12,7 @@ looked up by a join and summed by document. Two bounded lists only save work: wo
 are frequent in a sample get short keys, and the losses of the ``CACHED`` most frequent
 bigrams are broadcast, so that only the others travel. Neither changes a result.
 
-The target is at most ``MAX_LABELLED`` labelled documents, chosen by a hash of doc_id.
+The target is every document whose labels are all ``value``; there is no bound on it.
 
 Only on request (``vocabulary`` and ``bigrams`` given) the models are cut to those sizes
 and held by each task (``BigramModels``): other words are one unknown word, other bigrams
@@ -44,7 +44,6 @@ SHORT_KEYS = 65_536
 SAMPLE = 16
 #: Bigrams whose losses are broadcast; the others are joined.
 CACHED = 1_000_000
-MAX_LABELLED = 20_000
 #: The key before a text's first word.
 START = 0
 #: Strength of the back-off to word frequencies, in occurrences.
@@ -98,7 +97,7 @@ class BigramModels:
 def _marked(docs: DataFrame, target: DataFrame, key: str, text: str) -> DataFrame:
     good = target.select(F.col("id").alias("id_"), F.lit(1).alias("good"))
     return docs.select(qcol(key).alias("id_"), qcol(text).cast("string").alias("text")).join(
-        F.broadcast(good), "id_", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
+        good, "id_", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
 
 
 def _texts(batch):
@@ -286,7 +285,7 @@ def _loss(count, back, held):
 
 
 def fit_whole(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, value: int) -> StoredModels:
-    target = stored(labelled_ids(docs, labels, label, value, key, MAX_LABELLED), "target")
+    target = stored(labelled_ids(docs, labels, label, value, key, None), "target")
     short = short_keys(docs, text)
     pairs = stored(pair_counts(_marked(docs, target, key, text), short), "pairs")
     held = (pairs.where(F.col("first") != START).groupBy(F.col("first").alias("key"))
@@ -316,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return fit_whole(docs, labels, key, text, label, value)
     if vocabulary is None or bigrams is None:
         raise ValueError("vocabulary and bigrams are given together or not at all")
-    target = stored(labelled_ids(docs, labels, label, value, key, MAX_LABELLED), "target")
+    target = stored(labelled_ids(docs, labels, label, value, key, None), "target")
     rows = _marked(docs, target, key, text)
     words = stored(word_counts(rows), "words")
     top = words.orderBy(F.desc("every"), "word").limit(vocabulary).toArrow()

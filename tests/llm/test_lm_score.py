@@ -111,3 +111,13 @@ def test_whole_models_back_off(spark, docs_of):
         q = [p[k](counts[w][k]) for w in ("b", "d", "zzz")]
         loss = -(math.log(q[0]) + sum(math.log(M.STRENGTH * q[i + 1] / (held[w][k] + M.STRENGTH)) for i, w in enumerate(("b", "d"))))
         assert math.isclose(out.first()[c][field], loss / 3, rel_tol=1e-12)
+
+
+def test_every_labelled_document_is_in_the_target(spark):
+    n = 20_100
+    docs = spark.range(n).selectExpr("id as doc_id", "'a b' as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    m = M.fit(docs, labels, vocabulary=2, bigrams=10)
+    assert m.word_counts.tolist() == [[n, n, 0], [n, n, 0]]
+    back = M.fit(docs, labels).words.select("held_a", "held_b").where("held_a is not null").collect()
+    assert [tuple(r) for r in back] == [(n, n)]
