@@ -2,7 +2,9 @@
 
 Markup is stripped to lines, one for each block element. A line inside a menu, header,
 footer, sidebar, notice, advert, form, comment section or the like weighs nothing; the
-others weigh their text length. The weights are summed over sliding windows of lines; the
+others weigh their text length. A part that only its class, id or role calls so is a layout
+wrapper, and no noise, if it holds (or is) a marked container with a fair share of the largest
+one's text, or half of the page's text. The weights are summed over sliding windows of lines; the
 text begins where a window's sum surges and ends where it dives. If the page marks its
 article (article, main, or a named container), lines outside weigh nothing, so surge and
 dive fall on the article's edges, and no line of the article is lost; an unmarked page
@@ -26,10 +28,13 @@ from staylens.llm.common import annotate, free_name
 WINDOW = 3
 #: Characters in a window at which text surges on a page without a marked article.
 SURGE = 120
+#: A part called noise is a wrapper if it holds so much of the page's text, or a container
+#: with so much of the largest container's text.
+HALF, FAIR = 0.5, 0.25
 
 # HTML elements and the words of class, id and role names that mark parts.
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head",
-            "math", "audio", "video", "select", "textarea", "title"}
+            "annotation", "annotation-xml", "audio", "video", "select", "textarea", "title"}
 _BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div",
            "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -44,6 +49,7 @@ _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "ads
           "comment", "comments", "disqus", "replies", "respond", "related", "recommended", "recommendations",
           "share", "sharing", "social", "toolbar", "pagination", "pager", "widget", "search", "skip", "copyright",
           "disclaimer", "contentinfo", "complementary"}
+_REPLIES = {"comment", "comments", "disqus", "replies", "respond"}
 _CONTAINERS = {"article", "content", "post", "entry", "story", "main", "maincontent", "articlebody"}
 
 _TOKEN = re.compile(
@@ -57,11 +63,22 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 @dataclass
 class Line:
     """A block's text; ``noise``: it lies in a part that is no article text; ``inside``:
-    the numbers of the marked containers around it."""
+    the numbers of the marked containers around it; ``named``: the numbers of the parts
+    around it that a name calls noise."""
 
     text: str
     noise: bool
     inside: tuple[int, ...]
+    named: tuple[int, ...] = ()
+
+
+@dataclass
+class Named:
+    """A part that a class, id or role word calls noise; ``boxes``: containers it holds or is."""
+
+    replies: bool
+    boxes: list[int]
+    in_article: bool
 
 
 def _marks(attrs: str) -> set[str]:
@@ -78,7 +95,8 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
     """The blocks of a page, and the rank of each container (article before names)."""
     lines: list[Line] = []
     ranks: list[int] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, noise, article's own head, container
+    named: list[Named] = []
+    stack: list[tuple[str, bool, bool, int, int]] = []  # element, noise, article's own head, container, named part
     parts: list[str] = []
     noise = 0  # open noise elements
     inside: list[int] = []
@@ -89,12 +107,13 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
             parts.clear()
             if text:
                 head = stack and any(e[0] in _HEADINGS for e in stack[-3:])
-                held = sum(e[1] and not (e[2] and head) for e in stack)
-                lines.append(Line(text, held > 0, tuple(inside)))
+                counted = [e for e in stack if not (e[2] and head)]
+                lines.append(Line(text, any(e[1] for e in counted), tuple(inside),
+                                  tuple(e[4] for e in counted if e[4] >= 0)))
 
     def pop() -> None:
         nonlocal noise
-        _, noisy, _, box = stack.pop()
+        _, noisy, _, box, _ = stack.pop()
         noise -= noisy
         if box >= 0:
             inside.remove(box)
@@ -147,26 +166,60 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
             continue
         marks = _marks(m["attrs"]) if m["attrs"] else set()
         wide = name in ("html", "body", "main")
-        noisy = name in _BOILERPLATE or not wide and bool(marks & _NOISE) and (name != "article" or bool(marks & {"comment", "comments"}))
-        own_head = noisy and bool(inside) and (name == "header" or "header" in marks)
+        replies = bool(marks & _REPLIES)
+        noisy = name in _BOILERPLATE or name == "article" and bool(marks & {"comment", "comments"})
+        part = -1
+        if not noisy and not wide and name != "article" and marks & _NOISE:
+            part = len(named)
+            named.append(Named(replies, [], any(ranks[k] == 0 for k in inside)))
+        own_head = (noisy or part >= 0) and bool(inside) and (name == "header" or "header" in marks)
         box = -1
         if not noisy and not noise:
             if name == "article" or "articlebody" in marks or {"article", "body"} <= marks:
                 box = 0
             elif name == "main" or "main" in marks and name != "body":
                 box = 1
-            elif name in ("div", "section", "td") and marks & _CONTAINERS:
+            elif name in ("div", "section", "td") and marks & _CONTAINERS and not replies:
                 box = 2
             if box >= 0:
+                for k in (e[4] for e in stack if e[4] >= 0):
+                    if not named[k].in_article and not (named[k].replies and box == 2):
+                        named[k].boxes.append(len(ranks))
+                if part >= 0:
+                    named[part].boxes.append(len(ranks))
                 ranks.append(box)
                 box = len(ranks) - 1
                 inside.append(box)
         noise += noisy
-        stack.append((name, noisy, own_head, box))
+        stack.append((name, noisy, own_head, box, part))
     end_line()
+    _settle(lines, named)
     return lines, ranks
 
 
+def _settle(lines: list[Line], named: list[Named]) -> None:
+    """Marks the lines of parts called noise as noise, but for layout wrappers: parts that
+    hold a container with a fair share of the largest one's text, or half of the page's."""
+    if not named:
+        return
+    boxes: dict[int, int] = {}
+    parts: dict[int, int] = {}
+    total = 0
+    for x in lines:
+        if not x.noise:
+            total += len(x.text)
+            for k in x.inside:
+                boxes[k] = boxes.get(k, 0) + len(x.text)
+            for k in x.named:
+                parts[k] = parts.get(k, 0) + len(x.text)
+    most = max(boxes.values(), default=0)
+    wrappers = {k for k, part in enumerate(named)
+                if not part.replies and parts.get(k, 0) >= HALF * total
+                or any(boxes.get(i, 0) >= max(1, FAIR * most) for i in part.boxes)}
+    for x in lines:
+        x.noise = x.noise or any(k not in wrappers for k in x.named)
+
+
 def surge_and_dive(weights: list[int], threshold: int, window: int = WINDOW) -> tuple[int, int]:
     """First and last line (end exclusive) of the text: from the first line whose window
     rises over the threshold to the last one before its final fall. (0, 0) if none does."""

@@ -43,3 +43,26 @@ def test_rows(spark):
     assert got[1]["text"] == "" and got[1]["n_chars"] == 0 and got[2]["n_lines"] == 5
     assert got[None]["n_chars"] == 399_999 and out.count() == 4
     assert H.extract(df.where("false"))[0].count() == 0
+
+
+BODY = "<p>" + "The article says a lot here. " * 10 + "</p>"
+KEPT = ("The article says a lot here. " * 10).strip()
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content-with-sidebar"><article>{BODY}</article><div class="sidebar"><p>side</p></div></div>',
+    f'<div class="elementor-widget elementor-widget-theme-post-content">{BODY}</div>',
+    f'<main><div class="layout-search"><article>{BODY}</article></div></main>',
+    f'<div id="page-header-fixed">{BODY}</div><div class="footer">end</div>',
+    f'<article><div class="post-content widget">{BODY}</div><div class="related-content"><p>teaser</p></div></article>',
+    f'<article>{BODY}</article><div class="sidebar"><article><p>teaser</p></article></div>',
+    f'<article>{BODY}<section class="comments"><div class="content">{BODY}</div></section></article>',
+])
+def test_layout_wrappers_are_no_noise(page):
+    assert H.main_text(page) == KEPT
+
+
+def test_math_text_stays():
+    page = ("<article><p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='tex'>E=m</annotation></math> holds.</p>"
+            "</article>")
+    assert H.main_text(page) == "So E=m holds."
