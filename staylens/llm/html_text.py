@@ -5,10 +5,12 @@ footer, sidebar, notice, advert, form, comment section or the like weighs nothin
 others weigh their text length. A part that only its class, id or role calls so is a layout
 wrapper, and no noise, if it holds (or is) a marked container with a fair share of the largest
 one's text, or half of the page's text. The weights are summed over sliding windows of lines; the
-text begins where a window's sum surges and ends where it dives. If the page marks its
-article (article, main, or a named container), lines outside weigh nothing, so surge and
-dive fall on the article's edges, and no line of the article is lost; an unmarked page
-needs windows over a threshold.
+text begins where a window's sum surges and ends where it dives.
+
+If the page marks its article (article, main, or a named container), the marks choose the
+lines and the windows do not: every line of all containers of the best rank (article, then
+main, then names) is kept, and of the other containers that neither hold nor lie in one of
+those. Lines outside weigh nothing. An unmarked page needs windows over a threshold.
 
 Defined results: NULL and empty pages give the empty string; unclosed elements end with
 their parent or the page; white space inside a block becomes one space; blocks without
@@ -233,13 +235,13 @@ def main_text(page: str) -> str:
     """The article of a page: its blocks, one a line."""
     lines, ranks = lines_of(page)
     good = [x for x in lines if not x.noise]
-    for rank in (0, 1, 2):  # the largest marked container, an article first
-        sizes = {k: sum(len(x.text) for x in good if k in x.inside) for k, r in enumerate(ranks) if r == rank}
-        if any(sizes.values()):
-            box = max(sizes, key=lambda k: (sizes[k], -k))
-            good = [x for x in good if box in x.inside]
-            threshold = 0
-            break
+    held = {k for x in good for k in x.inside}
+    if held:  # all marked containers of the best rank, and those beside them
+        best = min(ranks[k] for k in held)
+        over = {k for x in good if any(ranks[j] == best for j in x.inside) for k in x.inside}
+        boxes = {k for k in held if ranks[k] == best or k not in over}
+        good = [x for x in good if not boxes.isdisjoint(x.inside)]
+        threshold = 0
     else:
         threshold = min(SURGE, max((len(x.text) for x in good), default=1) - 1)
     first, last = surge_and_dive([len(x.text) for x in good], threshold)

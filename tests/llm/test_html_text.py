@@ -66,3 +66,13 @@ def test_math_text_stays():
     page = ("<article><p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='tex'>E=m</annotation></math> holds.</p>"
             "</article>")
     assert H.main_text(page) == "So E=m holds."
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>long one here</p></article><p>out</p><article><p>two</p></article>", "long one here\ntwo"),
+    ("<main><p>out</p><article><p>one</p></article><div class=content><p>two</p></div></main>", "one\ntwo"),
+    ("<div class=post><p>one</p></div><nav>n</nav><div class=post><p>two</p><div class=entry>three</div></div>", "one\ntwo\nthree"),
+    ("<div class=content><p>out</p><main><p>one</p><article>two<div class=content>three</div></article></main></div>", "two\nthree"),
+])
+def test_all_marked_containers(page, text):
+    assert H.main_text(page) == text
