@@ -6,11 +6,11 @@ the shorter one is the new turn's span. Where the longer output does not start w
 shorter one, the template rewrites history, and the turn says how many characters changed.
 The text inside a span is found by rendering the turn once more with a sentinel for text.
 
-Rows are sorted within their conversation and streamed: a task holds the last ``lookback``
-turns of one conversation, so neither a long conversation nor a frequent key fills its
-memory. Conversations of up to ``lookback`` turns are rendered from their first turn on;
-later turns of longer ones from ``lookback`` turns back, which is the same output for a
-template whose turn depends on no more than that many turns before it.
+Rows are sorted within their conversation and streamed. Every prefix is rendered whole, from
+its first turn: a task holds the turns of one conversation, and the work grows with the
+square of its length. A template whose output for a turn depends on, and changes, no more
+than a number of turns before it can declare that number as its attribute ``lookback`` (or
+the caller passes it): then at least twice as many turns are held, and at most four times.
 
 Defined results: NULL text and NULL role are empty strings; turns sort by (turn, role,
 text), NULL turns first; rows with NULL conversation id form one conversation.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from staylens._util import qcol
 
 Turns = list[tuple[str, str]]
-LOOKBACK = 64
 _SENTINEL = ""
 
 # The control strings of the template.
@@ -62,6 +61,9 @@ def instruction_template(turns: Turns) -> str:
     return "".join(out)
 
 
+instruction_template.lookback = 1  # a turn's output depends on that turn alone
+
+
 def read_turns(formatted: str) -> Turns:
     """The turns of a formatted string, or of a part of it cut between turns."""
     at = 3 if formatted.startswith("<s>") else 0
@@ -98,8 +100,9 @@ def _common(a: str, b: str) -> int:
 class Renderer:
     """Renders one conversation turn by turn with a black-box template."""
 
-    def __init__(self, template: Callable[[Turns], str], lookback: int = LOOKBACK):
-        self.template, self.lookback = template, lookback
+    def __init__(self, template: Callable[[Turns], str], lookback: int | None = None):
+        declared = getattr(template, "lookback", None) if lookback is None else lookback
+        self.template, self.held = template, None if declared is None else 2 * max(1, declared)
         self.reset()
 
     def reset(self) -> None:
@@ -112,8 +115,8 @@ class Renderer:
         before = self.shown
         if before is None:
             before = ""
-        elif len(self.turns) >= self.lookback:
-            self.turns = self.turns[-(self.lookback // 2):]
+        elif self.held is not None and len(self.turns) >= 2 * self.held:
+            self.turns = self.turns[-self.held:]
             before = self.template(self.turns)
         self.turns.append((role, text))
         now = self.template(self.turns)
@@ -131,7 +134,7 @@ _TURN_DDL = ("conv_id bigint, turn bigint, seq bigint, role string, piece string
 
 
 def format_turns(conversations: DataFrame, template: Callable[[Turns], str] = instruction_template,
-                 lookback: int = LOOKBACK, conv: str = "conv_id", turn: str = "turn",
+                 lookback: int | None = None, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", text: str = "text") -> DataFrame:
     """A row for each turn, in order within its partition: the piece it adds, the piece's
     place in the formatted conversation, the content's place in the piece, and how many

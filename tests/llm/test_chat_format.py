@@ -65,3 +65,43 @@ def test_edges(spark):
     assert got[1]["turns_sha256"] == expected([("user", "x"), ("", ""), ("", "")])[1]
     assert got[None]["loss_chars"] == 100_000
     assert C.digests(C.format_turns(rows(spark, []))).count() == 0
+
+
+def prompt_before_last_user(turns):
+    """Numbers turns; puts the first turn (a system prompt) before the last user turn."""
+    last = max((i for i, t in enumerate(turns) if t[0] == "user"), default=-1)
+    return "".join((f"<{turns[0][1]}>" if i == last else "") + f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
+
+
+def repeats_back(turns, back):
+    """Each turn repeats the one ``back`` turns before it and ends in a mark that only the last has."""
+    return "".join(f"{t}({turns[i - back][1] if i >= back else ''})" + "!" * (i == len(turns) - 1) for i, (_, t) in enumerate(turns))
+
+
+def rendered(template, turns):
+    """Pieces and rewritten characters by rendering each whole prefix."""
+    before, out = "", []
+    for k in range(1, len(turns) + 1):
+        now, same = template(turns[:k]), 0
+        while same < min(len(before), len(now)) and before[same] == now[same]:
+            same += 1
+        out.append((now[same:], len(before) - same))
+        before = now
+    return out
+
+
+def test_whole_prefix_beyond_64_turns(spark):
+    turns = [("system", "rules"), *[(("user", "assistant")[k % 2], f"text {k}") for k in range(150)], *[("assistant", "x")] * 80, ("user", "y")]
+    want = rendered(prompt_before_last_user, turns)
+    data = [(1, k, r, t) for k, (r, t) in enumerate(turns)]
+    got = C.format_turns(rows(spark, data), prompt_before_last_user).orderBy("seq").collect()
+    assert [(r["piece"], r["rewritten"]) for r in got] == want
+    assert want[-1][1] > 64  # history far back is rewritten
+
+
+def test_declared_lookback_sees_that_many_turns():
+    turns = [("user", f"t{k} ") for k in range(400)]
+    for back in (1, 33, 64):
+        r = C.Renderer(lambda ts, back=back: repeats_back(ts, back), lookback=back)
+        assert [r.add(*t)[::3] for t in turns] == rendered(lambda ts, back=back: repeats_back(ts, back), turns)
+        assert len(r.turns) <= 4 * back
