@@ -12,8 +12,8 @@
    whole texts reaches the threshold. Components come from star contraction.
 5. Buckets that still hold several components are settled exactly, in blocks of members:
    a task gets two blocks of a bucket with their texts, meets the members of different
-   components (in the first band that a pair shares), leaves out those whose registers
-   agree far too rarely, verifies the others and passes on the links alone.
+   components (in the first band that a pair shares), verifies every such
+   pair and passes on the links alone.
 
 Nothing is capped: step 4 only lessens what step 5 has to meet. Rows grow with a bucket's
 members times its blocks, never with its pairs; no bucket is gathered in one task, and no
@@ -40,9 +40,6 @@ BANDS = 24
 ROWS = 5
 #: Members of a bucket's block in step 5.
 BLOCK = 256
-#: Registers that agree, as a share, below which a pair of step 5 is not verified: at a
-#: similarity of 0.8 and 120 registers, five standard deviations under the mean.
-LEAST_ESTIMATE = 0.8 - 5 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of one leader in a share of step 4 (hot leaders are salted).
 LEADER_SHARE = 500
 
@@ -321,9 +318,7 @@ def _meet(group, held: list, hashes: WordHashes, rows: int, threshold: float, si
         if not len(q):
             continue
         q = q[(hashed[q] == hashed[p]).argmax(axis=1) == band]  # met in the first shared band
-        agree = (sig[q] == sig[p]).mean(axis=1)
-        near = agree >= LEAST_ESTIMATE
-        q, agree = q[near], agree[near]
+        agree = (sig[q] == sig[p]).mean(axis=1)  # likely links first: they settle other pairs
         for k in q[np.argsort(-agree, kind="stable")].tolist():
             if top[k] == top[p]:
                 continue

@@ -149,3 +149,15 @@ def test_edges(spark, docs_of):
     nobody = docs.selectExpr("cast(null as bigint) doc_id", "text").where("length(text) > 100")
     assert M.keep_one(nobody).count() == 1
     assert M.near_duplicates(docs.where("false")).count() == 0 and M.keep_one(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("threshold,bands", [(0.6, 24), (0.6, 6), (0.8, 24)])
+def test_every_pair_that_shares_a_band_is_verified(threshold, bands):
+    """Registers that agree in one band alone say nothing against a link."""
+    rng, rows = np.random.default_rng(3), 5
+    a, b, c = rng.integers(0, 2**32, (3, bands * rows), dtype=np.uint32)
+    b[:rows] = c[:rows] = a[:rows]
+    near = " ".join(f"w{i}" for i in range(100))
+    held = [(k, k, 0, 0, sig.tobytes(), text.encode()) for k, sig, text in (
+        (b"a", a, near), (b"b", b, near + " x y z"), (b"c", c, "something else entirely " * 20))]
+    assert M._meet((1, 0, 0), held, M.WordHashes(), rows, threshold, M.SHINGLE) == [(b"a", b"b")]
