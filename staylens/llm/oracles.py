@@ -157,3 +157,32 @@ SELECT w.doc_id, w.leaf, t.digest AS subroot, r.digest AS root, sha256(w.proof)
   w.folded AS folded_root, w.folded = r.digest AS verified
 FROM walk w JOIN low_top t ON t.g = w.source_key CROSS JOIN high_top r WHERE w.done
 """
+
+OP12 = rf"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists WHERE len(w) > 0),
+phrases AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS p, k FROM places, (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, p, k, string_split(p, ' ') AS w, count(*) AS a FROM phrases GROUP BY lang, p, k HAVING count(*) >= 10),
+longest AS MATERIALIZED (
+  SELECT lang, p, max(a) AS longest
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM f WHERE k = 3) GROUP BY lang, p),
+kept AS MATERIALIZED (
+  SELECT c.* FROM f c LEFT JOIN longest b ON b.lang = c.lang AND b.p = c.p
+  WHERE c.k > 1 AND (b.longest IS NULL OR 100 * b.longest < 50 * c.a)),
+halves AS MATERIALIZED (
+  SELECT lang, p, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+cuts AS (
+  SELECT c.lang, c.p, c.a, cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM halves c JOIN f x ON x.lang = c.lang AND x.p = c.x JOIN f y ON y.lang = c.lang AND y.p = c.y),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT lang, p AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

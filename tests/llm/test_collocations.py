@@ -1,0 +1,129 @@
+"""Operator 12 against plain Python counts."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from staylens.llm import collocations as C
+from staylens.llm.collocations import mine, multikey_counts, phrase_counts
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_counts(rows, depth=3):
+    counts, total = Counter(), Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(UPPER)):
+            words = re.findall("[^\x20\x09]+", piece)
+            total[lang or "und" if lang is None else lang] += len(words)
+            for k in range(1, depth + 1):
+                for i in range(len(words) - k + 1):
+                    counts["und" if lang is None else lang, " ".join(words[i:i + k])] += 1
+    return counts, total
+
+
+def plain(rows, least=10, top=2000, depth=3):
+    counts, total = plain_counts(rows, depth)
+    often = {k: n for k, n in counts.items() if n >= least}
+    by_lang = {}
+    for (lang, phrase), a in often.items():
+        words = phrase.split(" ")
+        if len(words) < 2:
+            continue
+        longer = [n for (g, p), n in often.items() if g == lang and len(p.split(" ")) > len(words) and f" {phrase} " in f" {p} "]
+        if any(100 * n >= 50 * a for n in longer):
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = often[lang, " ".join(words[:k])], often[lang, " ".join(words[k:])]
+            cuts.append((1_000_000 * a * a // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        by_lang.setdefault(lang, []).append((-score, -a, phrase.encode(), left, right))
+    return {(lang, i, p.decode(), -a, left, right, total[lang], -s) for lang, found in by_lang.items()
+            for i, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1)}
+
+
+def result(df, **options):
+    return {tuple(r) for r in mine(df, **options).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+
+
+def sample(seed=1):
+    rng = random.Random(seed)
+    words = ["the", "of", "Mill", "x\x1fy", "Ü", "long", "a.b", "Ärger", "\x00", "zz", "und"]
+    rows = [(rng.choice(["en", "de", None, "und", ""]), rng.choice([" ", "  ", "\t"]).join(
+        rng.choices(words, [9, 7, 3, 1, 1, 2, 1, 1, 1, 1, 3], k=rng.randint(0, 40))) + rng.choice(["", ".", ",\n", "!", "\r"])) for _ in range(120)]
+    return [*rows, (None, None), ("en", ""), ("en", " \t "), ("en", ".,;"), *[("en", "one exact copy of it")] * 30,
+            ("de", "gleich gleich gleich " * 2000)]
+
+
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 3), st.integers(0, 3), st.integers(1, 5)), max_size=60), st.integers(1, 12))
+@settings(max_examples=150, deadline=None)
+def test_quicksort_counts_prefixes(rows, least):
+    rows = [(a, b, c if b else 0, n) for a, b, c, n in rows]
+    keys = np.array([r[:3] for r in rows], np.int64).reshape(-1, 3).T
+    found = multikey_counts(keys, np.array([r[3] for r in rows], np.int64), [least] * 3)
+    want = Counter()
+    for *k, n in rows:
+        for d in (1, 2, 3):
+            if 0 not in k[:d]:
+                want[tuple(k[:d])] += n
+    got = {tuple(keys[:d, p].tolist()): n for p, d, n in zip(*(x.tolist() for x in found))}
+    assert got == {k: n for k, n in want.items() if n >= least}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "mine") for r in rows], "lang string, text string, phrase string").repartition(3)
+
+
+def test_equals_plain_counts(spark):
+    rows = sample()
+    assert result(frame(spark, rows)) == plain(rows)
+    assert result(frame(spark, rows), top=3) == plain(rows, top=3)
+
+
+@pytest.mark.parametrize("block", [1, 40, 1000])
+def test_splits_and_cuts_change_nothing(spark, block):
+    """Every leading word or pair split, and groups cut by small blocks."""
+    rows = sample(2)
+    counts, _ = plain_counts(rows)
+    want = {(*k, n) for k, n in counts.items() if n >= 10}
+    df = frame(spark, rows).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    for hot in (np.zeros((2, C.LOAD_SLOTS), bool), np.ones((2, C.LOAD_SLOTS), bool),
+                np.array([np.ones(C.LOAD_SLOTS, bool), np.arange(C.LOAD_SLOTS) % 2 == 0])):
+        got = phrase_counts(df, hot, block=block).select("lang", "phrase", "a").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_long_text_in_slices(spark, monkeypatch):
+    rows = [("en", " ".join(random.Random(3).choices("abcde", k=5000)))]
+    counts, total = plain_counts(rows)
+    chunk = C._Chunk(np.zeros((2, C.LOAD_SLOTS), bool), 3)
+    words, got = C.marked_words(rows[0][1].encode()), Counter()
+    for lo in range(0, len(words), 700):
+        chunk.add("en", words[lo:lo + 702])
+        chunk.starts.append(min(len(words) - lo, 700))
+    for r in chunk.suffixes().to_pylist():
+        for w1, w2, n in zip(r["w1"], r["w2"], r["n"]):
+            for d in range(1, 4):
+                if "" not in (r["word"], w1, w2)[:d]:
+                    got["en", " ".join((r["word"], w1, w2)[:d])] += n
+    assert got == counts
+
+
+def test_deeper_phrases_and_empty_table(spark):
+    rows = sample(4)
+    assert result(frame(spark, rows), depth=4) == plain(rows, depth=4)
+    assert result(frame(spark, rows[:0])) == set()
+    assert result(frame(spark, [("en", "too few words"), (None, None)])) == set()
+
+
+def test_exact_beyond_64_bits(spark):
+    a, left, right = 2_000_000_000_003, 3_000_000_000_007, 2_500_000_000_009
+    df = spark.createDataFrame([(a, left, right)], "a bigint, l bigint, r bigint")
+    assert df.select(C._score()).first()[0] == 1_000_000 * a * a // (left * right)
