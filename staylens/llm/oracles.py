@@ -186,3 +186,23 @@ ranked AS (
     row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM lowest)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+OP13 = rf"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, row, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM lists),
+keyed AS MATERIALIZED (SELECT doc_id, row, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM sets),
+nodes AS MATERIALIZED (SELECT k, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS id FROM keyed WHERE n > 0 GROUP BY k),
+tokens AS MATERIALIZED (SELECT id, n, unnest(s) AS t FROM nodes),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS id, a AS r FROM ways UNION SELECT reach.id, ways.b FROM reach JOIN ways ON ways.a = reach.r),
+roots AS (SELECT id, min(r) AS root FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, CASE WHEN d.n = 0 THEN d.doc_id ELSE coalesce(roots.root, nodes.id) END AS component_id
+FROM keyed d LEFT JOIN nodes ON nodes.k = d.k AND d.n > 0 LEFT JOIN roots ON roots.id = nodes.id
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm import (bpe, chat_format, collocations, decontaminate, html_text, importance, license_scan, lm_score,
-                          merkle, minhash, oracles, quality_rules, secret_scan)
+                          merkle, minhash, ngram_join, oracles, quality_rules, secret_scan)
 from staylens.llm.common import hex_sha256, table
 
 
@@ -106,6 +106,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,9 +120,10 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_license_scan, op3_chat_format, op4_html_text, op5_importance_resampling,
         op6_secret_scan, op7_decontaminate, op8_lm_score, op9_byte_bpe, op10_minhash_dedup,
-        op11_merkle_manifest, op12_phrase_collocations, pipeline)}
+        op11_merkle_manifest, op12_phrase_collocations, op13_ngram_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_chat_format": oracles.OP3, "op6_secret_scan": oracles.OP6, "op7_decontaminate": oracles.OP7,
-            "op11_merkle_manifest": oracles.OP11, "op12_phrase_collocations": oracles.OP12}
+            "op11_merkle_manifest": oracles.OP11, "op12_phrase_collocations": oracles.OP12,
+            "op13_ngram_join": oracles.OP13}
