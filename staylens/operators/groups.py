@@ -5,9 +5,10 @@ unless a sentinel was filled first), counts are ``count(*)`` over all rows of th
 (missing values included), and medians skip missing values.
 
 Exact medians never gather a key's values in one task. ``(keys, value) -> rows`` counts are
-shuffled on key and value; one in ``CELL_VALUES`` of a key's distinct values (by a hash of
-the value, so the sample is the same wherever it is computed) splits them into cells; the
-cells' row counts tell which cell holds the middle ranks, and only that cell is sorted.
+shuffled on key and value, then the middle ranks are selected digit by digit: a first
+digit cuts the values' logarithms (sign, exponent and leading bits, so the order of the values
+is kept), a second the range of the one cell that holds the middle ranks. Each digit
+is one small count by cell; only values that share both digits with the median are sorted.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from ..functions.numbers import bucket_midpoint
 
 _V, _N = "__value", "__rows"
 
-#: Distinct values of a key, about, that one task sorts to find the middle ones.
-CELL_VALUES = 1 << 20
+#: Cells of a doubling of the value (first digit) and of the cell that is cut again (second).
+CELLS_PER_DOUBLING = 1 << 10
+CELLS = 1 << 16
 
 
 def _key_cols(keys) -> list[Column]:
@@ -99,40 +101,81 @@ def median_count(df: DataFrame, keys, value, median_name: str = "median",
 group_median_count = median_count  # A3 under its catalogue name
 
 
-def _medians(rows: DataFrame, keys: list[str], cell_values: int | None = None) -> DataFrame:
-    """(keys, __total, __median): exact, whatever the number of values of a key."""
-    cell_values = cell_values or CELL_VALUES
-    v, n = F.col(_V), F.col(_N)
-    counts = rows.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_N))
-    # one in cell_values distinct values, picked by hash, splits a key's values into cells
-    splits = (counts.where(v.isNotNull() & (F.pmod(F.xxhash64(v, F.lit(7)), F.lit(cell_values)) == 0))
-              .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("__splits")))
-    cell = F.when(v.isNotNull(), F.size(F.filter(
-        F.coalesce("__splits", F.array().cast("array<double>")), lambda s: s <= v)))
-    celled = counts.join(splits, keys, "left").select(*keys, _V, _N, cell.alias("__cell"))
+def _first_digit(v: Column) -> Column:
+    """A whole number that never falls when ``v`` rises: sign and cut logarithm of the size."""
+    size = F.abs(v)
+    lowest = 1075 * CELLS_PER_DOUBLING  # below the smallest double
+    cut = F.when(size == float("inf"), F.lit(1025 * CELLS_PER_DOUBLING)).otherwise(
+        F.floor(F.log2(F.when(size > 0, size)) * CELLS_PER_DOUBLING)) + lowest
+    return F.when(v > 0, cut).when(v < 0, -cut).when(v == 0, F.lit(0)).cast("bigint")
+
+
+def _second_digit(v: Column, lo: Column, hi: Column) -> Column:
+    return F.floor((v - lo) / (hi - lo) * CELLS).cast("bigint")
+
+
+def _cells(values: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Rows and range of the values of each cell."""
+    return values.groupBy(*keys, "__cell").agg(
+        F.sum(_N).alias("__rows"), F.min(_V).alias("__lo"), F.max(_V).alias("__hi"), *more)
+
+
+def _located(cells: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
+    """One row for each key: __total, the median where the cells tell it, else the cell
+    (__cell, __lo, __hi) to be cut again with the two middle ranks inside it (__low, __high).
+
+    ``low`` and ``high`` are 0-based ranks, which may use ``__n`` (rows with a value).
+    """
     whole = Window.partitionBy(*keys)
     up_to = whole.orderBy(F.col("__cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    present = F.when(F.col("__cell").isNotNull(), F.col("__rows_in"))
-    cells = (celled.groupBy(*keys, "__cell").agg(F.sum(_N).alias("__rows_in"))
-             .select(*keys, "__cell", "__rows_in", F.sum("__rows_in").over(whole).alias("__total"),
-                     F.coalesce(F.sum(present).over(whole), F.lit(0)).alias("__n"),
-                     F.coalesce(F.sum("__rows_in").over(up_to), F.lit(0)).alias("__before")))
-    # 0-based ranks of the two middle values, and the cells (one or two) that hold them
-    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
-    middle = (cells.where(F.col("__cell").isNotNull() & (F.col("__before") <= high)
-                          & (F.col("__before") + F.col("__rows_in") > low))
-              .select(*keys, "__cell", "__before", low.alias("__low"), high.alias("__high")))
-    inside = Window.partitionBy(*keys, "__cell").orderBy(_V).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (celled.join(middle, [*keys, "__cell"])
-              .withColumn("__until", F.col("__before") + F.sum(_N).over(inside)))
-    first = F.col("__until") - n
+    ranked = cells.select(
+        "*", F.sum("__rows").over(whole).alias("__all"),
+        F.coalesce(F.sum("__rows").over(up_to), F.lit(0)).alias("__before"),
+        F.coalesce(F.sum(F.when(F.col("__cell").isNotNull(), F.col("__rows"))).over(whole), F.lit(0)).alias("__n"))
+    ranked = ranked.withColumns({"__rank_low": low, "__rank_high": high})
+
+    def holder(rank: str) -> Column:
+        r = F.col(rank)
+        inside = F.col("__cell").isNotNull() & (F.col("__before") <= r) & (r < F.col("__before") + F.col("__rows"))
+        return F.max(F.when(inside, F.struct("__cell", "__lo", "__hi", (F.col("__rank_low") - F.col("__before")).alias("low"),
+                                             (F.col("__rank_high") - F.col("__before")).alias("high"))))
+
+    found = ranked.groupBy(*keys).agg(F.max("__all").alias("__total"), holder("__rank_low").alias("a"),
+                                      holder("__rank_high").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    known = (a["__cell"] != b["__cell"]) | (a["__lo"] == a["__hi"])
+    # ranks in two cells are the last value of the one and the first of the other
+    return found.select(
+        *keys, "__total", F.when(known, F.lit(0.5) * a["__hi"] + F.lit(0.5) * b["__lo"]).alias("__median"),
+        F.when(~known, a["__cell"]).alias("__cell"), a["__lo"].alias("__lo"), a["__hi"].alias("__hi"),
+        a["low"].alias("__low"), a["high"].alias("__high"))
+
+
+def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __total, __median): exact, whatever the number of values of a key."""
+    v, n = F.col(_V), F.col(_N)
+    counts = rows.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_N)).withColumn("__cell", _first_digit(v))
+    first = _located(_cells(counts, keys), keys, F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2))
+
+    def inside(values: DataFrame, found: DataFrame) -> DataFrame:
+        """The values of the cells to be cut, with the middle ranks inside them."""
+        cells = found.where(F.col("__cell").isNotNull()).select(*keys, "__cell", "__lo", "__hi", "__low", "__high")
+        return values.select(*keys, "__cell", _V, _N).join(cells, [*keys, "__cell"])
+
+    again = inside(counts, first).withColumn("__cell", _second_digit(v, F.col("__lo"), F.col("__hi")))
+    cells = _cells(again, keys, F.first("__low").alias("__low"), F.first("__high").alias("__high"))
+    second = _located(cells, keys, F.col("__low"), F.col("__high"))
+    left = inside(again, second)
+    until = F.sum(_N).over(Window.partitionBy(*keys).orderBy(_V).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = left.withColumn("__until", until)
 
     def at(rank: str) -> Column:
-        return F.max(F.when((first <= F.col(rank)) & (F.col(rank) < F.col("__until")), v))
+        return F.max(F.when((F.col("__until") - n <= F.col(rank)) & (F.col(rank) < F.col("__until")), v))
 
-    found = ranked.groupBy(*keys).agg((F.lit(0.5) * at("__low") + F.lit(0.5) * at("__high")).alias("__median"))
-    totals = cells.groupBy(*keys).agg(F.max("__total").alias("__total"))
-    return totals.join(found, keys, "left")
+    third = ranked.groupBy(*keys).agg((F.lit(0.5) * at("__low") + F.lit(0.5) * at("__high")).alias("__third"))
+    return (first.select(*keys, "__total", "__median")
+            .join(second.select(*keys, F.col("__median").alias("__second")), keys, "left").join(third, keys, "left")
+            .select(*keys, "__total", F.coalesce("__median", "__second", "__third").alias("__median")))
 
 
 def group_median(df: DataFrame, keys, value, name: str = "median", exact: bool = True) -> DataFrame:

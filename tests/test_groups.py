@@ -1,4 +1,5 @@
 import math
+import time
 import statistics
 
 import pytest
@@ -126,9 +127,10 @@ def test_column_means_and_date_range(spark):
     assert not math.isnan(m["d"])
 
 
-@pytest.mark.parametrize("cell_values", [1 << 20, 40, 1])
-def test_median_with_ties_and_missing_values(spark, monkeypatch, cell_values):
-    monkeypatch.setattr(groups, "CELL_VALUES", cell_values)
+@pytest.mark.parametrize("doubling, cells", [(1 << 10, 1 << 16), (1, 40), (2, 1)])
+def test_median_with_ties_and_missing_values(spark, monkeypatch, doubling, cells):
+    monkeypatch.setattr(groups, "CELLS_PER_DOUBLING", doubling)
+    monkeypatch.setattr(groups, "CELLS", cells)
     rnd = spark.range(0, 20_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
          .otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"),
@@ -150,6 +152,38 @@ def test_median_with_ties_and_missing_values(spark, monkeypatch, cell_values):
     assert groups.total_median(df.where("false"), "v").first()[0] is None
 
 
+def test_median_of_extreme_values(spark):
+    """Signs, zeros, infinities, the smallest and largest doubles, neighbours that share digits."""
+    inf, tiny, huge = float("inf"), 5e-324, 1.7976931348623157e308
+    near = [1e18 + 128 * i for i in range(40)]
+    cases = {"signs": [-2.0, -0.0, 0.0, 3.0, -1.5], "inf": [inf, inf, 1.0], "low": [-inf, -inf, -inf, 2.0],
+             "tiny": [tiny, 2 * tiny, 3 * tiny, 9 * tiny], "huge": [huge, huge / 2, -huge, 1.0, huge / 3],
+             "near": near, "even": [1.0, math.nextafter(1.0, 2.0)], "steps": [1.0 + i * 2.0 ** -52 for i in range(33)],
+             "powers": [2.0 ** e for e in range(-1074, 1024)], "minus": [-x for x in near]}
+    df = spark.createDataFrame([(k, x) for k, xs in cases.items() for x in xs], "k string, v double").repartition(3)
+    got = {r["k"]: r["median"] for r in groups.median_count(df, ["k"], "v").collect()}
+    for k, xs in cases.items():
+        xs = sorted(xs)
+        assert got[k] == 0.5 * xs[(len(xs) - 1) // 2] + 0.5 * xs[len(xs) // 2], k
+
+
+def test_median_work_does_not_grow_with_cells(spark, monkeypatch):
+    """No list of cells is scanned for a value: finer digits do not make a run slower."""
+    df = spark.range(0, 400_000, numPartitions=4).select(F.rand(7).alias("v"))
+    groups.total_median(df, "v").first()  # compiled
+
+    def seconds(doubling, cells):
+        monkeypatch.setattr(groups, "CELLS_PER_DOUBLING", doubling)
+        monkeypatch.setattr(groups, "CELLS", cells)
+        start = time.monotonic()
+        out = groups.total_median(df, "v")
+        assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace(" filter (", "")
+        return out.first()[0], time.monotonic() - start
+
+    (a, few), (b, many) = seconds(8, 16), seconds(1 << 16, 1 << 16)
+    assert a == b and many < 4 * few + 2
+
+
 def test_nan_keys_are_no_groups(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1.0, 2.0), (nan, 3.0), (None, 4.0), (1.0, 6.0)], "k double, v double")

@@ -56,7 +56,7 @@ def test_hot_phrase_vocabulary(spark):
 
 def test_hot_continuous_group_is_split(spark, monkeypatch):
     """A key with as many values as rows: its values are sorted in ranges, not in one task."""
-    monkeypatch.setattr(groups, "CELL_VALUES", 500)
+    monkeypatch.setattr(groups, "CELLS_PER_DOUBLING", 16)
     df = spark.range(0, 60_000).select(
         F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.lit("cold")).alias("k"), F.randn(5).alias("v"))
     got = {r["k"]: r["median"] for r in groups.median_count(df, ["k"], "v").collect()}
