@@ -3,15 +3,17 @@
 1. A text (A-Z lower-cased) is split into pieces, pieces into words; every word begins a
    suffix that reaches at most ``depth`` words and never beyond its piece.
 2. Chunks of texts pass on their distinct suffixes with counts (pre-aggregation), one row
-   for each leading word.
+   for each bucket of leading words; buckets follow the number of words, so each holds about
+   ``BUCKET`` suffixes whatever the size of the input.
 3. Suffixes are routed by language and leading word. Leading words that hold more than
    1 / ``SHARE`` of all words are routed by their second word as well, and such leading
    pairs by their third: both are told by loads of ``LOAD_SLOTS`` hashed slots, counted
    over all texts, so every task agrees.
-4. A task sorts blocks of whole groups by a three-way multikey quicksort of pointers, all
+4. A task sorts blocks of whole buckets by a three-way multikey quicksort of pointers, all
    partitions of a round at once: a partition of pointers equal in d words is a phrase of d
    words and its weight is the phrase's count; partitions below ``least`` are abandoned.
-   Of a split word (or pair) the shorter phrases are partial counts, which are summed.
+   Of a split word (or pair) the shorter phrases are partial counts, which are summed, and so
+   are all counts of a bucket that is larger than a block.
 5. Counts of a candidate's parts are joined by phrase (those of very frequent words, at most
    ``SHARE``, are broadcast), its cuts scored, covered candidates dropped, the best of each
    language ranked in two steps.
@@ -43,12 +45,13 @@ TOP = 2_000
 #: (one in so many) from which a slot is hot: at most ``SHARE`` slots are.
 LOAD_SLOTS = 4_096
 SHARE = 1_024
-#: Groups into which a hot word's (or pair's) suffixes are dealt.
-SPLIT = 64
+#: Suffixes of a bucket, about.
+BUCKET = 400_000
 #: Words of a chunk (its distinct words and the end mark have 21-bit numbers).
 CHUNK = 1 << 20
-#: Suffixes that a task sorts at once.
-BLOCK = 600_000
+#: Distinct suffixes that a task sorts at once, at most and (if there are so many) at least.
+BLOCK = 1_500_000
+LEAST_BLOCK = 200_000
 #: Rows a language's candidates are dealt into before the last ranking.
 RANK_SALT = 32
 
@@ -116,8 +119,8 @@ def loads(rows: DataFrame) -> DataFrame:
 class _Chunk:
     """Texts of a chunk as word numbers; 0 ends a piece."""
 
-    def __init__(self, hot: np.ndarray, depth: int):
-        self.hot, self.depth = hot, depth
+    def __init__(self, hot: np.ndarray, depth: int, buckets: int):
+        self.hot, self.depth, self.buckets = hot, depth, buckets
         self.clear()
 
     def clear(self):
@@ -136,7 +139,9 @@ class _Chunk:
         self.parts.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
 
     def suffixes(self):
-        """Record batch (lang, word, part, rest lists, n list) of the distinct suffixes."""
+        """Record batch (bucket, lang, kind, w0, w1, ..., n) of the distinct suffixes: kind 0
+        for whole leading words, 1 for words split by the second word, 2 by the third; the
+        words of a row are joined by line ends, which no word contains."""
         gap = np.zeros(self.depth - 1, np.int64)
         ids = np.concatenate([x for p in self.parts for x in (p, gap)])
         begins = np.concatenate([np.arange(len(p) + len(gap)) < s for p, s in zip(self.parts, self.starts)])
@@ -146,32 +151,33 @@ class _Chunk:
             keys.append(np.where(keys[-1] > 0, ids[np.minimum(at + d, len(ids) - 1)], 0))
         keys, n = distinct(keys)
         hashes = np.array(self.hashes, np.int64)
-        part = np.zeros(len(n), np.int64)
         number: dict[str, int] = {}
-        lang_of = np.array([number.setdefault(x, len(number)) for x in self.langs])
-        for lang, code in number.items():
-            mine = np.flatnonzero(lang_of[keys[0]] == code)
-            crc = zlib.crc32(lang.encode())
-            first, second = hashes[keys[0][mine]], hashes[keys[1][mine]]
-            hot = self.hot[0][word_slot(first, crc)]
-            spread = second
-            pair = hot & (second > 0) & self.hot[1][pair_slot(first, second, crc)]
-            if len(keys) > 2:
-                spread = np.where(pair, hashes[keys[2][mine]] * 31 + second, second)
-            deal = (mix(spread.astype(np.uint64)) % np.uint64(SPLIT)).astype(np.int64)
-            part[mine] = np.where(pair, 1 + SPLIT + deal, np.where(hot, 1 + deal, 0))
-        order = np.lexsort((part, keys[0]))
-        keys, n, part = [k[order] for k in keys], n[order], part[order]
+        lang = np.array([number.setdefault(x, len(number)) for x in self.langs])[keys[0]]
+        bucket, kind = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        for name, code in number.items():
+            mine = np.flatnonzero(lang == code)
+            crc = zlib.crc32(name.encode())
+            h = [hashes[k[mine]] for k in keys]
+            hot = self.hot[0][word_slot(h[0], crc)]
+            pair = hot & (h[1] > 0) & self.hot[1][pair_slot(h[0], h[1], crc)] & (self.depth > 2)
+            route = mix(h[0].astype(np.uint64) ^ np.uint64(crc << 32))
+            route = np.where(hot, mix(route ^ h[1].astype(np.uint64)), route)
+            if self.depth > 2:
+                route = np.where(pair, mix(route ^ h[2].astype(np.uint64)), route)
+            bucket[mine] = (route % np.uint64(self.buckets)).astype(np.int64)
+            kind[mine] = np.where(pair, 2, np.where(hot, 1, 0))
+        order = np.lexsort((kind, lang, bucket))  # stable: suffixes stay sorted in their row
+        keys, n, bucket, kind, lang = [k[order] for k in keys], n[order], bucket[order], kind[order], lang[order]
         new = np.ones(len(n), bool)
-        new[1:] = (keys[0][1:] != keys[0][:-1]) | (part[1:] != part[:-1])
+        new[1:] = (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1]) | (kind[1:] != kind[:-1])
         begin = np.flatnonzero(new)
         offsets = pa.array(np.append(begin, len(n)).astype(np.int32))
         words = pa.array(self.words, pa.binary()).cast(pa.string())
-        lists = [pa.ListArray.from_arrays(offsets, words.take(pa.array(k))) for k in keys[1:]]
+        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(k))), "\n") for k in keys]
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.langs).take(pa.array(keys[0][begin])), words.take(pa.array(keys[0][begin])), pa.array(part[begin], pa.int32()),
-             *lists, pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))],
-            names=["lang", "word", "part", *[f"w{d}" for d in range(1, self.depth)], "n"])
+            [pa.array(bucket[begin]), pa.array(self.langs).take(pa.array(keys[0][begin])), pa.array(kind[begin], pa.int32()),
+             *joined, pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))],
+            names=["bucket", "lang", "kind", *[f"w{d}" for d in range(self.depth)], "n"])
 
 
 def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -190,12 +196,12 @@ def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[at] for k in keys], np.diff(np.append(at, len(order)))
 
 
-def suffix_rows(rows: DataFrame, hot: np.ndarray, depth: int) -> DataFrame:
-    """(lang, word, part, w1, w2, ..., n): distinct suffixes of every chunk by leading word."""
+def suffix_rows(rows: DataFrame, hot: np.ndarray, depth: int, buckets: int) -> DataFrame:
+    """(bucket, lang, kind, w0, w1, ..., n): distinct suffixes of every chunk by bucket."""
     shared = share(rows.sparkSession, hot)  # 2 x LOAD_SLOTS flags
 
     def run(batches):
-        chunk = _Chunk(shared(), depth)
+        chunk = _Chunk(shared(), depth, buckets)
         for batch in batches:
             for lang, words in _texts(batch):
                 for lo in range(0, len(words), CHUNK // 2):
@@ -209,8 +215,8 @@ def suffix_rows(rows: DataFrame, hot: np.ndarray, depth: int) -> DataFrame:
         if chunk.size:
             yield chunk.suffixes()
 
-    rest = "".join(f", w{d} array<string>" for d in range(1, depth))
-    return rows.mapInArrow(run, f"lang string, word string, part int{rest}, n array<bigint>")
+    words = "".join(f", w{d} string" for d in range(depth))
+    return rows.mapInArrow(run, f"bucket bigint, lang string, kind int{words}, n array<int>")
 
 
 def multikey_counts(keys: np.ndarray, weight: np.ndarray, least: list[int]):
@@ -259,97 +265,75 @@ def multikey_counts(keys: np.ndarray, weight: np.ndarray, least: list[int]):
     return [np.concatenate(f) if f else np.zeros(0, np.int64) for f in found]
 
 
-def _block_counts(block: pa.Table, depth: int, least: list[int]) -> pa.RecordBatch:
-    """Counts (lang, phrase, words, a) of the phrases that begin with a block's leading words."""
-    lists = [block.column(f"w{d}").combine_chunks() for d in range(1, depth)]
-    n = block.column("n").combine_chunks()
-    size = n.value_lengths().to_numpy(zero_copy_only=False)
-    lang, word = block.column("lang").combine_chunks(), block.column("word").combine_chunks()
-    row = np.repeat(np.arange(len(size)), size)
-    change = np.ones(len(size), bool)
-    change[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(word[1:], word[:-1])).to_numpy(zero_copy_only=False)
-    flat = [x.flatten() for x in lists]
+def _block_counts(rows: pa.Table, depth: int, least: list[int]) -> pa.RecordBatch:
+    """Counts (lang, phrase, words, a) of the phrases that the suffixes of ``rows`` begin with."""
+    n = rows.column("n").combine_chunks()
+    langs = rows.column("lang").combine_chunks()
+    row = np.repeat(np.arange(len(langs)), n.value_lengths().to_numpy(zero_copy_only=False))
+    flat = [pc.split_pattern(rows.column(f"w{d}").combine_chunks(), "\n").flatten() for d in range(depth)]
     coded = pa.chunked_array(flat).dictionary_encode().combine_chunks()
-    number = coded.indices.to_numpy().astype(np.int64) + 1
-    end = pc.index(coded.dictionary, "").as_py()
-    number[number == end + 1] = 0
-    keys = np.stack([np.cumsum(change)[row], *number.reshape(depth - 1, -1)])
-    pointer, length, count = multikey_counts(keys, n.flatten().to_numpy(), least)
+    number = coded.indices.to_numpy().astype(np.int64).reshape(depth, -1) + 1
+    number[number == pc.index(coded.dictionary, "").as_py() + 1] = 0  # past a piece's end
+    lang = langs.dictionary_encode().indices.to_numpy().astype(np.int64)
+    number[0] += lang[row] * (len(coded.dictionary) + 1)  # words of different languages differ
+    pointer, length, count = multikey_counts(number, n.flatten().to_numpy().astype(np.int64), least)
     out = []
     for d in range(1, depth + 1):
         at = np.flatnonzero(length == d)
-        words = [word.take(pa.array(row[pointer[at]])), *[f.take(pa.array(pointer[at])) for f in flat[:d - 1]]]
+        to = pa.array(pointer[at])
         out.append(pa.RecordBatch.from_arrays(
-            [lang.take(pa.array(row[pointer[at]])), pc.binary_join_element_wise(*words, " "),
+            [langs.take(pa.array(row[pointer[at]])), pc.binary_join_element_wise(*[f.take(to) for f in flat[:d]], " "),
              pa.array(np.full(len(at), d), pa.int32()), pa.array(count[at], pa.int64())], names=["lang", "phrase", "words", "a"]))
     return pa.concat_batches(out)
 
 
-def phrase_counts(rows: DataFrame, hot: np.ndarray, depth: int = DEPTH, least: int = LEAST,
+def phrase_counts(rows: DataFrame, hot: np.ndarray, depth: int = DEPTH, least: int = LEAST, buckets: int = 1,
                   block: int = BLOCK) -> DataFrame:
     """(lang, phrase, words, a): all phrases of at most ``depth`` words that occur ``least``
     times or more. ``rows``: lang, text."""
-    routed = (suffix_rows(rows, hot, depth).repartition("lang", "word", "part")
-              .sortWithinPartitions("lang", "word", "part"))
-    # whole groups; groups split by the second word; by the third; groups cut by a block's end
+    routed = suffix_rows(rows, hot, depth, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    # whole leading words; words split by the second word; by the third; buckets cut by a block's end
     bounds = [[least] * depth, [1] + [least] * (depth - 1), [1, 1] + [least] * (depth - 2), [1] * depth]
 
-    def kind(part: np.ndarray) -> np.ndarray:
-        return np.where(part == 0, 0, np.where(part <= SPLIT, 1, 2))
+    def counted(parts: list, is_cut: bool):
+        rows = pa.Table.from_batches(parts)
+        kinds = np.full(rows.num_rows, 3) if is_cut else rows.column("kind").to_numpy()
+        for k in range(4):
+            own = rows.filter(pa.array(kinds == k))
+            if own.num_rows:
+                yield _block_counts(own, depth, bounds[k])
 
     def run(batches):
-        held, size, cut = [], 0, None
-
-        def counted(rows: pa.Table, is_cut: bool):
-            kinds = np.full(rows.num_rows, 3) if is_cut else kind(rows.column("part").to_numpy())
-            for k in range(4):
-                own = rows.filter(pa.array(kinds == k))
-                if own.num_rows:
-                    yield _block_counts(own, depth, bounds[k])
-
-        def group(rows: pa.Table, i: int):
-            return tuple(rows.column(c)[i].as_py() for c in ("lang", "word", "part"))
-
-        def same(rows: pa.Table, key) -> np.ndarray:
-            out = np.ones(rows.num_rows, bool)
-            for c, v in zip(("lang", "word", "part"), key):
-                out &= pc.equal(rows.column(c), pa.scalar(v, rows.column(c).type)).to_numpy()
-            return out
-
-        def flush(last: bool):
-            nonlocal held, size, cut
-            rows = pa.Table.from_batches(held)
-            held, size = [], 0
-            if cut is not None:  # the rest of a group that was cut
-                rest = same(rows, cut)
-                yield from counted(rows.filter(pa.array(rest)), True)
-                if not rest.all():
-                    cut = None
-                rows = rows.filter(pa.array(~rest))
-            if not last and rows.num_rows:
-                key = group(rows, rows.num_rows - 1)
-                open_ = same(rows, key)
-                if open_.all():
-                    cut = key
-                    yield from counted(rows, True)
-                    return
-                tail = rows.filter(pa.array(open_))
-                held = tail.to_batches()
-                size = sum(len(b.column("n").flatten()) for b in held)
-                rows = rows.filter(pa.array(~open_))
-            yield from counted(rows, False)
-
+        bucket, own, own_size, cut = None, [], 0, False  # the bucket that is being read
+        done, done_size = [], 0  # whole buckets
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += len(batch.column(batch.schema.names.index("n")).flatten())
-                if size >= block:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    counted = routed.mapInArrow(run, "lang string, phrase string, words int, a bigint")
-    return (counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+            number = batch.column(0).to_numpy()
+            sizes = batch.column(batch.num_columns - 1).value_lengths().to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                if number[i] != bucket:
+                    if cut and own:
+                        yield from counted(own, True)
+                    elif own:
+                        done += own
+                        done_size += own_size
+                    bucket, own, own_size, cut = number[i], [], 0, False
+                    if done_size >= min(block, LEAST_BLOCK):
+                        yield from counted(done, False)
+                        done, done_size = [], 0
+                own.append(batch.slice(i, 1))
+                own_size += int(sizes[i])
+                if own_size >= block:
+                    yield from counted(own, True)
+                    own, own_size, cut = [], 0, True
+        if cut and own:
+            yield from counted(own, True)
+        elif own:
+            done += own
+        if done:
+            yield from counted(done, False)
+
+    counted_ = routed.mapInArrow(run, "lang string, phrase string, words int, a bigint")
+    return counted_.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _looked_up(rows: DataFrame, part: str, out: str, frequent: DataFrame, counts: DataFrame) -> DataFrame:
@@ -382,7 +366,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int = D
     hot = np.zeros((2, LOAD_SLOTS), bool)
     for r in load.where((F.col("kind") > 0) & (F.col("n") * SHARE > every)).collect():  # at most 2 x SHARE rows
         hot[r["kind"] - 1, r["slot"]] = True
-    counts = stored(phrase_counts(rows, hot, depth, least), "counts")
+    counts = stored(phrase_counts(rows, hot, depth, least, -(-every // BUCKET) or 1), "counts")
     frequent = counts.where((F.col("words") == 1) & (F.col("a") * SHARE > every))  # at most SHARE rows
     word = F.split("phrase", " ", -1)
 
