@@ -245,8 +245,8 @@ def _q_price_features(spark, d):
 
 def _q_assembled_features(spark, d):
     """M1: the vector's slots, read back by position."""
-    table, names, _ = R.price_vectors(_listings(spark, d))
-    slots = spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+    table, names = R.price_vectors(_listings(spark, d))
+    slots = names.select(F.col("index").alias("slot"), "feature")
     long = table.select("id", F.posexplode(vector_to_array("features")).alias("slot", "value"))
     return long.join(slots, "slot").select("id", "feature", F.round("value", 6).alias("value"))
 

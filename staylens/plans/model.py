@@ -14,11 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .._util import as_list, qcol, require_columns
+from ..operators.dictionary import dense_index
 from ..operators.groups import top_k
+from ..session import scratch_path
 
 
 # --------------------------------------------------------------------------- M1, M2
@@ -71,33 +73,27 @@ def r2_score(df: DataFrame, label: str, prediction: str, by=None, name: str = "r
 @dataclass
 class PriceForest:
     model: object
-    features: list
     task: str
-    labels: list | None  # class index -> label value (classification)
+    labels: DataFrame | None  # (index, value) of the classes (classification)
 
     def predict(self, df: DataFrame, out: str = "predicted") -> DataFrame:
-        """M4: predicted label value per row (class index mapped back to its value).
+        """M4: predicted label value per row (class index joined with its value).
 
-        Only the prediction column is produced: the per-class vote and
-        probability vectors (one value per class) are not materialised.
+        Only the prediction column is produced: the per-class vote and probability vectors
+        (one value per class) are not columns of the table.
         """
         model = self.model.copy()
-        if self.task == "classify":
-            model.setRawPredictionCol("").setProbabilityCol("")
-        scored = model.transform(df)
-        if self.task == "classify":
-            table = F.array(*[F.lit(float(v)) for v in self.labels])
-            value = F.element_at(table, F.col("prediction").cast("int") + 1)
-        else:
-            value = F.col("prediction")
-        drop = [c for c in ("rawPrediction", "probability", "prediction") if c in scored.columns]
-        return scored.withColumn(out, value).drop(*drop)
+        if self.task != "classify":
+            return model.transform(df).withColumn(out, F.col("prediction")).drop("prediction")
+        model.setRawPredictionCol("").setProbabilityCol("").setPredictionCol("__class")
+        values = self.labels.select(F.col("index").cast("double").alias("__class"), F.col("value").alias(out))
+        return model.transform(df).join(values, "__class", "left").drop("__class")
 
 
-def _label_values(train: DataFrame, label: str) -> list[float]:
-    rows = (train.select(qcol(label).cast("double").alias("v")).where(F.col("v").isNotNull())
-            .distinct().collect())
-    return sorted(r["v"] for r in rows)
+def label_values(train: DataFrame, label: str) -> DataFrame:
+    """(index, value): the distinct labels in order, numbered as a table."""
+    values = train.select(qcol(label).cast("double").alias("value")).where(F.col("value").isNotNull()).distinct()
+    return dense_index(values, ["value"])
 
 
 #: Rows of a partition of the fit, and its per-task budget for split statistics. Both are
@@ -128,10 +124,9 @@ def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, de
 
     more = [qcol(key)] if key else []
     if task == "classify":
-        labels = _label_values(train, label)
-        index = train.sparkSession.createDataFrame(
-            [(v, float(i)) for i, v in enumerate(labels)], "__lv double, __li double")
-        meta = {"ml_attr": {"type": "nominal", "num_vals": len(labels), "name": "__label"}}
+        labels = label_values(train, label)
+        index = labels.select(F.col("value").alias("__lv"), F.col("index").cast("double").alias("__li"))
+        meta = {"ml_attr": {"type": "nominal", "num_vals": labels.count(), "name": "__label"}}
         data = (train.join(index, qcol(label).cast("double") == F.col("__lv"))
                 .select(*more, qcol(features), F.col("__li").alias("__label", metadata=meta)))
         est = RandomForestClassifier(featuresCol=features, labelCol="__label", numTrees=trees,
@@ -148,7 +143,7 @@ def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, de
         raise ValueError("task must be 'classify' or 'regress'")
     if key:
         data = laid_out(data, key, rows_per_partition=rows_per_partition).drop(key)
-    return PriceForest(est.fit(data), [], task, labels)
+    return PriceForest(est.fit(data), task, labels)
 
 
 def fit_price_forest(train: DataFrame, trees: int = 400, depth: int = 6, seed: int = 42,
@@ -162,17 +157,64 @@ def fit_price_forest(train: DataFrame, trees: int = 400, depth: int = 6, seed: i
 r2 = r2_score  # A12 under its catalogue name
 
 
+def node_table(model) -> DataFrame:
+    """The nodes of a fitted forest as a table, read back from the saved model.
+
+    (tree, node, feature, threshold, gain, rows, leaf): ``feature`` and ``threshold`` are
+    NULL in a leaf, ``leaf`` is its number within the tree (as in MLlib's leaf column) and
+    NULL elsewhere; ``rows`` is the node's weight.
+    """
+    model = model.model if isinstance(model, PriceForest) else model
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "forest")
+    model.save(path)
+    n = F.col("nodeData")
+    stats = n["impurityStats"]
+    # class counts of a classifier; count, sum and sum of squares of a regressor
+    rows = (F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if hasattr(model, "numClasses") else stats[0])
+    is_leaf = n["leftChild"] < 0
+    inner = F.when(~is_leaf, n["split"])
+    order = Window.partitionBy("treeID").orderBy(n["id"]).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(is_leaf.cast("int")).over(order), F.lit(0))  # a tree has few nodes
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), inner["featureIndex"].alias("feature"),
+        F.get(inner["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), n["gain"].alias("gain"),
+        rows.alias("rows"), F.when(is_leaf, before).alias("leaf"))
+
+
+def node_importances(nodes: DataFrame) -> DataFrame:
+    """(index, importance) of the features that split a node of ``nodes``.
+
+    A split is worth its gain times the rows of its node; a tree's splits sum to 1, the
+    trees' sums are averaged over the trees that split at all.
+    """
+    gains = (nodes.where(F.col("feature").isNotNull()).groupBy("tree", "feature")
+             .agg(F.sum(F.col("gain") * F.col("rows")).alias("gain")))
+    of_tree = F.sum("gain").over(Window.partitionBy("tree"))
+    shares = gains.select("feature", (F.col("gain") / of_tree).alias("share"), of_tree.alias("all")).where("all > 0")
+    summed = shares.groupBy("feature").agg(F.sum("share").alias("share"))
+    total = summed.agg(F.sum("share").alias("total"))
+    return summed.join(F.broadcast(total)).select(  # one row
+        F.col("feature").alias("index"), (F.col("share") / F.col("total")).alias("importance"))
+
+
 def importance_table(model, names, spark=None) -> DataFrame:
     """M6: (feature, importance) sorted by importance; size = number of features.
 
-    ``model`` is a :class:`PriceForest`, a fitted MLlib tree ensemble, or the
-    importance vector itself.
+    ``names`` is a list, or a table (index, feature). ``model`` is a :class:`PriceForest` or a fitted MLlib forest, whose importances are
+    aggregated over its nodes (:func:`node_importances`), or the importance vector itself.
     """
-    from pyspark.sql import SparkSession
-
     spark = spark or SparkSession.getActiveSession()
-    if isinstance(model, PriceForest):
-        model = model.model
+    model = model.model if isinstance(model, PriceForest) else model
+    if hasattr(model, "getNumTrees"):
+        count = names.count() if isinstance(names, DataFrame) else len(names)
+        if model.numFeatures != count:
+            raise ValueError(f"{model.numFeatures} features, {count} names")
+        named = names if isinstance(names, DataFrame) else spark.createDataFrame(
+            list(enumerate(names)), "index int, feature string")
+        df = named.join(node_importances(node_table(model)), "index", "left").select(
+            "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+        return df.orderBy(F.desc("importance"), F.asc("feature"))
     importances = getattr(model, "featureImportances", model)
     values = importances.toArray().tolist() if hasattr(importances, "toArray") else list(importances)
     if len(values) != len(names):

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import qcol
+from .._util import qcol, spread
 from ..functions.numbers import parse_date, parse_number
-from ..operators import clean, encode, groups, members
+from ..operators import clean, dictionary, encode, groups, members
 from ..session import cut_lineage
 from . import constants as C
 from . import model as M
@@ -216,18 +216,19 @@ class PriceDrivers:
     scores: DataFrame         # (fold, r2)
     predictions: DataFrame    # (id, fold, price, predicted)
     forest: M.PriceForest
-    features: list
+    features: DataFrame       # (index, feature)
+    vectors: DataFrame        # (id, price, features, fold)
     unparsable: int           # listings left out for a price that is no number
 
 
 @dataclass
 class FeaturePlan:
-    """What the two passes over the listings found; see :func:`price_features`."""
+    """The listings' columns by their part in the feature table; see :func:`price_features`."""
 
     rows: DataFrame           # __key, target and the source columns, parsed
     numeric: list             # numeric columns that are not sparse
-    vocab: encode.PhraseVocabulary
-    levels: encode.Levels
+    phrases: list             # phrase columns
+    levels: list              # text columns
     stats: clean.ColumnStats
 
 
@@ -240,10 +241,10 @@ def unparsable_prices(listings: DataFrame, target: str = "price") -> DataFrame:
 
 def plan_features(listings: DataFrame, key: str = "id", target: str = "price",
                   sparse_share: float = C.SPARSE_SHARE) -> FeaturePlan:
-    """One pass fetches the phrase vocabulary and the one-hot levels, one
-    the non-missing counts and means of the numeric columns (encoded columns are complete
-    by construction, so they are always kept and never imputed). Rows without a parsable
-    target are left out (no model can learn from them); :func:`unparsable_prices` counts them.
+    """One pass fetches the non-missing counts and means of the numeric
+    columns (encoded columns are complete by construction, so they are always kept and never
+    imputed). Rows without a parsable target are left out (no model can learn from them);
+    :func:`unparsable_prices` counts them.
     """
     df = listings.withColumn(target, parse_number(qcol(target))).where(qcol(target).isNotNull())
     df = clean.to_number_columns(df, [c for c in C.NUMBER_TEXT_FEATURES if c in df.columns],
@@ -255,10 +256,9 @@ def plan_features(listings: DataFrame, key: str = "id", target: str = "price",
             if c != target]
     numeric = [c for c in clean.columns_of_type(df.select(*[qcol(c) for c in kept]), "numeric")
                if c not in ("__key", target)]
-    vocab, levels = encode.fit_encoders(df, phrase_cols, text)
     stats = clean.fit_column_stats(df, numeric)
     dense = set(stats.kept(sparse_share))
-    return FeaturePlan(df, [c for c in numeric if c in dense], vocab, levels, stats)
+    return FeaturePlan(df, [c for c in numeric if c in dense], phrase_cols, text, stats)
 
 
 def price_features(listings: DataFrame, key: str = "id", target: str = "price",
@@ -268,9 +268,10 @@ def price_features(listings: DataFrame, key: str = "id", target: str = "price",
     Returns ``(table, features)``: ``key``, the parsed target and one column per feature.
     """
     plan = plan_features(listings, key, target, sparse_share)
-    df = encode.apply_phrase_indicators(plan.rows, plan.vocab)
+    vocab, levels = encode.fit_encoders(plan.rows, plan.phrases, plan.levels)
+    df = encode.apply_phrase_indicators(plan.rows, vocab)
     df = clean.drop_columns(df, C.REDUNDANT_COLUMNS, strict=False)
-    df = encode.apply_one_hot(df, plan.levels)
+    df = encode.apply_one_hot(df, levels)
     sparse = set(plan.stats.present) - set(plan.numeric)
     feats = [c for c in df.columns if c not in ("__key", target) and c not in sparse]
     df = clean.impute_mean(df.select("__key", qcol(target), *[qcol(c) for c in feats]),
@@ -280,31 +281,34 @@ def price_features(listings: DataFrame, key: str = "id", target: str = "price",
 
 def price_vectors(listings: DataFrame, key: str = "id", target: str = "price",
                   sparse_share: float = C.SPARSE_SHARE):
-    """The same features as one vector column ``features``; returns ``(table, names, plan)``.
+    """The same features as one sparse vector column ``features``; returns ``(table, names)``.
 
-    The encoded part is sparse, so the work follows a row's phrases and not the width.
+    ``names`` is a table (index, feature): phrases and levels are numbered in a dictionary
+    table and joined, so neither is a list of the driver.
     """
     plan = plan_features(listings, key, target, sparse_share)
-    df = clean.impute_mean(plan.rows, plan.numeric, plan.stats)
-    df, names = encode.encoded_vector(df, plan.vocab, plan.levels, "__encoded")
-    parts = plan.numeric + (["__encoded"] if names else [])
-    df = M.assemble(df, parts)
-    return (df.select(F.col("__key").alias(key), qcol(target), "features"),
-            plan.numeric + names, plan)
+    taken = [c for c in plan.rows.columns if c not in {*plan.phrases, *plan.levels}]
+    of = dictionary.fit_dictionary(plan.rows, plan.phrases, plan.levels, taken=taken)
+    df = clean.impute_mean(plan.rows, plan.numeric, plan.stats).withColumnRenamed(target, "__target")
+    table = dictionary.sparse_vectors(df, of, plan.numeric, ["__key", "__target"])
+    return (table.select(F.col("__key").alias(key), F.col("__target").alias(target), "features"),
+            dictionary.names_table(of, plan.numeric))
 
 
 def price_drivers(listings: DataFrame, key: str = "id", trees: int = C.FOREST_TREES,
                   depth: int = C.FOREST_DEPTH, seed: int = C.SEED, test: float = C.TEST_SHARE,
                   task: str = "classify", rows_per_partition: int = M.ROWS_PER_PARTITION) -> PriceDrivers:
     """Fit the forest on the price and report feature importances and R2 per fold."""
-    vec, feats, plan = price_vectors(listings, key)
-    vec = cut_lineage(M.split_rows(vec, key, test, seed), "features")
+    vec, feats = price_vectors(listings, key)
+    # the rows are dealt by their key: the scan may have one partition, prediction is the work
+    vec = cut_lineage(spread(M.split_rows(vec, key, test, seed), key, None), "features")
     train = vec.where(F.col("fold") == "train")
     forest = M.fit_forest(train, "features", "price", trees, depth, seed, task, key=key,
                           rows_per_partition=rows_per_partition)
-    forest.features = feats
-    preds = forest.predict(vec).select(key, "fold", "price", "predicted")
+    # voted once: scores and checks read the stored predictions
+    preds = cut_lineage(forest.predict(vec).select(key, "fold", "price", "predicted"), "predictions")
     scores = M.r2_score(preds, "price", "predicted", by=["fold"])
-    importance = M.importance_table(forest, feats, listings.sparkSession)
+    importance = cut_lineage(M.importance_table(forest, feats, listings.sparkSession), "importance").orderBy(
+        F.desc("importance"), F.asc("feature"))
     bad = unparsable_prices(listings).first()
-    return PriceDrivers(importance, scores, preds, forest, feats, bad["unparsable"])
+    return PriceDrivers(importance, scores, preds, forest, feats, vec, bad["unparsable"])

@@ -51,7 +51,7 @@ def test_forest_classifier_on_price_classes(spark, toy):
     assert imp.sum() == pytest.approx(1.0)
     assert imp[0] > imp[1]
     pred = forest.predict(toy)
-    labels = set(forest.labels)
+    labels = {r["value"] for r in forest.labels.collect()}
     assert labels == {50.0, 150.0, 250.0, 350.0, 450.0}
     assert {r["predicted"] for r in pred.select("predicted").distinct().collect()} <= labels
     assert M.r2_score(pred, "price", "predicted").first()[0] > 0.99
@@ -68,15 +68,16 @@ def test_forest_regressor(spark, toy):
 def test_price_drivers_on_standin(spark):
     res = R.price_drivers(standins.listings(spark, SF_SMALL), trees=20)
     imp = res.importance.collect()
-    assert len(imp) == len(res.features)
+    features = [r["feature"] for r in res.features.collect()]
+    assert len(imp) == len(features)
     assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
     folds = {r["fold"] for r in res.scores.collect()}
     assert folds == {"train", "test"}
-    assert "id" not in res.features and "price" not in res.features
+    assert "id" not in features and "price" not in features
     # sparse square_feet (90% missing) is dropped, text columns are encoded
-    assert "square_feet" not in res.features
-    assert any(f.startswith("amenities-") for f in res.features)
-    assert any(f.startswith("room_type_") for f in res.features)
+    assert "square_feet" not in features
+    assert any(f.startswith("amenities-") for f in features)
+    assert any(f.startswith("room_type_") for f in features)
 
 
 def test_many_price_classes_and_unseen_test_price(spark):
@@ -89,11 +90,12 @@ def test_many_price_classes_and_unseen_test_price(spark):
                                                 F.lit("test")).toDF("id", "x", "price", "fold")
     data = M.assemble(df.unionByName(test_only), ["x"])
     forest = M.fit_forest(data.where("fold = 'train'"), "features", "price", trees=10, depth=6)
-    assert len(forest.labels) == 150 and 99_999.0 not in forest.labels
+    labels = {r["value"] for r in forest.labels.collect()}
+    assert len(labels) == 150 and 99_999.0 not in labels
     pred = forest.predict(data)
     scores = {r["fold"]: r["r2"] for r in M.r2_score(pred, "price", "predicted", by=["fold"]).collect()}
     assert set(scores) == {"train", "test"}
-    assert {r[0] for r in pred.select("predicted").distinct().collect()} <= set(forest.labels)
+    assert {r[0] for r in pred.select("predicted").distinct().collect()} <= labels
 
 
 def test_empty_input_through_split_and_score(spark):
@@ -115,10 +117,54 @@ def test_wide_drivers_and_unparsable_prices(spark):
         "id", "CASE WHEN id % 100 = 0 THEN 'ask' ELSE concat('$', id % 1500, '.50') END AS price",
         "concat('{p', id, '}') AS amenities", "CAST(id % 9 AS DOUBLE) AS bedrooms")
     res = R.price_drivers(df, trees=2, depth=3)
-    assert len(res.features) > 2900 and len(res.forest.labels) > 1000 and res.unparsable == 30
+    assert res.features.count() > 2900 and res.forest.labels.count() > 1000 and res.unparsable == 30
     assert res.predictions.count() == 2970
 
 
+def test_importances_equal_the_nodes_and_mllib(spark, scratch):
+    """Importances against MLlib's vector and a plain computation over the saved nodes."""
+    res = R.price_drivers(standins.listings(spark, SF_SMALL), trees=7, depth=4)
+    names = {r["index"]: r["feature"] for r in res.features.collect()}
+    got = {r["feature"]: r["importance"] for r in res.importance.collect()}
+    vector = res.forest.model.featureImportances.toArray()
+    assert set(names) == set(range(len(vector)))
+    assert all(abs(got[names[i]] - v) < 1e-12 for i, v in enumerate(vector))
+    path = f"{scratch}/forest"
+    res.forest.model.save(path)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        n = r["nodeData"]
+        if n["leftChild"] >= 0:
+            of = trees.setdefault(r["treeID"], {})
+            at = n["split"]["featureIndex"]
+            of[at] = of.get(at, 0.0) + n["gain"] * sum(n["impurityStats"])
+    want = {}
+    for of in trees.values():
+        for at, gain in of.items():
+            want[at] = want.get(at, 0.0) + gain / sum(of.values())
+    total = sum(want.values())
+    assert all(abs(got[f] - want.get(i, 0.0) / total) < 1e-12 for i, f in names.items())
+    nodes = M.node_table(res.forest)
+    leaves = {(r["tree"], r["leaf"]): r["rows"] for r in nodes.where("leaf is not null").collect()}
+    by_leaf = res.forest.model.copy().setLeafCol("leaf").transform(res.vectors.where("fold = 'train'"))
+    assert all((t, int(x)) in leaves for r in by_leaf.select("leaf").collect() for t, x in enumerate(r["leaf"]))
+
+
+def test_predictions_are_stored_in_parallel(spark):
+    res = R.price_drivers(standins.listings(spark, SF_SMALL), trees=3, depth=3)
+    again = res.forest.predict(res.vectors).select("id", "predicted").collect()
+    stored = res.predictions.select("id", "predicted").collect()
+    assert sorted(again) == sorted(stored)
+    assert "RandomForest" not in res.scores._jdf.queryExecution().toString()  # read, not voted again
+    assert res.vectors.rdd.getNumPartitions() > 1 or len(res.vectors.inputFiles()) > 1
+
+
+def test_node_importances_of_trees_without_splits(spark):
+    df = M.assemble(spark.range(40).selectExpr("id", "1.0 AS x", "CAST(id % 3 AS DOUBLE) AS price"), ["x"])
+    forest = M.fit_forest(df, "features", "price", trees=3, depth=2)
+    assert [tuple(r) for r in M.importance_table(forest, ["x"], spark).collect()] == [("x", 0.0)]
+
+
 def test_forest_depends_on_the_data_alone(spark):
     """Equal importances whatever the input's partitions and the session's parallelism."""
     listings = standins.listings(spark, SF_SMALL)

@@ -103,7 +103,7 @@ def test_all_reports_run(files):
     r7 = R.price_by_reviews_count(listings).collect()
     assert sum(r["count"] for r in r7) == 120
     res = R.price_drivers(listings, trees=10)
-    names = set(res.features)
+    names = {r["feature"] for r in res.features.collect()}
     assert "square_feet" not in names and "id" not in names and "zipcode" not in names
     assert any(n.startswith("amenities-") for n in names)
     assert any(n.startswith("bed_type_") for n in names)  # undeclared text column is encoded
