@@ -26,6 +26,7 @@ from staylens.operators import clean, encode, groups, members  # noqa: E402
 from staylens.plans import constants as C  # noqa: E402
 from staylens.plans import model as M  # noqa: E402
 from staylens.plans import reports as R  # noqa: E402
+from staylens.session import scratch_path  # noqa: E402
 from staylens.sources import preview, standins, tables  # noqa: E402
 
 try:  # the training-data operators are an optional subpackage
@@ -360,6 +361,22 @@ def _drivers(spark, d):
     return _FITS[key]
 
 
+_CSV_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                            T.StructField("price", T.StringType()), T.StructField("bedrooms", T.DoubleType())])
+
+
+def _q_csv_listings(spark, d):
+    """The listings as CSV (quotes, line breaks, N/A inside) in the checkpoint folder, read back."""
+    name = F.concat("name", F.lit(' "'), NB, F.lit('",\n'), F.coalesce("property_type", F.lit("-")))
+    text = _listings(spark, d).select(
+        F.col("id"), name.alias("name"), F.when(F.col("id") % 7 == 0, "N/A").otherwise(F.col("price")).alias("price"),
+        F.when(F.col("id") % 5 == 0, "N/A").otherwise(F.col("bedrooms").cast("string")).alias("bedrooms"),
+        F.when(F.col("id") % 3 > 0, F.col("number_of_reviews")).alias("reviews"), F.col("room_type").alias("note"))
+    path = scratch_path(spark, "listings-csv")
+    text.write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_table(spark, path, _CSV_SCHEMA)
+
+
 def _q_price_driver_checks(spark, d):
     """R8 as one row of what must hold for any forest."""
     out = _drivers(spark, d)
@@ -430,6 +447,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "total_median": _q_total_median,
         "size_price_nan": _q_size_price_nan,
         "typed_part": _q_typed_part,
+        "csv_listings": _q_csv_listings,
         "parsed_dates": _q_parsed_dates,
         "split_target": _q_split_target,
         "with_names": _q_with_names,
@@ -736,6 +754,10 @@ def oracle_sql() -> dict[str, str]:
             "SELECT l_returnflag, median(CAST(l_extendedprice AS DOUBLE)) AS median, count(*) AS count FROM lineitem "
             "WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag"),
         "total_median": "SELECT median(CAST(l_extendedprice AS DOUBLE)) AS median FROM lineitem",
+        "csv_listings": _sql(
+            "SELECT id, name || ' \"' || neighbourhood_cleansed || '\",' || chr(10) || coalesce(property_type, '-') AS name, "
+            "CASE WHEN id % 7 <> 0 THEN price END AS price, CASE WHEN id % 5 <> 0 THEN bedrooms END AS bedrooms, "
+            "CASE WHEN id % 3 > 0 THEN CAST(number_of_reviews AS DOUBLE) END AS reviews, room_type AS note FROM listings"),
         "typed_part": (
             "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, CAST(CASE WHEN p_partkey % 7 <> 0 THEN p_size END "
             "AS INTEGER) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part"),

@@ -66,14 +66,17 @@ def top_k_values(df: DataFrame, col: str, k: int, name: str = "count") -> DataFr
 
 def median_count(df: DataFrame, keys, value, median_name: str = "median",
                  count_name: str | None = "count", exact: bool = True,
-                 accuracy: int = 10_000) -> DataFrame:
+                 accuracy: int = 10_000, weight: str | None = None) -> DataFrame:
     """Per key tuple: median of ``value`` (missing skipped) and row count.
 
     ``exact=True`` gives the midpoint of the two middle values for even counts;
-    ``exact=False`` uses ``percentile_approx`` with ``accuracy``.
+    ``exact=False`` uses ``percentile_approx`` with ``accuracy``. With ``weight``, a column
+    of whole numbers, a row stands for that many equal ones (exact medians only).
     """
     keys = as_list(keys)
-    base = df.select(*_key_cols(keys), _numeric(df, value).alias(_V))
+    if weight and not exact:
+        raise ValueError("weights need exact=True")
+    base = df.select(*_key_cols(keys), _numeric(df, value).alias(_V), *([qcol(weight).alias(_N)] if weight else []))
     cond = _not_missing(base, keys)
     if cond is not None:
         base = base.where(cond)
@@ -87,7 +90,7 @@ def median_count(df: DataFrame, keys, value, median_name: str = "median",
     # would be folded and turn the joins below into nested loops
     cols = ([qcol(k).alias(n) for k, n in zip(keys, names)]
             or [F.pmod(F.xxhash64(F.col(_V)), F.lit(1)).alias("__k0")])
-    medians = _medians(base.select(*cols, F.col(_V)), names)
+    medians = _medians(base.select(*cols, F.col(_V), *([F.col(_N)] if weight else [])), names)
     out = [F.col(n).alias(k) for k, n in zip(keys, names)]
     out.append(F.col("__median").alias(median_name))
     if count_name:
@@ -154,7 +157,8 @@ def _located(cells: DataFrame, keys: list[str], low: Column, high: Column) -> Da
 def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, __total, __median): exact, whatever the number of values of a key."""
     v, n = F.col(_V), F.col(_N)
-    counts = rows.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_N)).withColumn("__cell", _first_digit(v))
+    each = F.sum(_N) if _N in rows.columns else F.count(F.lit(1))
+    counts = rows.groupBy(*keys, _V).agg(each.alias(_N)).withColumn("__cell", _first_digit(v))
     first = _located(_cells(counts, keys), keys, F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2))
 
     def inside(values: DataFrame, found: DataFrame) -> DataFrame:
@@ -228,15 +232,17 @@ def profile_by_features(df: DataFrame, features, value, feature_name: str = "fea
                         count_name: str = "count", exact: bool = True) -> DataFrame:
     """For every feature: median of ``value`` and row count per level.
 
-    The features are unpivoted into (feature, level) pairs first, so all of
-    them share one grouping instead of one grouping per feature.
+    Rows that agree in all features and the value are counted first; the distinct ones are
+    unpivoted into weighted (feature, level) pairs, so the features share one grouping.
     """
     features = as_list(features)
-    long = df.select(
-        _numeric(df, value).alias(_V),
-        *[qcol(f).cast("double").alias(f) for f in features],
-    ).unpivot([_V], features, feature_name, level_name)
-    return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact)
+    rows = df.select(_numeric(df, value).alias(_V), *[qcol(f).cast("double").alias(f) for f in features])
+    if not exact:
+        long = rows.unpivot([_V], features, feature_name, level_name)
+        return median_count(long, [feature_name, level_name], _V, median_name, count_name, exact)
+    tuples = rows.groupBy(_V, *[qcol(f) for f in features]).agg(F.count(F.lit(1)).alias(_N))
+    long = tuples.unpivot([_V, _N], features, feature_name, level_name)
+    return median_count(long, [feature_name, level_name], _V, median_name, count_name, weight=_N)
 
 
 def group_by_bucket(df: DataFrame, col: str, width: float = 50, value="price",

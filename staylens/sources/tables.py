@@ -75,7 +75,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     is a number (``infer_rest``, one aggregation over the file), else as text.
     Quoted cells may span lines and use doubled quotes (``multi_line``, which
     reads each file in one task; a file known to keep every record on one line
-    can pass ``multi_line=False`` and be split across tasks).
+    can pass ``multi_line=False`` and be split across tasks; a folder of files is read
+    by as many tasks as it has files either way).
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -114,9 +115,29 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return typed(raw, T.StructType([*schema.fields, *rest]), tokens)
 
 
-def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
-    """Parquet sink (optionally partitioned, e.g. a calendar by month)."""
+def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite",
+                bucket_by=None, buckets: int | None = None, table: str | None = None) -> None:
+    """Parquet sink (optionally partitioned, e.g. a calendar by month).
+
+    With ``bucket_by`` the rows are written in ``buckets`` hash buckets (by default the
+    session's shuffle partitions), sorted within, and registered as ``table`` in the session's
+    catalog: read it with ``spark.table(table)``, and joins and groupings on those columns
+    need no shuffle of it (a calendar by listing, say). The rows are dealt by the bucket
+    first, so each bucket is one file.
+    """
+    def as_names(cols):
+        return [cols] if isinstance(cols, str) else list(cols or [])
+
+    by = as_names(bucket_by)
+    if by:
+        if not table:
+            raise ValueError("bucket_by needs the name of a table")
+        buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(buckets, *[qcol(c) for c in by])
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    w.parquet(path)
+        w = w.partitionBy(*as_names(partition_by))
+    if by:
+        w.bucketBy(buckets, *by).sortBy(*by).format("parquet").option("path", path).saveAsTable(table)
+    else:
+        w.parquet(path)
