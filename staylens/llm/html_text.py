@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ _BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd",
            "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section",
            "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_CLOSED = {"script", "style"}  # never self-closing
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored",
           "promo", "promotion", "sidebar", "sidenav", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
@@ -83,14 +85,30 @@ class Named:
     in_article: bool
 
 
-def _marks(attrs: str) -> set[str]:
-    out: set[str] = set()
+def _marks(attrs: str) -> tuple[set[str], set[str], set[str]]:
+    """Words of the class, id and role names; whole names of class and role; whole ids."""
+    words: set[str] = set()
+    names: set[str] = set()
+    ids: set[str] = set()
     for m in _NAMES.finditer(attrs):
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
         for token in value.split():
             if not token.startswith(("has-", "with-", "no-", "is-")):  # say what is around or not
-                out.update(w.lower() for w in _WORD.findall(token))
-    return out
+                words.update(w.lower() for w in _WORD.findall(token))
+                (ids if m[1].lower() == "id" else names).add(token.lower())
+    return words, names, ids
+
+
+def _noise_words(name: str, marks: tuple[set[str], set[str], set[str]], in_article: bool) -> set[str]:
+    """The words by which an element may be called noise. Ids of headings and paragraphs are
+    anchors, their classes count as whole names; inside a marked article a class or id made of
+    several words names a part of the text, so whole names alone count there."""
+    words, names, ids = marks
+    if name in _HEADINGS or name == "p":
+        return names & _NOISE
+    if in_article and name == "section":
+        return (names | ids) & _NOISE
+    return words & _NOISE
 
 
 def lines_of(page: str) -> tuple[list[Line], list[int]]:
@@ -100,25 +118,33 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
     named: list[Named] = []
     stack: list[tuple[str, bool, bool, int, int]] = []  # element, noise, article's own head, container, named part
     parts: list[str] = []
-    noise = 0  # open noise elements
-    inside: list[int] = []
+    noise = own_heads = 0  # open noise elements, and those that are an article's own head
+    parts_open: list[tuple[int, bool]] = []  # open named parts, and whether they are such heads
+    opened: Counter[str] = Counter()  # open elements by name
+    inside: list[int] = []  # open containers
+    articles: list[int] = []  # those that are articles
 
     def end_line() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                head = stack and any(e[0] in _HEADINGS for e in stack[-3:])
-                counted = [e for e in stack if not (e[2] and head)]
-                lines.append(Line(text, any(e[1] for e in counted), tuple(inside),
-                                  tuple(e[4] for e in counted if e[4] >= 0)))
+                head = any(e[0] in _HEADINGS for e in stack[-3:])
+                lines.append(Line(text, noise > (own_heads if head else 0), tuple(inside),
+                                  tuple(k for k, own in parts_open if not (own and head))))
 
     def pop() -> None:
-        nonlocal noise
-        _, noisy, _, box, _ = stack.pop()
+        nonlocal noise, own_heads
+        name, noisy, own_head, box, part = stack.pop()
+        opened[name] -= 1
         noise -= noisy
+        own_heads -= noisy and own_head
+        if part >= 0:
+            parts_open.pop()
         if box >= 0:
-            inside.remove(box)
+            inside.pop()
+            if articles and articles[-1] == box:
+                articles.pop()
 
     at, skip = 0, None
     while at < len(page):
@@ -141,7 +167,7 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
         if m["close"]:
             if name in _BLOCKS:
                 end_line()
-            if any(e[0] == name for e in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -150,7 +176,7 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
             if name == "head":  # without a close, the body ends it
                 m2 = re.compile(r"</head\b[^>]*>|(?=<body\b)", re.IGNORECASE).search(page, at)
                 at = m2.end() if m2 else at
-            elif not m["attrs"].rstrip().endswith("/"):
+            elif name in _CLOSED or not m["attrs"].rstrip().endswith("/"):
                 skip = name
             continue
         if name == "br":
@@ -162,18 +188,20 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
                 pop()
             if stack and name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name:
                 pop()
-        if name in _VOID or m["attrs"].rstrip().endswith("/"):
+        if name in _VOID or name not in _BLOCKS and m["attrs"].rstrip().endswith("/"):
             if name == "img" or name == "input":
                 parts.append(" ")
             continue
-        marks = _marks(m["attrs"]) if m["attrs"] else set()
+        named_by = _marks(m["attrs"]) if m["attrs"] else (set(), set(), set())
+        marks = named_by[0]
         wide = name in ("html", "body", "main")
         replies = bool(marks & _REPLIES)
         noisy = name in _BOILERPLATE or name == "article" and bool(marks & {"comment", "comments"})
         part = -1
-        if not noisy and not wide and name != "article" and marks & _NOISE:
+        in_article = bool(articles)
+        if not noisy and not wide and name != "article" and marks and _noise_words(name, named_by, in_article):
             part = len(named)
-            named.append(Named(replies, [], any(ranks[k] == 0 for k in inside)))
+            named.append(Named(replies, [], in_article))
         own_head = (noisy or part >= 0) and bool(inside) and (name == "header" or "header" in marks)
         box = -1
         if not noisy and not noise:
@@ -184,15 +212,21 @@ def lines_of(page: str) -> tuple[list[Line], list[int]]:
             elif name in ("div", "section", "td") and marks & _CONTAINERS and not replies:
                 box = 2
             if box >= 0:
-                for k in (e[4] for e in stack if e[4] >= 0):
+                for k, _ in parts_open:
                     if not named[k].in_article and not (named[k].replies and box == 2):
                         named[k].boxes.append(len(ranks))
                 if part >= 0:
                     named[part].boxes.append(len(ranks))
                 ranks.append(box)
+                if box == 0:
+                    articles.append(len(ranks) - 1)
                 box = len(ranks) - 1
                 inside.append(box)
         noise += noisy
+        own_heads += noisy and own_head
+        if part >= 0:
+            parts_open.append((part, own_head))
+        opened[name] += 1
         stack.append((name, noisy, own_head, box, part))
     end_line()
     _settle(lines, named)

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 
 from staylens.llm import html_text as H
+from staylens.llm.html_text import main_text
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="with-sidebar"><header><h1>Site</h1></header>
 <div id="cookie-notice">Cookies!</div><nav><ul><li>a<li>b</ul></nav><div class="sidebar"><p>side</p></div>
@@ -76,3 +79,43 @@ def test_math_text_stays():
 ])
 def test_all_marked_containers(page, text):
     assert H.main_text(page) == text
+
+
+LONG = "A paragraph of some length that belongs to the article of this page, as any reader can see at once."
+
+
+@pytest.mark.parametrize("part", [
+    '<h2 id="related-work">Related work</h2>', '<h2 id="search-results">Search results</h2>', '<h2 id="comments">Comments</h2>',
+    '<h3 id="menu">Menu</h3>', '<h2 id="login">Login</h2>', '<h2 id="search">Search</h2>', '<p class="notice-board">On the board</p>',
+    '<p id="footer">Of footers</p>', '<section id="related-work"><h2>Related work</h2><p>Others did so before.</p></section>'])
+def test_anchors_in_an_article_are_no_noise(part):
+    page = f"<body><nav>Menu</nav><article><h1>Title</h1><p>{LONG}</p>{part}<p>{LONG}</p></article></body>"
+    inner = [x for x in re.split("<[^>]*>", part) if x]
+    assert main_text(page).split("\n") == ["Title", LONG, *inner, LONG]
+
+
+@pytest.mark.parametrize("part", ['<div class="related-posts">More</div>', '<div id="comments"><p>So true!</p></div>',
+                                  '<p class="notice">We use cookies</p>', '<section class="comments"><p>Me too</p></section>',
+                                  '<section id="comments"><p>Me too</p></section>', '<div class="share-buttons">Share</div>'])
+def test_noise_in_an_article_goes(part):
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p>{part}<p>{LONG}</p></article></body>"
+    assert main_text(page).split("\n") == ["Title", LONG, LONG]
+
+
+@pytest.mark.parametrize("script", ['<script src="a.js"/>var x=1;</script>', "<script src=/a/>var x=1;</script>",
+                                    "<style media=all/>p { color: red }</style>"])
+def test_scripts_are_never_self_closing(script):
+    assert main_text(f"<article><p>{LONG}</p>{script}<p>End.</p></article>").split("\n") == [LONG, "End."]
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def seconds(depth):
+        page = "<article>" + "".join(f'<div class="x{i}">Block {i} of the text.' for i in range(depth)) + "</div>" * depth + "</article>"
+        start = time.perf_counter()
+        assert main_text(page).count("\n") == depth - 1
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 16 * seconds(2_000) + 0.5
