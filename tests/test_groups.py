@@ -184,6 +184,15 @@ def test_median_work_does_not_grow_with_cells(spark, monkeypatch):
     assert a == b and many < 4 * few + 2
 
 
+def test_weighted_median_equals_repeated_rows(spark):
+    data = [("a", 1.0, 3), ("a", 5.0, 2), ("a", 9.0, 1), ("b", None, 4), ("b", 2.0, 1), ("c", 1.0, 1), ("c", 2.0, 1)]
+    df = spark.createDataFrame(data, "k string, v double, w long")
+    want = rows(groups.median_count(df.withColumn("x", F.explode(F.sequence(F.lit(1), "w"))), "k", "v"), "sorted")
+    assert rows(groups.median_count(df, "k", "v", weight="w"), "sorted") == want
+    with pytest.raises(ValueError):
+        groups.median_count(df, "k", "v", weight="w", exact=False)
+
+
 def test_nan_keys_are_no_groups(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1.0, 2.0), (nan, 3.0), (None, 4.0), (1.0, 6.0)], "k double, v double")

@@ -128,3 +128,25 @@ def test_regex_rows_are_dealt_out(spark, cores):
         assert "hashpartitioning(doc_id" in plan and f", {cores}), REPARTITION_BY_NUM" in plan
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_bucketed_calendar_is_not_shuffled(spark, scratch):
+    """J1 on a calendar written in buckets by listing: only the id side is dealt."""
+    from staylens.operators import members
+    from staylens.sources import write_table
+
+    calendar = standins.calendar(spark, SF_SMALL)
+    write_table(calendar, f"{scratch}/calendar", bucket_by="listing_id", buckets=8, table="calendar_by_listing")
+    ids = standins.listings(spark, SF_SMALL).where("accommodates > 2").select("id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = members.keep_members(spark.table("calendar_by_listing"), "listing_id", ids, "id")
+        plan = _plan(kept)
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) >= 1
+        assert "Exchange hashpartitioning(listing_id" not in plan
+        want = members.keep_members(calendar, "listing_id", ids, "id")
+        assert kept.count() == want.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE calendar_by_listing")
