@@ -16,7 +16,7 @@ OPTIONAL = E.training_data.queries() if E.training_data else {}
 RELATIONAL = [k for k in E.queries() if not k.startswith("price_driver") and k not in OPTIONAL]
 # these take a first pass (vocabulary, levels, means or a fit) before their plan is known
 FIRST_PASS = {"phrase_indicators", "one_hot", "drop_sparse", "impute_mean", "price_features", "assembled_features",
-              "top_means", "forest_recovers"}
+              "top_means", "forest_recovers", "csv_listings"}
 
 
 def _plan(df) -> str:
