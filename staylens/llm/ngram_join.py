@@ -18,8 +18,11 @@ Two texts link when 100 * intersection >= percent * union of their sets of disti
 3. Nodes that share a key meet: every node first meets the one leader with which it shares
    most keys (a key's leader is the member with most partners), the pair is verified on the
    whole sets, and components come from star contraction.
-4. Keys whose members are still in several components are met exactly, in blocks: pairs
-   of different components whose sizes allow a link and which share enough keys are verified.
+4. Keys whose members are still in several components are settled exactly. Those of at
+   most ``SMALL`` members pass on pairs of different components whose sizes allow a link;
+   pairs that share enough keys are verified. Nodes that meet in larger keys form groups
+   (again by star contraction), whose members meet in blocks with their texts: a task counts
+   all intersections of two blocks by matrix products and passes on the links alone.
 
 Nothing is capped. The driver gets the frequent tokens (bounded) and row counts of the
 contraction only.
@@ -51,9 +54,12 @@ MOST = 1 << 20
 SPARE = 4
 #: Tokens that a task counts before it passes them on.
 HELD = 1 << 21
-#: Members of a key's block in step 4; pairs of one leader in a share of the verification.
+#: Members of a small key; of a group's block; pairs of one leader in a share of the verification.
+SMALL = 48
 BLOCK = 256
 LEADER_SHARE = 200
+#: Tokens of two blocks that are multiplied at once.
+COLUMNS = 4_096
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -205,14 +211,18 @@ def _sets(docs: DataFrame, key: str, text: str, size: int, percent: int):
     return stored(out.select("doc_id", "mark", f"{c}.*"), "sets")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+def _texts_of(ids: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored (id, text) of the distinct ``ids``."""
+    rep = nodes.join(ids, "id").select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"))
+    body = docs.select(qcol(key).alias("doc_id"), qcol(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    return stored(body.join(rep, body["doc_id"].eqNullSafe(rep["rep_id"]) & (body["mark"] == rep["rep_mark"]))
+                  .select("id", "text").dropDuplicates(["id"]), "texts")
+
+
+def _verified(pairs: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     pairs = stored(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rep = nodes.join(wanted, "id").select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"))
-    body = docs.select(qcol(key).alias("doc_id"), qcol(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = stored(body.join(rep, body["doc_id"].eqNullSafe(rep["rep_id"]) & (body["mark"] == rep["rep_mark"]))
-                   .select("id", "text").dropDuplicates(["id"]), "texts")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # the text of a node with many pairs goes once to every share of them
     sizes = pairs.groupBy("b").agg(F.floor(F.count("*") / LEADER_SHARE).cast("int").alias("shares"))
     dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares") + 1).cast("int").alias("s"))
@@ -257,52 +267,115 @@ def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
             .groupBy("a").agg(F.max_by("b", F.struct("shared", F.xxhash64("b"))).alias("b")))
 
 
-def _mixed_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share enough keys. ``members`` have a root."""
-    mixed = (members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m"))
-             .where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    sent = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    "block", "id", "root", "n", "sure"))
-    met = sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-
-    def pairs(group, rows):
-        block, ids, root, n, sure = (np.array(c) for c in zip(*rows))
-        out = []
-        for p in range(len(ids) - 1):
-            q = slice(p + 1, None)
-            far = (root[q] != root[p]) & (100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))
-            if group[1] != group[2]:
-                far &= block[q] != block[p]
-            q = np.flatnonzero(far) + p + 1
-            if len(q):
-                out.append((np.full(len(q), ids[p]), ids[q], np.minimum(sure[q], sure[p])))
-        return out
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share enough keys; a key has ``SMALL`` members at most."""
+    met = members.select("key", "id", "root", "n", "sure").repartition("key").sortWithinPartitions("key", "id")
+
+    def pairs(rows):
+        ids, root, n, sure = (np.array(c) for c in zip(*rows))
+        p, q = np.triu_indices(len(ids), 1)
+        fit = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+        p, q = p[fit], q[fit]
+        return ids[p], ids[q], np.minimum(sure[p], sure[q])
 
     def run(batches):
         group, held = None, []
 
         def batch_of(found):
-            a, b, sure = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure.astype(np.int32), pa.int32())], names=["a", "b", "sure"])
+            a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.int32())], names=["a", "b", "sure"])
 
         for batch in batches:
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != group:
+                if row[0] != group:
                     if len(held) > 1:
-                        found += pairs(group, held)
-                    group, held = row[:3], []
-                held.append(row[3:])
+                        found.append(pairs(held))
+                    group, held = row[0], []
+                held.append(row[1:])
             yield batch_of(found)
         if len(held) > 1:
-            yield batch_of(pairs(group, held))
+            yield batch_of([pairs(held)])
 
     return (met.mapInArrow(run, "a bigint, b bigint, sure int").groupBy("a", "b")
             .agg(F.count("*").alias("shared"), F.first("sure").alias("sure")).where("shared >= sure").select("a", "b"))
 
 
+def _products(who: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+    """Common numbers of each two of ``n`` sets, given as (set, number) rows."""
+    numbers, at, count = np.unique(number, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    who, at = who[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    who, at = who[order], at[order]
+    out = np.zeros((n, n), np.float32)  # whole numbers up to 2**24
+    for lo in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(at, (lo, lo + COLUMNS)))
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[who[part], at[part] - lo] = 1
+        out += held @ held.T
+    return out
+
+
+def _group_links(members: DataFrame, texts_of, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes of different components that share a key of ``members``."""
+    first = members.groupBy("key").agg(F.min("id").alias("b"))
+    groups = stored(components(members.join(first, "key").select(F.col("id").alias("a"), "b"))
+                    .select(F.col("key").alias("id"), F.col("root").alias("group")), "groups")
+    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = (members.groupBy("id").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.collect_list("key").alias("keys"))
+            .join(groups, "id").join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    texts = texts_of(groups.select("id"))
+    sent = (held.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    "block", "id", "root", "n", "keys", "text"))
+    met = sent.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "id")
+
+    def links(group, rows, hashes):
+        block, ids, root, n, keys, texts = zip(*rows)
+        block, ids, root, n = (np.array(x) for x in (block, ids, root, n))
+        least, most = np.minimum.outer(n, n), np.maximum.outer(n, n)
+        fit = (root[:, None] < root[None, :]) & (100 * least >= percent * most)
+        if group[1] != group[2]:
+            fit &= block[:, None] != block[None, :]
+        if not fit.any():
+            return ids[:0], ids[:0]
+        of_key = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+        fit &= _products(of_key, np.concatenate([np.array(k, np.int64) for k in keys]), len(ids)) > 0
+        wanted = np.flatnonzero((fit | fit.T).any(axis=1))
+        who, code, _ = shingles([words_of(texts[i]) for i in wanted], hashes, size)
+        both = _products(who, code, len(wanted)).astype(np.int64)
+        n = n[wanted]
+        fit = fit[np.ix_(wanted, wanted)] & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+        p, q = np.nonzero(fit)
+        return ids[wanted[p]], ids[wanted[q]]
+
+    def run(batches):
+        hashes, group, held = WordHashes(), None, []
+
+        def batch_of(found):
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            found = []
+            texts = batch.column(8).cast(pa.binary()).to_pylist()
+            for *row, text in zip(*(batch.column(c).to_pylist() for c in range(8)), texts):
+                if tuple(row[:3]) != group:
+                    if len(held) > 1:
+                        found.append(links(group, held, hashes))
+                    group, held = tuple(row[:3]), []
+                held.append((*row[3:], text))
+            yield batch_of(found)
+        if len(held) > 1:
+            yield batch_of([links(group, held, hashes)])
+
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for every row of ``docs``."""
     if not 67 <= percent <= 100:
@@ -314,11 +387,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
         .withColumn("id", F.monotonically_increasing_id()), "nodes")
     spread = nodes.select("id", "n", "sure", F.explode("keys").alias("key"))
     members = stored(spread.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1"), "members")
-    links = stored(_verified(_leader_pairs(members, percent), nodes, docs, key, text, size, percent), "links")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return _texts_of(ids, nodes, docs, key, text)
+
+    links = stored(_verified(_leader_pairs(members, percent), texts_of, size, percent), "links")
     roots = stored(components(links).withColumnRenamed("key", "id"), "roots")
     rest = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    more = stored(_verified(_mixed_pairs(rest, percent), nodes, docs, key, text, size, percent), "links")
-    roots = stored(components(links.unionByName(more)).withColumnRenamed("key", "id"), "roots")
+    mixed = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rest = stored(rest.join(mixed, "key"), "mixed")
+    small = _verified(_small_pairs(rest.where(F.col("k") <= SMALL), percent), texts_of, size, percent)
+    large = _group_links(rest.where(F.col("k") > SMALL), texts_of, size, percent)
+    links = stored(links.unionByName(small).unionByName(large), "links")
+    roots = stored(components(links).withColumnRenamed("key", "id"), "roots")
     named = nodes.select("id", "set_key", F.col("rep.doc_id").alias("doc_id")).join(roots, "id", "left").select(
         "set_key", F.coalesce("root", "id").alias("root"), "doc_id", F.col("root").isNotNull().alias("linked"))
     # a large component is dealt into shares, its name sent to each

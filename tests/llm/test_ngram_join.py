@@ -83,6 +83,8 @@ def test_equals_all_pairs(spark, monkeypatch, percent, frequent, block):
     monkeypatch.setattr(J, "FREQUENT", frequent)
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "LEADER_SHARE", 3)
+    monkeypatch.setattr(J, "SMALL", 48 if block == 256 else 4)
+    monkeypatch.setattr(J, "COLUMNS", 4096 if block == 256 else 7)
     rows = sample(percent + frequent)
     assert result(spark, rows, percent=percent) == brute(rows, percent)
 
