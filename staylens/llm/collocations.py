@@ -16,7 +16,7 @@
    are all counts of a bucket that is larger than a block.
 5. Counts of a candidate's parts are joined by phrase (those of very frequent words, at most
    ``SHARE``, are broadcast), its cuts scored, covered candidates dropped, the best of each
-   language ranked in two steps.
+   language ranked in two steps: within salted shares, then over ranges of the rank order.
 
 Defined results: a NULL text is empty, a NULL language is ``und``; a text without words or
 a language without candidates adds no row; repeated rows count each time; equal scores are
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from staylens._util import qcol
 from staylens.llm.common import share, stored
+from staylens.llm.merkle import numbered
 from staylens.llm.minhash import mix
 
 DEPTH = 3
@@ -389,5 +390,9 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", depth: int = D
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = best.withColumn("salt_", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALT)))
     first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt_").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "words", "a", "l", "r", "n", "score")
+    ranked = numbered(first.select(F.col("lang").alias("g"), (-F.col("score")).alias("low_"), (-F.col("a")).alias("few_"), "phrase",
+                                   "words", "a", "l", "r", "score"), ["low_", "few_", "phrase"], "ranked")
+    ranked = ranked.withColumn("rank", F.col("pos") + 1).where(F.col("rank") <= top).withColumnRenamed("g", "lang")
+    sent = totals.select("lang", "n", F.explode(F.sequence(F.lit(0), F.lit(RANK_SALT - 1))).alias("salt_"))
+    return ranked.withColumn("salt_", F.col("rank") % RANK_SALT).join(sent, ["lang", "salt_"]).select(
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "words", "a", "l", "r", "n", "score")
