@@ -271,32 +271,34 @@ def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share enough keys; a key has ``SMALL`` members at most."""
     met = members.select("key", "id", "root", "n", "sure").repartition("key").sortWithinPartitions("key", "id")
 
-    def pairs(rows):
-        ids, root, n, sure = (np.array(c) for c in zip(*rows))
-        p, q = np.triu_indices(len(ids), 1)
-        fit = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
-        p, q = p[fit], q[fit]
-        return ids[p], ids[q], np.minimum(sure[p], sure[q])
+    def pairs(key, ids, root, n, sure):
+        """Pairs of rows of equal keys, by their distance in the sorted rows."""
+        found = [(ids[:0], ids[:0], sure[:0])]
+        for d in range(1, len(key)):
+            p = np.flatnonzero(key[d:] == key[:-d])
+            if not len(p):
+                break
+            q = p + d
+            fit = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+            p, q = p[fit], q[fit]
+            found.append((ids[p], ids[q], np.minimum(sure[p], sure[q])))
+        a, b, least = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(least, pa.int32())], names=["a", "b", "sure"])
 
     def run(batches):
-        group, held = None, []
-
-        def batch_of(found):
-            a, b, sure = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.int32())], names=["a", "b", "sure"])
-
+        held = None  # the rows of a key that the next batch may go on with
         for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != group:
-                    if len(held) > 1:
-                        found.append(pairs(held))
-                    group, held = row[0], []
-                held.append(row[1:])
-            yield batch_of(found)
-        if len(held) > 1:
-            yield batch_of([pairs(held)])
+            rows = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [c[last:] for c in rows]
+            yield pairs(*[c[:last] for c in rows])
+        if held is not None:
+            yield pairs(*held)
 
     return (met.mapInArrow(run, "a bigint, b bigint, sure int").groupBy("a", "b")
             .agg(F.count("*").alias("shared"), F.first("sure").alias("sure")).where("shared >= sure").select("a", "b"))
