@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import (bpe, chat_format, collocations, decontaminate, html_text, importance, license_scan, lm_score,
+from staylens.llm import (bpe, chat_format, collocations, decontaminate, html_text, importance, license_scan, lm_corpus,
                           merkle, minhash, ngram_join, oracles, quality_rules, secret_scan)
 from staylens.llm.common import hex_sha256, table
 
@@ -75,8 +75,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out, c = lm_score.score(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    out, c = lm_corpus.score_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return out.select("doc_id", *[f"{c}.{n}" for n in ("n_words", "target_loss", "background_loss", "difference")])
 
 
