@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import NumericType, StructField, StructType
 
 from staylens._util import qcol
 from staylens.llm.common import SLICE_ROWS, folded_words, free_name, share, stored
@@ -44,11 +44,15 @@ FREQUENT = 1 << 18
 #: Characters of the texts in which frequent bigrams are looked for.
 SAMPLE_CHARS = 1 << 24
 #: Words of a bucket (on average); words and documents after which a block ends.
-BUCKET_WORDS = 1 << 21
-BLOCK_WORDS = 1 << 21
+BUCKET_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 20
 BLOCK_DOCS = 1 << 15
 #: Distinct words that a task holds.
 HELD = 400_000
+#: Characters of the corpus for each part of the counts.
+PART_CHARS = 1 << 25
+#: Most labelled ids that are broadcast; more are joined by a shuffle of the texts.
+TARGET_IDS = 1 << 21
 
 
 class Words(dict):
@@ -106,9 +110,9 @@ def _slices(batch):
         yield batch.slice(lo, SLICE_ROWS)
 
 
-def sampled_bigrams(rows: DataFrame) -> np.ndarray:
-    """Sorted codes of at most ``FREQUENT`` bigrams, the most frequent ones of a sample."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+def sampled_bigrams(rows: DataFrame, chars: int) -> np.ndarray:
+    """Sorted codes of at most ``FREQUENT`` bigrams, the most frequent ones of a sample.
+    ``rows``: id, text; ``chars``: the length of all texts."""
     part = max(1, chars // SAMPLE_CHARS)
 
     def run(batches):
@@ -130,8 +134,9 @@ def sampled_bigrams(rows: DataFrame) -> np.ndarray:
     return np.sort(top["code"].to_numpy().view(np.uint64))
 
 
-def exact_counts(rows: DataFrame, bigrams: np.ndarray) -> DataFrame:
-    """(bigram, key, every, good, last_every, last_good) of all words and the given bigrams."""
+def exact_counts(rows: DataFrame, bigrams: np.ndarray, parts: int) -> DataFrame:
+    """(bigram, key, every, good, last_every, last_good) of all words and the given bigrams.
+    A task sends one row to each of the ``parts`` that the words and bigrams are dealt over."""
     shared = share(rows.sparkSession, bigrams)  # at most FREQUENT
     names = ["bigram", "key", "every", "good", "last_every", "last_good"]
 
@@ -140,11 +145,16 @@ def exact_counts(rows: DataFrame, bigrams: np.ndarray) -> DataFrame:
         words = Words()
         of_words, of_pairs = np.zeros((4, 0), np.int64), np.zeros((2, len(table)), np.int64)
 
-        def batch_of(key, counts, bigram):
-            some = counts[0] > 0
-            columns = [np.full(int(some.sum()), bigram), key[some].view(np.int64), *(c[some] for c in counts)]
-            columns += [np.zeros_like(columns[1])] * (len(names) - len(columns))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        def batch_of():
+            part = (words.hashes % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            key, counts = words.hashes[order], of_words[:, order].astype(np.int32)
+            made = [(p, key[lo:hi].tobytes(), counts[:, lo:hi].tobytes(), of_pairs[:, p::parts].astype(np.int32).tobytes())
+                    for p, (lo, hi) in enumerate(zip(ends, ends[1:]))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*made), (pa.int32(), *[pa.binary()] * 3))],
+                names=["part", "keys", "counts", "pairs"])
 
         for batch in batches:
             for part in _slices(batch):
@@ -160,14 +170,38 @@ def exact_counts(rows: DataFrame, bigrams: np.ndarray) -> DataFrame:
                 for m, which in enumerate((there, there & good)):
                     of_pairs[m] += np.bincount(at[which], minlength=len(table))[:len(table)]
                 if size > HELD:
-                    yield batch_of(words.hashes, of_words, False)
+                    yield batch_of()
                     words, of_words = Words(), np.zeros((4, 0), np.int64)
-        yield batch_of(words.hashes, of_words, False)
-        yield batch_of(table, of_pairs, True)
+                    of_pairs[:] = 0
+        yield batch_of()
 
-    sums = [F.sum(c).alias(c) for c in names[2:]]
-    return (rows.select("text", "good").mapInArrow(run, "bigram boolean, " + ", ".join(f"{c} bigint" for c in names[1:]))
-            .groupBy("bigram", "key").agg(*sums))
+    def total(batches):
+        table, part, keys, counts, pairs = shared(), None, [], [], None
+
+        def batch_of():
+            key, of = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = [np.bincount(of, x, len(key)).astype(np.int64) for x in np.concatenate(counts, axis=1)]
+            codes = table[part::parts]
+            columns = [np.repeat([False, True], [len(key), len(codes)]), np.concatenate((key, codes)).view(np.int64)]
+            more = [*pairs, *np.zeros((2, len(codes)), np.int64)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (*columns, *(np.concatenate(x) for x in zip(sums, more)))], names=names)
+
+        for batch in batches:
+            for p, key, n, more in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part:
+                    if part is not None:
+                        yield batch_of()
+                    part, keys, counts, pairs = p, [], [], 0
+                keys.append(np.frombuffer(key, np.uint64))
+                counts.append(np.frombuffer(n, np.int32).reshape(4, -1))
+                pairs = pairs + np.frombuffer(more, np.int32).reshape(2, -1).astype(np.int64)
+        if part is not None:
+            yield batch_of()
+
+    sent = rows.select("text", "good").mapInArrow(run, "part int, keys binary, counts binary, pairs binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(
+        total, "bigram boolean, " + ", ".join(f"{c} bigint" for c in names[1:]))
 
 
 def _model(counts: DataFrame) -> dict:
@@ -343,10 +377,14 @@ def score_corpus(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     spark = docs.sparkSession
     good = stored(labelled_ids(docs, labels, label, value, key, None), "target").select(
         F.col("id").alias(ident), F.lit(True).alias(flag))
+    if isinstance(good.schema[ident].dataType, NumericType) and good.count() <= TARGET_IDS:
+        good = F.broadcast(good)  # at most TARGET_IDS numbers
     marked = (docs.select(*[qcol(c) for c in names], qcol(text).cast("string").alias(body), qcol(key).alias(ident + "k"))
               .join(good, F.col(ident + "k") == F.col(ident), "left").withColumn(flag, F.coalesce(flag, F.lit(False))))
     plain = marked.select(F.col(ident + "k").alias("id"), F.col(body).alias("text"), F.col(flag).alias("good"))
-    counts = stored(exact_counts(plain, sampled_bigrams(plain)), "counts")
+    texts = docs.select(qcol(key).alias("id"), qcol(text).cast("string").alias("text"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    counts = stored(exact_counts(plain, sampled_bigrams(texts, chars), max(8, chars // PART_CHARS)), "counts")
     model = share(spark, _model(counts))  # at most FREQUENT words and bigrams
     # a fixed order, so that a task that runs again makes the same blocks
     inner = [f"c{i}" for i in range(len(names))]
