@@ -44,11 +44,11 @@ FREQUENT = 1 << 18
 #: Characters of the texts in which frequent bigrams are looked for.
 SAMPLE_CHARS = 1 << 24
 #: Words of a bucket (on average); words and documents after which a block ends.
-BUCKET_WORDS = 1 << 22
-BLOCK_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
 BLOCK_DOCS = 1 << 15
 #: Distinct words that a task holds.
-HELD = 400_000
+HELD = 200_000
 #: Characters of the corpus for each part of the counts.
 PART_CHARS = 1 << 25
 #: Most labelled ids that are broadcast; more are joined by a shuffle of the texts.
@@ -314,13 +314,13 @@ def _bucket_losses(chunks: list, m: dict) -> list[tuple]:
         held = n - np.bincount(of, weight[few] * last, len(distinct))
         p = m["p"][k][word] if len(m["words"]) else np.zeros(len(word))
         p[few] = ((n + 1) / m["total"][k, 0])[of]
-        pairs = weight.copy()
-        pairs[few[first]] = 0.0  # a text's first word is no bigram
-        c = np.bincount(back, pairs)[back]
-        c[few[first]] = 0.0
-        strength = np.full(len(code), STRENGTH)
-        strength[few[first]] = 1.0  # the first word of a text has its frequency alone
-        loss = -np.log(c + strength * p)
+        weight[few[first]] = 0.0  # a text's first word is no bigram and has its frequency alone
+        loss = np.bincount(back, weight)[back]
+        alone = p[few[first]]
+        p *= STRENGTH
+        loss += p
+        loss[few[first]] = alone
+        loss = np.negative(np.log(loss, out=loss), out=loss)
         loss[few[~last]] += np.log(held + STRENGTH)[of[~last]]
         losses.append(loss)
     out, lo = [], 0

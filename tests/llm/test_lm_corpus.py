@@ -18,6 +18,7 @@ def test_matches_brute_force_whatever_is_broadcast(spark, monkeypatch):
         for name, value in (("FREQUENT", frequent), ("SAMPLE_CHARS", sample), ("BUCKET_WORDS", bucket),
                             ("BLOCK_WORDS", block), ("HELD", held), ("SLICE_ROWS", 16)):
             monkeypatch.setattr(M, name, value)
+        monkeypatch.setattr(M, "TARGET_IDS", 0 if frequent == 300 else 1 << 21)  # both joins of the labels
         out, c = M.score_corpus(docs.repartition(3), labels, keep=["doc_id"])
         rows = out.collect()
         assert sorted(r["doc_id"] for r in rows) == sorted(texts)
