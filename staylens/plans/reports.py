@@ -245,11 +245,15 @@ def plan_features(listings: DataFrame, key: str = "id", target: str = "price",
     columns (encoded columns are complete by construction, so they are always kept and never
     imputed). Rows without a parsable target are left out (no model can learn from them);
     :func:`unparsable_prices` counts them.
+
+    The rows are dealt out by their key before they are parsed, and stored: the scan may have
+    one partition, and statistics, encoders and features are each a pass over the same rows.
     """
-    df = listings.withColumn(target, parse_number(qcol(target))).where(qcol(target).isNotNull())
+    dealt = spread(listings, key, None)
+    df = dealt.withColumn(target, parse_number(qcol(target))).where(qcol(target).isNotNull())
     df = clean.to_number_columns(df, [c for c in C.NUMBER_TEXT_FEATURES if c in df.columns],
                                  parse_number)
-    df = df.select(qcol(key).alias("__key"), *[qcol(c) for c in df.columns])
+    df = cut_lineage(df.select(qcol(key).alias("__key"), *[qcol(c) for c in df.columns]), "parsed")
     phrase_cols = [c for c in C.PHRASE_FEATURES if c in df.columns]
     kept = [c for c in df.columns if c not in C.REDUNDANT_COLUMNS and c not in phrase_cols]
     text = [c for c in clean.columns_of_type(df.select(*[qcol(c) for c in kept]), "string")
