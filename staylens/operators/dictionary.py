@@ -143,7 +143,13 @@ def sparse_vectors(df: DataFrame, dictionary: Dictionary, numeric=(), keep=(), o
 
 
 def names_table(dictionary: Dictionary, numeric=()) -> DataFrame:
-    """(index, feature) of the slots of :func:`sparse_vectors`."""
+    """(index, feature) of the slots of :func:`sparse_vectors`.
+
+    The numeric names are a range with literals, whose size Spark knows: a join with the
+    table deals out the other side only if the dictionary is large.
+    """
     numeric = as_list(numeric)
-    first = dictionary.entries.sparkSession.createDataFrame(list(enumerate(numeric)), "index bigint, feature string")
+    names = F.array(*[F.lit(c) for c in numeric]).cast("array<string>")
+    first = dictionary.entries.sparkSession.range(len(numeric)).select(
+        F.col("id").alias("index"), F.get(names, F.col("id").cast("int")).alias("feature"))
     return first.unionByName(dictionary.entries.select((F.col("index") + len(numeric)).alias("index"), F.col("name").alias("feature")))
