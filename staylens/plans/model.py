@@ -7,20 +7,29 @@ checkpoint folder, so the many passes of the fit neither recompute the
 encoding nor depend on executors that may be lost. The rows' layout depends
 on the data alone (a hash of the key, partitions by row count), so the same
 data gives the same forest on any cluster.
+
+MLlib keeps class counts in every node, so a forest of many trees and classes outgrows the
+driver. Such a forest is fitted in groups of trees, each saved before the next begins; its
+nodes are a table, and its trees vote in tasks, the classes dealt out in blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .._util import as_list, qcol, require_columns
 from ..operators.dictionary import dense_index
 from ..operators.groups import top_k
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 
 # --------------------------------------------------------------------------- M1, M2
@@ -70,9 +79,21 @@ def r2_score(df: DataFrame, label: str, prediction: str, by=None, name: str = "r
 
 # --------------------------------------------------------------------------- M3, M4
 
+@dataclass
+class SavedTrees:
+    """A forest whose trees were fitted and saved in groups."""
+
+    path: str                 # a saved MLlib model for each group, under group=<number>
+    sizes: list               # its trees
+    nodes: DataFrame          # the nodes of all trees; see :func:`node_table`
+    classes: int
+    features: str             # the vector column
+    numFeatures: int
+
+
 @dataclass
 class PriceForest:
-    model: object
+    model: object             # MLlib's model, or SavedTrees
     task: str
     labels: DataFrame | None  # (index, value) of the classes (classification)
 
@@ -82,6 +103,8 @@ class PriceForest:
         Only the prediction column is produced: the per-class vote and probability vectors
         (one value per class) are not columns of the table.
         """
+        if isinstance(self.model, SavedTrees):
+            return self._predict_saved(df, out)
         model = self.model.copy()
         if self.task != "classify":
             return model.transform(df).withColumn(out, F.col("prediction")).drop("prediction")
@@ -89,6 +112,13 @@ class PriceForest:
         values = self.labels.select(F.col("index").cast("double").alias("__class"), F.col("value").alias(out))
         return model.transform(df).join(values, "__class", "left").drop("__class")
 
+    def _predict_saved(self, df: DataFrame, out: str) -> DataFrame:
+        rows = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        votes = class_votes(self.model, rows.select("__row", qcol(self.model.features)))
+        values = self.labels.select(F.col("index").alias("__class"), F.col("value").alias(out))
+        return rows.join(votes.select("__row", "__class"), "__row", "left").join(
+            values, "__class", "left").drop("__row", "__class")
+
 
 def label_values(train: DataFrame, label: str) -> DataFrame:
     """(index, value): the distinct labels in order, numbered as a table."""
@@ -100,24 +130,120 @@ def label_values(train: DataFrame, label: str) -> DataFrame:
 #: part of the model's definition: they change the forest, so neither follows the machine.
 ROWS_PER_PARTITION = 2_000
 STATISTICS_MB = 256
+#: Every partition sends its statistics of every node, whatever its rows: beyond 12 partitions
+#: their rows grow first, 50-fold. Also part of the definition.
+FEW_PARTITIONS, MORE_ROWS = 12, 50
+#: Class counts of the trees that the driver holds at once (a larger forest is fitted in groups),
+#: and of the leaves that a voting task holds; rows that a voting task reads.
+FOREST_MB, VOTES_MB, VOTING_ROWS = 16, 64, 100_000
 
 
 def laid_out(df: DataFrame, key: str, rows: int | None = None,
              rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """Hash-partitioned by ``key`` and sorted; as many partitions as the row count asks for."""
     rows = df.count() if rows is None else rows
-    return df.repartition(max(1, -(-rows // rows_per_partition)), qcol(key)).sortWithinPartitions(qcol(key))
+    partitions = min(-(-rows // rows_per_partition),
+                     max(FEW_PARTITIONS, -(-rows // (MORE_ROWS * rows_per_partition))))
+    return df.repartition(max(1, partitions), qcol(key)).sortWithinPartitions(qcol(key))
+
+
+def tree_groups(trees: int, depth: int, classes: int, memory_mb: float, rows: int | None = None) -> list[int]:
+    """Sizes of the groups in which ``trees`` are fitted, so that a group's class counts (those
+    of a node, and of both sides of an inner node) stay below ``memory_mb``."""
+    leaves = 1 << depth if rows is None else min(1 << depth, max(1, rows))
+    each = max(1, 3 * leaves * classes * 8)
+    groups = -(-trees // max(1, int(memory_mb * (1 << 20)) // each))
+    return [trees // groups + (g < trees % groups) for g in range(groups)]
+
+
+def _group_seed(seed: int, group: int) -> int:
+    # far apart: MLlib adds the partition's number to the seed
+    return seed if group == 0 else int(hashlib.md5(f"{seed}:{group}".encode()).hexdigest()[:15], 16)
+
+
+def _fit_groups(est, data: DataFrame, sizes: list[int], classes: int) -> SavedTrees:
+    path, seed = scratch_path(data.sparkSession, "forest"), est.getSeed()
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    for g, size in enumerate(sizes):
+        # 'auto' means all features in a group of one tree; a forest takes the square root
+        model = est.copy().setNumTrees(size).setSeed(_group_seed(seed, g)).setFeatureSubsetStrategy("sqrt").fit(data)
+        model.save(f"{path}/group={g}")
+        width = model.numFeatures
+    data.unpersist()
+    first = F.element_at(F.array(*[F.lit(sum(sizes[:g])) for g in range(len(sizes))]), F.col("group") + 1)
+    saved = data.sparkSession.read.option("basePath", path).parquet(f"{path}/group=*/data")
+    nodes = cut_lineage(_nodes(saved.withColumn("treeID", F.col("treeID") + first), True), "nodes")
+    return SavedTrees(path, sizes, nodes, classes, est.getFeaturesCol(), width)
+
+
+def _vote(sizes: list[int], leaves: int, classes: int):
+    """The best class of a block for each row, and its votes: a tree gives each class its share of
+    the row's leaf; trees are added in order, of equal classes the first wins (as in MLlib)."""
+    trees = sum(sizes)
+
+    def vote(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        ids, at = np.unique(left["__row"].to_numpy(), return_inverse=True)
+        group, lists = left["group"].to_numpy(), left["__leaves"]
+        places = np.zeros((len(ids), trees), np.int32)
+        for g in np.unique(group):
+            mine, f = group == g, sum(sizes[:g])
+            own = lists.filter(pa.array(mine)).combine_chunks().flatten().to_numpy().reshape(int(mine.sum()), -1)
+            places[at[mine], f:f + own.shape[1]] = own
+        width = min(classes, len(right["__counts"][0])) if right.num_rows else 0
+        shares = np.zeros((trees, leaves, max(width, 1)))
+        if right.num_rows:
+            counts = right["__counts"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+            total = right["rows"].to_numpy()[:, None]
+            shares[right["tree"].to_numpy(), right["leaf"].to_numpy()] = np.divide(
+                counts, total, out=np.zeros_like(counts), where=total != 0)
+        best, most = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for a in range(0, len(ids), 256):
+            own = places[a:a + 256]
+            votes = np.zeros((len(own), shares.shape[2]))
+            for t in range(trees):
+                votes += shares[t][own[:, t]]
+            best[a:a + 256], most[a:a + 256] = votes.argmax(axis=1), votes.max(axis=1)
+        return pa.table({"__row": ids, "__class": key[1].as_py() * classes + best, "__votes": most})
+    return vote
+
+
+def class_votes(forest: SavedTrees, rows: DataFrame) -> DataFrame:
+    """(__row, __class, __votes) of ``rows`` (__row, vector): one group of trees at a time finds its
+    leaves; then shares of rows meet blocks of classes, and a row takes its best block's class."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "leaves")
+    for g in range(len(forest.sizes)):
+        model = RandomForestClassificationModel.load(f"{forest.path}/group={g}").setPredictionCol("")
+        model.setRawPredictionCol("").setProbabilityCol("").setLeafCol("__leaf").transform(rows).select(
+            "__row", vector_to_array("__leaf").cast("array<int>").alias("__leaves")).write.parquet(f"{path}/group={g}")
+    leaves = forest.nodes.agg(F.max("leaf")).first()[0] + 1
+    block = min(forest.classes, max(1, (VOTES_MB << 20) // (sum(forest.sizes) * leaves * 8)))
+    blocks, parts = -(-forest.classes // block), max(1, -(-rows.count() // VOTING_ROWS))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = spark.read.parquet(path).select("*", F.pmod(F.hash("__row"), F.lit(parts)).alias("__part")).select(
+        "*", each.alias("__block"))
+    right = forest.nodes.where("leaf is not null").select("tree", "leaf", "rows", "counts", each.alias("__block")).select(
+        "tree", "leaf", "rows", F.slice("counts", F.col("__block") * block + 1, F.lit(block)).alias("__counts"),
+        "__block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+    votes = left.groupBy("__part", "__block").cogroup(right.groupBy("__part", "__block")).applyInArrow(
+        _vote(forest.sizes, leaves, block), "__row bigint, __class bigint, __votes double")
+    best = votes.groupBy("__row").agg(F.max(F.struct("__votes", (-F.col("__class")).alias("at"))).alias("b"))
+    return best.select("__row", (-F.col("b.at")).alias("__class"), F.col("b.__votes").alias("__votes"))
 
 
 def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, depth: int = 6,
                seed: int = 42, task: str = "classify", max_bins: int = 32,
                max_memory_mb: int = STATISTICS_MB, key: str | None = None,
-               rows_per_partition: int = ROWS_PER_PARTITION) -> PriceForest:
+               rows_per_partition: int = ROWS_PER_PARTITION, forest_mb: float = FOREST_MB) -> PriceForest:
     """M3: random forest on ``label`` values as classes (or a regressor with ``task='regress'``).
 
     Class indices follow the sorted label values and carry nominal metadata, so any number
     of classes is accepted. With a ``key`` the rows are laid out by it first
-    (:func:`laid_out`); without, the caller's partitions are used.
+    (:func:`laid_out`); without, the caller's partitions are used. A classifier whose class
+    counts pass ``forest_mb`` is fitted in groups of trees (:func:`tree_groups`), each with
+    its own seed.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
@@ -126,7 +252,8 @@ def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, de
     if task == "classify":
         labels = label_values(train, label)
         index = labels.select(F.col("value").alias("__lv"), F.col("index").cast("double").alias("__li"))
-        meta = {"ml_attr": {"type": "nominal", "num_vals": labels.count(), "name": "__label"}}
+        classes = labels.count()
+        meta = {"ml_attr": {"type": "nominal", "num_vals": classes, "name": "__label"}}
         data = (train.join(index, qcol(label).cast("double") == F.col("__lv"))
                 .select(*more, qcol(features), F.col("__li").alias("__label", metadata=meta)))
         est = RandomForestClassifier(featuresCol=features, labelCol="__label", numTrees=trees,
@@ -143,6 +270,9 @@ def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, de
         raise ValueError("task must be 'classify' or 'regress'")
     if key:
         data = laid_out(data, key, rows_per_partition=rows_per_partition).drop(key)
+    sizes = tree_groups(trees, depth, classes, forest_mb, train.count()) if task == "classify" else [trees]
+    if len(sizes) > 1:
+        return PriceForest(_fit_groups(est, data, sizes, classes), task, labels)
     return PriceForest(est.fit(data), task, labels)
 
 
@@ -165,21 +295,28 @@ def node_table(model) -> DataFrame:
     NULL elsewhere; ``rows`` is the node's weight.
     """
     model = model.model if isinstance(model, PriceForest) else model
+    if isinstance(model, SavedTrees):
+        return model.nodes.drop("counts")
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "forest")
     model.save(path)
+    return _nodes(spark.read.parquet(f"{path}/data"), hasattr(model, "numClasses")).drop("counts")
+
+
+def _nodes(saved: DataFrame, classifier: bool) -> DataFrame:
+    """:func:`node_table` of the saved nodes, with the leaves' class counts."""
     n = F.col("nodeData")
     stats = n["impurityStats"]
     # class counts of a classifier; count, sum and sum of squares of a regressor
-    rows = (F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if hasattr(model, "numClasses") else stats[0])
+    rows = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if classifier else stats[0]
     is_leaf = n["leftChild"] < 0
     inner = F.when(~is_leaf, n["split"])
     order = Window.partitionBy("treeID").orderBy(n["id"]).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(is_leaf.cast("int")).over(order), F.lit(0))  # a tree has few nodes
-    return spark.read.parquet(f"{path}/data").select(
+    return saved.select(
         F.col("treeID").alias("tree"), n["id"].alias("node"), inner["featureIndex"].alias("feature"),
         F.get(inner["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), n["gain"].alias("gain"),
-        rows.alias("rows"), F.when(is_leaf, before).alias("leaf"))
+        rows.alias("rows"), F.when(is_leaf, before).alias("leaf"), F.when(is_leaf, stats).alias("counts"))
 
 
 def node_importances(nodes: DataFrame) -> DataFrame:
@@ -206,7 +343,7 @@ def importance_table(model, names, spark=None) -> DataFrame:
     """
     spark = spark or SparkSession.getActiveSession()
     model = model.model if isinstance(model, PriceForest) else model
-    if hasattr(model, "getNumTrees"):
+    if isinstance(model, SavedTrees) or hasattr(model, "getNumTrees"):
         count = names.count() if isinstance(names, DataFrame) else len(names)
         if model.numFeatures != count:
             raise ValueError(f"{model.numFeatures} features, {count} names")
