@@ -10,7 +10,7 @@ data gives the same forest on any cluster.
 
 MLlib keeps class counts in every node, so a forest of many trees and classes outgrows the
 driver. Such a forest is fitted in groups of trees, each saved before the next begins; its
-nodes are a table, and its trees vote in tasks, the classes dealt out in blocks.
+nodes are a table, and its trees vote in tasks over blocks of classes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +133,8 @@ STATISTICS_MB = 256
 #: their rows grow first, 50-fold. Also part of the definition.
 FEW_PARTITIONS, MORE_ROWS = 12, 50
 #: Class counts of the trees that the driver holds at once (a larger forest is fitted in groups),
-#: and of the leaves that a voting task holds; rows that a voting task reads.
-FOREST_MB, VOTES_MB, VOTING_ROWS = 16, 64, 100_000
+#: and of the leaves that a voting task holds; rows that a voting task reads and votes on at once.
+FOREST_MB, VOTES_MB, VOTING_ROWS = 16, 64, 10_000
 
 
 def laid_out(df: DataFrame, key: str, rows: int | None = None,
@@ -176,61 +175,147 @@ def _fit_groups(est, data: DataFrame, sizes: list[int], classes: int) -> SavedTr
     return SavedTrees(path, sizes, nodes, classes, est.getFeaturesCol(), width)
 
 
-def _vote(sizes: list[int], leaves: int, classes: int):
-    """The best class of a block for each row, and its votes: a tree gives each class its share of
-    the row's leaf; trees are added in order, of equal classes the first wins (as in MLlib)."""
-    trees = sum(sizes)
-
-    def vote(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.combine_chunks()
-        ids, at = np.unique(left["__row"].to_numpy(), return_inverse=True)
-        group, lists = left["group"].to_numpy(), left["__leaves"]
-        places = np.zeros((len(ids), trees), np.int32)
-        for g in np.unique(group):
-            mine, f = group == g, sum(sizes[:g])
-            own = lists.filter(pa.array(mine)).combine_chunks().flatten().to_numpy().reshape(int(mine.sum()), -1)
-            places[at[mine], f:f + own.shape[1]] = own
-        width = min(classes, len(right["__counts"][0])) if right.num_rows else 0
-        shares = np.zeros((trees, leaves, max(width, 1)))
-        if right.num_rows:
-            counts = right["__counts"].combine_chunks().flatten().to_numpy().reshape(-1, width)
-            total = right["rows"].to_numpy()[:, None]
-            shares[right["tree"].to_numpy(), right["leaf"].to_numpy()] = np.divide(
-                counts, total, out=np.zeros_like(counts), where=total != 0)
-        best, most = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        for a in range(0, len(ids), 256):
-            own = places[a:a + 256]
-            votes = np.zeros((len(own), shares.shape[2]))
-            for t in range(trees):
-                votes += shares[t][own[:, t]]
-            best[a:a + 256], most[a:a + 256] = votes.argmax(axis=1), votes.max(axis=1)
-        return pa.table({"__row": ids, "__class": key[1].as_py() * classes + best, "__votes": most})
+def _tree_arrays(nodes: DataFrame) -> dict:
+    """The trees without class counts, as flat arrays over (tree, node): a leaf is its own child."""
+    t = nodes.select("tree", "node", "feature", "threshold", "categories", "values", "left", "right", "leaf").toArrow()
+    tree, node = t["tree"].to_numpy(), t["node"].to_numpy()
+    trees, size = int(tree.max()) + 1, int(node.max()) + 1
+    at = tree.astype(np.int64) * size + node
+
+    def flat(name: str, none, kind, base=0):
+        out = np.full(trees * size, none, kind)
+        out[at] = t[name].combine_chunks().fill_null(none).to_numpy(zero_copy_only=False) + base
+        return out
+
+    feature, leaf = flat("feature", -1, np.int64), flat("leaf", -1, np.int64)
+    left, right = (flat(c, -1, np.int64, tree.astype(np.int64) * size) for c in ("left", "right"))
+    inner, own = feature >= 0, np.arange(trees * size)
+    left, right = np.where(inner, left, own), np.where(inner, right, own)
+    depth = np.zeros(trees * size, np.int64)
+    for n in range(size):  # in a tree, a node comes before its children
+        mine = np.arange(trees) * size + n
+        mine = mine[inner[mine]]
+        depth[left[mine]] = depth[right[mine]] = depth[mine] + 1
+    used, slot = np.unique(feature[inner], return_inverse=True)
+    feature[inner] = slot
+    # a categorical split: its row of the table says which values go left; the last column is for all others
+    kinds, widest = np.full(trees * size, -1), max(t["values"].fill_null(0).to_pylist(), default=0)
+    table = []
+    for i, values, cats in zip(at.tolist(), t["values"].to_pylist(), t["categories"].to_pylist()):
+        if cats is not None:
+            kinds[i], rest = len(table), len(cats) > values / 2
+            table.append([v in cats if v < values else rest for v in range(widest)] + [rest])
+    return {"root": np.arange(trees) * size, "slot": np.where(inner, feature, 0), "threshold": flat("threshold", 0.0, np.float64),
+            "left": left, "right": right, "leaf": leaf.astype(np.min_scalar_type(int(leaf.max()))), "used": used,
+            "levels": int(depth.max()), "kinds": kinds, "table": np.array(table, bool)}
+
+
+def _class_blocks(forest: SavedTrees, trees: int, leaves: int):
+    """(first class, leaves of each tree, rows of a leaf, class counts of a leaf) of one block of classes
+    after the other, at most VOTES_MB as doubles; leaves in the order of trees."""
+    spark, path = forest.nodes.sparkSession, scratch_path(forest.nodes.sparkSession, "blocks")
+    block = min(forest.classes, max(1, (VOTES_MB << 20) // (trees * leaves * 8)))
+    blocks = -(-forest.classes // block)
+    forest.nodes.where("leaf is not null").select(
+        "tree", "leaf", "rows", "counts", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(
+        "tree", "leaf", "rows", F.slice("counts", F.col("block") * block + 1, F.lit(block)).alias("counts"), "block",
+    ).write.partitionBy("block").parquet(path)
+
+    def read(b: int) -> tuple:
+        t = spark.read.parquet(f"{path}/block={b}").toArrow()
+        tree, order = t["tree"].to_numpy(), np.lexsort((t["leaf"].to_numpy(), t["tree"].to_numpy()))
+        counts = [c.flatten().to_numpy().reshape(len(c), -1) for c in t["counts"].chunks if len(c)]
+        small = np.min_scalar_type(int(max(c.max() for c in counts)))  # rows are counted: small integers
+        if not all(np.array_equal(c.astype(small), c) for c in counts):
+            small = np.float64
+        counts = np.concatenate([c.astype(small) for c in counts])[order]
+        return b * block, np.bincount(tree, minlength=trees), t["rows"].to_numpy()[order], counts
+
+    return (read(b) for b in range(blocks))
+
+
+def _voter(trees: dict, blocks: list, width: int, most_rows: int):
+    """(__row, __class, __votes) of (__row, __vector) rows: a tree gives each class its share of the
+    row's leaf; trees are added in order, of equal classes the first wins (as in MLlib)."""
+    slots = np.full(width, -1, np.int64)
+    slots[trees["used"]] = np.arange(len(trees["used"]))
+
+    def dense(vectors: pa.StructArray) -> np.ndarray:
+        # type 0: indices and values; type 1: all values
+        if vectors.null_count:
+            raise ValueError("a row has no feature vector")
+        _, _, indices, values = vectors.flatten()
+        held = values.value_lengths().to_numpy()
+        at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        at[np.repeat(indices.is_valid().to_numpy(zero_copy_only=False), held)] = indices.flatten().to_numpy()
+        slot, row = slots[at], np.repeat(np.arange(len(held)), held)
+        out = np.zeros((len(held), max(1, len(trees["used"]))))
+        out[row[slot >= 0], slot[slot >= 0]] = values.flatten().to_numpy()[slot >= 0]
+        return out
+
+    def leaves(vectors: pa.StructArray) -> np.ndarray:
+        x, widest = dense(vectors), trees["table"].shape[-1] - 1
+        row, at = np.arange(len(x))[:, None], np.tile(trees["root"], (len(x), 1))
+        for _ in range(trees["levels"]):
+            value = x[row, trees["slot"][at]]
+            go = value <= trees["threshold"][at]
+            if len(trees["table"]):
+                known = (value >= 0) & (value < widest) & (value == np.floor(value))
+                go = np.where(trees["kinds"][at] >= 0, trees["table"][
+                    trees["kinds"][at], np.where(known, value, widest).astype(np.int64)], go)
+            at = np.where(go, trees["left"][at], trees["right"][at])
+        return trees["leaf"][at].T
+
+    def voted(ids: list, places: list) -> pa.RecordBatch:
+        ids, places = np.concatenate(ids), np.ascontiguousarray(np.concatenate(places, axis=1))
+        best, most = np.zeros(len(ids), np.int64), np.full(len(ids), -1.0)
+        for block in blocks:
+            first, of, rows, counts = block.value
+            vars(block).pop("_value", None)  # a worker holds one block at a time
+            start, step = np.cumsum(of) - of, max(1, min(2048, (16 << 20) // (8 * counts.shape[1])))
+            for a in range(0, len(ids), step):
+                own = places[:, a:a + step]
+                votes = np.zeros((own.shape[1], counts.shape[1]))
+                for t, (i, n) in enumerate(zip(start, of)):
+                    total = rows[i:i + n, None]
+                    votes += np.take(np.divide(counts[i:i + n], total, out=np.zeros((n, counts.shape[1])), where=total != 0),
+                                     own[t], axis=0)
+                top, high = votes.argmax(axis=1), votes.max(axis=1)
+                more = high > most[a:a + step]
+                best[a:a + step][more], most[a:a + step][more] = first + top[more], high[more]
+        return pa.RecordBatch.from_pydict({"__row": ids, "__class": best, "__votes": most})
+
+    def vote(batches):
+        step = max(1, min(2048, (16 << 20) // (8 * max(len(trees["root"]), len(trees["used"])))))
+        ids, places = [], []
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                ids.append(batch["__row"][a:a + step].to_numpy())
+                places.append(leaves(batch["__vector"][a:a + step]))
+                if sum(map(len, ids)) >= most_rows:
+                    yield voted(ids, places)
+                    ids, places = [], []
+        if ids:
+            yield voted(ids, places)
     return vote
 
 
 def class_votes(forest: SavedTrees, rows: DataFrame) -> DataFrame:
-    """(__row, __class, __votes) of ``rows`` (__row, vector): one group of trees at a time finds its
-    leaves; then shares of rows meet blocks of classes, and a row takes its best block's class."""
-    from pyspark.ml.classification import RandomForestClassificationModel
-
-    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "leaves")
-    for g in range(len(forest.sizes)):
-        model = RandomForestClassificationModel.load(f"{forest.path}/group={g}").setPredictionCol("")
-        model.setRawPredictionCol("").setProbabilityCol("").setLeafCol("__leaf").transform(rows).select(
-            "__row", vector_to_array("__leaf").cast("array<int>").alias("__leaves")).write.parquet(f"{path}/group={g}")
-    leaves = forest.nodes.agg(F.max("leaf")).first()[0] + 1
-    block = min(forest.classes, max(1, (VOTES_MB << 20) // (sum(forest.sizes) * leaves * 8)))
-    blocks, parts = -(-forest.classes // block), max(1, -(-rows.count() // VOTING_ROWS))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = spark.read.parquet(path).select("*", F.pmod(F.hash("__row"), F.lit(parts)).alias("__part")).select(
-        "*", each.alias("__block"))
-    right = forest.nodes.where("leaf is not null").select("tree", "leaf", "rows", "counts", each.alias("__block")).select(
-        "tree", "leaf", "rows", F.slice("counts", F.col("__block") * block + 1, F.lit(block)).alias("__counts"),
-        "__block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
-    votes = left.groupBy("__part", "__block").cogroup(right.groupBy("__part", "__block")).applyInArrow(
-        _vote(forest.sizes, leaves, block), "__row bigint, __class bigint, __votes double")
-    best = votes.groupBy("__row").agg(F.max(F.struct("__votes", (-F.col("__class")).alias("at"))).alias("b"))
-    return best.select("__row", (-F.col("b.at")).alias("__class"), F.col("b.__votes").alias("__votes"))
+    """(__row, __class, __votes) of ``rows`` (__row, vector), stored.
+
+    Trees and blocks of class counts are broadcast: a task finds the leaves of its rows and
+    meets the blocks one after the other, so neither leaves nor votes by class are dealt out.
+    """
+    sc = rows.sparkSession.sparkContext
+    trees = _tree_arrays(forest.nodes)
+    blocks = [sc.broadcast(b) for b in _class_blocks(forest, len(trees["root"]), int(trees["leaf"].max()) + 1)]
+    dealt = rows.select("__row", qcol(forest.features).alias("__vector")).repartition(
+        max(1, -(-rows.count() // VOTING_ROWS)), "__row")
+    votes = cut_lineage(dealt.mapInArrow(_voter(trees, blocks, forest.numFeatures, VOTING_ROWS),
+                                         "__row bigint, __class bigint, __votes double"), "votes")
+    for b in blocks:
+        b.destroy()
+    return votes
 
 
 def fit_forest(train: DataFrame, features: str, label: str, trees: int = 400, depth: int = 6,
@@ -296,27 +381,35 @@ def node_table(model) -> DataFrame:
     """
     model = model.model if isinstance(model, PriceForest) else model
     if isinstance(model, SavedTrees):
-        return model.nodes.drop("counts")
+        return model.nodes.drop(*_VOTING)
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "forest")
     model.save(path)
-    return _nodes(spark.read.parquet(f"{path}/data"), hasattr(model, "numClasses")).drop("counts")
+    return _nodes(spark.read.parquet(f"{path}/data"), hasattr(model, "numClasses")).drop(*_VOTING)
+
+
+#: What :func:`_nodes` has besides the columns of :func:`node_table`.
+_VOTING = ("counts", "left", "right", "values", "categories")
 
 
 def _nodes(saved: DataFrame, classifier: bool) -> DataFrame:
-    """:func:`node_table` of the saved nodes, with the leaves' class counts."""
+    """:func:`node_table` of the saved nodes, with what voting needs: the leaves' class counts, the
+    children, and of a categorical split the number of values and those that go left."""
     n = F.col("nodeData")
     stats = n["impurityStats"]
     # class counts of a classifier; count, sum and sum of squares of a regressor
     rows = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if classifier else stats[0]
     is_leaf = n["leftChild"] < 0
     inner = F.when(~is_leaf, n["split"])
+    nominal = inner["numCategories"] >= 0
     order = Window.partitionBy("treeID").orderBy(n["id"]).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(is_leaf.cast("int")).over(order), F.lit(0))  # a tree has few nodes
     return saved.select(
         F.col("treeID").alias("tree"), n["id"].alias("node"), inner["featureIndex"].alias("feature"),
         F.get(inner["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"), n["gain"].alias("gain"),
-        rows.alias("rows"), F.when(is_leaf, before).alias("leaf"), F.when(is_leaf, stats).alias("counts"))
+        rows.alias("rows"), F.when(is_leaf, before).alias("leaf"), F.when(is_leaf, stats).alias("counts"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), F.when(nominal, inner["numCategories"]).alias("values"),
+        F.when(nominal, inner["leftCategoriesOrThreshold"]).alias("categories"))
 
 
 def node_importances(nodes: DataFrame) -> DataFrame:
