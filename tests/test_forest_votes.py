@@ -49,6 +49,18 @@ def test_leaves_are_neither_stored_nor_dealt_out(spark, numbers, monkeypatch):
     assert not any(re.search("(?i)cogroup|explode", p) for p in plans)
 
 
+def test_vectors_are_dealt_out_once(spark, numbers, monkeypatch):
+    """Disk: the voting dealt out every leaf of a row for each block of classes, 33 times here."""
+    forest, plans, store = _forest(spark, M.assemble(numbers, ["x", "z"])), {}, M.cut_lineage
+    monkeypatch.setattr(M, "VOTES_MB", 0)
+    monkeypatch.setattr(M, "VOTING_ROWS", 300)
+    monkeypatch.setattr(M, "cut_lineage", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or store(df, name))
+    votes = M.class_votes(forest.model, M.assemble(numbers, ["x", "z"]).withColumnRenamed("id", "__row"))
+    assert votes.count() == votes.select("__row").distinct().count() == 700
+    dealt = [line for line in plans["votes"].splitlines() if "Exchange" in line and "__row" in line]
+    assert len(dealt) == 1 and "Explode" not in plans["votes"] and "generate" not in plans["votes"].lower()
+
+
 def test_a_voting_task_holds_few_rows(spark, numbers, monkeypatch):
     """A task votes on VOTING_ROWS rows at once, however many it reads."""
     forest = _forest(spark, M.assemble(numbers, ["x", "z"]))
